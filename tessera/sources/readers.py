@@ -87,9 +87,9 @@ def repair_csv(spark: SparkSession, path: str, sep: str = ",",
     df, header = read_csv_with_corrupt(spark, path, sep, names)
     n = len(header)
     tok = _token_count(F.col(CORRUPT))
-    # the first data column is referenced too: Spark refuses scans whose only
-    # column is the corrupt-record one
-    ok = F.concat(F.lit("ok"), F.substring(F.coalesce(F.col(header[0]), F.lit("")), 1, 0))
+    # every data column is referenced: the parser flags mis-sized rows only
+    # when it parses the full width (and refuses corrupt-column-only scans)
+    ok = F.concat(F.lit("ok"), *[F.substring(F.coalesce(F.col(c), F.lit("")), 1, 0) for c in header])
     reason = (F.when(F.col(CORRUPT).isNull(), ok).when(tok > n, "truncated").when(tok < n, "padded")
                .otherwise("malformed"))
     counts = df.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
