@@ -15,6 +15,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.columns import categorical_columns, q
 
@@ -46,17 +47,17 @@ VALUE_MAPS = {
 RARE_BROADCAST_LIMIT = 10000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x) if isinstance(x, str) else x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x) if isinstance(x, str) else x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _strip_marks_udf(s: pd.Series) -> pd.Series:
     def f(x):
         if not isinstance(x, str):
