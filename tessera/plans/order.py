@@ -50,3 +50,36 @@ def with_row_index(df: DataFrame, order_cols: list[str], name: str = "row_idx",
     return (rs.join(F.broadcast(offsets), "_pid")
               .withColumn(name, F.col("_off") + F.col("_pos"))
               .drop("_pid", "_pos", "_off"))
+
+
+def _cumsum_partition(it, cols, offsets):
+    import pandas as pd  # noqa: F401
+    for pdf in it:
+        if len(pdf) == 0:
+            continue
+        pid = int(pdf["_pid"].iloc[0])
+        base = offsets.get(pid, [0.0] * len(cols))
+        for j, c in enumerate(cols):
+            pdf[f"cum_{c}"] = pdf[c].astype("float64").cumsum() + base[j]
+            base[j] = float(pdf[f"cum_{c}"].iloc[-1])
+        offsets[pid] = base
+        yield pdf.drop(columns=["_pid", "_pos"])
+
+
+def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
+                num_partitions: int | None = None) -> DataFrame:
+    """Running sums of ``value_cols`` in ``order_cols`` order over the whole
+    table, as ``cum_<col>``: range partitions + per-partition totals (one
+    row per partition to the driver) + a vectorised cumulative sum inside
+    each partition. No task ever holds more than its own range."""
+    import pyspark.sql.types as T
+    rs = range_sorted(df, order_cols, num_partitions)
+    totals = rs.groupBy("_pid").agg(*[F.sum(c).cast("double").alias(c) for c in value_cols]).collect()
+    running = [0.0] * len(value_cols)
+    offsets = {}
+    for r in sorted(totals, key=lambda r: r["_pid"]):
+        offsets[r["_pid"]] = list(running)
+        running = [a + (r[c] or 0.0) for a, c in zip(running, value_cols)]
+    out_schema = T.StructType([f for f in rs.schema.fields if f.name not in ("_pid", "_pos")] +
+                              [T.StructField(f"cum_{c}", T.DoubleType()) for c in value_cols])
+    return rs.mapInPandas(lambda it: _cumsum_partition(it, value_cols, dict(offsets)), out_schema)
