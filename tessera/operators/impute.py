@@ -231,11 +231,24 @@ def ks_statistic(a: DataFrame, col_a: str, b: DataFrame, col_b: str) -> DataFram
 # ------------------------------------------------------------ IMP-13 / 14
 @dataclass
 class ImputeResult:
+    """Imputed table and decisions; validation, completeness and status are
+    computed on request (validation runs extra jobs per column)."""
+    original: DataFrame
     data: DataFrame
     decisions: DataFrame
-    validation: DataFrame
-    completeness: DataFrame
-    status: str
+    numeric_imputed: list
+
+    def validation(self) -> DataFrame:
+        return validate(self.original, self.data, self.numeric_imputed)
+
+    def completeness(self) -> DataFrame:
+        return completeness(self.data)
+
+    def status(self) -> str:
+        vrows = self.validation().collect()
+        c = self.completeness().first()["record_completeness"]
+        failed = sum(1 for v in vrows if not v["passed"])
+        return "STOP" if c < COMPLETENESS_STOP or failed > len(vrows) * 0.3 else "WARN" if failed else "PASS"
 
 
 def apply_decisions(df: DataFrame, decisions: list, group_col: str | None = None, exact: bool = True,
@@ -293,11 +306,6 @@ def run_imputation(df: DataFrame, group_col: str | None = None, exact: bool = Tr
     decisions = decide_methods(df, group_col)
     drows = decisions.collect()  # one row per column with nulls
     imputed = apply_decisions(df, drows, group_col, exact)
-    num_imputed = [d["column"] for d in drows if d["column"] in numeric_columns(df) and d["method"] != "flag_only"]
-    val = validate(df, imputed, num_imputed)
-    comp = completeness(imputed)
-    vrows = val.collect()
-    c = comp.first()["record_completeness"]
-    failed = sum(1 for v in vrows if not v["passed"])
-    status = ("STOP" if c < COMPLETENESS_STOP or failed > len(vrows) * 0.3 else "WARN" if failed else "PASS")
-    return ImputeResult(imputed, decisions, val, comp, status)
+    nums = numeric_columns(df)
+    num_imputed = [d["column"] for d in drows if d["column"] in nums and d["method"] != "flag_only"]
+    return ImputeResult(df, imputed, decisions, num_imputed)

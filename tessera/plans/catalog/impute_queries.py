@@ -179,10 +179,10 @@ SELECT round(1 - (6 * count(*) - count(event_id) - count(ts) - count(props) - co
              / (count(*) * 6), 4) AS record_completeness FROM h
 """)
 def impute_completeness(spark, sf):
-    return imp.run_imputation(events_nulls(spark, sf), group_col="event_type").completeness
+    return imp.run_imputation(events_nulls(spark, sf), group_col="event_type").completeness()
 
 
 @query("impute_validation")
 def impute_validation(spark, sf):
     res = imp.run_imputation(events_nulls(spark, sf), group_col="event_type")
-    return res.validation.withColumn("status", F.lit(res.status))
+    return res.validation().withColumn("status", F.lit(res.status()))
