@@ -62,7 +62,7 @@ def _strip_marks_udf(s: pd.Series) -> pd.Series:
     def f(x):
         if not isinstance(x, str):
             return x
-        return "".join(ch for ch in unicodedata.normalize("NFD", x) if not unicodedata.combining(ch))
+        return "".join(ch for ch in unicodedata.normalize("NFD", x) if unicodedata.category(ch) != "Mn")
     return s.map(f)
 
 
@@ -79,7 +79,7 @@ def nfkc(c: Column) -> Column:
 
 
 def strip_marks(c: Column) -> Column:
-    """Drop combining marks (NFD, then remove category Mn/Mc/Me)."""
+    """NFD, then drop nonspacing marks (category Mn); not recomposed."""
     return _ascii_guard(c, _strip_marks_udf)
 
 
