@@ -17,6 +17,9 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # wide one-pass aggregates (all columns / all pairs at once) exceed the
+    # default 100-field limit and would fall back to interpreted execution
+    "spark.sql.codegen.maxFields": "2000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -44,6 +47,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def tune_session(spark: SparkSession) -> None:
+    """Runtime SQL settings the operators rely on, applied to a session we
+    did not build (only raised, never lowered)."""
+    try:
+        if int(spark.conf.get("spark.sql.codegen.maxFields", "100")) < 2000:
+            spark.conf.set("spark.sql.codegen.maxFields", "2000")
+    except Exception:  # noqa: BLE001 - a locked-down session keeps its settings
+        pass
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
     (local tests) create a private scratch folder for it."""
