@@ -92,3 +92,23 @@ def impute_knn(spark, sf):
 def impute_mice(spark, sf):
     ev = events_nulls(spark, sf).select("event_id", "user_id", "value")
     return round_doubles(impute_models.chained_regression(ev, ["event_id", "user_id", "value"]), 4)
+
+
+@query("staged_run")
+def staged_run(spark, sf):
+    """Quality gate -> typing -> imputation -> features on the shipments
+    analogue; stops at the first STOP."""
+    import datetime as dt
+
+    from tessera.plans import stages as st
+    from tessera.plans.catalog.fixtures import shipments
+    ship = shipments(spark, sf)
+    res = st.run_stages(ship, [
+        ("quality", st.quality_stage([], ["order_id", "line_no", "l_partkey", "carrier"],
+                                     dt.datetime(2003, 1, 1))),
+        ("schema", st.schema_stage(["order_id", "line_no", "l_partkey", "carrier"])),
+        ("impute", st.impute_stage()),
+        ("features", st.feature_stage("logistics")),
+    ])
+    rows = [(i, r.name, r.status, r.data.count()) for i, r in enumerate(res)]
+    return spark.createDataFrame(rows, "step int, stage string, status string, rows long")
