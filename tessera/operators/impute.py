@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.columns import is_datetime, is_numeric, numeric_columns, q
+from tessera.functions.quantiles import exact_quantiles
 from tessera.plans.order import prefix_sums
 
 LOW_MISSING = 0.05
@@ -106,13 +107,14 @@ def flag_missing(df: DataFrame, col: str) -> DataFrame:
 
 
 def medians(df: DataFrame, cols: list[str], exact: bool = True) -> dict[str, float | None]:
-    """Medians of several columns from one aggregate."""
+    """Medians of several columns: exact via distributed running counts
+    (no task holds a column's distinct values), or a bounded sketch."""
     if not cols:
         return {}
-    agg = [(F.percentile(q(c).cast("double"), F.lit(0.5)) if exact else
-            F.percentile_approx(q(c).cast("double"), F.lit(0.5), F.lit(10000)).cast("double")).alias(f"m{i}")
-           for i, c in enumerate(cols)]
-    row = df.agg(*agg).first()
+    if exact:
+        return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
+    row = df.agg(*[F.percentile_approx(q(c).cast("double"), F.lit(0.5), F.lit(10000)).cast("double").alias(f"m{i}")
+                   for i, c in enumerate(cols)]).first()
     return {c: row[f"m{i}"] for i, c in enumerate(cols)}
 
 
@@ -169,8 +171,8 @@ def impute_unknown(df: DataFrame, col: str) -> DataFrame:
 def decile_edges(df: DataFrame, col: str, bins: int = 10) -> list[float]:
     """Distinct linear percentiles 0, 1/bins, ..., 1 of the non-null values."""
     ps = [i / bins for i in range(bins + 1)]
-    r = df.agg(F.percentile(q(col).cast("double"), F.array(*[F.lit(p) for p in ps])).alias("e")).first()["e"]
-    return sorted(set(r)) if r else []
+    r = exact_quantiles(df, [col], ps)[col]
+    return sorted(set(r)) if r and r[0] is not None else []
 
 
 def bin_index(x: Column, edges: list[float]) -> Column:

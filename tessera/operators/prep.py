@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.columns import categorical_columns, is_numeric, q
+from tessera.functions.quantiles import exact_quantiles
 from tessera.plans.order import with_row_index
 
 SEED = 42
@@ -179,13 +180,12 @@ def fit_scaler(train: DataFrame, cols: list[str], method: str = "standard", exac
     if not cols:
         return {}
     if method == "robust":
-        row = train.agg(*[F.percentile(q(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-                          .alias(f"p{i}") for i, c in enumerate(cols)]).first()
+        qs = exact_quantiles(train, cols, [0.25, 0.5, 0.75])
         out = {}
-        for i, c in enumerate(cols):
-            p = row[f"p{i}"]
-            iqr = (p[2] - p[0]) if p else None
-            out[c] = (p[1] if p else None, iqr if iqr else 1.0)
+        for c in cols:
+            p = qs[c]
+            iqr = (p[2] - p[0]) if p[0] is not None else None
+            out[c] = (p[1], iqr if iqr else 1.0)
         return out
     row = train.agg(*[F.avg(q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
                     *[F.stddev_pop(q(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).first()

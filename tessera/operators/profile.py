@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.columns import is_numeric, numeric_columns, q, text_columns
+from tessera.functions.quantiles import exact_quantiles
 
 SEVERITY_SCORE = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 
@@ -28,7 +29,10 @@ def _pct_expr(c, ps, exact):
 # ------------------------------------------------------------------ PRF-1
 def profile_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
     """count, mean, median, sample std, min, max, q25, q75 (linear), population
-    skewness and population excess kurtosis, per numeric column."""
+    skewness and population excess kurtosis, per numeric column. Moments in
+    one aggregate; quantiles from the distributed exact quantiles (or a
+    bounded sketch with ``exact=False``)."""
+    spark = df.sparkSession
     cols = cols if cols is not None else numeric_columns(df)
     exprs = []
     for i, c in enumerate(cols):
@@ -36,14 +40,20 @@ def profile_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool =
         exprs.append(F.struct(
             F.lit(i).alias("position"), F.lit(c).alias("column"),
             F.count(x).alias("count"), F.avg(x).alias("mean"),
-            _pct_expr(x, [0.5, 0.25, 0.75], exact).alias("_p"),
             F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
             F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis")).alias(str(i)))
     wide = df.agg(*exprs)
     long = wide.select(F.explode(F.array(*[F.col(str(i)) for i in range(len(cols))])).alias("r")).select("r.*")
-    return (long.filter(F.col("count") > 0)
-                .select("position", "column", "count", "mean", F.col("_p")[0].alias("median"), "std",
-                        "min", "max", F.col("_p")[1].alias("q25"), F.col("_p")[2].alias("q75"),
+    if exact:
+        qv = exact_quantiles(df, cols, [0.5, 0.25, 0.75])
+    else:
+        row = df.agg(*[_pct_expr(q(c).cast("double"), [0.5, 0.25, 0.75], False).alias(str(i))
+                       for i, c in enumerate(cols)]).first()
+        qv = {c: list(row[str(i)] or [None] * 3) for i, c in enumerate(cols)}
+    qdf = spark.createDataFrame([(c, *[float(v) if v is not None else None for v in qv[c]]) for c in cols],
+                                "column string, median double, q25 double, q75 double")
+    return (long.filter(F.col("count") > 0).join(F.broadcast(qdf), "column")  # one row per column
+                .select("position", "column", "count", "mean", "median", "std", "min", "max", "q25", "q75",
                         "skewness", "kurtosis"))
 
 
@@ -134,8 +144,10 @@ def identify_issues(df: DataFrame, exact: bool = True) -> DataFrame:
     exprs = [F.count(F.lit(1)).alias("_n")]
     exprs += [F.count_if(q(c).isNull()).alias(f"z{i}") for i, c in enumerate(cols)]
     exprs += [F.count(q(c)).alias(f"n{i}") for i, c in enumerate(nums)]
-    exprs += [_pct_expr(q(c).cast("double"), [0.25, 0.75], exact).alias(f"q{i}") for i, c in enumerate(nums)]
     stats = df.agg(*exprs).first()  # one row, size bounded by the schema
+    quart = exact_quantiles(df, nums, [0.25, 0.75]) if exact else {
+        c: list(v or [None, None]) for c, v in zip(nums, df.agg(*[
+            _pct_expr(q(c).cast("double"), [0.25, 0.75], False).alias(f"q{i}") for i, c in enumerate(nums)]).first())}
     n = stats["_n"]
     # distinct counts with null through the long value-count table
     uniq = {}
@@ -144,8 +156,8 @@ def identify_issues(df: DataFrame, exact: bool = True) -> DataFrame:
             uniq[r["column"]] = r["u"]
     bounds = {}
     for i, c in enumerate(nums):
-        qs = stats[f"q{i}"]
-        if stats[f"n{i}"] >= 10 and qs is not None:
+        qs = quart.get(c)
+        if stats[f"n{i}"] >= 10 and qs is not None and qs[0] is not None:
             iqr = qs[1] - qs[0]
             bounds[c] = (qs[0] - 3 * iqr, qs[1] + 3 * iqr, stats[f"n{i}"])
     out_counts = {}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.columns import datetime_columns, numeric_columns, q
+from tessera.functions.quantiles import exact_quantiles
 from tessera.operators.bi import FREQ_UNITS
 from tessera.operators.kpi import compute_kpis
 
@@ -71,42 +72,37 @@ def shape(df: DataFrame, cols: list[str] | None = None, min_n: int = 10) -> Data
 # ------------------------------------------------------------------ SIG-4
 def outlier_pct_iqr(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, min_n: int = 10) -> DataFrame:
     """Share (x 100) of non-null values beyond Q1 - k IQR / Q3 + k IQR.
-    The quartiles are a one-row aggregate cross-joined back (one row:
-    bounded broadcast), so the whole thing is one plan of two scans."""
+    Quartiles come from the distributed exact quantiles; the bounds are
+    then literals of a single counting aggregate."""
     cols = cols if cols is not None else numeric_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], LONG_SCHEMA)
-    qs = df.agg(*[F.percentile(q(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}")
-                  for i, c in enumerate(cols)])
-    j = df.crossJoin(F.broadcast(qs))
+    qs = exact_quantiles(df, cols, [0.25, 0.75])
     exprs = []
     for i, c in enumerate(cols):
         x = q(c).cast("double")
-        lo = F.col(f"q{i}")[0] - k * (F.col(f"q{i}")[1] - F.col(f"q{i}")[0])
-        hi = F.col(f"q{i}")[1] + k * (F.col(f"q{i}")[1] - F.col(f"q{i}")[0])
+        q1, q3 = qs[c]
         n = F.count(x)
+        if q1 is None:
+            exprs.append(F.lit(None).cast("double").alias(f"o{i}"))
+            continue
+        lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
         exprs.append(F.when(n >= min_n, F.count_if((x < lo) | (x > hi)) / n * 100).alias(f"o{i}"))
-    wide = j.agg(*exprs)
+    wide = df.agg(*exprs)
     return _long(wide, [("outliers", c, "outliers_pct_iqr", f"o{i}") for i, c in enumerate(cols)]) \
         .filter(F.col("value").isNotNull())
 
 
 # ------------------------------------------------------------------ SIG-5
 def tail_quantiles(df: DataFrame, cols: list[str] | None = None, probs=(0.9, 0.95), min_n: int = 10) -> DataFrame:
+    """p90 / p95 of columns with at least 10 values (distributed exact)."""
     cols = cols if cols is not None else numeric_columns(df)
-    exprs = []
-    for i, c in enumerate(cols):
-        x = q(c).cast("double")
-        exprs += [F.count(x).alias(f"n{i}"),
-                  F.percentile(x, F.array(*[F.lit(p) for p in probs])).alias(f"p{i}")]
-    wide = df.agg(*exprs)
-    sel, items = [], []
-    for i, c in enumerate(cols):
-        for j, p in enumerate(probs):
-            f = f"p{i}_{j}"
-            sel.append(F.when(F.col(f"n{i}") >= min_n, F.col(f"p{i}")[j]).alias(f))
-            items.append(("quantiles", c, f"p{int(round(p * 100))}", f))
-    return _long(wide.select(*sel), items).filter(F.col("value").isNotNull())
+    counts = df.agg(*[F.count(q(c)).alias(c) for c in cols]).first() if cols else {}
+    ok = [c for c in cols if counts[c] >= min_n]
+    qs = exact_quantiles(df, ok, list(probs))
+    rows = [("quantiles", c, f"p{int(round(p * 100))}", float(qs[c][j]))
+            for c in ok for j, p in enumerate(probs) if qs[c][j] is not None]
+    return df.sparkSession.createDataFrame(rows, LONG_SCHEMA)
 
 
 # ------------------------------------------------------------------ SIG-6
