@@ -18,3 +18,15 @@ def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
 def safe_div(num, den):
     """num / den with a zero or null denominator giving null (ANSI-safe)."""
     return F.try_divide(num, F.nullif(den, F.lit(0)))
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Round-robin the rows over the cluster's cores when the input has
+    fewer partitions than that - only for CPU-heavy row work (regex over
+    long texts, Python scoring). Inputs that already come in many splits
+    (any large table) pass through untouched, so no shuffle is added there."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism * per_core
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

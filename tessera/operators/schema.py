@@ -28,9 +28,15 @@ PLAN_SCHEMA = ("position int, column string, source_type string, target_type str
                "failures long, warning string")
 
 
+# text that can parse as a number at all (the guard keeps the parser off
+# obviously non-numeric text, where failed parses are expensive)
+NUMERIC_LOOK = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:nan|inf|infinity)\s*$"
+
+
 def _to_double(c: Column) -> Column:
     """Text to double the way the reference coerces: '%' removed, failures null."""
-    return F.replace(c.cast("string"), F.lit("%"), F.lit("")).try_cast("double")
+    s = F.replace(c.cast("string"), F.lit("%"), F.lit(""))
+    return F.when(s.rlike(NUMERIC_LOOK), s.try_cast("double"))
 
 
 def _to_ts(c: Column) -> Column:
@@ -49,20 +55,14 @@ def name_is_date(name: str) -> bool:
 
 def _date_sample_hits(df: DataFrame, cols: list[str], order_cols: list[str]) -> dict[str, bool]:
     """Per text column: does one of its first five non-null values (by
-    ``order_cols``) contain a digit and one of - / : T Z ?"""
-    if not cols:
-        return {}
-    long = df.select(*[q(k) for k in order_cols], F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), q(c).cast("string").alias("value")) for c in cols])).alias("kv")) \
-        .select(*order_cols, "kv.column", "kv.value").filter(F.col("value").isNotNull())
-    w = Window.partitionBy("column").orderBy(*order_cols)
-    first5 = long.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 5)
-    marks = F.lit(False)
-    for m in DATE_VALUE_MARKS:
-        marks = marks | F.col("value").contains(m)
-    hit = F.col("value").rlike("[0-9]") & marks
-    rows = first5.groupBy("column").agg(F.max(hit.cast("int")).alias("hit")).collect()
-    return {r["column"]: bool(r["hit"]) for r in rows}
+    ``order_cols``) contain a digit and one of - / : T Z ? Each column is a
+    top-5 by key (a bounded per-task heap, then a merge of 5 x tasks rows)."""
+    out = {}
+    for c in cols:
+        vals = [r[0] for r in df.filter(q(c).isNotNull()).orderBy(*[q(k) for k in order_cols])
+                .select(q(c).cast("string")).limit(5).collect()]
+        out[c] = any(any(ch.isdigit() for ch in v) and any(m in v for m in DATE_VALUE_MARKS) for v in vals)
+    return out
 
 
 def infer_plan(df: DataFrame, order_cols: list[str]) -> DataFrame:

@@ -19,7 +19,10 @@ from pyspark.sql import types as T
 
 from tessera.columns import categorical_columns, q
 
+# ASCII and the Latin-1 letters / signs from U+00C0 are already NFC and NFKC
+# (no decomposition, no compatibility mapping): such text skips the UDF.
 ASCII_ONLY = r"^[\x00-\x7F]*$"
+NORMALIZATION_STABLE = r"^[\x00-\x7F\x{C0}-\x{FF}]*$"
 
 # Arabic letter folding (STD-2): alef forms to bare alef,
 # alef maksura to ya, ta marbuta to ha.
@@ -66,16 +69,16 @@ def _strip_marks_udf(s: pd.Series) -> pd.Series:
     return s.map(f)
 
 
-def _ascii_guard(c: Column, udf) -> Column:
-    return F.when(c.isNull() | c.rlike(ASCII_ONLY), c).otherwise(udf(c))
+def _ascii_guard(c: Column, udf, stable: str = ASCII_ONLY) -> Column:
+    return F.when(c.isNull() | c.rlike(stable), c).otherwise(udf(c))
 
 
 def nfc(c: Column) -> Column:
-    return _ascii_guard(c, _nfc_udf)
+    return _ascii_guard(c, _nfc_udf, NORMALIZATION_STABLE)
 
 
 def nfkc(c: Column) -> Column:
-    return _ascii_guard(c, _nfkc_udf)
+    return _ascii_guard(c, _nfkc_udf, NORMALIZATION_STABLE)
 
 
 def strip_marks(c: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.columns import q, text_columns
+from tessera.functions.util import spread
 from tessera.operators.standardize import nfkc, strip_marks
 
 # ---------------------------------------------------------------- fixed values
@@ -76,7 +77,7 @@ def detect_metrics(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
             F.avg(F.when(x.isNotNull(), alpha)).alias("alpha_ratio"),
             F.avg(F.when(x.isNotNull(), toks)).alias("unique_tokens"),
             F.avg(F.when(x.isNotNull(), spaces)).alias("space_ratio")).alias(f"s{i}"))
-    long = df.agg(*structs).select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(cols))])).alias("r")) \
+    long = spread(df).agg(*structs).select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(cols))])).alias("r")) \
              .select("r.*")
     L, A, T, S = F.col("avg_length"), F.col("alpha_ratio"), F.col("unique_tokens"), F.col("space_ratio")
     skip = (F.col("unique_values") == 1) & (L < 20)
@@ -100,7 +101,8 @@ def language_counts(df: DataFrame, text_cols: list[str]) -> DataFrame:
     letters = sum((F.coalesce(F.sum(F.regexp_count(q(c), F.lit(r"\p{L}"))), F.lit(0)) for c in cols), F.lit(0))
     ar_letters = sum((F.coalesce(F.sum(F.regexp_count(q(c), F.lit(r"[\x{0600}-\x{06FF}&&\p{L}]"))), F.lit(0))
                       for c in cols), F.lit(0))
-    agg = df.agg(ar.alias("arabic_chars"), la.alias("latin_chars"), (letters - la - ar_letters).alias("other_alpha"))
+    agg = spread(df).agg(ar.alias("arabic_chars"), la.alias("latin_chars"),
+                         (letters - la - ar_letters).alias("other_alpha"))
     tot = F.col("arabic_chars") + F.col("latin_chars") + F.col("other_alpha")
     ar_r, la_r = F.col("arabic_chars") / tot, F.col("latin_chars") / tot
     lang = (F.when(tot == 0, "unknown").when(ar_r > 0.7, "ar").when(la_r > 0.7, "en")
@@ -135,9 +137,10 @@ def clean_text(c: Column, language: str) -> Column:
     combining marks removed (ar, mixed); NFKC; digit runs -> space; squeeze
     whitespace and trim. Null -> ''."""
     x = F.coalesce(c.cast("string"), F.lit(""))
-    x = F.regexp_replace(x, URL_RE, " ")
-    x = F.regexp_replace(x, EMAIL_RE, " ")
-    x = F.regexp_replace(x, MENTION_RE, " ")
+    # cheap literal guards keep the backtracking patterns off texts that
+    # cannot match (no '@', no 'http' / 'www.')
+    x = F.when(x.contains("http") | x.contains("www."), F.regexp_replace(x, URL_RE, " ")).otherwise(x)
+    x = F.when(x.contains("@"), F.regexp_replace(F.regexp_replace(x, EMAIL_RE, " "), MENTION_RE, " ")).otherwise(x)
     if language in ("en", "mixed"):
         x = F.lower(x)
     if language in ("ar", "mixed"):
@@ -156,30 +159,39 @@ def tokenize(c: Column) -> Column:
 # ------------------------------------------------------------------ TXT-6
 def basic_features(df: DataFrame, col: str, language: str, cleaned: Column | None = None) -> DataFrame:
     """Corpus features of one text column: characters from the raw text,
-    tokens from the cleaned text. One aggregate over rows plus one distinct
-    count over exploded tokens."""
+    tokens from the cleaned text. One pass: row-level measures are computed
+    once per row, tokens are exploded next to them, and a single aggregate
+    reads row measures on each row's first token slot and counts distinct
+    tokens."""
     raw = q(col).cast("string")
     clean = cleaned if cleaned is not None else clean_text(raw, language)
     stop = F.array(*[F.lit(w) for w in stopwords(language)])
-    rows = df.select(raw.alias("_raw"), tokenize(clean).alias("_tok"))
+    rows = spread(df).select(raw.alias("_raw"), tokenize(clean).alias("_tok"))
     r = F.col("_raw")
-    ln = F.length(r)
-    ntok = F.size("_tok")
-    tok_chars = F.aggregate(F.col("_tok"), F.lit(0).cast("long"), lambda acc, t: acc + F.length(t))
-    n_stop = F.size(F.filter("_tok", lambda t: F.array_contains(stop, t)))
-    sent = F.greatest(F.lit(1), F.regexp_count(r, F.lit(SENTENCE_RE)))
-    agg = rows.agg(
-        F.avg(ln).alias("avg_len"), F.max(ln).alias("max_length"), F.min(ln).alias("min_length"),
-        F.sum(ln).alias("chars"), F.sum(ntok).alias("tokens"), F.count(F.lit(1)).alias("rows"),
-        F.avg(F.when(r.isNotNull(), sent)).alias("avg_sent"),
-        F.sum(F.regexp_count(r, F.lit(r"\p{Nd}"))).alias("digits"),
-        F.sum(F.regexp_count(r, F.lit(r"[^\p{L}\p{N}\s]"))).alias("special"),
-        F.sum(F.regexp_count(r, F.lit(ARABIC_RE))).alias("arabic"),
-        F.sum(tok_chars).alias("tok_chars"), F.sum(n_stop).alias("stop"))
-    uniq = rows.select(F.explode("_tok").alias("t")).agg(F.count_distinct("t").alias("unique_tokens"))
-    j = agg.crossJoin(uniq)  # two one-row frames
+    per_row = rows.select(
+        F.length(r).alias("_len"), F.size("_tok").alias("_ntok"),
+        F.when(r.isNotNull(), F.greatest(F.lit(1), F.regexp_count(r, F.lit(SENTENCE_RE)))).alias("_sent"),
+        F.regexp_count(r, F.lit(r"\p{Nd}")).alias("_dig"),
+        F.regexp_count(r, F.lit(r"[^\p{L}\p{N}\s]")).alias("_spec"),
+        F.regexp_count(r, F.lit(ARABIC_RE)).alias("_ar"),
+        F.aggregate(F.col("_tok"), F.lit(0).cast("long"), lambda acc, t: acc + F.length(t)).alias("_tchars"),
+        F.size(F.filter("_tok", lambda t: F.array_contains(stop, t))).alias("_stop"), "_tok")
+    measures = ["_len", "_ntok", "_sent", "_dig", "_spec", "_ar", "_tchars", "_stop"]
+    # the raw text is not carried next to every token: only the row measures
+    per_row = per_row.select(*measures, F.posexplode_outer("_tok").alias("_pos", "_t"))
+    first = F.col("_pos").isNull() | (F.col("_pos") == 0)
+
+    def once(c):
+        return F.when(first, F.col(c))
+    agg = per_row.agg(
+        F.avg(once("_len")).alias("avg_len"), F.max(once("_len")).alias("max_length"),
+        F.min(once("_len")).alias("min_length"), F.sum(once("_len")).alias("chars"),
+        F.sum(once("_ntok")).alias("tokens"), F.count_if(first).alias("rows"), F.avg(once("_sent")).alias("avg_sent"),
+        F.sum(once("_dig")).alias("digits"), F.sum(once("_spec")).alias("special"), F.sum(once("_ar")).alias("arabic"),
+        F.sum(once("_tchars")).alias("tok_chars"), F.sum(once("_stop")).alias("stop"),
+        F.count_distinct("_t").alias("unique_tokens"))
     chars, toks = F.col("chars"), F.col("tokens")
-    return j.select(
+    return agg.select(
         F.lit(col).alias("column"),
         F.round("avg_len", 2).alias("avg_length_chars"),
         F.round(F.when(toks > 0, toks / F.col("rows")).otherwise(0.0), 2).alias("avg_length_words"),
@@ -198,7 +210,7 @@ def top_tokens(df: DataFrame, cleaned: Column, language: str, k: int = 10) -> Da
     """Tokens that are not stopwords and longer than one character: top k
     by count (ties: token ascending), with the total kept."""
     stop = F.array(*[F.lit(w) for w in stopwords(language)])
-    toks = df.select(F.explode(tokenize(cleaned)).alias("token"))
+    toks = spread(df).select(F.explode(tokenize(cleaned)).alias("token"))
     kept = toks.filter(~F.array_contains(stop, F.col("token")) & (F.length("token") > 1))
     counts = kept.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
     total = counts.agg(F.sum("count").alias("total_tokens"))
@@ -221,7 +233,7 @@ def top_bigrams(df: DataFrame, cleaned: Column, language: str, k: int = 10) -> D
     stop = F.array(*[F.lit(w) for w in stopwords(language)])
     # tokens become a column first: a lambda may not wrap a Python UDF, and
     # the filtered array is computed once per row, not once per element
-    toks = df.select(tokenize(cleaned).alias("_tok"))
+    toks = spread(df).select(tokenize(cleaned).alias("_tok"))
     kept = toks.select(F.filter(F.col("_tok"), lambda t: ~F.array_contains(stop, t)).alias("_kept"))
     bg = kept.select(F.explode(bigrams(F.col("_kept"))).alias("bigram"))
     return bg.groupBy("bigram").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "bigram").limit(k)
@@ -248,7 +260,7 @@ def _shares(scores: DataFrame, method: str, pos_cut: float = 0.0, neg_cut: float
 
 
 def sentiment_rule_based(df: DataFrame, cleaned: Column) -> DataFrame:
-    return _shares(df.select(lexicon_score(cleaned).alias("score")), "Arabic_RuleBased")
+    return _shares(spread(df).select(lexicon_score(cleaned).alias("score")), "Arabic_RuleBased")
 
 
 def sentiment_weighted(df: DataFrame, key_cols: list[str], cleaned: Column, lexicon: DataFrame,
@@ -259,7 +271,7 @@ def sentiment_weighted(df: DataFrame, key_cols: list[str], cleaned: Column, lexi
     lex = lexicon.select(F.col("token").alias("_tk"), F.col("valence").cast("double").alias("_val"))
     if lexicon.count() <= lexicon_rows_max:
         lex = F.broadcast(lex)
-    toks = df.select(*[q(k) for k in key_cols], F.explode_outer(tokenize(cleaned)).alias("_t"))
+    toks = spread(df).select(*[q(k) for k in key_cols], F.explode_outer(tokenize(cleaned)).alias("_t"))
     per_row = (toks.join(lex, F.col("_t") == F.col("_tk"), "left")
                    .groupBy(*key_cols).agg(F.coalesce(F.sum("_val"), F.lit(0.0)).alias("_s")))
     s = F.col("_s")

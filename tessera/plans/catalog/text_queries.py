@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.util import round_doubles
+from tessera.functions.util import round_doubles, spread
 from tessera.operators import text as tx
 from tessera.plans.registry import load, query
 
@@ -64,7 +64,7 @@ def _clean_sql(col: str) -> str:
 
 @query("text_clean", f"SELECT doc_id, {_clean_sql('text')} AS text FROM documents")
 def text_clean(spark, sf):
-    dc = load(spark, sf, "documents")
+    dc = spread(load(spark, sf, "documents"))
     return dc.select("doc_id", tx.clean_text(F.col("text"), "en").alias("text"))
 
 
