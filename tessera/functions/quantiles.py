@@ -36,7 +36,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         F.struct(F.lit(i).alias("c"), q(c).cast("double").alias("v")) for i, c in enumerate(cols)])).alias("s")) \
         .select("s.c", "s.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
     counts = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    totals = {r["c"]: r["t"] for r in counts.groupBy("c").agg(F.sum("n").alias("t")).collect()}  # one row per column
+    # running counts; the per-column totals come out of the same small job
+    cum, per_col = prefix_sums(counts, ["c", "v"], ["n"], num_partitions, group_totals="c")
+    totals = {c: int(v[0]) for c, v in per_col.items()}
     offsets, run = {}, 0
     for i in range(len(cols)):
         offsets[i] = run
@@ -53,7 +55,6 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     if not targets:
         return out
-    cum = prefix_sums(counts, ["c", "v"], ["n"], num_partitions)
     tgt = spark.createDataFrame(targets, "tc int, tp int, side int, rank long")
     hits = cum.join(F.broadcast(tgt), (F.col("c") == F.col("tc")) & (F.col("cum_n") - F.col("n") <= F.col("rank"))
                     & (F.col("rank") < F.col("cum_n"))).select("tc", "tp", "side", "v").collect()

@@ -9,6 +9,8 @@ pass (keyed by column) for all KS statistics.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,6 @@ from tessera.operators.impute import bin_index
 from tessera.operators.signals import KS_ACT, KS_WARN, PSI_ACT, PSI_WARN
 from tessera.plans.order import prefix_sums
 
-import math
-
 
 def drift_status(p: F.Column, k: F.Column) -> F.Column:
     return (F.when((p > PSI_ACT) | (k > KS_ACT), "act").when((p > PSI_WARN) | (k > KS_WARN), "warn")
@@ -44,8 +44,8 @@ def multi_ks(baseline: DataFrame, current: DataFrame, cols: list[str]) -> dict[s
                  .select("c", "v", F.lit(c1).alias("a"), F.lit(c2).alias("b"))
     per = long(baseline, 1, 0).unionByName(long(current, 0, 1)).groupBy("c", "v").agg(
         F.sum("a").alias("a"), F.sum("b").alias("b"))
-    tot = {r["c"]: (r["na"], r["nb"]) for r in per.groupBy("c").agg(F.sum("a").alias("na"), F.sum("b").alias("nb")).collect()}
-    cum = prefix_sums(per, ["c", "v"], ["a", "b"])
+    cum, per_col = prefix_sums(per, ["c", "v"], ["a", "b"], group_totals="c")
+    tot = {c: (v[0], v[1]) for c, v in per_col.items()}
     # running sums are global over (c, v): subtract each column's start
     start_a, start_b, sa, sb = {}, {}, 0.0, 0.0
     for i in range(len(cols)):

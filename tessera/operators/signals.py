@@ -133,21 +133,26 @@ def trend_slope(df: DataFrame, metric: str, freq: str = "D", time_col: str | Non
 
 # ------------------------------------------------------------------ SIG-7
 def build_signals(df: DataFrame, domain: str, key_cols: list[str] | None = None) -> DataFrame:
-    """All signals in one long table: meta, kpis, quality, distributions, trends."""
-    kp = compute_kpis(df, domain)
-    kpis = _long(kp, [("kpis", "", c, c) for c in kp.columns])
-    meta = _long(df.agg(F.count(F.lit(1)).alias("n")), [("meta", "", "n", "n")])
-    parts = [meta, kpis, missing_pct(df)]
-    if key_cols:
-        parts.append(duplicate_pct(df, key_cols))
-    parts += [shape(df), outlier_pct_iqr(df), tail_quantiles(df)]
-    metric = PRIMARY_METRIC.get(domain)
-    if metric and metric in df.columns:
-        parts.append(trend_slope(df, metric))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All signals in one long table: meta, kpis, quality, distributions,
+    trends. The sections read the same input several times, so it is
+    persisted for the duration; every section is a small table (columns x
+    metrics), so the result is assembled from the collected sections."""
+    spark = df.sparkSession
+    src = df.persist()
+    try:
+        kp = compute_kpis(src, domain)
+        parts = [_long(src.agg(F.count(F.lit(1)).alias("n")), [("meta", "", "n", "n")]),
+                 _long(kp, [("kpis", "", c, c) for c in kp.columns]), missing_pct(src)]
+        if key_cols:
+            parts.append(duplicate_pct(src, key_cols))
+        parts += [shape(src), outlier_pct_iqr(src), tail_quantiles(src)]
+        metric = PRIMARY_METRIC.get(domain)
+        if metric and metric in src.columns:
+            parts.append(trend_slope(src, metric))
+        rows = [tuple(r) for p in parts for r in p.collect()]
+    finally:
+        src.unpersist()
+    return spark.createDataFrame(rows, LONG_SCHEMA)
 
 
 # ------------------------------------------------------------------ REC-1

@@ -144,7 +144,25 @@ def business_conflicts(spark, sf):
     return assoc.business_conflicts(tests, assoc.expectations_frame(spark, "logistics"))
 
 
-@query("business_status")
+_BIZ_SQL = f"""
+WITH {SHIPF_SQL},
+c AS ({_pearson_sql(_BIZ_COLS, 'shipf')}),
+ex AS (SELECT * FROM (VALUES ('transit_time', 'sla_flag', 'negative'), ('dwell_time', 'transit_time', 'positive'),
+                             ('rto_flag', 'sla_flag', 'negative')) AS e(a, b, expected)),
+j AS (SELECT c.*, expected FROM c JOIN ex ON least(feature1, feature2) = least(a, b)
+                                         AND greatest(feature1, feature2) = greatest(a, b)),
+s AS (SELECT *, CASE WHEN expected = 'positive' AND correlation < 0.2 THEN CASE WHEN correlation < 0 THEN 'high' ELSE 'medium' END
+                     WHEN expected = 'negative' AND correlation > -0.2 THEN CASE WHEN correlation > 0 THEN 'high' ELSE 'medium' END
+                     WHEN expected = 'none' AND abs(correlation) > 0.6 THEN 'medium'
+                     WHEN expected = 'unclear' AND abs(correlation) > 0.8 THEN 'low' END AS sev FROM j)
+SELECT feature1, feature2, correlation AS observed_correlation, expected AS expected_relationship,
+       sev AS conflict_severity, 'pending' AS resolution FROM s WHERE sev IS NOT NULL
+"""
+
+
+@query("business_status", f"""SELECT count(*) FILTER (WHERE conflict_severity = 'high') AS high, count(*) AS n,
+  CASE WHEN count(*) FILTER (WHERE conflict_severity = 'high') > 2 THEN 'STOP' WHEN count(*) > 0 THEN 'WARN'
+       ELSE 'PASS' END AS status FROM ({_BIZ_SQL})""")
 def business_status(spark, sf):
     tests = assoc.pearson_pairs(shipments_features(spark, sf), _BIZ_COLS, with_p=False)
     return assoc.business_status(assoc.business_conflicts(tests, assoc.expectations_frame(spark, "logistics")))

@@ -317,7 +317,45 @@ def signals_duplicates(spark, sf):
     return round_doubles(signals.duplicate_pct(shipments_features(spark, sf), ["order_id"]), 4)
 
 
-@query("signals_all")
+_SHIPF_COLS = ["order_id", "line_no", "l_partkey", "carrier", "pickup_date", "delivery_date", "status", "quantity",
+               "price", "transit_time", "sla_flag", "rto_flag"]
+_SHIPF_NUM = ["order_id", "line_no", "l_partkey", "carrier", "quantity", "price", "transit_time", "sla_flag",
+              "rto_flag"]
+
+
+def _signals_all_sql():
+    parts = ["SELECT 'meta' AS section, '' AS \"column\", 'n' AS metric, CAST(count(*) AS DOUBLE) AS value FROM shipf",
+             "SELECT 'kpis', '', 'sla_pct', avg(sla_flag) * 100 FROM shipf",
+             "SELECT 'kpis', '', 'rto_pct', avg(rto_flag) * 100 FROM shipf",
+             "SELECT 'kpis', '', 'fas_pct', NULL::DOUBLE",
+             "SELECT 'kpis', '', 'avg_transit_h', avg(transit_time) FROM shipf",
+             "SELECT 'kpis', '', 'total_shipments', CAST(count(*) AS DOUBLE) FROM shipf"]
+    parts += [f"SELECT 'quality', '{c}', 'missing_pct', avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100 FROM shipf"
+              for c in _SHIPF_COLS]
+    parts.append("SELECT 'quality', 'order_id', 'duplicates_pct', (count(*) - count(DISTINCT order_id)) * 100.0 / count(*) "
+                 "FROM shipf")
+    for c in _SHIPF_NUM:
+        parts += [f"SELECT 'shape', '{c}', 'skew', skewness({c}) FROM shipf",
+                  f"SELECT 'shape', '{c}', 'kurtosis', kurtosis({c}) FROM shipf"]
+    for c in _SHIPF_NUM:
+        parts.append(f"SELECT 'outliers', '{c}', 'outliers_pct_iqr', count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) "
+                     f"OR {c} > q3 + 1.5 * (q3 - q1)) * 100.0 / count({c}) FROM shipf, "
+                     f"(SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM shipf)")
+    for c in _SHIPF_NUM:
+        parts += [f"SELECT 'quantiles', '{c}', 'p90', quantile_cont({c}, 0.9) FROM shipf",
+                  f"SELECT 'quantiles', '{c}', 'p95', quantile_cont({c}, 0.95) FROM shipf"]
+    parts += ["SELECT 'trends', 'transit_time', 'slope_norm_pct', slope / CASE WHEN ybar = 0 THEN 1 ELSE ybar END * 100 "
+              "FROM tr WHERE m >= 5",
+              "SELECT 'trends', 'transit_time', 'n_points', CAST(m AS DOUBLE) FROM tr WHERE m >= 5"]
+    body = "\nUNION ALL\n".join(parts)
+    return (f"WITH {SHIPF_SQL},\n"
+            "d AS (SELECT date_trunc('day', pickup_date) AS period, avg(transit_time) AS y FROM shipf GROUP BY 1),\n"
+            "i AS (SELECT y, row_number() OVER (ORDER BY period) - 1 AS t FROM d),\n"
+            "tr AS (SELECT regr_slope(y, t) AS slope, avg(y) AS ybar, count(*) AS m FROM i)\n"
+            f"SELECT section, \"column\", metric, round(value, 4) AS value FROM ({body})")
+
+
+@query("signals_all", _signals_all_sql())
 def signals_all(spark, sf):
     return round_doubles(signals.build_signals(shipments_features(spark, sf), "logistics", ["order_id"]), 4)
 

@@ -21,13 +21,31 @@ def split_random(spark, sf):
     return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("split_stratified")
+
+_ALLOC_SQL = """c AS (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1),
+t AS (SELECT sum(n) AS total, CAST(ceil(0.15::DOUBLE * sum(n)) AS BIGINT) AS nt FROM c),
+a AS (SELECT s, n, (SELECT nt FROM t) * n / (SELECT total FROM t) AS raw FROM c),
+b AS (SELECT *, least(n, floor(raw)) AS base, raw - floor(raw) AS frac FROM a),
+r AS (SELECT *, row_number() OVER (ORDER BY frac DESC, s) AS rk, (SELECT nt FROM t) - sum(base) OVER () AS lft FROM b),
+te AS (SELECT s, n, CAST(base + CASE WHEN rk <= lft THEN 1 ELSE 0 END AS BIGINT) AS tn FROM r),
+v0 AS (SELECT CAST(ceil((0.15::DOUBLE / (1 - 0.15::DOUBLE)) * ((SELECT total FROM t) - (SELECT nt FROM t))) AS BIGINT) AS nv),
+va AS (SELECT s, n, tn, n - tn AS rest, (SELECT nv FROM v0) * (n - tn) / (SELECT sum(n - tn) FROM te) AS raw FROM te),
+vb AS (SELECT *, least(rest, floor(raw)) AS base, raw - floor(raw) AS frac FROM va),
+vr AS (SELECT *, row_number() OVER (ORDER BY frac DESC, s) AS rk, (SELECT nv FROM v0) - sum(base) OVER () AS lft FROM vb),
+al AS (SELECT s, n, tn, CAST(base + CASE WHEN rk <= lft THEN 1 ELSE 0 END AS BIGINT) AS vn FROM vr),
+sp AS (SELECT 'test' AS split, s AS o_orderstatus, tn AS n FROM al
+       UNION ALL SELECT 'validation', s, vn FROM al
+       UNION ALL SELECT 'train', s, n - tn - vn FROM al)"""
+
+
+@query("split_stratified", f"WITH {_ALLOC_SQL}\nSELECT * FROM sp")
 def split_stratified(spark, sf):
     s = prep.stratified_split(load(spark, sf, "orders"), "o_orderstatus", ["o_orderkey"])
     return s.groupBy("split", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("split_distribution")
+@query("split_distribution", f"""WITH {_ALLOC_SQL}
+SELECT split, o_orderstatus AS value, n, round(n / sum(n) OVER (PARTITION BY split), 4) AS share FROM sp""")
 def split_distribution(spark, sf):
     s = prep.stratified_split(load(spark, sf, "orders"), "o_orderstatus", ["o_orderkey"])
     return round_doubles(prep.target_distribution(s, "o_orderstatus"), 4)

@@ -52,34 +52,36 @@ def with_row_index(df: DataFrame, order_cols: list[str], name: str = "row_idx",
               .drop("_pid", "_pos", "_off"))
 
 
-def _cumsum_partition(it, cols, offsets):
-    import pandas as pd  # noqa: F401
-    for pdf in it:
-        if len(pdf) == 0:
-            continue
-        pid = int(pdf["_pid"].iloc[0])
-        base = offsets.get(pid, [0.0] * len(cols))
-        for j, c in enumerate(cols):
-            pdf[f"cum_{c}"] = pdf[c].astype("float64").cumsum() + base[j]
-            base[j] = float(pdf[f"cum_{c}"].iloc[-1])
-        offsets[pid] = base
-        yield pdf.drop(columns=["_pid", "_pos"])
-
-
 def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, group_totals: str | None = None):
     """Running sums of ``value_cols`` in ``order_cols`` order over the whole
-    table, as ``cum_<col>``: range partitions + per-partition totals (one
-    row per partition to the driver) + a vectorised cumulative sum inside
-    each partition. No task ever holds more than its own range."""
-    import pyspark.sql.types as T
+    table, as ``cum_<col>``: range partitions (checkpointed), per-partition
+    totals (one row per partition to the driver, turned into offsets), and a
+    running sum inside each range partition. The window's partition key is
+    the range partition, so no task holds more than one range."""
     rs = range_sorted(df, order_cols, num_partitions)
-    totals = rs.groupBy("_pid").agg(*[F.sum(c).cast("double").alias(c) for c in value_cols]).collect()
+    keys = ["_pid"] + ([group_totals] if group_totals else [])
+    parts = rs.groupBy(*keys).agg(*[F.sum(c).cast("double").alias(c) for c in value_cols]).collect()
+    per_pid: dict[int, list[float]] = {}
+    per_group: dict = {}
+    for r in parts:
+        acc = per_pid.setdefault(int(r["_pid"]), [0.0] * len(value_cols))
+        for i, c in enumerate(value_cols):
+            acc[i] += r[c] or 0.0
+        if group_totals:
+            g = per_group.setdefault(r[group_totals], [0.0] * len(value_cols))
+            for i, c in enumerate(value_cols):
+                g[i] += r[c] or 0.0
     running = [0.0] * len(value_cols)
-    offsets = {}
-    for r in sorted(totals, key=lambda r: r["_pid"]):
-        offsets[r["_pid"]] = list(running)
-        running = [a + (r[c] or 0.0) for a, c in zip(running, value_cols)]
-    out_schema = T.StructType([f for f in rs.schema.fields if f.name not in ("_pid", "_pos")] +
-                              [T.StructField(f"cum_{c}", T.DoubleType()) for c in value_cols])
-    return rs.mapInPandas(lambda it: _cumsum_partition(it, value_cols, dict(offsets)), out_schema)
+    rows = []
+    for pid in sorted(per_pid):
+        rows.append((pid, *running))
+        running = [a + b for a, b in zip(running, per_pid[pid])]
+    spark = df.sparkSession
+    offs = spark.createDataFrame(rows, "_pid int, " + ", ".join(f"_o{i} double" for i in range(len(value_cols))))
+    w = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    out = rs.join(F.broadcast(offs), "_pid")  # one row per partition
+    for i, c in enumerate(value_cols):
+        out = out.withColumn(f"cum_{c}", F.sum(F.col(c).cast("double")).over(w) + F.col(f"_o{i}"))
+    out = out.drop("_pid", "_pos", *[f"_o{i}" for i in range(len(value_cols))])
+    return (out, per_group) if group_totals else out
