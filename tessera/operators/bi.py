@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from tessera.columns import (datetime_columns, is_numeric, numeric_columns, q,
                              resolve_column, text_columns)
+from tessera.functions.quantiles import exact_quantiles
 
 # Count on these metric names means "count distinct ids".
 DISTINCT_COUNT_METRICS = ("patientid", "appointmentid", "patient_id", "appointment_id")
@@ -160,17 +161,24 @@ def trend(df: DataFrame, metric: str, freq: str = "D", filters: dict | None = No
 # --------------------------------------------------------------- BI-7 overview
 def overview(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column: dtype, nulls, and for numeric columns mean, median,
-    std, min, max, distinct. All columns in one aggregate (one scan)."""
+    std, min, max, distinct. Moments and null counts in one aggregate,
+    distinct counts in one more, medians from the distributed exact
+    quantiles (or a bounded sketch with ``exact=False``)."""
     nums = numeric_columns(df)
     exprs = [F.count(F.lit(1)).alias("__rows")]
     for c in df.columns:
         exprs.append(F.count_if(q(c).isNull()).alias(f"{c}__nulls"))
     for c in nums:
         x = q(c).cast("double")
-        exprs += [F.avg(x).alias(f"{c}__mean"), agg_expr("median", x, exact).alias(f"{c}__median"),
-                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                  F.max(x).alias(f"{c}__max"), F.count_distinct(q(c)).alias(f"{c}__unique")]
+        exprs += [F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
+                  F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
     wide = df.agg(*exprs)
+    uniq = df.agg(*[F.count_distinct(q(c)).alias(f"{c}__unique") for c in nums]).first() if nums else {}
+    if exact:
+        med = {c: v[0] for c, v in exact_quantiles(df, nums, [0.5]).items()}
+    else:
+        r = df.agg(*[agg_expr("median", q(c).cast("double"), False).alias(c) for c in nums]).first() if nums else {}
+        med = {c: r[c] for c in nums}
     rows = []
     for i, f in enumerate(df.schema.fields):
         c = f.name
@@ -179,12 +187,13 @@ def overview(df: DataFrame, exact: bool = True) -> DataFrame:
             F.lit(i).alias("position"), F.lit(c).alias("column"),
             F.lit(f.dataType.simpleString()).alias("dtype"),
             F.col(f"`{c}__nulls`").cast("long").alias("missing"),
-            *[(F.col(f"`{c}__{s}`") if num else F.lit(None).cast("double")).alias(s)
-              for s in ("mean", "median", "std", "min", "max")],
-            (F.col(f"`{c}__unique`") if num else F.lit(None)).cast("long").alias("unique_count")))
-    return (wide.select(F.col("__rows").alias("total_records"),
-                        F.explode(F.array(*rows)).alias("r"))
-                .select("total_records", "r.*"))
+            (F.col(f"`{c}__mean`") if num else F.lit(None).cast("double")).alias("mean"),
+            F.lit(med.get(c)).cast("double").alias("median"),
+            *[(F.col(f"`{c}__{s_}`") if num else F.lit(None).cast("double")).alias(s_) for s_ in ("std", "min", "max")],
+            F.lit(uniq[f"{c}__unique"] if num else None).cast("long").alias("unique_count")))
+    out = (wide.select(F.col("__rows").alias("total_records"), F.explode(F.array(*rows)).alias("r"))
+               .select("total_records", "r.*"))
+    return out
 
 
 def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 10) -> DataFrame:

@@ -199,20 +199,23 @@ def psi(original: DataFrame, col_a: str, current: DataFrame, col_b: str, bins: i
         return spark.createDataFrame([(0.0, 0)], "psi double, n_bins int")
     a = original.select(q(col_a).cast("double").alias("x")).filter(F.col("x").isNotNull())
     b = current.select(q(col_b).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    ca = a.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(bin_index(F.col("x"), edges) == i).alias(f"b{i}")
-                                                for i in range(len(edges) - 1)])
-    cb = b.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(bin_index(F.col("x"), edges) == i).alias(f"b{i}")
-                                                for i in range(len(edges) - 1)])
-    j = ca.select([F.col(c).alias("a_" + c) for c in ca.columns]).crossJoin(
-        cb.select([F.col(c).alias("b_" + c) for c in cb.columns]))  # two one-row frames
-    terms = []
-    for i in range(len(edges) - 1):
-        pa = F.col(f"a_b{i}") / F.col("a_n")
-        pb = F.col(f"b_b{i}") / F.col("b_n")
-        pa = F.when(pa == 0, F.lit(0.0001)).otherwise(pa)
-        pb = F.when(pb == 0, F.lit(0.0001)).otherwise(pb)
-        terms.append((pb - pa) * F.log(pb / pa))
-    return j.select(sum(terms[1:], terms[0]).alias("psi"), F.lit(len(edges) - 1).alias("n_bins"))
+    k = len(edges) - 1
+
+    def shares(d: DataFrame) -> DataFrame:
+        # each row's bin computed once, counted by a small groupBy
+        per = d.groupBy(F.coalesce(bin_index(F.col("x"), edges), F.lit(-1)).alias("bin")).agg(
+            F.count(F.lit(1)).alias("k"))
+        tot = per.agg(F.sum("k").alias("n"))
+        return per.crossJoin(tot).select("bin", (F.col("k") / F.col("n")).alias("share"))
+
+    grid = spark.range(k).select(F.col("id").cast("int").alias("bin"))
+    j = (grid.join(shares(a).withColumnRenamed("share", "pa"), "bin", "left")
+             .join(shares(b).withColumnRenamed("share", "pb"), "bin", "left"))
+    pa = F.coalesce(F.col("pa"), F.lit(0.0))
+    pb = F.coalesce(F.col("pb"), F.lit(0.0))
+    pa = F.when(pa == 0, F.lit(0.0001)).otherwise(pa)
+    pb = F.when(pb == 0, F.lit(0.0001)).otherwise(pb)
+    return j.agg(F.sum((pb - pa) * F.log(pb / pa)).alias("psi")).select("psi", F.lit(k).alias("n_bins"))
 
 
 # ------------------------------------------------------------- IMP-12 KS

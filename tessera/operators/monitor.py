@@ -27,12 +27,24 @@ def drift_status(p: F.Column, k: F.Column) -> F.Column:
 
 
 def _bin_counts(df: DataFrame, edges: dict[str, list[float]]) -> dict:
-    exprs = []
+    """{n<i>: non-null count, b<i>_<bin>: count} for every column, from one
+    (column, bin) groupBy: each row's bin is computed once per column."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.coalesce(bin_index(q(c).cast("double"), e), F.lit(-1)).alias("b"))
+        for i, (c, e) in enumerate(edges.items())
+        ])).alias("s"), *[q(c).isNull().alias(f"_z{i}") for i, c in enumerate(edges)]).select("s.c", "s.b", *[
+        F.col(f"_z{i}") for i in range(len(edges))])
+    nulls = F.coalesce(*[F.when(F.col("c") == i, F.col(f"_z{i}")) for i in range(len(edges))])
+    rows = long.filter(~nulls).groupBy("c", "b").agg(F.count(F.lit(1)).alias("k")).collect()
+    out = {f"n{i}": 0 for i in range(len(edges))}
     for i, (c, e) in enumerate(edges.items()):
-        x = q(c).cast("double")
-        exprs.append(F.count(x).alias(f"n{i}"))
-        exprs += [F.count_if(bin_index(x, e) == b).alias(f"b{i}_{b}") for b in range(len(e) - 1)]
-    return df.agg(*exprs).first().asDict()
+        for b in range(len(e) - 1):
+            out[f"b{i}_{b}"] = 0
+    for r in rows:
+        out[f"n{r['c']}"] += r["k"]
+        if r["b"] >= 0:
+            out[f"b{r['c']}_{r['b']}"] = r["k"]
+    return out
 
 
 def multi_ks(baseline: DataFrame, current: DataFrame, cols: list[str]) -> dict[str, float]:
