@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from tessera.columns import (datetime_columns, is_numeric, numeric_columns, q,
                              resolve_column, text_columns)
-from tessera.functions.quantiles import exact_quantiles
+from tessera.functions.quantiles import exact_quantiles, grouped_exact_quantiles
 
 # Count on these metric names means "count distinct ids".
 DISTINCT_COUNT_METRICS = ("patientid", "appointmentid", "patient_id", "appointment_id")
@@ -109,8 +109,33 @@ def aggregate(df: DataFrame, metric: str, agg: str | list[str] = "mean",
         return out.groupBy(*keys).agg(F.count("_m").alias(f"count_{m}"))
 
     out = out.dropna()  # null metric and null dimension rows are dropped
-    exprs = [agg_expr(a, F.col("_m").cast("double"), exact).alias(f"{a}_{m}") for a in aggs]
-    return out.groupBy(*keys).agg(*exprs)
+    return _grouped_stats(out, keys, "_m", aggs, m, exact)
+
+
+QUANTILE_AGGS = {"median": 0.5, "p90": 0.9, "p95": 0.95}
+
+
+def _grouped_stats(df: DataFrame, keys: list[str], col: str, aggs: list[str], label: str | None,
+                   exact: bool) -> DataFrame:
+    """Moments by a groupBy; exact quantiles by the distributed grouped
+    quantiles (no group's values gathered in one task), joined on the keys."""
+    name = (lambda a: f"{a}_{label}") if label else (lambda a: a)
+    x = F.col(col).cast("double")
+    quant = [a for a in aggs if a in QUANTILE_AGGS] if exact else []
+    plain = [a for a in aggs if a not in quant]
+    base = (df.groupBy(*keys).agg(*[agg_expr(a, x, exact).alias(name(a)) for a in plain]) if plain
+            else df.select(*keys).distinct() if keys else None)
+    if not quant:
+        return base
+    probs = [QUANTILE_AGGS[a] for a in quant]
+    if keys:
+        qdf = grouped_exact_quantiles(df, keys, col, probs, [name(a) for a in quant])
+        res = qdf if base is None else base.join(qdf, keys)
+    else:
+        vals = exact_quantiles(df, [col], probs)[col]
+        lits = [F.lit(v).cast("double").alias(name(a)) for a, v in zip(quant, vals)]
+        res = (df.sparkSession.range(1).select(*lits) if base is None else base.select("*", *lits))
+    return res.select(*keys, *[name(a) for a in aggs])
 
 
 # ---------------------------------------------------------------- BI-4 compare
@@ -120,12 +145,8 @@ def compare(df: DataFrame, metric: str, dimension: str, filters: dict | None = N
     d = resolve_column(df.columns, dimension)
     if m is None or d is None:
         raise ValueError(f"metric {metric} or dimension {dimension} not found")
-    c = F.col("_m").cast("double")
-    return (apply_filters(df, filters)
-            .select(q(d), q(m).alias("_m")).dropna()
-            .groupBy(d)
-            .agg(F.avg(c).alias("mean"), agg_expr("median", c, exact).alias("median"),
-                 F.count(c).alias("count"), F.stddev_samp(c).alias("std")))
+    data = apply_filters(df, filters).select(q(d), q(m).alias("_m")).dropna()
+    return _grouped_stats(data, [d], "_m", ["mean", "median", "count", "std"], None, exact)
 
 
 # -------------------------------------------------------- BI-5 compare dummies

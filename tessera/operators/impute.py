@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.columns import is_datetime, is_numeric, numeric_columns, q
-from tessera.functions.quantiles import exact_quantiles
+from tessera.functions.quantiles import exact_quantiles, grouped_exact_quantiles
 from tessera.plans.order import prefix_sums
 
 LOW_MISSING = 0.05
@@ -128,9 +128,12 @@ def impute_group_median(df: DataFrame, col: str, group: str, exact: bool = True)
     """Median per group fills the group's nulls; what is left (all-null
     groups, null group) gets the median of the already filled column."""
     x = q(col).cast("double")
-    med = (F.percentile(x, F.lit(0.5)) if exact else
-           F.percentile_approx(x, F.lit(0.5), F.lit(10000)).cast("double"))
-    per_group = df.groupBy(q(group).alias("_g")).agg(med.alias("_gm"))
+    if exact:  # distributed: a hot group's values are not gathered in one task
+        per_group = grouped_exact_quantiles(df.filter(q(group).isNotNull()), [group], col, [0.5], ["_gm"]) \
+            .withColumnRenamed(group, "_g")
+    else:
+        per_group = df.groupBy(q(group).alias("_g")).agg(
+            F.percentile_approx(x, F.lit(0.5), F.lit(10000)).cast("double").alias("_gm"))
     j = df.join(per_group, q(group) == F.col("_g"), "left")  # null groups match nothing
     filled = j.withColumn(col, F.coalesce(x, F.col("_gm"))).drop("_g", "_gm")
     rest = medians(filled, [col], exact)[col]
