@@ -166,3 +166,15 @@ SELECT feature1, feature2, correlation AS observed_correlation, expected AS expe
 def business_status(spark, sf):
     tests = assoc.pearson_pairs(shipments_features(spark, sf), _BIZ_COLS, with_p=False)
     return assoc.business_status(assoc.business_conflicts(tests, assoc.expectations_frame(spark, "logistics")))
+
+
+@query("correlation_ranked", f"""
+SELECT feature1, feature2, correlation, row_number() OVER (ORDER BY abs(correlation) DESC, feature1, feature2) AS rank
+FROM ({_pearson_sql(LI_NUM, 'lineitem')})
+""")
+def correlation_ranked(spark, sf):
+    """COR-6: every pair ranked by |r| (descending)."""
+    from pyspark.sql.window import Window
+    t = assoc.pearson_pairs(load(spark, sf, "lineitem"), LI_NUM, with_p=False)
+    w = Window.orderBy(F.desc(F.abs("correlation")), "feature1", "feature2")  # one row per column pair
+    return t.select("feature1", "feature2", "correlation", F.row_number().over(w).alias("rank"))

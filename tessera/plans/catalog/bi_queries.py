@@ -160,3 +160,17 @@ def bi_group_summary(spark, sf):
     od = load(spark, sf, "orders")
     grouped = od.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"))
     return bi.group_summary(grouped, "n_orders")
+
+
+@query("bi_compare_dummies", """
+SELECT 'A' AS level, count(*) FILTER (WHERE l_returnflag = 'A') AS n_true FROM lineitem WHERE l_linestatus = 'F'
+UNION ALL SELECT 'N', count(*) FILTER (WHERE l_returnflag = 'N') FROM lineitem WHERE l_linestatus = 'F'
+UNION ALL SELECT 'R', count(*) FILTER (WHERE l_returnflag = 'R') FROM lineitem WHERE l_linestatus = 'F'
+""")
+def bi_compare_dummies(spark, sf):
+    """BI-5: true counts per dummy column of one attribute (dummies from the
+    one-hot encoder)."""
+    from tessera.operators import prep
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus")
+    p = prep.fit_encoders(li, cat_cols=["l_returnflag"])
+    return bi.compare_dummies(prep.transform(li, p, scale=False), "l_returnflag", {"l_linestatus": "F"})
