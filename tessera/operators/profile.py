@@ -199,6 +199,8 @@ def short_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     cols = df.columns
     nums = [c for c in cols if is_numeric(df.schema[c].dataType)]
     texts = text_columns(df)
+    if exact:  # medians from the distributed exact quantiles, as literals
+        med = {c: v[0] for c, v in exact_quantiles(df, nums, [0.5]).items()}
     exprs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         x = q(c)
@@ -206,7 +208,7 @@ def short_profile(df: DataFrame, exact: bool = True) -> DataFrame:
         if c in nums:
             xd = x.cast("double")
             parts += [F.avg(xd).alias("mean"),
-                      (F.percentile(xd, F.lit(0.5)) if exact else
+                      (F.lit(med[c]).cast("double") if exact else
                        F.percentile_approx(xd, F.lit(0.5), F.lit(10000)).cast("double")).alias("median"),
                       F.stddev_samp(xd).alias("std"), F.min(xd).alias("min"), F.max(xd).alias("max")]
         else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.quantiles import exact_quantiles
 from tessera.functions.util import round_doubles
 from tessera.operators import monitor as mon
 from tessera.plans.registry import load, query
@@ -18,7 +19,7 @@ cur AS (SELECT * FROM events WHERE epoch_us(ts) >= (SELECT m FROM mid))"""
 def _halves(spark, sf):
     ev = load(spark, sf, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    mid = ev.agg(F.percentile(us, F.lit(0.5)).alias("m")).first()["m"]
+    mid = exact_quantiles(ev.select(us.alias("us")), ["us"], [0.5])["us"][0]
     return ev.filter(us < mid), ev.filter(us >= mid)
 
 
