@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tessera.operators import dictionary as dic
 from tessera.operators import domain as dom

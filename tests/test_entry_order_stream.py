@@ -1,5 +1,4 @@
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.plans.order import prefix_sums, with_row_index
 
@@ -38,4 +37,3 @@ def test_stream_kpis_equal_batch(spark):
     got = {r.window_start: (r.events, round(r.mean_value, 9)) for r in s.collect()}
     exp = {r.window_start: (r.events, round(r.mean_value, 9)) for r in b.collect()}
     assert got == exp
-    _ = Window

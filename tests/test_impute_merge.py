@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.operators import impute as imp
 from tessera.operators import merge as mrg
@@ -68,4 +67,3 @@ def test_merge_orphans_quarantine(spark):
     assert res.status == "WARN"
     assert res.data.count() == 95 and res.orphans["names"].count() == 5
     assert "x_names" in res.data.columns
-    _ = F

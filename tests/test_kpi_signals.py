@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.operators import kpi, signals
 
@@ -68,4 +67,3 @@ def test_quality_score_bounds(spark):
     df = spark.createDataFrame([(1, None), (1, None)], "a int, b string")
     r = signals.quality_score(df).first()
     assert r.duplicate_rate == 50.0 and r.missing_rate == 50.0 and r.quality_score == 60.0
-    _ = F
