@@ -96,7 +96,28 @@ def filter_mask(df: DataFrame, column: str | None, flt: dict | None) -> Column |
     raise ValueError(f"unknown filter operator {op!r}")
 
 
-def aggregation_expr(df: DataFrame, spec: dict) -> Column:
+def _median_input(df: DataFrame, spec: dict) -> Column:
+    col = resolve_column(df.columns, spec["column"])
+    if col is None:
+        raise ValueError(f"Column '{spec['column']}' not found for aggregation.")
+    mask = filter_mask(df, col, spec.get("filter"))
+    x = F.expr(f"try_cast(`{col}` AS DOUBLE)")
+    return F.when(mask, x) if mask is not None else x
+
+
+def exact_medians(df: DataFrame, specs: list[dict]) -> list[float | None]:
+    """Medians of several filtered columns from one distributed exact
+    quantile job (no task gathers a column's values)."""
+    from tessera.functions.quantiles import exact_quantiles
+    if not specs:
+        return []
+    cols = [f"_med{i}" for i in range(len(specs))]
+    frame = df.select(*[_median_input(df, sp).alias(c) for sp, c in zip(specs, cols)])
+    qs = exact_quantiles(frame, cols, [0.5])
+    return [qs[c][0] for c in cols]
+
+
+def aggregation_expr(df: DataFrame, spec: dict, medians: dict | None = None) -> Column:
     """count / sum / mean / median / nunique of a column under a filter."""
     agg = spec.get("aggregation", "count")
     col = spec.get("column")
@@ -119,6 +140,8 @@ def aggregation_expr(df: DataFrame, spec: dict) -> Column:
     if agg == "mean":
         return F.avg(x)
     if agg == "median":
+        if medians is not None and id(spec) in medians:
+            return F.lit(medians[id(spec)]).cast("double")
         return F.percentile(x, F.lit(0.5))
     if agg == "nunique":
         return F.count_distinct(F.when(keep, q(col))).cast("double")
@@ -135,15 +158,24 @@ def evaluate_formulas(df: DataFrame, kpis: dict[str, dict]) -> DataFrame:
     aggregation x multiplier."""
     spark = df.sparkSession
     exprs, plan, failures = [], [], {}
+    # medians first (exact, distributed); they enter the one aggregate as literals
+    med_specs = []
+    for f in kpis.values():
+        for part in ("numerator", "denominator", "aggregation"):
+            sp = (f or {}).get(part)
+            if sp and sp.get("aggregation") == "median" and sp.get("column") \
+                    and resolve_column(df.columns, sp["column"]) is not None:
+                med_specs.append(sp)
+    medians = {id(sp): v for sp, v in zip(med_specs, exact_medians(df, med_specs))}
     for i, (name, f) in enumerate(kpis.items()):
         try:
             if not f:
                 raise ValueError("no formula")
             if f.get("type") == "ratio":
-                exprs += [aggregation_expr(df, f["numerator"]).alias(f"n{i}"),
-                          aggregation_expr(df, f["denominator"]).alias(f"d{i}")]
+                exprs += [aggregation_expr(df, f["numerator"], medians).alias(f"n{i}"),
+                          aggregation_expr(df, f["denominator"], medians).alias(f"d{i}")]
             else:
-                exprs.append(aggregation_expr(df, f["aggregation"]).alias(f"n{i}"))
+                exprs.append(aggregation_expr(df, f["aggregation"], medians).alias(f"n{i}"))
             plan.append((i, name, f))
         except ValueError as e:
             failures[name] = str(e)
