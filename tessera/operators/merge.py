@@ -132,9 +132,9 @@ def merge_tables(main: DataFrame, tables: list[tuple[str, DataFrame, str | None]
         key = choose_key(data.columns, other.columns, key_hint)
         if key is None:
             continue
-        # the right table is read three times (duplicate check, orphan check,
-        # join): keep it; lost blocks are recomputed from lineage
-        other = check_and_dedupe(other.persist(), name, key, step, issues).persist()
+        # the duplicate and orphan checks read the key column only (pruned
+        # scans), so re-reading beats materialising the whole right table
+        other = check_and_dedupe(other, name, key, step, issues)
         rename = {c: (f"{c}_{name}" if c in data.columns else c) for c in other.columns if c != key}
         right = other.select(q(key).alias(key), *[q(c).alias(rename[c]) for c in other.columns if c != key],
                              F.lit(True).alias("_matched"))
