@@ -30,15 +30,22 @@ def file_stream(spark: SparkSession, directory: str, schema, glob: str | None =
     return r.parquet(directory)
 
 
-def run_update_sink(stream: DataFrame, out_path: str, checkpoint: str) -> str:
-    """Run to completion over what is available (availableNow) with update
-    mode, writing each micro-batch's updated rows to out_path/batch_id=<n>."""
+def run_update_sink(stream: DataFrame, out_path: str, checkpoint: str,
+                    processing_time: str | None = None, wait: bool = True):
+    """Update mode, each micro-batch's updated rows written to
+    out_path/batch_id=<n>. By default runs over what is available
+    (availableNow) and returns the path; with ``processing_time`` (e.g.
+    "1 minute") it keeps running and the StreamingQuery is returned."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
             f"{out_path}/batch_id={batch_id}")
 
-    q = (stream.writeStream.outputMode("update").foreachBatch(write_batch)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    w = (stream.writeStream.outputMode("update").foreachBatch(write_batch)
+         .option("checkpointLocation", checkpoint))
+    w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
+    q = w.start()
+    if processing_time and not wait:
+        return q
     q.awaitTermination()
     return out_path
 
