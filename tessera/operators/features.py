@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.columns import q
+from tessera.columns import ntz_literal, q
 
 # Outlier caps per domain.
 CAPS = {"logistics": {"transit_time": 240.0, "dwell_time": 72.0}, "healthcare": {"los_days": 365.0}}
@@ -88,7 +88,7 @@ def derive_features(df: DataFrame, domain: str = "logistics",
             specs.append(("conversion_flag", "1 if at least one conversion", "int", "conversions > 0"))
     elif domain == "finance":
         if "open_date" in cols:
-            ref = F.lit(as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp")
+            ref = ntz_literal(as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp")
             out = out.withColumn("loan_duration_days",
                                  F.floor((F.unix_micros(ref) - _micros(q("open_date"))) / 8.64e10).cast("double"))
             specs.append(("loan_duration_days", "Days since loan opened", "double", "(today - open_date).days"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.columns import datetime_columns, is_datetime, q
+from tessera.columns import datetime_columns, is_datetime, ntz_literal, q
 
 MISSING_WARN = 0.20
 INVERSION_WARN = 0.005
@@ -102,7 +102,7 @@ def future_dates(df: DataFrame, as_of: dt.datetime, cols: list[str] | None = Non
     cols = cols if cols is not None else datetime_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, future_dates long, future_pct double")
-    lit_ts = F.lit(as_of).cast("timestamp_ntz")
+    lit_ts = ntz_literal(as_of)
     exprs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         exprs.append(F.count_if(q(c).cast("timestamp_ntz") > lit_ts).alias(str(i)))

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.columns import as_utc_instant, utc_instant_to_ntz
 from tessera.operators.impute import bin_index
 from tessera.sources.landing import scratch_path
 
@@ -74,13 +75,13 @@ def baseline_bins(baseline: DataFrame, col: str, bins: int = 10) -> tuple[list[f
 def windowed_bin_counts(stream: DataFrame, ts_col: str, value_col: str, edges: list[float],
                         window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """Per event-time window: non-null values, and counts per baseline bin."""
-    ts = F.col(ts_col).cast("timestamp")
+    ts = as_utc_instant(F.col(ts_col))
     x = F.col(value_col).cast("double")
     s = stream.select(ts.alias("_ts"), x.alias("_x")).withWatermark("_ts", watermark)
     return (s.filter(F.col("_x").isNotNull())
              .groupBy(F.window("_ts", window).alias("w"), bin_index(F.col("_x"), edges).alias("bin"))
              .agg(F.count(F.lit(1)).alias("n"))
-             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "bin", "n"))
+             .select(utc_instant_to_ntz(F.col("w.start")).alias("window_start"), "bin", "n"))
 
 
 def window_psi(counts: DataFrame, baseline_shares: list[float]) -> DataFrame:
@@ -111,13 +112,13 @@ def drift_stream(spark: SparkSession, directory: str, schema, glob: str, ts_col:
 def windowed_kpis(stream: DataFrame, ts_col: str, value_col: str, flag_expr: F.Column,
                   window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """Per window: events, mean value, and the share (x 100) of a flag."""
-    ts = F.col(ts_col).cast("timestamp")
+    ts = as_utc_instant(F.col(ts_col))
     s = stream.select(ts.alias("_ts"), F.col(value_col).cast("double").alias("_v"),
                       flag_expr.cast("int").alias("_f")).withWatermark("_ts", watermark)
     return (s.groupBy(F.window("_ts", window).alias("w"))
              .agg(F.count(F.lit(1)).alias("events"), F.sum("_v").alias("value_sum"),
                   F.count("_v").alias("value_n"), F.sum("_f").alias("flag_n"))
-             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "events", "value_sum",
+             .select(utc_instant_to_ntz(F.col("w.start")).alias("window_start"), "events", "value_sum",
                      "value_n", "flag_n"))
 
 
