@@ -30,3 +30,17 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame (an aggregate) as literals.
+    The row is collected (its size is fixed by its columns), so no join -
+    and no cross product - appears in the plan."""
+    r = one_row.first()
+    vals = r.asDict() if r is not None else {c: None for c in one_row.columns}
+    types = {f.name: f.dataType for f in one_row.schema.fields}
+    return df.select("*", *[F.lit(v).cast(types[k]).alias(k) for k, v in vals.items()])
+
+
+def one_row(spark, row: dict, schema: str) -> DataFrame:
+    return spark.createDataFrame([tuple(row.values())], schema)

@@ -14,11 +14,28 @@ from pyspark.sql.window import Window
 from tessera.functions.constants import DOMAIN_KEYWORDS, DOMAIN_OK, DOMAIN_PACKS, DOMAIN_WARN
 
 
-def column_catalog(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, column, position) from the schemas of the given tables."""
+def column_catalog(tables: dict[str, DataFrame], non_empty: bool = True) -> DataFrame:
+    """(table, column, position) of the columns each table provides: with
+    ``non_empty`` (the default, as after the quality gate drops empty
+    columns) only columns holding at least one value, found by one
+    aggregate per table over its data."""
     spark = next(iter(tables.values())).sparkSession
-    rows = [(t, c, i) for t, df in tables.items() for i, c in enumerate(df.columns)]
-    return spark.createDataFrame(rows, "table string, column string, position int")
+    parts = []
+    for t, df in tables.items():
+        cols = df.columns
+        if not non_empty:
+            parts.append(spark.createDataFrame([(t, c, i) for i, c in enumerate(cols)],
+                                               "table string, column string, position int"))
+            continue
+        wide = df.agg(*[F.max(F.col(f"`{c}`").isNotNull().cast("int")).alias(f"h{i}") for i, c in enumerate(cols)])
+        parts.append(wide.select(F.explode(F.array(*[
+            F.struct(F.lit(t).alias("table"), F.lit(c).alias("column"), F.lit(i).alias("position"),
+                     F.coalesce(F.col(f"h{i}"), F.lit(0)).alias("_has")) for i, c in enumerate(cols)])).alias("r"))
+                     .select("r.*").filter("_has = 1").drop("_has"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def packs_frame(spark: SparkSession) -> DataFrame:
@@ -32,12 +49,14 @@ def _scores(catalog: DataFrame) -> DataFrame:
     packs = F.broadcast(packs_frame(spark))  # fixed size
     cat = catalog.select("table", F.lower("column").alias("col"))
     n_cols = cat.groupBy("table").agg(F.count(F.lit(1)).alias("n_columns"))
-    n_exp = packs.groupBy("domain", "pack_order").agg(F.count(F.lit(1)).alias("n_expected"))
+    n_exp = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(k).alias("pack_order"),
+                               F.lit(len(p["expected_columns"])).cast("long").alias("n_expected"))
+                      for k, (d, p) in enumerate(DOMAIN_PACKS.items())])
     matched = (cat.join(packs, F.col("col") == F.col("expected"))
                   .groupBy("table", "domain")
                   .agg(F.count_distinct("expected").alias("matched"),
                        F.sort_array(F.collect_set("expected")).alias("matched_columns")))
-    grid = n_cols.crossJoin(F.broadcast(n_exp))  # tables x 5 domains
+    grid = n_cols.select("table", "n_columns", F.explode(n_exp).alias("d")).select("table", "n_columns", "d.*")
     return grid.join(matched, ["table", "domain"], "left").select(
         "table", "domain", "pack_order", F.coalesce("matched", F.lit(0)).cast("long").alias("matched"),
         "n_expected", "n_columns", F.coalesce("matched_columns", F.array().cast("array<string>")).alias("matched_columns"))
@@ -78,7 +97,9 @@ def keyword_domain(catalog: DataFrame) -> DataFrame:
     cat = catalog.select("table", F.lower("column").alias("col"))
     hits = (cat.join(F.broadcast(kw), F.col("col").contains(F.col("keyword")))  # fixed-size keyword side
                .groupBy("table", "prio", "domain").agg(F.count_distinct("keyword").alias("score")))
-    grid = tables.crossJoin(F.broadcast(kw.select("prio", "domain").distinct()))
+    doms = F.array(*[F.struct(F.lit(i).alias("prio"), F.lit(d).alias("domain"))
+                     for i, d in enumerate(DOMAIN_KEYWORDS)])
+    grid = tables.select("table", F.explode(doms).alias("d")).select("table", "d.*")
     sc = grid.join(hits, ["table", "prio", "domain"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
     w = Window.partitionBy("table").orderBy(F.desc("score"), "prio")
     best = sc.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)

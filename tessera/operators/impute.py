@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from tessera.columns import is_datetime, is_numeric, numeric_columns, q
 from tessera.functions.quantiles import exact_quantiles, grouped_exact_quantiles
+from tessera.functions.util import with_row
 from tessera.plans.order import prefix_sums
 
 LOW_MISSING = 0.05
@@ -208,8 +209,7 @@ def psi(original: DataFrame, col_a: str, current: DataFrame, col_b: str, bins: i
         # each row's bin computed once, counted by a small groupBy
         per = d.groupBy(F.coalesce(bin_index(F.col("x"), edges), F.lit(-1)).alias("bin")).agg(
             F.count(F.lit(1)).alias("k"))
-        tot = per.agg(F.sum("k").alias("n"))
-        return per.crossJoin(tot).select("bin", (F.col("k") / F.col("n")).alias("share"))
+        return with_row(per, per.agg(F.sum("k").alias("n"))).select("bin", (F.col("k") / F.col("n")).alias("share"))
 
     grid = spark.range(k).select(F.col("id").cast("int").alias("bin"))
     j = (grid.join(shares(a).withColumnRenamed("share", "pa"), "bin", "left")
@@ -232,7 +232,7 @@ def ks_statistic(a: DataFrame, col_a: str, b: DataFrame, col_b: str) -> DataFram
     per_value = xa.unionByName(xb).groupBy("v").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
     tot = per_value.agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2"))
     cum = prefix_sums(per_value, ["v"], ["c1", "c2"])
-    return (cum.crossJoin(F.broadcast(tot))  # one-row totals
+    return (with_row(cum, tot)
                .agg(F.max(F.abs(F.col("cum_c1") / F.col("n1") - F.col("cum_c2") / F.col("n2"))).alias("ks")))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from tessera.columns import is_numeric, numeric_columns, q, text_columns
 from tessera.functions.quantiles import exact_quantiles
+from tessera.functions.util import with_row
 
 SEVERITY_SCORE = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 
@@ -275,7 +276,7 @@ def target_candidates(df: DataFrame, domain: str = "logistics", k: int = 5) -> D
         kw = kw | low.contains(w)
     binary = dc.filter((F.col("nunique") == 2) & ~banned).withColumn("keyword", kw)
     has_kw = binary.agg(F.max(F.col("keyword").cast("int")).alias("_any"))
-    return (binary.crossJoin(has_kw)  # one-row side
+    return (with_row(binary, has_kw)
                   .filter(F.col("keyword") | (F.coalesce(F.col("_any"), F.lit(0)) == 0))
                   .orderBy("position").limit(k)
                   .select("position", F.col("column").alias("name"), "nunique",
@@ -299,6 +300,6 @@ def infer_target(df: DataFrame) -> DataFrame:
                           .when(F.col("position") == last_pos, 1).otherwise(None))
               .filter(F.col("_prio").isNotNull())
               .orderBy("_prio", "position").limit(1))
-    return pick.crossJoin(n).select(
+    return with_row(pick, n).select(
         F.col("column").alias("target"), "nunique",
         ((F.col("nunique") + F.col("has_null")) < F.col("_rows")).alias("accepted"))

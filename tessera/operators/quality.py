@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.columns import datetime_columns, is_datetime, ntz_literal, q
+from tessera.functions.util import with_row
 
 MISSING_WARN = 0.20
 INVERSION_WARN = 0.005
@@ -72,13 +73,19 @@ def auto_fix(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return step4, fixes
 
 
+def _all_null(df: DataFrame):
+    cond = F.lit(True)
+    for c in df.columns:
+        cond = cond & q(c).isNull()
+    return cond
+
+
 def fix_counts(df: DataFrame) -> DataFrame:
     """Rows removed as empty and as whole-row duplicates, by aggregate."""
     non_empty = drop_empty_rows(df)
-    n_all = df.agg(F.count(F.lit(1)).alias("n"))
-    n_ne = non_empty.agg(F.count(F.lit(1)).alias("n_non_empty"))
+    n_all = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(~_all_null(df)).alias("n_non_empty"))
     n_distinct = non_empty.dropDuplicates().agg(F.count(F.lit(1)).alias("n_distinct"))
-    return (n_all.crossJoin(n_ne).crossJoin(n_distinct)
+    return (with_row(n_all, n_distinct)
             .select((F.col("n") - F.col("n_non_empty")).alias("empty_rows_removed"),
                     (F.col("n_non_empty") - F.col("n_distinct")).alias("duplicate_rows_removed"),
                     F.col("n_distinct").alias("rows_after")))

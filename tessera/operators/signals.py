@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tessera.columns import datetime_columns, numeric_columns, q
 from tessera.functions.quantiles import exact_quantiles
+from tessera.functions.util import with_row
 from tessera.operators.bi import FREQ_UNITS
 from tessera.operators.kpi import compute_kpis
 
@@ -186,7 +187,7 @@ def recommend(df: DataFrame, domain: str, limit: int = 3) -> DataFrame:
             .agg(F.first("value").alias("transit_slope"))
     else:
         sl = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("transit_slope"))
-    row = kp.crossJoin(sl).withColumn("has_ctr", F.lit("ctr_pct" in kp.columns))
+    row = with_row(kp, sl).withColumn("has_ctr", F.lit("ctr_pct" in kp.columns))
     fired = []
     for i, (dom, title, sev, pred) in enumerate(RULES):
         if dom != domain:
@@ -215,8 +216,7 @@ def quality_score(df: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     miss = sum((F.count_if(q(c).isNull()) for c in cols), F.lit(0)) / (n * len(cols)) * 100
     base = df.agg(n.alias("n"), miss.alias("missing_rate"))
-    distinct = df.dropDuplicates().agg(F.count(F.lit(1)).alias("n_distinct"))
-    j = base.crossJoin(distinct)
+    j = with_row(base, df.dropDuplicates().agg(F.count(F.lit(1)).alias("n_distinct")))
     dup = (F.col("n") - F.col("n_distinct")) / F.col("n") * 100
     return j.select(dup.alias("duplicate_rate"), F.col("missing_rate"),
                     F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - 0.5 * dup - 0.3 * F.col("missing_rate")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.columns import q, text_columns
-from tessera.functions.util import spread
+from tessera.functions.util import spread, with_row
 from tessera.operators.standardize import nfkc, strip_marks
 
 # ---------------------------------------------------------------- fixed values
@@ -215,7 +215,7 @@ def top_tokens(df: DataFrame, cleaned: Column, language: str, k: int = 10) -> Da
     counts = kept.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
     total = counts.agg(F.sum("count").alias("total_tokens"))
     top = counts.orderBy(F.desc("count"), "token").limit(k)  # per-task top-k, then merge
-    return top.crossJoin(total)
+    return with_row(top, total)
 
 
 def bigrams(tokens: Column) -> Column:
@@ -285,9 +285,8 @@ def sentiment_weighted_summary(scored: DataFrame) -> DataFrame:
 
 def sentiment_mixed(weighted: DataFrame, rule: DataFrame) -> DataFrame:
     """Mean of the two summaries (both one-row frames)."""
-    a = weighted.select([F.col(c).alias("a_" + c) for c in weighted.columns])
     b = rule.select([F.col(c).alias("b_" + c) for c in rule.columns])
-    j = a.crossJoin(b)
+    j = with_row(weighted.select([F.col(c).alias("a_" + c) for c in weighted.columns]), b)
     return j.select(*[F.round((F.col("a_" + c) + F.col("b_" + c)) / 2, 4).alias(c)
                       for c in ("positive_ratio", "neutral_ratio", "negative_ratio", "avg_sentiment_score")],
                     F.lit("Mixed_Weighted_RuleBased").alias("method_used"))

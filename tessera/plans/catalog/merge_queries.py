@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.util import round_doubles
+from tessera.functions.util import round_doubles, with_row
 from tessera.operators import merge as mrg
 from tessera.plans.registry import load, query
 
@@ -118,5 +118,4 @@ def merge_stopped(spark, sf):
     sh = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"),
                                             F.col("l_shipdate").alias("ship_date"), F.col("l_quantity").alias("qty"))
     res = mrg.merge_tables(od, [("shipments", sh, "order_id")])
-    n = res.data.agg(F.count(F.lit(1)).alias("rows_after"))
-    return res.issues.crossJoin(n)
+    return with_row(res.issues, res.data.agg(F.count(F.lit(1)).alias("rows_after")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.util import round_doubles
+from tessera.functions.util import round_doubles, with_row
 from tessera.operators import explore, impute_models, select
 from tessera.plans.catalog.fixtures import events_nulls
 from tessera.plans.registry import load, query
@@ -22,7 +22,7 @@ def _emb(spark, sf):
 def kmeans_best_k(spark, sf):
     scores, sizes = explore.kmeans_best_k(_emb(spark, sf))
     best = scores.orderBy(F.desc("silhouette")).limit(1).select(F.col("k").alias("best_k"))
-    return round_doubles(scores.crossJoin(best), 4)
+    return round_doubles(with_row(scores, best), 4)
 
 
 @query("kmeans_cluster_sizes")

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tessera.functions.util import with_row
 from tessera.operators import quality as qc
 from tessera.plans.catalog.fixtures import EVENTS_NULLS_SQL, events_nulls, per_column_union
 from tessera.plans.registry import load, query
@@ -125,4 +126,4 @@ def qc_report_status(spark, sf):
     """Full gate on orders with a missing key: STOP (report only)."""
     out = qc.run_quality_control(load(spark, sf, "orders"), keys=["o_orderkey", "o_custkey"],
                                  order_cols=["o_orderkey"], as_of=dt.datetime(2000, 1, 1))
-    return out["status"].crossJoin(out["keys"].groupBy().agg(F.count(F.lit(1)).alias("n_keys")))
+    return with_row(out["status"], out["keys"].groupBy().agg(F.count(F.lit(1)).alias("n_keys")))

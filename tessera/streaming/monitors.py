@@ -87,10 +87,10 @@ def windowed_bin_counts(stream: DataFrame, ts_col: str, value_col: str, edges: l
 def window_psi(counts: DataFrame, baseline_shares: list[float]) -> DataFrame:
     """PSI per window from (window_start, bin, n); out-of-range values (null
     bin) count in the window total only; zero share -> 0.0001."""
-    spark = counts.sparkSession
-    base = spark.createDataFrame([(i, float(s)) for i, s in enumerate(baseline_shares)], "bin int, old double")
     tot = counts.groupBy("window_start").agg(F.sum("n").alias("total"))
-    grid = tot.crossJoin(F.broadcast(base))  # windows x k bins (k fixed)
+    bins = F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(float(s)).alias("old"))
+                     for i, s in enumerate(baseline_shares)])
+    grid = tot.select("window_start", "total", F.explode(bins).alias("b")).select("window_start", "total", "b.*")
     j = grid.join(counts.filter(F.col("bin").isNotNull()), ["window_start", "bin"], "left")
     new = F.coalesce(F.col("n"), F.lit(0)) / F.col("total")
     new = F.when(new == 0, F.lit(0.0001)).otherwise(new)
