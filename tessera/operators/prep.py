@@ -28,6 +28,7 @@ OHE_MAX = 50
 TARGET_MIN_ROWS = 50000
 TE_SMOOTHING = 1.0
 TE_MIN_LEAF = 20
+STRATA_BROADCAST_MAX = 100_000
 
 
 def _hash_key(df: DataFrame, key_cols: list[str], seed: int) -> F.Column:
@@ -88,7 +89,9 @@ def stratified_split(df: DataFrame, target: str, key_cols: list[str], test_size:
         start += counts[k]
     tgt_type = df.schema[target].dataType.simpleString()
     alloc = spark.createDataFrame(rows, f"_t {tgt_type}, _start long, _nt long, _nv long")
-    j = idx.join(F.broadcast(alloc), q(target).eqNullSafe(F.col("_t")))  # one row per stratum
+    if len(rows) <= STRATA_BROADCAST_MAX:  # one row per stratum, size checked
+        alloc = F.broadcast(alloc)
+    j = idx.join(alloc, q(target).eqNullSafe(F.col("_t")))
     r = F.col("_i") - F.col("_start")
     return (j.withColumn("split", F.when(r < F.col("_nt"), "test").when(r < F.col("_nt") + F.col("_nv"), "validation")
                          .otherwise("train"))
