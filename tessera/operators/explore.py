@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.columns import numeric_columns, q
+from tessera.functions.util import spread
 
 SEED = 42
 
@@ -185,7 +186,7 @@ def isolation_scores(features: DataFrame, trees, psi: int, keep: list[str]) -> D
         depth = np.mean([_path_lengths(X, t) for t in bc.value], axis=0) if len(v) else np.zeros(0)
         return pd.Series(np.power(2.0, -depth / cn))
 
-    return features.select(*[q(k) for k in keep], score(vector_to_array("features")).alias("anomaly_score"))
+    return spread(features).select(*[q(k) for k in keep], score(vector_to_array("features")).alias("anomaly_score"))
 
 
 def isolation_forest(features: DataFrame, key_cols: list[str], contamination: float = 0.05,

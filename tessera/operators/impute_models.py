@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.columns import q
+from tessera.functions.util import spread
 from tessera.session import ensure_checkpoint_dir
 
 DONORS_PER_PASS = 200_000
@@ -79,7 +80,7 @@ def knn_impute(df: DataFrame, cols: list[str], k: int = 5, donors_per_pass: int
     any_null = F.lit(False)
     for c in cols:
         any_null = any_null | q(c).isNull()
-    incomplete = base.filter(any_null).select(_ROW, *[q(c).cast("double").alias(c) for c in cols])
+    incomplete = spread(base.filter(any_null).select(_ROW, *[q(c).cast("double").alias(c) for c in cols]))
     donors_df = base.select(*[q(c).cast("double").alias(c) for c in cols])
     n_donors = donors_df.count()
     schema = T.StructType([T.StructField(_ROW, T.LongType()), T.StructField("column", T.StringType()),
