@@ -31,6 +31,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     active = SparkSession.getActiveSession()
     if active is not None:
         ensure_checkpoint_dir(active)
+        ship_package(active)
         return active
     b = SparkSession.builder.appName(app_name)
     if master:
@@ -44,17 +45,39 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable on the executors (pandas UDFs and
+    mapInPandas functions are pickled by reference to their module): zip the
+    package once and ``addPyFile`` it, Spark's own way to distribute code."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="tessera-pkg-")
+    archive = shutil.make_archive(os.path.join(out_dir, "tessera"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))
+
+
 def tune_session(spark: SparkSession) -> None:
     """Runtime SQL settings the operators rely on, applied to a session we
-    did not build (only raised, never lowered)."""
+    did not build (only raised, never lowered), and the package shipped to
+    the executors."""
     try:
         if int(spark.conf.get("spark.sql.codegen.maxFields", "100")) < 2000:
             spark.conf.set("spark.sql.codegen.maxFields", "2000")
     except Exception:  # noqa: BLE001 - a locked-down session keeps its settings
         pass
+    ship_package(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
