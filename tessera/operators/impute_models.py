@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.columns import q
 from tessera.functions.util import spread
@@ -81,23 +82,21 @@ def knn_impute(df: DataFrame, cols: list[str], k: int = 5, donors_per_pass: int
     for c in cols:
         any_null = any_null | q(c).isNull()
     incomplete = spread(base.filter(any_null).select(_ROW, *[q(c).cast("double").alias(c) for c in cols]))
-    donors_df = base.select(*[q(c).cast("double").alias(c) for c in cols])
-    n_donors = donors_df.count()
+    n_donors = base.count()
     schema = T.StructType([T.StructField(_ROW, T.LongType()), T.StructField("column", T.StringType()),
                            T.StructField("dist", T.DoubleType()), T.StructField("value", T.DoubleType())])
     n_pass = max(1, -(-n_donors // donors_per_pass))
-    chunk = (F.abs(F.xxhash64(*[q(c) for c in cols], F.monotonically_increasing_id())) % n_pass) if n_pass > 1 else F.lit(0)
-    chunked = donors_df.withColumn("_chunk", chunk).checkpoint(eager=True) if n_pass > 1 else donors_df.withColumn("_chunk", F.lit(0))
+    # row ids are pinned by the checkpoint, so the chunk of a donor is stable
+    chunked = base.select((F.col(_ROW) % n_pass).alias("_chunk"), *[q(c).cast("double").alias(c) for c in cols])
     cands = None
     for p in range(n_pass):
-        # one chunk of at most ~donors_per_pass rows: a checked, bounded broadcast
+        # one chunk of about donors_per_pass rows: a checked, bounded broadcast
         rows = chunked.filter(F.col("_chunk") == p).drop("_chunk").collect()
         D = np.array([list(r) for r in rows], dtype=float).reshape(len(rows), len(cols))  # None -> nan
         bc = spark.sparkContext.broadcast(D)
         part = incomplete.mapInPandas(lambda it, bc=bc: _topk_pass(it, bc.value, cols, k), schema)
         cands = part if cands is None else cands.unionByName(part)
     # keep the k nearest per (row, column) over all passes; ties: smaller value
-    from pyspark.sql.window import Window
     w = Window.partitionBy(_ROW, "column").orderBy("dist", "value")
     best = cands.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
     fills = best.groupBy(_ROW).pivot("column", cols).agg(F.avg("value"))
