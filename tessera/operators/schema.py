@@ -56,11 +56,16 @@ def _date_sample_hits(df: DataFrame, cols: list[str], order_cols: list[str]) ->
     """Per text column: does one of its first five non-null values (by
     ``order_cols``) contain a digit and one of - / : T Z ? Each column is a
     top-5 by key (a bounded per-task heap, then a merge of 5 x tasks rows)."""
-    out = {}
-    for c in cols:
-        vals = [r[0] for r in df.filter(q(c).isNotNull()).orderBy(*[q(k) for k in order_cols])
-                .select(q(c).cast("string")).limit(5).collect()]
-        out[c] = any(any(ch.isdigit() for ch in v) and any(m in v for m in DATE_VALUE_MARKS) for v in vals)
+    parts = [df.filter(q(c).isNotNull()).orderBy(*[q(k) for k in order_cols]).limit(5)
+             .select(F.lit(c).alias("column"), q(c).cast("string").alias("value")) for c in cols]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    out = {c: False for c in cols}
+    for r in u.collect():  # at most 5 rows per column, one job
+        v = r["value"]
+        if any(ch.isdigit() for ch in v) and any(m in v for m in DATE_VALUE_MARKS):
+            out[r["column"]] = True
     return out
 
 
