@@ -36,12 +36,19 @@ def pca_variance(spark, sf):
     return explore.pca_variance(_emb(spark, sf), 64)
 
 
-@query("feature_matrix")
+def _fm_sql():
+    cols = ", ".join(f"round((coalesce({c}, 0) - avg(coalesce({c}, 0)) OVER ()) / "
+                     f"CASE WHEN stddev_pop(coalesce({c}, 0)) OVER () = 0 THEN 1 "
+                     f"ELSE stddev_pop(coalesce({c}, 0)) OVER () END, 6)" for c in LI_FEATS)
+    return f"SELECT {', '.join(LI_KEYS)}, [{cols}] AS features FROM lineitem"
+
+
+@query("feature_matrix", _fm_sql())
 def feature_matrix(spark, sf):
     li = load(spark, sf, "lineitem")
     fm = explore.feature_matrix(li, LI_FEATS, keep=LI_KEYS)
     from pyspark.ml.functions import vector_to_array
-    return fm.select(*LI_KEYS, vector_to_array("features").alias("features"))
+    return fm.select(*LI_KEYS, F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("features"))
 
 
 @query("isolation_forest")
