@@ -157,7 +157,32 @@ def sentiment_weighted(spark, sf):
     return round_doubles(scored, 6)
 
 
-@query("sentiment_weighted_summary")
+def _summary_sql():
+    lex_rule = f"""SELECT sign(({_lex_sql(tx.POSITIVE_WORDS)}) - ({_lex_sql(tx.NEGATIVE_WORDS)})) AS score
+  FROM (SELECT {_clean_sql('text')} AS t FROM conversations)"""
+    return f"""WITH c AS (SELECT conv_id, turn, regexp_extract_all(lower({_clean_sql('text')}), '{tx.TOKEN_RE}') AS t
+               FROM conversations),
+e AS (SELECT conv_id, turn, unnest(CASE WHEN len(t) = 0 THEN [NULL] ELSE t END) AS tok FROM c),
+s AS (SELECT conv_id, turn, coalesce(sum(valence), 0.0) AS s FROM e LEFT JOIN {_lexicon_sql()} ON tok = lex.token
+      GROUP BY 1, 2),
+w AS (SELECT s / sqrt(s * s + 15.0) AS score FROM s),
+ws AS (SELECT round(count(*) FILTER (WHERE score > 0.05) / count(*), 4) AS positive_ratio,
+              round(count(*) FILTER (WHERE score >= -0.05 AND score <= 0.05) / count(*), 4) AS neutral_ratio,
+              round(count(*) FILTER (WHERE score < -0.05) / count(*), 4) AS negative_ratio,
+              round(avg(score), 4) AS avg_sentiment_score, 'Weighted_Lexicon' AS method_used FROM w),
+r AS ({lex_rule}),
+rs AS (SELECT round(count(*) FILTER (WHERE score > 0) / count(*), 4) AS positive_ratio,
+              round(count(*) FILTER (WHERE score = 0) / count(*), 4) AS neutral_ratio,
+              round(count(*) FILTER (WHERE score < 0) / count(*), 4) AS negative_ratio,
+              round(avg(score), 4) AS avg_sentiment_score, 'Arabic_RuleBased' AS method_used FROM r)
+SELECT * FROM ws UNION ALL SELECT * FROM rs
+UNION ALL SELECT round((ws.positive_ratio + rs.positive_ratio) / 2, 4), round((ws.neutral_ratio + rs.neutral_ratio) / 2, 4),
+                 round((ws.negative_ratio + rs.negative_ratio) / 2, 4),
+                 round((ws.avg_sentiment_score + rs.avg_sentiment_score) / 2, 4), 'Mixed_Weighted_RuleBased'
+FROM ws, rs"""
+
+
+@query("sentiment_weighted_summary", _summary_sql())
 def sentiment_weighted_summary(spark, sf):
     cv = load(spark, sf, "conversations")
     lex = spark.createDataFrame(LEXICON, "token string, valence double")
