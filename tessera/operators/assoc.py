@@ -110,14 +110,28 @@ def skipped_pairs(df: DataFrame, cols: list[str], max_cells: int = 10000) -> Dat
 # ------------------------------------------------------------------ COR-5
 def fdr_bh(tests: DataFrame, p_col: str = "p_value", order_cols: list[str] | None = None) -> DataFrame:
     """Benjamini-Hochberg adjusted p: min over k >= rank of p_(k) m / k,
-    capped at 1. The window runs over the tests table (one row per test)."""
+    capped at 1. Ranks come from the global index (range partitions and
+    offsets) and the suffix minimum is taken inside each range partition
+    plus the minimum of the later partitions (one row per partition to the
+    driver), so no task sees more than its own range of tests."""
+    from tessera.plans.order import range_sorted, with_row_index
     order_cols = order_cols or ["test_idx"]
-    m = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    w_rank = Window.orderBy(F.col(p_col).asc(), *[F.col(c) for c in order_cols])
-    ranked = tests.withColumn("_m", m).withColumn("_rank", F.row_number().over(w_rank))
-    w_tail = Window.orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    adj = F.min(F.col(p_col) * F.col("_m") / F.col("_rank")).over(w_tail)
-    return ranked.withColumn("p_adjusted", F.least(F.lit(1.0), adj)).drop("_m", "_rank")
+    spark = tests.sparkSession
+    m = tests.count()
+    ranked = with_row_index(tests, [p_col, *order_cols], "_rank")
+    scaled = ranked.withColumn("_v", F.col(p_col) * F.lit(float(m)) / (F.col("_rank") + 1))
+    rs = range_sorted(scaled, ["_rank"])
+    mins = {r["_pid"]: r["mn"] for r in rs.groupBy("_pid").agg(F.min("_v").alias("mn")).collect()}
+    later, run = [], None
+    for pid in sorted(mins, reverse=True):   # minimum over the partitions after each one
+        later.append((int(pid), run))
+        run = mins[pid] if run is None else min(run, mins[pid])
+    offs = spark.createDataFrame(later, "_pid int, _later double")
+    w = Window.partitionBy("_pid").orderBy(F.col("_pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.min("_v").over(w)
+    out = rs.join(F.broadcast(offs), "_pid")  # one row per partition
+    adj = F.least(F.lit(1.0), F.least(inside, F.coalesce(F.col("_later"), F.lit(float("inf")))))
+    return out.withColumn("p_adjusted", adj).drop("_pid", "_pos", "_rank", "_v", "_later")
 
 
 def correlation_report(df: DataFrame, num_cols: list[str] | None = None, cat_cols: list[str] | None = None,
