@@ -60,9 +60,12 @@ def vector_matrix(df: DataFrame, array_col: str, keep: list[str] | None = None,
 
 
 # ------------------------------------------------------------------ ML-2
-def kmeans_best_k(features: DataFrame, k_max: int = 10, seed: int = SEED, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
+def kmeans_best_k(features: DataFrame, k_max: int = 10, seed: int = SEED, max_iter: int = 20,
+                  n_init: int = 1) -> tuple[DataFrame, DataFrame]:
     """k from 2 to min(11, n // 10) - 1; best silhouette (Spark's squared
-    Euclidean form). Returns (scores per k, cluster sizes of the best k)."""
+    Euclidean form). ``n_init`` k-means|| starts per k (seeds seed, seed+1,
+    ...), the lowest training cost kept. Returns (scores per k, cluster
+    sizes of the best k)."""
     spark = features.sparkSession
     n = features.count()
     ks = list(range(2, min(k_max + 1, n // 10)))
@@ -74,7 +77,9 @@ def kmeans_best_k(features: DataFrame, k_max: int = 10, seed: int = SEED, max_it
     scores, best = [], None
     try:
         for k in ks:
-            model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
+            fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(feats)
+                    for i in range(max(1, n_init))]
+            model = min(fits, key=lambda m: m.summary.trainingCost)
             pred = model.transform(feats)
             s = ev.evaluate(pred)
             scores.append((k, float(s)))
