@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import credentials, mixing, phrases, sharding
+from tessera.llm import credentials, mixing, phrases, repetition, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), 40)
 
 
+@query("op3_repetition")
+def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality_rules(documents(spark, sf_dir))
+
+
 @query("op4_mixing", """
 WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS size FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS source_size, [5.0, 2.0, 1.0][(((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1)::INT] AS weight
