@@ -26,6 +26,7 @@ from tessera.session import ensure_checkpoint_dir
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
+FEW_SOURCES = 50_000
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,8 +59,9 @@ def source_rates(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) ->
             break
         done, level = r["n"], (total - cap * (r["s"] or 0)) / r["w"]
     goal = F.least(F.col("weight") * F.lit(float(level or 0.0)), F.lit(float(cap)) * F.col("source_size"))
-    return t.select("source", "source_size", "weight", goal.alias("target"),
+    t = t.select("source", "source_size", "weight", goal.alias("target"),
                     F.coalesce(F.try_divide(goal, F.col("source_size").cast("double")), F.lit(0.0)).alias("rate"))
+    return t.checkpoint()
 
 
 def with_copies(df: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: str = SEED,
@@ -70,8 +72,9 @@ def with_copies(df: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: s
     rates = source_rates(sized.select(F.col(source_col).alias("source"), F.col("_size").alias("size")), weights, cap)
     rates = rates.select(F.col("source").alias("_src"), F.col("source_size").alias("_source_size"),
                          F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    # one row per source: AQE broadcasts it when small, else joins by source and splits hot ones
-    joined = sized.join(rates, sized[source_col].eqNullSafe(rates["_src"]))
+    # one row per source, counted: broadcast while few; beyond, AQE joins by source and splits hot ones
+    side = F.broadcast(rates) if rates.count() <= FEW_SOURCES else rates
+    joined = sized.join(side, sized[source_col].eqNullSafe(rates["_src"]))
     whole = F.floor("_rate")
     extra = (draw(id_col, text_col, seed) < F.col("_rate") - whole).cast("int")
     return joined.withColumn("_copies", (whole + extra).cast("int")).drop("_src", "_rate")
