@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import credentials, mixing, phrases, repetition, sharding
+from tessera.llm import credentials, mixing, packing, phrases, repetition, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round("_target", 6).alias("target"), (F.col("_size") * F.col("_copies")).cast("long").alias("taken"))
 
 
+@query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 @query("op10_credentials")
 def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.secret_digest(documents(spark, sf_dir))
