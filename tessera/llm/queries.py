@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import credentials, mixing, packing, phrases, repetition, sharding, toxicity
+from tessera.llm import credentials, mixing, packing, phrases, repetition, sharding, sigtree, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +77,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+@query("op9_sigtree")
+def op9_sigtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.similar_groups(documents(spark, sf_dir))
+
+
 @query("op10_credentials")
 def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.secret_digest(documents(spark, sf_dir))
