@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.textbytes import prefix, sliced, spans, words
+from tessera.llm.textbytes import LOWER, mix, prefix, sliced, spans, words
 from tessera.session import ensure_checkpoint_dir
 
 WINDOW = 2048
@@ -43,7 +43,8 @@ END_ID = 1
 SLOT_TOKENS = 1 << 20
 QUEUES = 128
 TOKENIZER = "word_bpe_49k.json"
-TABLE_WORDS = 1_000_000
+MARK = "\x01"
+TABLE_WORDS = 600_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -61,6 +62,7 @@ class WordTable:
         self.tok = Tokenizer.from_file(path)
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer need more than 16 bits")
+        self.mark = self.tok.encode(MARK, add_special_tokens=False).ids[0]
         self._clear()
 
     def _clear(self):
@@ -71,25 +73,39 @@ class WordTable:
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents with their end ids, number per document)."""
         start, end, counts = words(data, off)
-        seen, at, back = np.unique(spans(prefix(data), start, end), return_index=True, return_inverse=True)
+        # the tokenizer folds case, but for special tokens, whose names hold a bar
+        bars = np.concatenate([[0], np.cumsum(data == 0x7C)])
+        key = spans(prefix(LOWER[data]), start, end)
+        if bars[-1]:
+            key = np.where(bars[end] > bars[start], mix(spans(prefix(data), start, end)), key)
+        seen, at, back = np.unique(key, return_index=True, return_inverse=True)
         if len(self.index) > TABLE_WORDS:
             self._clear()
         keys = seen.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.index]
         if new:
             raw = data.tobytes()
-            enc = self.tok.encode_batch_fast([raw[start[at[i]]:end[at[i]]].decode("utf-8", "replace") for i in new],
-                                             add_special_tokens=False)
-            lists = [e.ids for e in enc]
-            n = np.array([len(x) for x in lists], np.int64)
+            ids, n = self._encode_words([raw[start[at[i]]:end[at[i]]].decode("utf-8", "replace") for i in new])
             base = len(self.count)
             self.index.update((keys[i], base + j) for j, i in enumerate(new))
             self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(n) - n])
             self.count = np.concatenate([self.count, n])
-            self.pool = np.concatenate([self.pool, np.array([t for x in lists for t in x], np.uint16)])
+            self.pool = np.concatenate([self.pool, ids])
         row = np.array([self.index[k] for k in keys], np.int64)[back]
         return self._gather(row, counts)
 
+    def _encode_words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number per word). One call on the words joined by
+        a mark with an id of its own; word by word if a word holds the mark."""
+        joined = np.array(self.tok.encode_batch_fast([f" {MARK} ".join(new)], add_special_tokens=False)[0].ids, np.uint16)
+        cut = np.flatnonzero(joined == self.mark)
+        if len(cut) == len(new) - 1:
+            ends = np.append(cut, len(joined))
+            begins = np.concatenate([[0], cut + 1])
+            return np.delete(joined, cut), (ends - begins).astype(np.int64)
+        lists = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+        return np.array([t for x in lists for t in x], np.uint16), np.array([len(x) for x in lists], np.int64)
+
     def _gather(self, row: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, docs = self.count[row], len(counts)
         word_end = np.concatenate([[0], np.cumsum(n)])
