@@ -44,7 +44,7 @@ SLOT_TOKENS = 1 << 20
 QUEUES = 128
 TOKENIZER = "word_bpe_49k.json"
 MARK = "\x01"
-TABLE_WORDS = 600_000
+TABLE_WORDS = 1_500_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -53,7 +53,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordTable:
-    """Token ids of the distinct words a task has met; started anew when it
+    """Token ids of the distinct words a Python worker has met; started anew when it
     holds ``TABLE_WORDS`` words, which bounds its memory. The tokenizer drops
     white space and splits at it, so a text's ids are those of its words."""
 
@@ -119,13 +119,17 @@ class WordTable:
         return ids, total
 
 
+_TABLES: dict[str, WordTable] = {}
+
+
 def tokenize(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """The columns but the text, then ``n_tokens`` and ``ids`` (little-endian, 16 bits)."""
     rest = [c for c in df.columns if c != text_col]
     src = df.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(path)
+        table = _TABLES.get(path) or WordTable(path)
+        _TABLES[path] = table  # a Python worker keeps it from task to task
         for rb in batches:
             for a, b, data, off in sliced(rb.column(rb.num_columns - 1)):
                 ids, total = table.encode(data, off)
