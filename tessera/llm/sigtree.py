@@ -52,9 +52,9 @@ K = 5
 NUM, DEN = 75, 100
 LEAF, FAN = 32, 8
 BLOCK_SETS, BLOCK_TOKENS = 40_000, 6_000_000
-SAMPLE = 20_000
-COMMON = 5
-COMMON_MOST = 1 << 17
+SAMPLE = 50_000
+COMMON = 3
+COMMON_MOST = 1 << 18
 BITMAP = 1 << 23
 NO_ID = -(1 << 63)
 _U = np.uint64
@@ -73,6 +73,14 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = K) -> tuple[np.ndar
     return h[new], np.bincount(doc[new], minlength=len(n))
 
 
+def set_hashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64-bit hash of each document's set."""
+    ends = np.concatenate([[0], np.cumsum(n)])
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h), out=sums[1:])
+    return mix((sums[ends[1:]] - sums[ends[:-1]]) + n.astype(np.uint64) * _U(0x9E6C63D0876A9A35))
+
+
 def _profiles(docs: DataFrame, common: np.ndarray, k: int) -> DataFrame:
     """(id, n, s, lead): size, set hash and leading shingles of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON_MOST hashes
@@ -84,9 +92,7 @@ def _profiles(docs: DataFrame, common: np.ndarray, k: int) -> DataFrame:
                 h, n = shingle_sets(data, off, k)
                 doc = np.repeat(np.arange(b - a), n)
                 ends = np.concatenate([[0], np.cumsum(n)])
-                sums = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(mix(h), out=sums[1:])
-                s = mix((sums[ends[1:]] - sums[ends[:-1]]) + n.astype(np.uint64) * _U(0x9E6C63D0876A9A35))
+                s = set_hashes(h, n)
                 order = np.arange(len(h))
                 if len(late):
                     at = np.minimum(np.searchsorted(late, h), len(late) - 1)
@@ -322,51 +328,39 @@ def _in_bitmap(df: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return spotted.mapInArrow(run, df.schema)
 
 
-def _set_rows(texts: DataFrame, k: int) -> DataFrame:
-    """(block, s, n, tokens): the sorted shingles of the fetched texts whose set
-    is the one that was asked for."""
+def _block_links(rows: DataFrame, k: int) -> DataFrame:
+    """(a, b) links that span the components of every block (or pair of pages),
+    from the texts of its classes, by block and class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            want = rb.column(1).to_numpy()
-            for a, b, data, off in sliced(rb.column(2)):
-                h, n = shingle_sets(data, off, k)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                sums = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(mix(h), out=sums[1:])
-                s = mix((sums[ends[1:]] - sums[ends[:-1]]) + n.astype(np.uint64) * _U(0x9E6C63D0876A9A35)).view(np.int64)
-                blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.astype(np.int64) * 8), pa.py_buffer(h)])
-                yield pa.RecordBatch.from_arrays(
-                    [rb.column(0).slice(a, b - a), pa.array(s), pa.array(n.astype(np.int64)), blob.cast(pa.binary())],
-                    ["block", "s", "n", "tokens"]).filter(pa.array(s == want[a:b]))
-
-    return texts.mapInArrow(run, "block long, s long, n long, tokens binary")
-
-
-def _block_links(rows: DataFrame) -> DataFrame:
-    """(a, b) links that span the components of every block (or pair of pages)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        held, key = {}, None
 
         def done() -> list[tuple[int, int]]:
             if len(held) < 2:
                 return []
-            sets = [np.frombuffer(t, np.uint64) for _, t in held]
-            return [(held[i][0], held[j][0]) for i, j in Block(sets).run()]
+            name = list(held)
+            return [(name[i], name[j]) for i, j in Block(list(held.values())).run()]
+
+        def batch(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
         for rb in batches:
             out = []
-            cols = [c.to_pylist() for c in rb.columns]
-            for blk, p, q, s, t in zip(*cols):
-                if (blk, p, q) != key:
-                    out += done()
-                    held, key = [], (blk, p, q)
-                held.append((s, t))
+            cols = list(zip(*[c.to_pylist() for c in rb.columns[:4]]))
+            for a, b, data, off in sliced(rb.column(4)):
+                h, n = shingle_sets(data, off, k)
+                ends, own = np.concatenate([[0], np.cumsum(n)]), set_hashes(h, n).view(np.int64)
+                for i in range(a, b):
+                    if cols[i][:3] != key:
+                        out += done()
+                        held, key = {}, cols[i][:3]
+                    if own[i - a] == cols[i][3]:  # an id may stand on several texts
+                        held[cols[i][3]] = h[ends[i - a]:ends[i - a + 1]]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+                yield batch(out)
         if out := done():
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+            yield batch(out)
 
-    return rows.select("block", "p", "q", "s", "tokens").mapInArrow(run, "a long, b long")
+    return rows.select("block", "p", "q", "s", "text").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -391,15 +385,14 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     texts = _in_bitmap(docs, _bitmap(wanted.select("id")))
     found = (texts.join(wanted.select("id", "block", "s"), "id").select("block", "s", "text"))
-    rows = _set_rows(found, k).dropDuplicates(["block", "s"])
-    rows = rows.join(big, "block", "left")
+    rows = found.join(big, "block", "left")
     page = F.pmod(F.xxhash64("s"), F.coalesce("pages", F.lit(1)))
     others = F.when(F.col("pages").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.filter(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1), lambda x: x != F.col("page")))
     rows = (rows.withColumn("page", page).withColumn("other", F.explode(others))
-            .select("block", F.least("page", "other").alias("p"), F.greatest("page", "other").alias("q"), "s", "tokens")
+            .select("block", F.least("page", "other").alias("p"), F.greatest("page", "other").alias("q"), "s", "text")
             .repartition("block", "p", "q").sortWithinPartitions("block", "p", "q", "s"))
-    links = components(_block_links(rows))
+    links = components(_block_links(rows, k))
 
     # smallest id of each component of classes, then of each class, then per document
     joined = classes.join(links, classes["s"] == links["node"], "left").select("s", "least", F.coalesce("root", "s").alias("root"))
