@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import credentials, mixing, packing, phrases, repetition, sharding, sigtree, toxicity
+from tessera.llm import credentials, mixing, packing, phrases, repetition, sharding, sigtree, suffix_levels, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +64,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round("_target", 6).alias("target"), (F.col("_size") * F.col("_copies")).cast("long").alias("taken"))
 
 
+@query("op5_suffix_levels")
+def op5_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.remove_repeats(documents(spark, sf_dir))
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
