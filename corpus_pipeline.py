@@ -16,11 +16,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import credentials, mixing
+from tessera.llm import credentials, mixing, packing, sigtree, toxicity
 from tessera.session import ensure_checkpoint_dir
 
 
-def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sigtree.keep_one(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return credentials.redact(docs)
 
 
@@ -28,7 +37,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("secret_scans", drop_secrets), ("mixing", mix_sources)]
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("secret_scans", mask_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
 ORACLE_SQL = None
 
 

@@ -66,21 +66,21 @@ def source_rates(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) ->
 
 def with_copies(df: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: str = SEED,
                 id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The input with ``_size``, ``_source_size``, ``_target`` and ``_copies``
+    """The input with ``__mix_size``, ``__mix_source_size``, ``__mix_target`` and ``__mix_copies``
     (how often the mix emits the row)."""
-    sized = df.withColumn("_size", n_words(text_col))
-    rates = source_rates(sized.select(F.col(source_col).alias("source"), F.col("_size").alias("size")), weights, cap)
-    rates = rates.select(F.col("source").alias("_src"), F.col("source_size").alias("_source_size"),
-                         F.col("target").alias("_target"), F.col("rate").alias("_rate"))
+    sized = df.withColumn("__mix_size", n_words(text_col))
+    rates = source_rates(sized.select(F.col(source_col).alias("source"), F.col("__mix_size").alias("size")), weights, cap)
+    rates = rates.select(F.col("source").alias("__mix_src"), F.col("source_size").alias("__mix_source_size"),
+                         F.col("target").alias("__mix_target"), F.col("rate").alias("__mix_rate"))
     # one row per source, counted: broadcast while few; beyond, AQE joins by source and splits hot ones
     side = F.broadcast(rates) if rates.count() <= FEW_SOURCES else rates
-    joined = sized.join(side, sized[source_col].eqNullSafe(rates["_src"]))
-    whole = F.floor("_rate")
-    extra = (draw(id_col, text_col, seed) < F.col("_rate") - whole).cast("int")
-    return joined.withColumn("_copies", (whole + extra).cast("int")).drop("_src", "_rate")
+    joined = sized.join(side, sized[source_col].eqNullSafe(rates["__mix_src"]))
+    whole = F.floor("__mix_rate")
+    extra = (draw(id_col, text_col, seed) < F.col("__mix_rate") - whole).cast("int")
+    return joined.withColumn("__mix_copies", (whole + extra).cast("int")).drop("__mix_src", "__mix_rate")
 
 
 def mix(df: DataFrame, **kw) -> DataFrame:
     """Every row as often as the mix emits it; the columns of the input."""
-    out = with_copies(df, **kw).filter("_copies > 0")
-    return out.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    out = with_copies(df, **kw).filter("__mix_copies > 0")
+    return out.withColumn("__mix_c", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[F.col(f"`{c}`") for c in df.columns])

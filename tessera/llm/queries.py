@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import credentials, mixing, packing, phrases, repetition, sharding, sigtree, suffix_levels, toxicity
+from tessera.llm import credentials, mixing, ngram_trie, packing, phrases, repetition, sharding, sigtree, suffix_levels, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -60,8 +60,8 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, round(target, 6) AS tar
 """)
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.with_copies(documents(spark, sf_dir).select("doc_id", "source", "text"))
-    return m.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-                    F.round("_target", 6).alias("target"), (F.col("_size") * F.col("_copies")).cast("long").alias("taken"))
+    return m.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"),
+                    F.round("__mix_target", 6).alias("target"), (F.col("__mix_size") * F.col("__mix_copies")).cast("long").alias("taken"))
 
 
 @query("op5_suffix_levels")
@@ -82,6 +82,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+@query("op8_ngram_trie")
+def op8_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.score_documents(documents(spark, sf_dir))
+
+
 @query("op9_sigtree")
 def op9_sigtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.similar_groups(documents(spark, sf_dir))

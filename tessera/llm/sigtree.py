@@ -406,7 +406,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input without the documents of a group but its smallest id; same
-    columns. Documents without words and those without id stay."""
+    columns. Documents without words and those without id stay; rows that
+    repeat an id are one document and stay or go together."""
     groups = similar_groups(df, id_col, text_col)
-    gone = groups.filter("component_id is not null and doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    gone = groups.filter("component_id is not null and doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")

@@ -286,22 +286,35 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     return model
 
 
+def _scores(col, m: Model) -> np.ndarray:
+    out = [m.probability(*m.document_evidence(data, off)[2:]) for _, _, data, off in sliced(col)]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def score_documents(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The input with ``score`` and ``predicted`` (map-only)."""
-    names = df.columns
-    at = names.index(text_col)
+    """The input with ``score`` and ``predicted``, in place of columns of these
+    names (map-only)."""
+    src = df.drop("score", "predicted")
+    names, at = src.columns, src.columns.index(text_col)
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most LEXICON units of 16 bytes
-    schema = df.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
+    schema = src.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for rb in batches:
-            scores = []
-            for _, _, data, off in sliced(rb.column(at)):
-                _, _, first, every = m.document_evidence(data, off)
-                scores.append(m.probability(first, every))
-            s = np.concatenate(scores) if scores else np.zeros(0)
+            s = _scores(rb.column(at), shared.value)
             yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                                              [*names, "score", "predicted"])
 
-    return df.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema)
+
+
+def keep_clean(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores below one half; same columns (map-only)."""
+    at = df.columns.index(text_col)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            yield rb.filter(pa.array(_scores(rb.column(at), shared.value) < 0.5))
+
+    return df.mapInArrow(run, df.schema)
