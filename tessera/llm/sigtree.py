@@ -3,13 +3,16 @@
 Documents are sets of word shingles; two link when their Jaccard similarity
 reaches NUM/DEN. The result is exact.
 
-1. One pass gives every document its set's size and 64-bit set hash, and the
-   first floor(n/4) + 1 shingles in one global order (two sets that link share
-   one of them). Shingles that a sample of documents shows to be common come
+1. One pass gives every document its set's size and 64-bit set hash, another the
+   first floor(n/4) + c shingles in one global order, c = floor(n/16) + 1: of
+   two sets that link, the c-th common shingle is among them in either set, so
+   they share c (for the smaller set's c) or more. Shingles that a sample of documents shows to be common come
    last in the order, so that shared passages and license lines do not make
    candidates; the sample touches speed only. Equal sets are one class from here.
-2. A shuffle on the shingle puts classes that share one side by side, by size;
-   neighbours whose sizes allow a link are joined. The components of these
+2. A shuffle on the shingle puts classes that share one side by side, by size.
+   Where up to ``FEW`` do, each pair whose sizes allow a link counts one, and a
+   pair with c counts is a candidate (chance meetings have fewer); where more
+   do, neighbours by size are joined without counting. The components of these
    candidate links are blocks: no link crosses them. Classes alone are done.
 3. The texts of one member of each class that is left are fetched (a bitmap of
    fixed size, broadcast, keeps the rest out of the shuffle) and dealt by block.
@@ -27,7 +30,8 @@ reaches NUM/DEN. The result is exact.
 
 Blocks over ``BLOCK_SETS`` sets or ``BLOCK_TOKENS`` shingles are cut into pages
 and every pair of pages is a task of its own, so no task holds more than that
-(plus one set, if it alone is larger).
+(plus one set, if it alone is larger); the number of tasks grows with the square
+of such a block's pages.
 
 Nulls and texts without words are empty sets, linked with nothing (they are
 components of their own id). A null id takes part by its text; where all ids of
@@ -52,9 +56,11 @@ K = 5
 NUM, DEN = 75, 100
 LEAF, FAN = 32, 8
 BLOCK_SETS, BLOCK_TOKENS = 40_000, 6_000_000
-SAMPLE = 50_000
+SAMPLE = 20_000
 COMMON = 3
 COMMON_MOST = 1 << 18
+EXTRA = 16   # leading shingles beyond the quarter: n // EXTRA, and so many must be shared
+FEW = 16     # classes with a shingle up to which pairs are counted
 BITMAP = 1 << 23
 NO_ID = -(1 << 63)
 _U = np.uint64
@@ -81,8 +87,20 @@ def set_hashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix((sums[ends[1:]] - sums[ends[:-1]]) + n.astype(np.uint64) * _U(0x9E6C63D0876A9A35))
 
 
-def _profiles(docs: DataFrame, common: np.ndarray, k: int) -> DataFrame:
-    """(id, n, s, lead): size, set hash and leading shingles of every document."""
+def _profiles(docs: DataFrame, k: int) -> DataFrame:
+    """(id, n, s): size and set hash of every document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for a, b, data, off in sliced(rb.column(1)):
+                h, n = shingle_sets(data, off, k)
+                yield pa.RecordBatch.from_arrays([rb.column(0).slice(a, b - a), pa.array(n.astype(np.int64)),
+                                                  pa.array(set_hashes(h, n).view(np.int64))], ["id", "n", "s"])
+
+    return docs.mapInArrow(run, "id long, n long, s long")
+
+
+def _leading(docs: DataFrame, common: np.ndarray, k: int) -> DataFrame:
+    """(h, n, s): the leading shingles of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON_MOST hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,22 +108,18 @@ def _profiles(docs: DataFrame, common: np.ndarray, k: int) -> DataFrame:
         for rb in batches:
             for a, b, data, off in sliced(rb.column(1)):
                 h, n = shingle_sets(data, off, k)
+                s = set_hashes(h, n).view(np.int64)
                 doc = np.repeat(np.arange(b - a), n)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                s = set_hashes(h, n)
                 order = np.arange(len(h))
                 if len(late):
                     at = np.minimum(np.searchsorted(late, h), len(late) - 1)
                     order = np.lexsort((h, late[at] == h, doc))
-                lead = np.where(n > 0, n // 4 + 1, 0)
-                place = np.arange(len(h)) - np.repeat(ends[:-1], n)
-                first = h[order][place < np.repeat(lead, n)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lead)]).astype(np.int32)),
-                                                 pa.array(first.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rb.column(0).slice(a, b - a), pa.array(n.astype(np.int64)),
-                                                  pa.array(s.view(np.int64)), lists], ["id", "n", "s", "lead"])
+                place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                first = place < np.repeat(n // 4 + n // EXTRA + 1, n)
+                yield pa.RecordBatch.from_arrays([pa.array(h[order][first].view(np.int64)), pa.array(n[doc[first]].astype(np.int64)),
+                                                  pa.array(s[doc[first]])], ["h", "n", "s"])
 
-    return docs.mapInArrow(run, "id long, n long, s long, lead array<long>")
+    return docs.select("id", "text").mapInArrow(run, "h long, n long, s long")
 
 
 def _common(docs: DataFrame, rows: int, k: int) -> np.ndarray:
@@ -123,26 +137,62 @@ def _common(docs: DataFrame, rows: int, k: int) -> np.ndarray:
     return np.sort(top["h"].to_numpy().view(np.uint64))
 
 
-def _candidates(profiles: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that share a leading shingle and are
-    neighbours by size among those that do."""
-    rows = (profiles.filter("n > 0").select("s", "n", F.explode("lead").alias("h"))
-            .repartition(F.col("h")).sortWithinPartitions("h", "n", "s"))
+def _candidates(leading: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that share enough leading shingles."""
+    rows = leading.repartition(F.col("h")).sortWithinPartitions("h", "n", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        held, large = [np.zeros(0, np.int64)] * 3, None  # rows of a group that may go on; a group known to be large
+
+        def links(h, n, s) -> pa.RecordBatch:
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.append(start, len(h)))
+            many = np.repeat(size > FEW, size)
+            if large is not None:
+                many |= h == large
+            out = []
+            for d in range(1, FEW):
+                ok = (h[d:] == h[:-d]) & (NUM * n[d:] <= DEN * n[:-d]) & ((d == 1) | ~many[:-d])
+                at = np.flatnonzero(ok)
+                if not len(at):
+                    break
+                out.append(np.stack([s[at], s[at + d], np.where(many[at], 1 << 40, 1), n[at]]))
+            a, b, c, least = np.concatenate(out, 1) if out else np.zeros((4, 0), np.int64)
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            key = mix(a.view(np.uint64)) * _U(3) + mix(b.view(np.uint64))
+            _, first, back = np.unique(key, return_index=True, return_inverse=True)
+            total = np.bincount(back, weights=c, minlength=len(first)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], total, least[first])], ["a", "b", "c", "n"])
+
         for rb in batches:
-            h, n, s = (rb.column(i).to_numpy() for i in range(3))
-            if last is not None:
-                h, n, s = np.append(last[0], h), np.append(last[1], n), np.append(last[2], s)
+            h, n, s = (np.append(x, rb.column(i).to_numpy()) for i, x in enumerate(held))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+            h, n, s = h[new], n[new], s[new]  # copies are one class
             if not len(h):
                 continue
-            hit = (h[1:] == h[:-1]) & (s[1:] != s[:-1]) & (NUM * n[1:] <= DEN * n[:-1])
-            pair = np.unique(np.stack([s[:-1][hit], s[1:][hit]], 1), axis=0)
-            last = h[-1:], n[-1:], s[-1:]
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-    return rows.select("h", "n", "s").mapInArrow(run, "a long, b long").distinct()
+            cut = int(np.searchsorted(h, h[-1]))
+            if len(h) - cut > FEW or (large is not None and h[-1] == large):
+                before, large = large, h[-1]  # go on from the last row, as a large group
+                if before is not None and before != large and (h == before).any():
+                    stop = int(np.searchsorted(h, before, "right"))
+                    large, tail = before, h[-1]
+                    yield links(h[:stop], n[:stop], s[:stop])
+                    large = tail
+                    h, n, s = h[stop:], n[stop:], s[stop:]
+                yield links(h, n, s)
+                held = [h[-1:], n[-1:], s[-1:]]
+            else:
+                if cut:
+                    yield links(h[:cut], n[:cut], s[:cut])
+                held = [h[cut:], n[cut:], s[cut:]]
+                large = None
+        if len(held[0]):
+            yield links(*held)
+
+    pairs = rows.select("h", "n", "s").mapInArrow(run, "a long, b long, c long, n long")
+    return (pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("n").alias("n"))
+            .filter(F.col("c") > F.floor(F.col("n") / EXTRA)).select("a", "b"))
 
 
 class Forest:
@@ -369,11 +419,11 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = f"{ensure_checkpoint_dir(spark)}/sigtree-{uuid.uuid4().hex}"
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     common = _common(docs, docs.count(), k)
-    made = _profiles(docs, common, k)
+    made = _profiles(docs, k)
     made.write.parquet(f"{base}/profiles")
     profiles = spark.read.schema(made.schema).parquet(f"{base}/profiles")
 
-    blocks = components(_candidates(profiles))
+    blocks = components(_candidates(_leading(docs, common, k)))
     known = F.nullif(F.col("id"), F.lit(NO_ID))
     classes = (profiles.filter("n > 0").groupBy("s").agg(F.max("n").alias("n"), F.min(known).alias("least"), F.max("id").alias("any"))
                .withColumn("id", F.coalesce("least", "any")))
