@@ -11,8 +11,9 @@ reaches NUM/DEN. The result is exact.
    candidates; the sample touches speed only. Equal sets are one class from here.
 2. A shuffle on the shingle puts classes that share one side by side, by size.
    Where up to ``FEW`` do, each pair whose sizes allow a link counts one, and a
-   pair with c counts is a candidate (chance meetings have fewer); where more
-   do, neighbours by size are joined without counting. The components of these
+   pair with c/2 counts is a candidate (chance meetings have fewer); where more
+   do, neighbours by size are joined, among the classes that meet so many at c/2
+   of their shingles or more - a pair without them has its c/2 counts elsewhere. The components of these
    candidate links are blocks: no link crosses them. Classes alone are done.
 3. The texts of one member of each class that is left are fetched (a bitmap of
    fixed size, broadcast, keeps the rest out of the shuffle) and dealt by block.
@@ -137,33 +138,29 @@ def _common(docs: DataFrame, rows: int, k: int) -> np.ndarray:
     return np.sort(top["h"].to_numpy().view(np.uint64))
 
 
-def _candidates(leading: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that share enough leading shingles."""
+def _meetings(leading: DataFrame) -> DataFrame:
+    """Classes that meet at a leading shingle: (a, b, c, n) - pairs, how often
+    they met and the smaller size - where up to ``FEW`` do, else (shingle, class,
+    -1, size) for every class."""
     rows = leading.repartition(F.col("h")).sortWithinPartitions("h", "n", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large = [np.zeros(0, np.int64)] * 3, None  # rows of a group that may go on; a group known to be large
+        names = ["a", "b", "c", "n"]
 
-        def links(h, n, s) -> pa.RecordBatch:
-            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            size = np.diff(np.append(start, len(h)))
-            many = np.repeat(size > FEW, size)
-            if large is not None:
-                many |= h == large
-            out = []
+        def pairs(h, n, s) -> pa.RecordBatch:
+            out = [np.zeros((3, 0), np.int64)]
             for d in range(1, FEW):
-                ok = (h[d:] == h[:-d]) & (NUM * n[d:] <= DEN * n[:-d]) & ((d == 1) | ~many[:-d])
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    break
-                out.append(np.stack([s[at], s[at + d], np.where(many[at], 1 << 40, 1), n[at]]))
-            a, b, c, least = np.concatenate(out, 1) if out else np.zeros((4, 0), np.int64)
+                at = np.flatnonzero((h[d:] == h[:-d]) & (NUM * n[d:] <= DEN * n[:-d]))
+                out.append(np.stack([s[at], s[at + d], n[at]]))
+            a, b, least = np.concatenate(out, 1)
             a, b = np.minimum(a, b), np.maximum(a, b)
-            key = mix(a.view(np.uint64)) * _U(3) + mix(b.view(np.uint64))
-            _, first, back = np.unique(key, return_index=True, return_inverse=True)
-            total = np.bincount(back, weights=c, minlength=len(first)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], total, least[first])], ["a", "b", "c", "n"])
+            _, first, count = np.unique(mix(a.view(np.uint64)) * _U(3) + mix(b.view(np.uint64)), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], count, least[first])], names)
+
+        def crowd(h, n, s) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), pa.array(np.full(len(h), -1)), pa.array(n)], names)
 
+        held, large = [np.zeros(0, np.int64)] * 3, None  # the last group's rows, or its last row once it is known to be large
         for rb in batches:
             h, n, s = (np.append(x, rb.column(i).to_numpy()) for i, x in enumerate(held))
             new = np.ones(len(h), bool)
@@ -171,28 +168,54 @@ def _candidates(leading: DataFrame) -> DataFrame:
             h, n, s = h[new], n[new], s[new]  # copies are one class
             if not len(h):
                 continue
-            cut = int(np.searchsorted(h, h[-1]))
-            if len(h) - cut > FEW or (large is not None and h[-1] == large):
-                before, large = large, h[-1]  # go on from the last row, as a large group
-                if before is not None and before != large and (h == before).any():
-                    stop = int(np.searchsorted(h, before, "right"))
-                    large, tail = before, h[-1]
-                    yield links(h[:stop], n[:stop], s[:stop])
-                    large = tail
-                    h, n, s = h[stop:], n[stop:], s[stop:]
-                yield links(h, n, s)
-                held = [h[-1:], n[-1:], s[-1:]]
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.repeat(np.diff(np.append(start, len(h))), np.diff(np.append(start, len(h))))
+            many = size > FEW
+            if large is not None:
+                many |= h == large
+            last = h == h[-1]
+            go_on = last & ~many
+            if many.any():
+                # the row held back from a large group has been told already
+                tell = many.copy()
+                if large is not None and h[0] == large:
+                    tell[0] = False
+                yield crowd(h[tell], n[tell], s[tell])
+            small = ~many & ~go_on
+            if small.any():
+                yield pairs(h[small], n[small], s[small])
+            if many[-1]:
+                large, held = h[-1], [h[-1:], n[-1:], s[-1:]]
             else:
-                if cut:
-                    yield links(h[:cut], n[:cut], s[:cut])
-                held = [h[cut:], n[cut:], s[cut:]]
-                large = None
-        if len(held[0]):
-            yield links(*held)
+                large, held = None, [h[go_on], n[go_on], s[go_on]]
+        if large is None and len(held[0]):
+            yield pairs(*held)
+
+    return rows.select("h", "n", "s").mapInArrow(run, "a long, b long, c long, n long")
+
+
+def _candidates(meet: DataFrame) -> DataFrame:
+    """Links (a, b). Sets that link meet at c shingles or more (c for the
+    smaller one). Classes that meet many at fewer than c/2 of their shingles
+    can only link where they also met c/2 times as a counted pair; the others
+    are joined, shingle by shingle, to their neighbours by size among such."""
+    counted = (meet.filter("c > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("n").alias("n"))
+               .filter(2 * F.col("c") > F.floor(F.col("n") / EXTRA)).select("a", "b"))
+    crowds = meet.filter("c < 0").select(F.col("a").alias("h"), F.col("b").alias("s"), "n")
+    often = (crowds.groupBy("s").agg(F.count(F.lit(1)).alias("l"), F.min("n").alias("m"))
+             .filter(2 * F.col("l") > F.floor(F.col("m") / EXTRA)).select("s"))
+    rows = crowds.join(often, "s").select("h", "n", "s").repartition(F.col("h")).sortWithinPartitions("h", "n", "s")
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [np.zeros(0, np.int64)] * 3
+        for rb in batches:
+            h, n, s = (np.append(x, rb.column(i).to_numpy()) for i, x in enumerate(last))
+            at = np.flatnonzero((h[1:] == h[:-1]) & (s[1:] != s[:-1]) & (NUM * n[1:] <= DEN * n[:-1]))
+            pair = np.unique(np.stack([np.minimum(s[at], s[at + 1]), np.maximum(s[at], s[at + 1])], 1), axis=0)
+            last = [h[-1:], n[-1:], s[-1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    pairs = rows.select("h", "n", "s").mapInArrow(run, "a long, b long, c long, n long")
-    return (pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("n").alias("n"))
-            .filter(F.col("c") > F.floor(F.col("n") / EXTRA)).select("a", "b"))
+    return counted.unionAll(rows.mapInArrow(chain, "a long, b long")).distinct()
 
 
 class Forest:
@@ -423,7 +446,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     made.write.parquet(f"{base}/profiles")
     profiles = spark.read.schema(made.schema).parquet(f"{base}/profiles")
 
-    blocks = components(_candidates(_leading(docs, common, k)))
+    meet = _meetings(_leading(docs, common, k))
+    meet.write.parquet(f"{base}/meetings")
+    blocks = components(_candidates(spark.read.schema(meet.schema).parquet(f"{base}/meetings")))
     known = F.nullif(F.col("id"), F.lit(NO_ID))
     classes = (profiles.filter("n > 0").groupBy("s").agg(F.max("n").alias("n"), F.min(known).alias("least"), F.max("id").alias("any"))
                .withColumn("id", F.coalesce("least", "any")))
