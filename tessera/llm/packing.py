@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -256,8 +257,9 @@ def pack(df: DataFrame, path: str | None = None, weights: dict | None = None, id
     begins = (tokens.groupBy("slot", "q").agg(F.sum("n_tokens").alias("n"))
               .select("slot", "q", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("at")))
 
-    def run(docs: pa.Table, at: pa.Table) -> pa.Table:
-        docs = docs.combine_chunks()
+    def run(rows_of_slot: pa.Table) -> pa.Table:
+        t = rows_of_slot.combine_chunks()
+        at, docs = t.filter(pc.is_null(t["ids"])), t.filter(pc.is_valid(t["ids"]))
         ids, blobs = docs["doc_id"].to_pylist(), [x.as_py() for x in docs["ids"]]
         queue = docs["q"].to_pylist()
         place = dict(zip(at["q"].to_pylist(), at["at"].to_pylist()))
@@ -272,6 +274,10 @@ def pack(df: DataFrame, path: str | None = None, weights: dict | None = None, id
         return pa.table([docs["doc_id"].take(at), *[pa.array(c) for c in cols[1:]], docs["queue"].take(at)],
                         ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_queue"])
 
-    return tokens.groupBy("slot").cogroup(begins.groupBy("slot")).applyInArrow(
+    # a slot's queue places ride along as rows without ids
+    heads = begins.select("slot", "q", F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("string").alias("queue"),
+                          F.lit(None).cast("binary").alias("ids"), "at")
+    rows = tokens.select("slot", "q", "doc_id", "queue", "ids", F.lit(None).cast("long").alias("at")).unionAll(heads)
+    return rows.groupBy("slot").applyInArrow(
         run, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
              "offset long, source_queue string")
