@@ -3,9 +3,8 @@
 * Pearson: every pair's r and complete-case n in ONE aggregate.
 * Contingency tables for all categorical pairs in ONE pass: rows are
   exploded to (pair, a, b) and counted with a map-side-combined groupBy, so
-  a hot value costs one record per task. The full r x c grid (zero cells
-  included) is the cross product of each pair's marginals, built only for
-  pairs whose r x c is under ``max_cells``; larger pairs are reported skipped.
+  a hot value costs one record per task. Only observed cells are joined to
+  their marginals, so no r x c grid is built, whatever the number of values.
 * p-values come from a pandas UDF over the pairs table (size bounded by the
   schema); Benjamini-Hochberg is a window over that same small table.
 """
@@ -62,10 +61,15 @@ def contingency_cells(df: DataFrame, pairs: list[tuple[int, str, str]]) -> DataF
 
 
 def chi_square_pairs(df: DataFrame, cols: list[str] | None = None, min_n: int = MIN_N,
-                     max_cells: int = 10000, with_p: bool = True) -> DataFrame:
+                     with_p: bool = True) -> DataFrame:
     """Chi-square over all cells of each pair's table (zero cells included;
     Yates' correction when the table is 2 x 2), Cramer's V, p; pairs with
-    n >= 10 and at least 2 values on each side."""
+    n >= 10 and at least 2 values on each side.
+
+    Only observed cells are joined to their marginals: an empty cell adds its
+    expected count e, and all e sum to n, so together they add n less the e of
+    the observed ones. In a 2 x 2 table every |o - e| is the same and 1/e sums to
+    n^3 over the product of the four marginals."""
     spark = df.sparkSession
     cols = cols if cols is not None else text_columns(df)
     pairs = pair_list(cols)
@@ -74,39 +78,36 @@ def chi_square_pairs(df: DataFrame, cols: list[str] | None = None, min_n: int =
                                          "n long, n_rows int, n_cols int, cramers_v double")
     names = spark.createDataFrame(pairs, "pair_idx int, feature1 string, feature2 string")
     cells = contingency_cells(df, pairs)
-    rows_m = cells.groupBy("pair_idx", "a").agg(F.sum("o").alias("rt"))
-    cols_m = cells.groupBy("pair_idx", "b").agg(F.sum("o").alias("ct"))
-    shape = (rows_m.groupBy("pair_idx").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("rt").alias("n"))
-                   .join(cols_m.groupBy("pair_idx").agg(F.count(F.lit(1)).alias("n_cols")), "pair_idx"))
-    ok = shape.filter((F.col("n") >= min_n) & (F.col("n_rows") >= 2) & (F.col("n_cols") >= 2)
-                      & (F.col("n_rows") * F.col("n_cols") <= max_cells))
-    grid = (rows_m.join(ok.select("pair_idx", "n", "n_rows", "n_cols"), "pair_idx")
-                  .join(cols_m, "pair_idx")
-                  .join(cells, ["pair_idx", "a", "b"], "left")
-                  .withColumn("o", F.coalesce("o", F.lit(0))))
+    rows_m = cells.groupBy("pair_idx", "a").agg(F.sum("o").cast("double").alias("rt"))
+    cols_m = cells.groupBy("pair_idx", "b").agg(F.sum("o").cast("double").alias("ct"))
+    shape = (rows_m.groupBy("pair_idx").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("rt").alias("n"),
+                                            (F.min("rt") * F.max("rt")).alias("r_prod"))
+                   .join(cols_m.groupBy("pair_idx").agg(F.count(F.lit(1)).alias("n_cols"),
+                                                        (F.min("ct") * F.max("ct")).alias("c_prod")), "pair_idx"))
+    ok = shape.filter((F.col("n") >= min_n) & (F.col("n_rows") >= 2) & (F.col("n_cols") >= 2))
     e = F.col("rt") * F.col("ct") / F.col("n")
-    dev = F.abs(F.col("o") - e)
-    yates = (F.col("n_rows") == 2) & (F.col("n_cols") == 2)
-    dev = F.when(yates, dev - F.least(F.lit(0.5), dev)).otherwise(dev)
-    stat = grid.groupBy("pair_idx", "n", "n_rows", "n_cols").agg(F.sum(dev * dev / e).alias("chi2"))
-    out = (stat.join(F.broadcast(names), "pair_idx")  # one row per column pair
+    seen = (cells.join(F.broadcast(ok), "pair_idx")  # one row per column pair
+                 .join(rows_m, ["pair_idx", "a"]).join(cols_m, ["pair_idx", "b"])
+                 .withColumn("e", e).withColumn("dev", F.abs(F.col("o") - F.col("e"))))
+    stat = seen.groupBy("pair_idx", "n", "n_rows", "n_cols", "r_prod", "c_prod").agg(
+        F.sum(F.col("dev") * F.col("dev") / F.col("e")).alias("part"), F.sum("e").alias("e_seen"),
+        F.max("dev").alias("dev"), F.count(F.lit(1)).alias("n_seen"))
+    n = F.col("n")
+    unseen = F.when(F.col("n_seen") == F.col("n_rows") * F.col("n_cols"), 0.0).otherwise(
+        F.greatest(F.lit(0.0), n - F.col("e_seen")))
+    cut = F.col("dev") - F.least(F.lit(0.5), F.col("dev"))
+    yates = cut * cut * n / F.col("r_prod") * n / F.col("c_prod") * n
+    chi2 = F.when((F.col("n_rows") == 2) & (F.col("n_cols") == 2), yates).otherwise(F.col("part") + unseen)
+    out = (stat.withColumn("chi2", chi2).join(F.broadcast(names), "pair_idx")  # one row per column pair
                .select("pair_idx", "feature1", "feature2", "chi2",
-                       ((F.col("n_rows") - 1) * (F.col("n_cols") - 1)).cast("int").alias("dof"), "n",
+                       ((F.col("n_rows") - 1) * (F.col("n_cols") - 1)).cast("int").alias("dof"), n.cast("long").alias("n"),
                        F.col("n_rows").cast("int").alias("n_rows"), F.col("n_cols").cast("int").alias("n_cols"),
-                       F.sqrt(F.col("chi2") / (F.col("n") * (F.least("n_rows", "n_cols") - 1))).alias("cramers_v")))
+                       F.sqrt(F.col("chi2") / (n * (F.least("n_rows", "n_cols") - 1))).alias("cramers_v")))
     if with_p:
         out = out.withColumn("p_value", chi2_sf_udf(F.col("chi2"), F.col("dof")))
     return out
 
 
-def skipped_pairs(df: DataFrame, cols: list[str], max_cells: int = 10000) -> DataFrame:
-    """Pairs whose table would exceed ``max_cells`` (reported, not tested)."""
-    pairs = pair_list(cols)
-    cells = contingency_cells(df, pairs)
-    r = cells.groupBy("pair_idx").agg(F.count_distinct("a").alias("n_rows"), F.count_distinct("b").alias("n_cols"))
-    return r.filter(F.col("n_rows") * F.col("n_cols") > max_cells)
-
-
 # ------------------------------------------------------------------ COR-5
 def fdr_bh(tests: DataFrame, p_col: str = "p_value", order_cols: list[str] | None = None) -> DataFrame:
     """Benjamini-Hochberg adjusted p: min over k >= rank of p_(k) m / k,
@@ -134,12 +135,11 @@ def fdr_bh(tests: DataFrame, p_col: str = "p_value", order_cols: list[str] | Non
     return out.withColumn("p_adjusted", adj).drop("_pid", "_pos", "_rank", "_v", "_later")
 
 
-def correlation_report(df: DataFrame, num_cols: list[str] | None = None, cat_cols: list[str] | None = None,
-                       max_cells: int = 10000) -> DataFrame:
+def correlation_report(df: DataFrame, num_cols: list[str] | None = None, cat_cols: list[str] | None = None) -> DataFrame:
     """COR-1..5 together: numeric and categorical tests, BH over all p-values
     (rounded to 4 dp) when there are more than 20 tests."""
     num = pearson_pairs(df, num_cols).select("feature1", "feature2", "correlation", "p_value", "method", "n")
-    cat = chi_square_pairs(df, cat_cols, max_cells=max_cells).select(
+    cat = chi_square_pairs(df, cat_cols).select(
         "feature1", "feature2", F.round("cramers_v", 4).alias("correlation"), F.round("p_value", 4).alias("p_value"),
         F.lit("cramers_v").alias("method"), "n")
     tests = num.unionByName(cat).withColumn("test_idx", F.monotonically_increasing_id())

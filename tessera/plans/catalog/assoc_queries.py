@@ -77,6 +77,22 @@ def cramers_v(spark, sf):
     return out.select("feature1", "feature2", F.round("cramers_v", 4).alias("cramers_v"))
 
 
+@query("chi_square_large", """
+WITH t AS (SELECT CAST(l_partkey AS VARCHAR) AS a, CAST(l_suppkey AS VARCHAR) AS b FROM lineitem),
+     c AS (SELECT a, b, count(*) AS o FROM t WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2),
+     r AS (SELECT a, sum(o) AS rt FROM c GROUP BY 1), k AS (SELECT b, sum(o) AS ct FROM c GROUP BY 1),
+     n AS (SELECT CAST(sum(o) AS DOUBLE) AS n FROM c)
+SELECT 'partkey' AS feature1, 'suppkey' AS feature2,
+       round(max(n.n) * (sum(CAST(o AS DOUBLE) * o / (CAST(rt AS DOUBLE) * ct)) - 1), 2) AS chi2,
+       CAST((count(DISTINCT c.a) - 1) * (count(DISTINCT c.b) - 1) AS INTEGER) AS dof
+FROM c JOIN r USING (a) JOIN k USING (b), n
+""")
+def chi_square_large(spark, sf):
+    keys = load(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("partkey"),
+                                              F.col("l_suppkey").cast("string").alias("suppkey"))
+    return assoc.chi_square_pairs(keys, with_p=False).select("feature1", "feature2", F.round("chi2", 2).alias("chi2"), "dof")
+
+
 @query("chi_square_pvalues")
 def chi_square_pvalues(spark, sf):
     return round_doubles(assoc.chi_square_pairs(_cat_frame(spark, sf), CAT), 6)
