@@ -40,15 +40,15 @@ def landing_report(spark, sf):
 _REPAIR_NAMES = ["partkey", "name", "brand", "type"]
 
 
-def _malformed_part(spark, sf):
+def _malformed_part(spark, sf, sep=","):
     """Lines of part as CSV text: an extra field when p_size % 10 = 0, the
     last field missing when p_size % 10 = 1; names quoted with an escaped quote."""
     pt = load(spark, sf, "part")
     name = F.concat(F.lit('"'), F.col("p_name"), F.lit(' ""q"""'))
-    base = F.concat_ws(",", F.col("p_partkey").cast("string"), name, F.col("p_brand"))
-    line = (F.when(F.col("p_size") % 10 == 0, F.concat_ws(",", base, F.col("p_type"), F.lit("extra")))
+    base = F.concat_ws(sep, F.col("p_partkey").cast("string"), name, F.col("p_brand"))
+    line = (F.when(F.col("p_size") % 10 == 0, F.concat_ws(sep, base, F.col("p_type"), F.lit("extra")))
              .when(F.col("p_size") % 10 == 1, base)
-             .otherwise(F.concat_ws(",", base, F.concat(F.lit("  "), F.col("p_type")))))
+             .otherwise(F.concat_ws(sep, base, F.concat(F.lit("  "), F.col("p_type")))))
     path = landing.scratch_path(spark, "part-text")
     pt.select(line.alias("value")).write.text(path)
     return path
@@ -74,16 +74,42 @@ def csv_repair_counts(spark, sf):
     return counts
 
 
-@query("csv_rejects", """
+@query("csv_good_rows", """
 SELECT CAST(p_partkey AS VARCHAR) AS partkey, p_name || ' "q"' AS name, p_brand AS brand,
        CASE WHEN p_size % 10 = 1 THEN NULL ELSE p_type END AS type
 FROM part WHERE p_size % 10 <> 0
 """)
-def csv_rejects(spark, sf):
+def csv_good_rows(spark, sf):
     good, _ = readers.read_csv_tolerant(spark, _malformed_part(spark, sf), names=_REPAIR_NAMES)
     return good
 
 
+@query("csv_rejects", '''
+SELECT p_partkey || ',"' || p_name || ' ""q""",' || p_brand || ',' || p_type || ',extra' AS raw_line
+FROM part WHERE p_size % 10 = 0
+''')
+def csv_rejects(spark, sf):
+    _, bad = readers.read_csv_tolerant(spark, _malformed_part(spark, sf), names=_REPAIR_NAMES)
+    return bad
+
+
+@query("csv_repair_counts_semicolon", """
+SELECT CASE WHEN p_size % 10 = 0 THEN 'truncated' WHEN p_size % 10 = 1 THEN 'padded' ELSE 'ok' END AS reason,
+       count(*) AS rows
+FROM part GROUP BY 1
+""")
+def csv_repair_counts_semicolon(spark, sf):
+    _, counts = readers.repair_csv(spark, _malformed_part(spark, sf, ";"), sep=";", names=_REPAIR_NAMES)
+    return counts
+
+
+@query("json_source", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
+def json_source(spark, sf):
+    path = landing.scratch_path(spark, "orders-json") + ".json"
+    load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").write.json(path)
+    return readers.read_source(spark, path)
+
+
 @query("landing_inventory", """
 SELECT 'orders' AS dataset, count(*) AS rows, 6 AS columns FROM orders
 UNION ALL SELECT 'customer', count(*), 5 FROM customer

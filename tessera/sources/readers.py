@@ -16,8 +16,6 @@ from tessera.columns import q, sanitize_name, unique_names
 from tessera.operators.quality import empty_columns
 
 CORRUPT = "_corrupt_record"
-# commas outside double quotes (lookahead: an even number of quotes follows)
-_SPLIT_OUTSIDE_QUOTES = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def _fmt(path: str) -> str:
@@ -63,8 +61,17 @@ def read_csv_with_corrupt(spark: SparkSession, path: str, sep: str = ",",
     return df, header
 
 
-def _token_count(raw) -> F.Column:
-    return F.size(F.split(raw, _SPLIT_OUTSIDE_QUOTES))
+def _token_count(raw, sep: str) -> F.Column:
+    """Fields of a line: separators left once the quoted parts are gone, plus one."""
+    bare = F.regexp_replace(raw, '"[^"]*"', "")
+    return F.floor((F.length(bare) - F.length(F.replace(bare, F.lit(sep)))) / len(sep)) + 1
+
+
+def _raw_line(header: list[str]) -> F.Column:
+    """The corrupt-record column, tied to every data column: the parser flags
+    mis-sized rows only when it parses the full width, whatever is selected
+    later (and it refuses scans of the corrupt column alone)."""
+    return F.concat(F.col(CORRUPT), *[F.substring(F.coalesce(q(c), F.lit("")), 1, 0) for c in header])
 
 
 def read_csv_tolerant(spark: SparkSession, path: str, sep: str = ",",
@@ -72,11 +79,9 @@ def read_csv_tolerant(spark: SparkSession, path: str, sep: str = ",",
     """SRC-2: (good rows, rejected rows). Like skipping bad lines: a line with
     more fields than the header is rejected; a short line is kept, padded."""
     df, header = read_csv_with_corrupt(spark, path, sep, names)
-    n = len(header)
-    too_long = F.col(CORRUPT).isNotNull() & (_token_count(F.col(CORRUPT)) > n)
-    good = df.filter(~too_long).drop(CORRUPT)
-    bad = df.filter(too_long).select(F.col(CORRUPT).alias("raw_line"))
-    return good, bad
+    raw = _raw_line(header)
+    too_long = raw.isNotNull() & (_token_count(raw, sep) > len(header))
+    return df.filter(~too_long).drop(CORRUPT), df.filter(too_long).select(raw.alias("raw_line"))
 
 
 def repair_csv(spark: SparkSession, path: str, sep: str = ",",
@@ -86,12 +91,9 @@ def repair_csv(spark: SparkSession, path: str, sep: str = ",",
     Returns (table, counts of repairs by reason)."""
     df, header = read_csv_with_corrupt(spark, path, sep, names)
     n = len(header)
-    tok = _token_count(F.col(CORRUPT))
-    # every data column is referenced: the parser flags mis-sized rows only
-    # when it parses the full width (and refuses corrupt-column-only scans)
-    ok = F.concat(F.lit("ok"), *[F.substring(F.coalesce(F.col(c), F.lit("")), 1, 0) for c in header])
-    reason = (F.when(F.col(CORRUPT).isNull(), ok).when(tok > n, "truncated").when(tok < n, "padded")
-               .otherwise("malformed"))
+    raw = _raw_line(header)
+    tok = _token_count(raw, sep)
+    reason = (F.when(raw.isNull(), "ok").when(tok > n, "truncated").when(tok < n, "padded").otherwise("malformed"))
     counts = df.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
     table = post_process(df.drop(CORRUPT))
     return table, counts
