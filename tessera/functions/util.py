@@ -21,15 +21,13 @@ def safe_div(num, den):
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when the input has
-    fewer partitions than that - only for CPU-heavy row work (regex over
-    long texts, Python scoring). Inputs that already come in many splits
-    (any large table) pass through untouched, so no shuffle is added there."""
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism * per_core
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+    """Round-robin the rows over the cluster's cores when the input lies in
+    fewer files than that - only for CPU-heavy row work (regex over long texts,
+    Python scoring). Inputs of many files (any large table) pass through
+    untouched, so no shuffle is added there. Files are read from the plan: no
+    job runs to decide, and the rows are the same either way."""
+    target = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df if len(df.inputFiles()) >= target else df.repartition(target)
 
 
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

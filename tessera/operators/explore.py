@@ -14,6 +14,7 @@ PCA to 90 % variance, isolation-forest anomaly flags.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -60,8 +61,8 @@ def vector_matrix(df: DataFrame, array_col: str, keep: list[str] | None = None,
 
 
 # ------------------------------------------------------------------ ML-2
-def kmeans_best_k(features: DataFrame, k_max: int = 10, seed: int = SEED, max_iter: int = 20,
-                  n_init: int = 1) -> tuple[DataFrame, DataFrame]:
+def kmeans_best_k(features: DataFrame, k_max: int = 10, seed: int = SEED, max_iter: int = 300,
+                  n_init: int = 10) -> tuple[DataFrame, DataFrame]:
     """k from 2 to min(11, n // 10) - 1; best silhouette (Spark's squared
     Euclidean form). ``n_init`` k-means|| starts per k (seeds seed, seed+1,
     ...), the lowest training cost kept. Returns (scores per k, cluster
@@ -77,8 +78,11 @@ def kmeans_best_k(features: DataFrame, k_max: int = 10, seed: int = SEED, max_it
     scores, best = [], None
     try:
         for k in ks:
-            fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(feats)
-                    for i in range(max(1, n_init))]
+            def fit(i, k=k):
+                return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(feats)
+
+            with ThreadPoolExecutor(4) as starts:  # independent jobs; the session schedules them
+                fits = list(starts.map(fit, range(max(1, n_init))))
             model = min(fits, key=lambda m: m.summary.trainingCost)
             pred = model.transform(feats)
             s = ev.evaluate(pred)

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from tessera.columns import is_datetime, is_numeric, numeric_columns, q
 from tessera.functions.quantiles import exact_quantiles, grouped_exact_quantiles
-from tessera.functions.util import with_row
+from tessera.functions.util import safe_div, with_row
 from tessera.plans.order import prefix_sums
 
 LOW_MISSING = 0.05
@@ -307,7 +307,7 @@ def completeness(df: DataFrame) -> DataFrame:
     """1 - nulls / (rows x columns), 4 dp (flag columns included)."""
     cols = df.columns
     z = sum((F.count_if(q(c).isNull()) for c in cols), F.lit(0))
-    return df.agg(F.round(1 - z / (F.count(F.lit(1)) * len(cols)), 4).alias("record_completeness"))
+    return df.agg(F.round(1 - safe_div(z, F.count(F.lit(1)) * len(cols)), 4).alias("record_completeness"))
 
 
 def run_imputation(df: DataFrame, group_col: str | None = None, exact: bool = True) -> ImputeResult:

@@ -130,7 +130,7 @@ def merge_tables(main: DataFrame, tables: list[tuple[str, DataFrame, str | None]
     merged = ["main"]
     for step, (name, other, key_hint) in enumerate(tables, start=1):
         key = choose_key(data.columns, other.columns, key_hint)
-        if key is None:
+        if key is None or other.isEmpty():
             continue
         # the duplicate and orphan checks read the key column only (pruned
         # scans), so re-reading beats materialising the whole right table

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.columns import numeric_columns, q
 from tessera.functions.quantiles import exact_quantiles
+from tessera.functions.util import safe_div
 from tessera.operators.impute import bin_index
 from tessera.operators.signals import KS_ACT, KS_WARN, PSI_ACT, PSI_WARN
 from tessera.plans.order import prefix_sums
@@ -69,8 +70,8 @@ def multi_ks(baseline: DataFrame, current: DataFrame, cols: list[str]) -> dict[s
                                    float(tot.get(i, (0, 0))[1])) for i in range(len(cols))],
                                  "c int, sa double, sb double, na double, nb double")
     ks = (cum.join(F.broadcast(meta), "c")  # one row per column
-             .groupBy("c").agg(F.max(F.abs((F.col("cum_a") - F.col("sa")) / F.col("na")
-                                           - (F.col("cum_b") - F.col("sb")) / F.col("nb"))).alias("ks"))
+             .groupBy("c").agg(F.max(F.abs(safe_div(F.col("cum_a") - F.col("sa"), F.col("na"))
+                                           - safe_div(F.col("cum_b") - F.col("sb"), F.col("nb")))).alias("ks"))
              .collect())
     return {cols[r["c"]]: r["ks"] for r in ks}
 
@@ -96,7 +97,7 @@ def drift_check(baseline: DataFrame, current: DataFrame, cols: list[str] | None
                 pa = ca[f"b{i}_{b}"] / ca[f"n{i}"] or 0.0001
                 pb = (cb[f"b{i}_{b}"] / cb[f"n{i}"] if cb[f"n{i}"] else 0.0) or 0.0001
                 p += (pb - pa) * math.log(pb / pa)
-        rows.append((c, float(p), float(ks.get(c, 0.0))))
+        rows.append((c, float(p), float(ks.get(c) or 0.0)))
     out = spark.createDataFrame(rows, "feature string, psi double, ks double")
     return out.select("feature", F.round("psi", 6).alias("psi"), F.round("ks", 6).alias("ks"),
                       drift_status(F.col("psi"), F.col("ks")).alias("status"))

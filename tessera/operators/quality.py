@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.columns import datetime_columns, is_datetime, ntz_literal, q
-from tessera.functions.util import with_row
+from tessera.functions.util import safe_div, with_row
 
 MISSING_WARN = 0.20
 INVERSION_WARN = 0.005
@@ -118,7 +118,7 @@ def future_dates(df: DataFrame, as_of: dt.datetime, cols: list[str] | None = Non
         F.struct(F.lit(c).alias("column"), F.col(str(i)).alias("future_dates"))
         for i, c in enumerate(cols)])).alias("r")).select("_n", "r.*")
     return long.select("column", "future_dates",
-                       F.round(F.col("future_dates") / F.col("_n"), 4).alias("future_pct"))
+                       F.round(safe_div(F.col("future_dates"), F.col("_n")), 4).alias("future_pct"))
 
 
 # ------------------------------------------------------------------ QC-7
@@ -213,8 +213,8 @@ def key_check(df: DataFrame, keys: list[str]) -> DataFrame:
             parts.append(F.struct(F.lit(k).alias("key"), dups.cast("long").alias("duplicates"),
                                   F.col(f"z{i}").cast("long").alias("nulls")))
         rows_df = agg.select("_n", F.explode(F.array(*parts)).alias("r")).select("_n", "r.*")
-        dpct = F.col("duplicates") / F.col("_n")
-        npct = F.col("nulls") / F.col("_n")
+        dpct = safe_div(F.col("duplicates"), F.col("_n"))
+        npct = safe_div(F.col("nulls"), F.col("_n"))
         res = rows_df.select(
             "key", "duplicates", F.round(dpct, 4).alias("duplicates_pct"), "nulls",
             F.round(npct, 4).alias("nulls_pct"),

@@ -92,10 +92,10 @@ def detect_text_columns(df: DataFrame, cols: list[str] | None = None) -> list[st
 
 # ------------------------------------------------------------------ TXT-2
 def language_counts(df: DataFrame, text_cols: list[str]) -> DataFrame:
-    """Letter counts over the first three text columns (all rows):
+    """Letter counts over all text columns and rows:
     Arabic-block characters, ASCII letters, other letters; and the language:
     Arabic > 0.7 ar, Latin > 0.7 en, both within 0.3..0.7 mixed, else unknown."""
-    cols = text_cols[:3]
+    cols = text_cols
     ar = sum((F.coalesce(F.sum(F.regexp_count(q(c), F.lit(ARABIC_RE))), F.lit(0)) for c in cols), F.lit(0))
     la = sum((F.coalesce(F.sum(F.regexp_count(q(c), F.lit("[A-Za-z]"))), F.lit(0)) for c in cols), F.lit(0))
     letters = sum((F.coalesce(F.sum(F.regexp_count(q(c), F.lit(r"\p{L}"))), F.lit(0)) for c in cols), F.lit(0))
