@@ -77,13 +77,18 @@ def kmeans_best_k(features: DataFrame, k_max: int = 10, seed: int = SEED, max_it
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     scores, best = [], None
     try:
-        for k in ks:
-            def fit(i, k=k):
-                return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(feats)
+        feats.count()  # cached once, before the starts share it
+
+        def fit(start):
+            k, i = start
+            return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(feats)
 
-            with ThreadPoolExecutor(4) as starts:  # independent jobs; the session schedules them
-                fits = list(starts.map(fit, range(max(1, n_init))))
-            model = min(fits, key=lambda m: m.summary.trainingCost)
+        # independent jobs, eight at a time
+        starts = [(k, i) for k in ks for i in range(max(1, n_init))]
+        with ThreadPoolExecutor(8) as pool:
+            models = list(zip(starts, pool.map(fit, starts)))
+        for k in ks:
+            model = min((m for (size, _), m in models if size == k), key=lambda m: m.summary.trainingCost)
             pred = model.transform(feats)
             s = ev.evaluate(pred)
             scores.append((k, float(s)))
