@@ -45,7 +45,8 @@ SLOT_TOKENS = 1 << 20
 QUEUES = 128
 TOKENIZER = "word_bpe_49k.json"
 MARK = "\x01"
-TABLE_WORDS = 1_500_000
+TABLE_BITS = 21
+TABLE_IDS = 1 << 24
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -54,9 +55,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordTable:
-    """Token ids of the distinct words a Python worker has met; started anew when it
-    holds ``TABLE_WORDS`` words, which bounds its memory. The tokenizer drops
-    white space and splits at it, so a text's ids are those of its words."""
+    """Token ids of words a Python worker has met. A word has one slot, by its
+    hash; a later word of the same slot takes its place, and the table starts
+    anew when its ids fill ``TABLE_IDS``, so its memory is bounded. The tokenizer
+    drops white space and splits at it, so a text's ids are those of its words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -67,33 +69,38 @@ class WordTable:
         self._clear()
 
     def _clear(self):
-        self.index: dict[int, int] = {}
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint16)
+        self.key = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.first, self.count = np.zeros(1 << TABLE_BITS, np.int64), np.zeros(1 << TABLE_BITS, np.int32)
+        self.pool, self.used = np.empty(TABLE_IDS, np.uint16), 0
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents with their end ids, number per document)."""
         start, end, counts = words(data, off)
         # the tokenizer folds case, but for special tokens, whose names hold a bar
-        bars = np.concatenate([[0], np.cumsum(data == 0x7C)])
         key = spans(prefix(LOWER[data]), start, end)
-        if bars[-1]:
+        if (data == 0x7C).any():
+            bars = np.concatenate([[0], np.cumsum(data == 0x7C)])
             key = np.where(bars[end] > bars[start], mix(spans(prefix(data), start, end)), key)
-        seen, at, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.index) > TABLE_WORDS:
-            self._clear()
-        keys = seen.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.index]
-        if new:
-            raw = data.tobytes()
-            ids, n = self._encode_words([raw[start[at[i]]:end[at[i]]].decode("utf-8", "replace") for i in new])
-            base = len(self.count)
-            self.index.update((keys[i], base + j) for j, i in enumerate(new))
-            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(n) - n])
-            self.count = np.concatenate([self.count, n])
-            self.pool = np.concatenate([self.pool, ids])
-        row = np.array([self.index[k] for k in keys], np.int64)[back]
-        return self._gather(row, counts)
+        slot = (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        first, n = self.first[slot], self.count[slot]
+        miss = np.flatnonzero(self.key[slot] != key)
+        if len(miss):
+            seen, at, back = np.unique(key[miss], return_index=True, return_inverse=True)
+            at, raw = miss[at], data.tobytes()
+            ids, many = self._encode_words([raw[i:j].decode("utf-8", "replace")
+                                            for i, j in zip(start[at].tolist(), end[at].tolist())])
+            if len(ids) > len(self.pool) - self.used:
+                if self.used:
+                    self._clear()
+                    return self.encode(data, off)
+                self.pool = np.empty(len(ids), np.uint16)
+            where = self.used + np.cumsum(many) - many
+            self.pool[self.used:self.used + len(ids)] = ids
+            self.used += len(ids)
+            first[miss], n[miss] = where[back], many[back]
+            # words of one slot may be written in turn: all three arrays keep the last
+            self.key[slot[at]], self.first[slot[at]], self.count[slot[at]] = seen, where, many
+        return self._gather(first, n, counts)
 
     def _encode_words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number per word). One call on the words joined by
@@ -107,42 +114,52 @@ class WordTable:
         lists = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
         return np.array([t for x in lists for t in x], np.uint16), np.array([len(x) for x in lists], np.int64)
 
-    def _gather(self, row: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, docs = self.count[row], len(counts)
-        word_end = np.concatenate([[0], np.cumsum(n)])
+    def _gather(self, first: np.ndarray, n: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        docs = len(counts)
+        word_end = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         doc_end = word_end[np.cumsum(counts)]
         total = np.diff(np.concatenate([[0], doc_end])) + 1
-        src = np.arange(word_end[-1]) - np.repeat(word_end[:-1], n) + np.repeat(self.first[row], n)
         ids = np.full(word_end[-1] + docs, END_ID, np.uint16)
         place = np.ones(len(ids), bool)
         place[np.cumsum(total) - 1] = False
-        ids[place] = self.pool[src]
+        ids[place] = self.pool[np.arange(word_end[-1]) + np.repeat(first - word_end[:-1], n)]
         return ids, total
 
 
 _TABLES: dict[str, WordTable] = {}
 
 
+def word_table(path: str) -> WordTable:
+    """The table of this Python worker, kept from task to task. Tasks get this
+    function by name; a global used in their own closures would be a fresh copy."""
+    if path not in _TABLES:
+        _TABLES[path] = WordTable(path)
+    return _TABLES[path]
+
+
 def tokenize(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """The columns but the text, then ``n_tokens`` and ``ids`` (little-endian, 16 bits)."""
+    """The columns but the text, then ``n_tokens``, ``ids_hash`` (crc32 of the
+    ids) and ``ids`` (little-endian, 16 bits)."""
     rest = [c for c in df.columns if c != text_col]
     src = df.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _TABLES.get(path) or WordTable(path)
-        _TABLES[path] = table  # a Python worker keeps it from task to task
+        table = word_table(path)
         for rb in batches:
             for a, b, data, off in sliced(rb.column(rb.num_columns - 1)):
                 ids, total = table.encode(data, off)
                 ends = np.concatenate([[0], np.cumsum(total)]).astype(np.int64) * 2
-                blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a,
-                                                        [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2"))])
+                ids = ids.astype("<u2")
+                blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                view, cut = memoryview(ids).cast("B"), ends.tolist()
+                crc = pa.array([zlib.crc32(view[i:j]) for i, j in zip(cut, cut[1:])], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(a, b - a) for c in rb.columns[:-1]], pa.array(total), blob.cast(pa.binary())],
-                    [*rest, "n_tokens", "ids"])
+                    [*[c.slice(a, b - a) for c in rb.columns[:-1]], pa.array(total), crc, blob.cast(pa.binary())],
+                    [*rest, "n_tokens", "ids_hash", "ids"])
 
     from pyspark.sql import types as T
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("n_tokens", T.LongType()),
+                           T.StructField("ids_hash", T.LongType()), T.StructField("ids", T.BinaryType())])
     return src.mapInArrow(run, schema)
 
 
@@ -252,7 +269,7 @@ def pack(df: DataFrame, path: str | None = None, weights: dict | None = None, id
     number = F.coalesce(F.create_map(*[x for i, q in enumerate(names) for x in (F.lit(q), F.lit(i))])[F.col("queue")]
                         if names else F.lit(None).cast("int"), F.lit(len(names)))
     tokens = (tokens.withColumn("q", number)
-              .withColumn("slot", F.pmod(F.xxhash64("doc_id", "n_tokens", F.crc32("ids")), F.lit(slots))))
+              .withColumn("slot", F.pmod(F.xxhash64("doc_id", "n_tokens", "ids_hash"), F.lit(slots))))
     earlier = Window.partitionBy("q").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     begins = (tokens.groupBy("slot", "q").agg(F.sum("n_tokens").alias("n"))
               .select("slot", "q", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("at")))
