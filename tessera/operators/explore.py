@@ -5,8 +5,8 @@ PCA to 90 % variance, isolation-forest anomaly flags.
 * k-means / PCA use Spark ML (k-means||, distributed Gram matrix); the
   feature frame is persisted around the k loop.
 * Isolation forest: a tree needs only min(256, n) rows by definition, so
-  trees are grown on the driver from a bounded, key-hashed sample (about
-  2 x 256 x trees rows whatever the table size), broadcast, and every row
+  every tree draws its rows from the whole table by a seeded hash of its own;
+  the trees are grown on the driver (256 rows x trees), broadcast, and every row
   is scored in a vectorised pandas UDF. The 5 % threshold is a quantile of
   the scores computed by a bounded-memory aggregate.
 """
@@ -25,6 +25,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.columns import numeric_columns, q
 from tessera.functions.util import spread
@@ -171,22 +172,28 @@ def _path_lengths(X: np.ndarray, tree) -> np.ndarray:
 
 def fit_isolation_forest(features: DataFrame, key_cols: list[str], n_trees: int = 100, max_samples: int = 256,
                          seed: int = SEED):
-    """Grow the forest from a key-hashed sample of about 2 x trees x 256 rows."""
+    """Grow each tree from the ``max_samples`` rows of the whole table that rank
+    first by the tree's own hash of the key. One pass: a row is sent on for the
+    trees in whose first ``4 x max_samples`` rows it is to be expected, and the
+    ranks are taken among those (fewer than ``max_samples`` of them: chance
+    below 1e-100, so no tree is short)."""
     n = features.count()
     psi = min(max_samples, n)
-    want = min(n, 2 * n_trees * psi)
-    frac = want / n if n else 1.0
-    h = F.xxhash64(F.lit(seed), *[q(k) for k in key_cols])
-    u = (F.abs(h % 1_000_000_007) / 1_000_000_007.0)
-    sample = features.filter(u < frac).select(vector_to_array("features").alias("x")).collect()  # bounded
-    X = np.array([r.x for r in sample], dtype=float)
+    top = (1 << 63) - 1
+    reach = top if n <= 4 * psi else int(top * (4 * psi / n))
+    key = F.xxhash64(*[q(k) for k in key_cols])
+    draws = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                        lambda t: F.struct(t.alias("tree"), F.xxhash64(key, t + seed).bitwiseAND(top).alias("h")))
+    w = Window.partitionBy("d.tree").orderBy("d.h", "x")
+    rows = (features.select(vector_to_array("features").alias("x"), F.explode(F.filter(draws, lambda d: d["h"] <= reach)).alias("d"))
+            .withColumn("r", F.row_number().over(w)).filter(F.col("r") <= psi)
+            .select("d.tree", "r", "x").collect())  # psi rows a tree
     rng = np.random.default_rng(seed)
     limit = int(math.ceil(math.log2(max(psi, 2))))
-    trees = []
-    for _ in range(n_trees):
-        idx = rng.choice(len(X), size=min(psi, len(X)), replace=False)
-        trees.append(_grow(X[idx], rng, limit))
-    return trees, psi
+    drawn: list[list] = [[] for _ in range(n_trees)]
+    for r in sorted(rows, key=lambda r: (r.tree, r.r)):
+        drawn[r.tree].append(r.x)
+    return [_grow(np.array(x, dtype=float), rng, limit) for x in drawn], psi
 
 
 def isolation_scores(features: DataFrame, trees, psi: int, keep: list[str]) -> DataFrame:

@@ -1,12 +1,13 @@
 """Model-based imputation (IMP-9 nearest neighbours, IMP-10 chained regression).
 
 kNN (k = 5, uniform mean, NaN-Euclidean over all numeric columns) is exact:
-every incomplete row is compared with every donor. Donors are shipped to the
-executors in chunks whose size is checked (``donors_per_pass`` rows); each
-pass scores all incomplete rows against one chunk in vectorised NumPy
-blocks inside ``mapInPandas`` and keeps only the k best per row and column,
-and the passes are merged by a groupBy that keeps the k best overall. No
-pair table is ever materialised and no donor is dropped.
+every incomplete row is compared with every donor. Incomplete rows and donors
+are hashed into blocks of a bounded number of rows; a task gets one block of
+each, scores it in NumPy and sends on only the k best per row and column, and
+a rank filter keeps the k best overall. Nothing but two counts reaches the
+driver, no pair of rows leaves a task and no donor is dropped. The work is
+incomplete rows x donors, and every donor is shuffled once per block of
+incomplete rows.
 
 Chained regression: start from column means, then up to ``rounds`` passes;
 each pass fits, for every incomplete column, a ridge regression on the rows
@@ -21,14 +22,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.columns import q
-from tessera.functions.util import spread
 from tessera.session import ensure_checkpoint_dir
 
-DONORS_PER_PASS = 200_000
+DONOR_BLOCK = 65_536
+ROW_BLOCK = 4_096
 _ROW = "_row_id"
 
 
@@ -44,35 +44,31 @@ def _nan_euclid(X: np.ndarray, D: np.ndarray) -> np.ndarray:
     return np.sqrt(d2)
 
 
-def _topk_pass(it, donors: np.ndarray, cols: list[str], k: int, block: int = 2048):
-    for pdf in it:
-        if len(pdf) == 0:
-            continue
-        X = pdf[cols].to_numpy(dtype=float)
-        out_rows = []
-        for s in range(0, len(X), block):
-            Xb = X[s:s + block]
-            dist = _nan_euclid(Xb, donors)
-            for j, c in enumerate(cols):
-                need = np.isnan(Xb[:, j])
-                if not need.any():
-                    continue
-                ok = ~np.isnan(donors[:, j])
-                dj = np.where(ok[None, :], dist[need], np.inf)
-                dj = np.where(np.isnan(dj), np.inf, dj)
-                kk = min(k, dj.shape[1])
-                idx = np.argpartition(dj, kk - 1, axis=1)[:, :kk] if dj.shape[1] > kk else \
-                    np.tile(np.arange(dj.shape[1]), (dj.shape[0], 1))
-                rows_need = pdf[_ROW].to_numpy()[s:s + block][need]
-                for r, row_id in enumerate(rows_need):
-                    for t in idx[r]:
-                        if np.isfinite(dj[r, t]):
-                            out_rows.append((int(row_id), c, float(dj[r, t]), float(donors[t, j])))
-        if out_rows:
-            yield pd.DataFrame(out_rows, columns=[_ROW, "column", "dist", "value"])
-
-
-def knn_impute(df: DataFrame, cols: list[str], k: int = 5, donors_per_pass: int = DONORS_PER_PASS) -> DataFrame:
+def _nearest(X: np.ndarray, rows: np.ndarray, donors: np.ndarray, tie: np.ndarray, cols: list[str], k: int,
+             cells: int = 1 << 22) -> list[tuple]:
+    """(row, column, distance, tie, value) of each missing cell's k nearest donors
+    of one block; of equal distances the smaller ``tie`` goes first."""
+    out = []
+    step = max(1, cells // max(len(donors), 1))
+    for s in range(0, len(X), step):
+        dist = _nan_euclid(X[s:s + step], donors)
+        for j, c in enumerate(cols):
+            need = np.flatnonzero(np.isnan(X[s:s + step, j]))
+            has = np.flatnonzero(~np.isnan(donors[:, j]))
+            if not len(need) or not len(has):
+                continue
+            dj, values = np.nan_to_num(dist[np.ix_(need, has)], nan=np.inf, posinf=np.inf), donors[has, j]
+            order = tie[has]
+            kth = np.partition(dj, min(k, len(has)) - 1, axis=1)[:, min(k, len(has)) - 1]
+            for r in range(len(need)):
+                near = np.flatnonzero((dj[r] <= kth[r]) & np.isfinite(dj[r]))
+                for t in near[np.lexsort((order[near], dj[r, near]))[:k]]:
+                    out.append((int(rows[s + need[r]]), c, float(dj[r, t]), int(order[t]), float(values[t])))
+    return out
+
+
+def knn_impute(df: DataFrame, cols: list[str], k: int = 5, donors_per_pass: int = DONOR_BLOCK,
+               rows_per_block: int = ROW_BLOCK) -> DataFrame:
     """Fill every numeric column's nulls with the mean of the k nearest
     donors that have the column (NaN-Euclidean over ``cols``)."""
     spark = df.sparkSession
@@ -81,23 +77,34 @@ def knn_impute(df: DataFrame, cols: list[str], k: int = 5, donors_per_pass: int
     any_null = F.lit(False)
     for c in cols:
         any_null = any_null | q(c).isNull()
-    incomplete = spread(base.filter(any_null).select(_ROW, *[q(c).cast("double").alias(c) for c in cols]))
-    n_donors = base.count()
-    schema = T.StructType([T.StructField(_ROW, T.LongType()), T.StructField("column", T.StringType()),
-                           T.StructField("dist", T.DoubleType()), T.StructField("value", T.DoubleType())])
-    n_pass = max(1, -(-n_donors // donors_per_pass))
-    # row ids are pinned by the checkpoint, so the chunk of a donor is stable
-    chunked = base.select((F.col(_ROW) % n_pass).alias("_chunk"), *[q(c).cast("double").alias(c) for c in cols])
-    cands = None
-    for p in range(n_pass):
-        # one chunk of about donors_per_pass rows: a checked, bounded broadcast
-        rows = chunked.filter(F.col("_chunk") == p).drop("_chunk").collect()
-        D = np.array([list(r) for r in rows], dtype=float).reshape(len(rows), len(cols))  # None -> nan
-        bc = spark.sparkContext.broadcast(D)
-        part = incomplete.mapInPandas(lambda it, bc=bc: _topk_pass(it, bc.value, cols, k), schema)
-        cands = part if cands is None else cands.unionByName(part)
-    # keep the k nearest per (row, column) over all passes; ties: smaller value
-    w = Window.partitionBy(_ROW, "column").orderBy("dist", "value")
+    sizes = base.agg(F.count(F.lit(1)).alias("n"), F.count_if(any_null).alias("m")).first()
+    n_d = max(1, -(-sizes["n"] // donors_per_pass))
+    # blocks of at most about rows_per_block; of fewer rows where cores would idle
+    cores = spark.sparkContext.defaultParallelism
+    n_q = max(1, -(-sizes["m"] // rows_per_block), min(cores, sizes["m"] // 128))
+    numbers = base.select(_ROW, any_null.alias("_todo"), *[q(c).cast("double").alias(c) for c in cols])
+
+    def block(n: int, salt: int):
+        return F.pmod(F.xxhash64(F.col(_ROW), F.lit(salt)), F.lit(n))
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    queries = numbers.filter("_todo").drop("_todo").withColumn("_q", block(n_q, 1)).withColumn("_d", every(n_d))
+    # a donor's place among equally near ones is a hash of its values: the same in every layout
+    donors = (numbers.drop("_todo").withColumn("_tie", F.xxhash64(*[q(c) for c in cols]))
+              .withColumn("_d", block(n_d, 2)).withColumn("_q", every(n_q)))
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = _nearest(left[cols].to_numpy(dtype=float), left[_ROW].to_numpy(),
+                         right[cols].to_numpy(dtype=float), right["_tie"].to_numpy(), cols, k) \
+            if len(left) and len(right) else []
+        return pd.DataFrame(found, columns=[_ROW, "column", "dist", "tie", "value"])
+
+    cands = queries.groupBy("_q", "_d").cogroup(donors.groupBy("_q", "_d")).applyInPandas(
+        score, f"{_ROW} long, column string, dist double, tie long, value double")
+    # keep the k nearest per (row, column) over all blocks
+    w = Window.partitionBy(_ROW, "column").orderBy("dist", "tie")
     best = cands.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
     fills = best.groupBy(_ROW).pivot("column", cols).agg(F.avg("value"))
     fills = fills.select(_ROW, *[F.col(c).alias(f"_fill_{c}") for c in cols])

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.columns import q
 
@@ -81,13 +82,12 @@ def duplicate_action(pct: float) -> str | None:
 
 def keep_latest(df: DataFrame, key: str, ts_col: str, tie_cols: list[str] | None = None) -> DataFrame:
     """One row per key: the latest ``ts_col`` (nulls lose), ties broken by the
-    largest ``tie_cols`` (default: all other columns). A hash aggregate with
-    map-side combine: hot keys never pile up in one task."""
+    largest ``tie_cols`` (default: all other columns). The rank filter is planned
+    as a group limit before the shuffle: a task sends one row per key."""
     cols = df.columns
     ties = tie_cols if tie_cols is not None else [c for c in cols if c not in (key, ts_col)]
-    order = F.struct(q(ts_col).alias("_ts"), *[q(c).alias(f"_t{i}") for i, c in enumerate(ties)])
-    best = F.max_by(F.struct(*[q(c).alias(c) for c in cols]), order)
-    return df.groupBy(q(key).alias("_k")).agg(best.alias("_r")).select("_r.*")
+    w = Window.partitionBy(q(key)).orderBy(*[q(c).desc_nulls_last() for c in (ts_col, *ties)])
+    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").select(*[q(c) for c in cols])
 
 
 # ------------------------------------------------------------- MRG-3..6

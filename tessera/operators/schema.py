@@ -1,9 +1,8 @@
 """Type inference and schema (SCH-1 .. SCH-6).
 
-Inference is one aggregate job (parse-success counts and distinct counts for
-every text column) plus one bounded job for the date-look sample (first five
-non-null values per column by an order key, a per-task group limit before
-the shuffle). The result is a cast plan applied as a pure ``select``.
+Inference is one aggregate job over all rows: parse-success counts, distinct
+counts and date-look counts for every text column. The result is a cast plan
+applied as a pure ``select``.
 """
 
 from __future__ import annotations
@@ -16,10 +15,11 @@ from tessera.columns import is_datetime, is_numeric, is_text, q
 
 ID_FRAGMENTS = ("id", "code")
 DATE_NAME_FRAGMENTS = ("date", "time", "timestamp", "ts", "dt")
-DATE_VALUE_MARKS = ("-", "/", ":", "T", "Z")
+DATE_VALUE_MARKS = ("/", ":", "T", "Z", "-")
 NUMERIC_MIN_SHARE = 0.98
 CATEGORY_MAX_DISTINCT = 50
 CATEGORY_MAX_RATIO = 0.8
+DATE_MIN_SHARE = 0.5  # of a text column's non-null values that look like dates
 DATE_WARN = 0.02
 VIOLATION_WARN = 0.02
 
@@ -52,26 +52,16 @@ def name_is_date(name: str) -> bool:
     return any(f in low for f in DATE_NAME_FRAGMENTS)
 
 
-def _date_sample_hits(df: DataFrame, cols: list[str], order_cols: list[str]) -> dict[str, bool]:
-    """Per text column: does one of its first five non-null values (by
-    ``order_cols``) contain a digit and one of - / : T Z ? Each column is a
-    top-5 by key (a bounded per-task heap, then a merge of 5 x tasks rows)."""
-    parts = [df.filter(q(c).isNotNull()).orderBy(*[q(k) for k in order_cols]).limit(5)
-             .select(F.lit(c).alias("column"), q(c).cast("string").alias("value")) for c in cols]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    out = {c: False for c in cols}
-    for r in u.collect():  # at most 5 rows per column, one job
-        v = r["value"]
-        if any(ch.isdigit() for ch in v) and any(m in v for m in DATE_VALUE_MARKS):
-            out[r["column"]] = True
-    return out
-
-
-def infer_plan(df: DataFrame, order_cols: list[str]) -> DataFrame:
+def _looks_like_date(c: Column) -> Column:
+    """SCH-2 by value: a digit, one of - / : T Z, and readable as a time."""
+    marks = "[" + "".join(DATE_VALUE_MARKS) + "]"
+    return F.coalesce(c.rlike("[0-9]") & c.rlike(marks) & _to_ts(c).isNotNull(), F.lit(False))
+
+
+def infer_plan(df: DataFrame, date_min_share: float = DATE_MIN_SHARE) -> DataFrame:
     """SCH-1/2/3: the cast plan, one row per column, first rule that hits:
-    id/code name -> string; text that looks like a date -> timestamp
+    id/code name -> string; text named like a date, or with at least
+    ``date_min_share`` of its non-null values looking like dates -> timestamp
     (failures null; warn over 2 %); text numeric (after removing '%') in
     >= 98 % of all rows -> double; text with < 50 distinct values and
     distinct/rows <= 0.8 -> category; other text -> string; integers -> double."""
@@ -83,11 +73,10 @@ def infer_plan(df: DataFrame, order_cols: list[str]) -> DataFrame:
         exprs += [F.count_if(_to_double(q(c)).isNotNull()).alias(f"num{i}"),
                   F.count_distinct(q(c)).alias(f"d{i}"),
                   F.count_if(q(c).isNotNull() & _to_ts(q(c)).isNull()).alias(f"tsfail{i}"),
+                  F.count_if(_looks_like_date(q(c))).alias(f"look{i}"),
                   F.count_if(q(c).isNull()).alias(f"z{i}")]
     stats = df.agg(*exprs).first()  # one row, bounded by the schema
     n = stats["_n"] or 0
-    need_sample = [c for c in texts if not name_is_date(c)]
-    sample = _date_sample_hits(df, need_sample, order_cols) if need_sample else {}
     rows = []
     for pos, f in enumerate(fields):
         c, dt_ = f.name, f.dataType
@@ -97,7 +86,8 @@ def infer_plan(df: DataFrame, order_cols: list[str]) -> DataFrame:
             continue
         if is_text(dt_):
             i = texts.index(c)
-            if name_is_date(c) or sample.get(c, False):
+            filled = n - stats[f"z{i}"]
+            if name_is_date(c) or (filled and stats[f"look{i}"] / filled >= date_min_share):
                 fails = stats[f"tsfail{i}"] + stats[f"z{i}"]
                 warn = f"{fails} datetime conversion failures" if n and fails / n > DATE_WARN else None
                 rows.append((pos, c, src, "timestamp", "datetime", int(stats[f"tsfail{i}"]), warn))
@@ -145,8 +135,8 @@ def apply_plan(df: DataFrame, plan: list) -> DataFrame:
     return df.select(*out)
 
 
-def infer_and_cast(df: DataFrame, order_cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    plan = infer_plan(df, order_cols)
+def infer_and_cast(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    plan = infer_plan(df)
     return apply_plan(df, plan.collect()), plan
 
 

@@ -113,7 +113,7 @@ def staged_run(spark, sf):
     res = st.run_stages(ship, [
         ("quality", st.quality_stage([], ["order_id", "line_no", "l_partkey", "carrier"],
                                      dt.datetime(2003, 1, 1))),
-        ("schema", st.schema_stage(["order_id", "line_no", "l_partkey", "carrier"])),
+        ("schema", st.schema_stage()),
         ("impute", st.impute_stage()),
         ("features", st.feature_stage("logistics")),
     ])

@@ -2,8 +2,8 @@
 
 A stage maps a DataFrame to (DataFrame, report DataFrame, status). Stages
 run in order and the run goes on only while the status is PASS / OK / WARN;
-everything between gates stays one lazy plan for Catalyst, and a gate costs
-one small action on its report.
+each stage's output is checkpointed once, and gates, reports and later stages
+read that.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tessera.session import ensure_checkpoint_dir
 
 GO = {"PASS", "OK", "WARN"}
 
@@ -37,10 +38,10 @@ def quality_stage(keys: list[str], order_cols: list[str], as_of: dt.datetime) ->
     return run
 
 
-def schema_stage(order_cols: list[str]) -> Stage:
+def schema_stage() -> Stage:
     def run(df):
         from tessera.operators import schema as sch
-        typed, plan = sch.infer_and_cast(df, order_cols)
+        typed, plan = sch.infer_and_cast(df)
         v = sch.schema_violations(typed)
         return typed, plan, v.first()["status"]
     return run
@@ -63,18 +64,17 @@ def feature_stage(domain: str) -> Stage:
 
 
 def run_stages(df: DataFrame, stages: list[tuple[str, Stage]]) -> list[StageResult]:
+    """Run the stages in order until one does not pass. A stage's output is
+    checkpointed into the shared folder, so later stages, reports and counts
+    read it and never repeat the stages before."""
+    ensure_checkpoint_dir(df.sparkSession)
     results = []
     cur = df
     for name, stage in stages:
         data, report, status = stage(cur)
+        data = data.checkpoint(eager=True)
         results.append(StageResult(name, data, report, status))
         if status not in GO:
             break
         cur = data
     return results
-
-
-def summary(results: list[StageResult]) -> DataFrame:
-    spark = results[0].data.sparkSession
-    return spark.createDataFrame([(i, r.name, r.status) for i, r in enumerate(results)],
-                                 "step int, stage string, status string").withColumn("rows", F.lit(None).cast("long"))

@@ -20,7 +20,7 @@ def test_typing_bad_dates_and_numbers(spark):
     rows = [(1, "2024-01-01", "1.5"), (2, "not a date", "2.5"), (3, "2024-01-03", "x"),
             (4, "bad", "4.0"), (5, "2024-01-05", "5%")]
     df = spark.createDataFrame(rows, "id int, bad_date string, bad_numeric string")
-    plan = {r.column: r for r in sch.infer_plan(df, ["id"]).collect()}
+    plan = {r.column: r for r in sch.infer_plan(df).collect()}
     assert plan["id"].target_type == "string"           # name contains 'id'
     assert plan["bad_date"].target_type == "timestamp"  # name says date; failures become null
     assert plan["bad_date"].failures == 2 and plan["bad_date"].warning is not None
