@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from tessera.columns import categorical_columns, is_numeric, q
 from tessera.functions.quantiles import exact_quantiles
-from tessera.plans.order import with_row_index
+from tessera.plans.order import prefix_sums, with_row_index
 
 SEED = 42
 TEST_SIZE = 0.15
@@ -51,20 +51,18 @@ def random_split(df: DataFrame, key_cols: list[str], test_size: float = TEST_SIZ
 
 
 # ---------------------------------------------------------------- SPL-2
-def _allocate(counts: dict, total: int) -> dict:
-    """Largest-remainder allocation of ``total`` over strata by share."""
-    n = sum(counts.values())
-    raw = {k: total * v / n for k, v in counts.items()}
-    base = {k: min(counts[k], math.floor(r)) for k, r in raw.items()}
-    left = total - sum(base.values())
-    order = sorted(counts, key=lambda k: (-(raw[k] - math.floor(raw[k])), str(k)))
-    for k in order:
-        if left <= 0:
-            break
-        if base[k] < counts[k]:
-            base[k] += 1
-            left -= 1
-    return base
+def _allocate(strata: DataFrame, size_col: str, total: int, name: str) -> DataFrame:
+    """Largest-remainder allocation of ``total`` over the rows of ``strata`` by
+    their share of ``size_col``, as column ``name``; equal remainders in the
+    order of the value as text. Strata may be many: they stay in Spark."""
+    n = strata.agg(F.sum(size_col)).first()[0] or 0
+    raw = F.lit(float(total)) * F.col(size_col) / F.lit(float(n or 1))
+    whole = strata.withColumn(name, F.least(F.col(size_col), F.floor(raw)))
+    left = total - (whole.agg(F.sum(name)).first()[0] or 0)
+    ranked = with_row_index(whole.withColumn("_rest", F.floor(raw) - raw).withColumn("_label", F.col("_t").cast("string")),
+                            ["_rest", "_label"], "_k")
+    more = (F.col("_k") < F.lit(left)) & (F.col(name) < F.col(size_col))
+    return ranked.withColumn(name, F.col(name) + more.cast("long")).drop("_rest", "_label", "_k")
 
 
 def stratified_split(df: DataFrame, target: str, key_cols: list[str], test_size: float = TEST_SIZE,
@@ -72,24 +70,16 @@ def stratified_split(df: DataFrame, target: str, key_cols: list[str], test_size:
     """Same cut inside each target value. The per-stratum rank comes from a
     global (target, hash) index minus the stratum's start offset, so a
     stratum holding a third of the rows is still spread over many tasks."""
-    spark = df.sparkSession
     h = df.withColumn("_h", _hash_key(df, key_cols, seed))
     idx = with_row_index(h, [target, "_h", *key_cols], "_i")
-    counts = {r[0]: r[1] for r in idx.groupBy(q(target)).count().collect()}  # one row per stratum
-    n = sum(counts.values())
+    n = idx.count()
     n_test = math.ceil(test_size * n)
-    test_alloc = _allocate(counts, n_test)
-    rest = {k: counts[k] - test_alloc[k] for k in counts}
     n_val = math.ceil(val_size / (1 - test_size) * (n - n_test))
-    val_alloc = _allocate(rest, n_val) if sum(rest.values()) else {k: 0 for k in counts}
-    start = 0
-    rows = []
-    for k in sorted(counts, key=lambda v: (v is not None, v)):  # nulls sort first, as in the index
-        rows.append((k, start, test_alloc[k], val_alloc[k]))
-        start += counts[k]
-    tgt_type = df.schema[target].dataType.simpleString()
-    alloc = spark.createDataFrame(rows, f"_t {tgt_type}, _start long, _nt long, _nv long")
-    if len(rows) <= STRATA_BROADCAST_MAX:  # one row per stratum, size checked
+    strata = idx.groupBy(q(target).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    alloc = _allocate(strata, "_n", n_test, "_nt").withColumn("_left", F.col("_n") - F.col("_nt"))
+    alloc = prefix_sums(_allocate(alloc, "_left", n_val, "_nv"), ["_t"], ["_n"])  # nulls first, as in the index
+    alloc = alloc.select("_t", (F.col("cum__n").cast("long") - F.col("_n")).alias("_start"), "_nt", "_nv")
+    if alloc.count() <= STRATA_BROADCAST_MAX:  # one row per stratum, size checked
         alloc = F.broadcast(alloc)
     j = idx.join(alloc, q(target).eqNullSafe(F.col("_t")))
     r = F.col("_i") - F.col("_start")

@@ -89,3 +89,23 @@ def test_knn_chunked_passes_equal_single_pass(spark):
     one = {r.id: r.b for r in impute_models.knn_impute(df, ["a", "b"], k=3).collect()}
     many = {r.id: r.b for r in impute_models.knn_impute(df, ["a", "b"], k=3, donors_per_pass=7).collect()}
     assert one == pytest.approx(many)
+
+
+def test_stratified_split_many_strata_and_nulls(spark):
+    from tessera.operators.prep import stratified_split
+    df = spark.range(2000).selectExpr("id", "IF(id % 50 = 0, NULL, id * id % 37) AS t")
+    n = {r.split: r["count"] for r in stratified_split(df, "t", ["id"]).groupBy("split").count().collect()}
+    assert n == {"test": 300, "validation": 300, "train": 1400}
+    shares = stratified_split(df, "t", ["id"]).selectExpr("t", "CAST(split = 'test' AS INT) AS x").groupBy("t").agg({"x": "avg", "*": "count"})
+    assert all(abs(r["avg(x)"] - 0.15) <= 1 / r["count(1)"] for r in shares.collect())
+    assert stratified_split(df.limit(0), "t", ["id"]).count() == 0
+
+
+def test_date_look_from_all_rows(spark):
+    from tessera.operators.schema import infer_plan
+    # five date-like values first, then text; and the other way round
+    df = spark.range(100).selectExpr(
+        "IF(id < 5, '2024-01-02', concat('row-', id)) AS mostly_text",
+        "IF(id < 5, concat('row-', id), '2024-01-02') AS mostly_days")
+    target = {r.column: r.target_type for r in infer_plan(df).collect()}
+    assert target == {"mostly_text": "string", "mostly_days": "timestamp"}
