@@ -3,9 +3,9 @@
 Three base patterns (keyword assignments, access identifiers, long hex runs)
 are reported wherever they occur. Weak candidates - values and endpoints that
 are too common to report alone - are reported only when complementary parts
-meet: inside a scope (a run of lines without a blank line) an interval join
-by ordered search links each access identifier with the opaque values and the
-endpoints that lie within ``reach`` code points of it.
+meet: inside a scope (a run of lines without a blank line) every anchor, an
+access identifier or a keyword assignment, is linked with all opaque values and
+endpoints of the scope. A value and an endpoint without an anchor are not.
 
 Map-only: one pass over the texts, no shuffle. A lost executor re-runs its
 input split. Null and empty texts have no spans; repeated rows are scanned
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -33,7 +34,6 @@ KEYWORDS = ("passw", "secret", "token", "api")
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{32,}(?![A-Za-z0-9+/=_-])", re.A)
 ENDPOINT = re.compile(r"(?:https?|s3|jdbc:[a-z]+|postgres|mysql|redis|amqp)://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}\b", re.A)
 BLANK = re.compile(r"\n[ \t\r]*\n")
-REACH = 400
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -49,42 +49,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int, int]]:
-    """Weak parts that share a scope and lie within ``reach`` of an access
-    identifier. A value must be mixed (a digit and both letter cases) to count;
-    an endpoint counts only where a value or assignment is linked as well."""
-    ids = [(a, b) for a, k, b in base if k == 1]
-    if not ids:
+def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Weak parts that share a scope with an anchor, however far apart they lie:
+    one sweep over the parts in order with the kinds each scope holds. A value
+    must be mixed (a digit and both letter cases) to count; an endpoint counts
+    only where its scope holds an assignment, or an identifier and a secret
+    (a value or a hex run)."""
+    if not any(k < 2 for _, k, _ in base):
         return []
     cuts = [m.start() for m in BLANK.finditer(text)]
     scope = lambda p: bisect.bisect_right(cuts, p)
-    id_starts = [a for a, _ in ids]
-
-    def partners(a: int, b: int) -> list[int]:
-        # ids are disjoint and sorted, so those near [a, b) form one index range
-        lo = bisect.bisect_left(id_starts, a - reach - 64)
-        hi = bisect.bisect_right(id_starts, b + reach)
-        return [i for i in range(lo, hi) if ids[i][1] >= a - reach and scope(ids[i][0]) == scope(a)]
-
-    taken = sorted((a, b) for a, _, b in base)
-    starts = [a for a, _ in taken]
+    kinds: dict[int, set] = {}
+    for a, k, _ in base:
+        kinds.setdefault(scope(a), set()).add(k)
+    anchored = {s for s, has in kinds.items() if has & {0, 1}}
+    ends = list(itertools.accumulate((b for _, _, b in base), max))  # base is sorted by start
+    starts = [a for a, _, _ in base]
 
     def free(a: int, b: int) -> bool:
         i = bisect.bisect_left(starts, b)
-        return i == 0 or taken[i - 1][1] <= a
+        return i == 0 or ends[i - 1] <= a
 
-    found, complete = [], set()
-    for a, k, b in base:
-        if k in (0, 2):
-            complete.update(partners(a, b))
+    found = []
     for m in OPAQUE.finditer(text):
-        v = m[0]
-        if free(*m.span()) and re.search("[0-9]", v) and re.search("[a-z]", v) and re.search("[A-Z]", v):
-            if near := partners(*m.span()):
-                found.append((m.start(), 3, m.end()))
-                complete.update(near)
+        v, s = m[0], scope(m.start())
+        if s in anchored and free(*m.span()) and re.search("[0-9]", v) and re.search("[a-z]", v) and re.search("[A-Z]", v):
+            found.append((m.start(), 3, m.end()))
+            kinds[s].add(3)
+    complete = {s for s in anchored if 0 in kinds[s] or kinds[s] & {2, 3}}
     for m in ENDPOINT.finditer(text):
-        if free(*m.span()) and complete.intersection(partners(*m.span())):
+        if scope(m.start()) in complete and free(*m.span()):
             found.append((m.start(), 4, m.end()))
     return found
 
@@ -93,13 +87,13 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(text: str | None, reach: int = REACH) -> tuple[list, list]:
+def scan(text: str | None) -> tuple[list, list]:
     """(base spans, all spans) of one text; null is empty."""
     base = base_spans(text or "")
-    return base, sorted(base + linked_spans(text or "", base, reach))
+    return base, sorted(base + linked_spans(text or "", base))
 
 
-def secret_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def secret_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: counts of the base kinds, the sha256 of the base
     spans, and all spans as ``kind:start:end`` (code points, end exclusive)."""
     id_type = df.schema[id_col].dataType.simpleString()
@@ -109,7 +103,7 @@ def secret_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for rb in batches:
             n, sha, txt = [[], [], []], [], []
             for text in rb.column(1).to_pylist():
-                base, every = scan(text, reach)
+                base, every = scan(text)
                 for k in range(3):
                     n[k].append(sum(s[1] == k for s in base))
                 sha.append(hashlib.sha256(_joined(base).encode()).hexdigest())
@@ -121,7 +115,7 @@ def secret_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         run, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", reach: int = REACH) -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Every found span (base and linked; overlapping spans as one) replaced by
     ``mark``; ``n_chars``, if there, is set anew for changed texts. Same rows
     and columns as the input; null texts stay null."""
@@ -134,7 +128,7 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", reach:
             texts = rb.column(at).to_pylist()
             counts = rb.column(count_at).to_pylist() if count_at is not None else []
             for i, t in enumerate(texts):
-                every = scan(t, reach)[1] if t else []
+                every = scan(t)[1] if t else []
                 if not every:
                     continue
                 parts, pos = [], 0
