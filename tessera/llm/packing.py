@@ -15,8 +15,12 @@ tokens; a queue is its documents by slot, then by a hash. A document's place is
 the queue's tokens in earlier slots (a prefix sum over the small table of slot
 and queue totals) plus those before it in its slot. A task holds one slot;
 sources, however hot, are spread over all slots. Sources with less than
-``1/QUEUES`` of the tokens share one queue, so there are at most ``QUEUES + 1``
-and the schedule is of bounded size. One window in all, the last, may be short.
+``1/QUEUES`` of the tokens share one queue (those with weights of their own
+another), so there are at most ``QUEUES + 2`` and the schedule is of bounded size.
+A shared queue is a stream that is dealt to its sources by the same closed form,
+in groups of up to ``QUEUES`` sources or groups; a source's place goes through
+its groups' streams by a table joined by source. One window in all, the last,
+may be short.
 
 Token ids are written once to the shared folder, so a lost executor re-reads
 them. Null and empty texts are one end id; repeated rows are packed as rows of
@@ -25,6 +29,7 @@ gives no pieces."""
 
 from __future__ import annotations
 
+import pickle
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.textbytes import LOWER, mix, prefix, sliced, spans, words
+from tessera.plans.order import with_row_index
 from tessera.session import ensure_checkpoint_dir
 
 WINDOW = 2048
@@ -163,9 +169,54 @@ def tokenize(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
+class Lane:
+    """One queue's part of a schedule: by phase the first window, the number of
+    windows, the quotas of the queues before it and up to it, the whole, and
+    what it had served."""
+
+    def __init__(self, window: int, phases: list[tuple]):
+        self.window, self.phases = window, phases
+
+    def _upto(self, phase: tuple, quota: int, w: int) -> int:
+        return w * quota if phase[4] is None else w * self.window * quota // phase[4]
+
+    def _served(self, phase: tuple, w: int) -> int:
+        return self._upto(phase, phase[3], w) - self._upto(phase, phase[2], w)
+
+    def cut(self, start: int, n: int) -> list[tuple[int, int, int, int]]:
+        """(start in the document, length, window, offset) of the pieces of the
+        tokens ``start .. start + n`` of the queue."""
+        out, pos, end = [], start, start + n
+        k = max(j for j, p in enumerate(self.phases) if p[5] <= start)
+        phase = self.phases[k]
+        w = self._guess(phase, pos)
+        while pos < end:
+            rel = pos - phase[5]
+            while w >= phase[1] or rel >= self._served(phase, w + 1):
+                w += 1
+                if w >= phase[1]:
+                    k, w = k + 1, 0
+                    phase = self.phases[k]
+                    rel = pos - phase[5]
+            before = self._served(phase, w)
+            m = min(end - pos, self._served(phase, w + 1) - rel)
+            lead = self._upto(phase, phase[2], w + 1) - self._upto(phase, phase[2], w)
+            out.append((pos - start, m, phase[0] + w, lead + rel - before))
+            pos += m
+        return out
+
+    def _guess(self, phase: tuple, pos: int) -> int:
+        """A window of the phase at or before that of the token, found by halving."""
+        lo, hi, rel = 0, phase[1], pos - phase[5]
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (mid, hi) if self._served(phase, mid) <= rel else (lo, mid)
+        return lo
+
+
 class Schedule:
     """Where each queue's tokens go. Built on the driver from at most
-    ``QUEUES + 1`` totals and weights, and sent to the tasks."""
+    ``QUEUES + 2`` totals and weights, and sent to the tasks."""
 
     def __init__(self, totals: list[int], weights: list[int] | None = None, window: int = WINDOW):
         self.window, self.totals = window, list(totals)
@@ -208,52 +259,91 @@ class Schedule:
     def _served(self, phase: tuple, i: int, w: int) -> int:
         return self._upto(phase, i, w) - self._upto(phase, i - 1, w)
 
-    def cut(self, i: int, start: int, n: int) -> list[tuple[int, int, int, int]]:
-        """(start in the document, length, window, offset) of the pieces of the
-        tokens ``start .. start + n`` of queue i."""
-        out, pos, end = [], start, start + n
-        k = max(j for j, p in enumerate(self.phases) if p[4][i] <= start)
-        phase = self.phases[k]
-        w = self._guess(phase, i, pos)
-        while pos < end:
-            rel = pos - phase[4][i]
-            while w >= phase[1] or rel >= self._served(phase, i, w + 1):
-                w += 1
-                if w >= phase[1]:
-                    k, w = k + 1, 0
-                    phase = self.phases[k]
-                    rel = pos - phase[4][i]
-            before = self._served(phase, i, w)
-            m = min(end - pos, self._served(phase, i, w + 1) - rel)
-            lead = self._upto(phase, i - 1, w + 1) - self._upto(phase, i - 1, w)
-            out.append((pos - start, m, phase[0] + w, lead + rel - before))
-            pos += m
-        return out
-
-    def _guess(self, phase: tuple, i: int, pos: int) -> int:
-        """A window of the phase at or before that of the token, found by halving."""
-        lo, hi, rel = 0, phase[1], pos - phase[4][i]
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if self._served(phase, i, mid) <= rel else (lo, mid)
-        return lo
-
+    def lane(self, i: int) -> Lane:
+        """What queue i needs of the schedule."""
+        return Lane(self.window, [(at, fill, upto[i - 1] if i else 0, upto[i], whole, served[i])
+                                  for at, fill, upto, whole, served in self.phases])
 
-def queue_table(per_source: DataFrame, total: int, weights: dict | None = None) -> tuple[list, Schedule]:
-    """Names of the queues (the shared one last) and the schedule, from (queue,
-    n). At most ``QUEUES`` rows can hold ``1/QUEUES`` of all tokens, so that many
-    reach the driver."""
+    def cut(self, i: int, start: int, n: int) -> list[tuple[int, int, int, int]]:
+        return self.lane(i).cut(start, n)
+
+
+def cut_path(lanes: list[Lane], start: int, n: int) -> list[tuple[int, int, int, int]]:
+    """Pieces of the tokens ``start .. start + n`` of a source, through the
+    streams of its groups to the windows of the last lane."""
+    parts = [(0, n, start)]
+    for lane in lanes:
+        out: list[tuple] = []
+        for a, m, pos in parts:
+            for x, k, w, o in lane.cut(pos, m):
+                to = w * lane.window + o
+                if out and out[-1][2] + out[-1][1] == to and (lane is not lanes[-1] or o):
+                    out[-1] = (out[-1][0], out[-1][1] + k, out[-1][2])
+                else:
+                    out.append((a + x, k, to))
+        parts = out
+    return [(a, m, *divmod(to, lanes[-1].window)) for a, m, to in parts]
+
+
+def tail_lanes(sources: DataFrame, total: int) -> DataFrame:
+    """(queue, lanes) of the sources (queue, n, w) that share a queue: groups of
+    up to ``QUEUES`` sources, in the order in which they run out and then of
+    weight, each dealt to the group's stream by a schedule of its own; groups are
+    grouped alike until one is left. A source has one lane a level, as bytes."""
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by("idx")
+        n, w = t["n"].to_pylist(), t["w"].to_pylist()
+        least = -(-sum(w) // min((x for x in w if x), default=1))
+        plan = Schedule(n, w, min(WINDOW, max(least, round(WINDOW * sum(n) / total), len(n))))
+        lanes = [pickle.dumps((plan.window, plan.lane(i).phases)) for i in range(len(n))]
+        return pa.table([t["id"], pa.array(lanes, pa.binary()), t["parent"].cast(pa.string())], ["id", "lane", "parent"])
+
+    nodes, paths, left = sources.withColumnRenamed("queue", "id"), None, sources.count()
+    while left:
+        ends = F.when(F.col("w") > 0, F.col("n") / F.col("w")).otherwise(float("inf"))
+        dealt = (with_row_index(nodes.withColumn("ends", ends), ["ends", "w", "id"], "idx")
+                 .withColumn("parent", F.floor(F.col("idx") / QUEUES)))
+        lane = dealt.groupBy("parent").applyInArrow(run, "id string, lane binary, parent string")
+        if paths is None:
+            paths = lane.select(F.col("id").alias("queue"), F.array("lane").alias("lanes"), "parent")
+        else:
+            paths = (paths.withColumnRenamed("parent", "id").join(lane, "id")
+                     .select("queue", F.concat("lanes", F.array("lane")).alias("lanes"), "parent"))
+        nodes = dealt.groupBy(F.col("parent").cast("string").alias("id")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+        left = -(-left // QUEUES) if left > QUEUES else 0
+    return paths.select("queue", "lanes")
+
+
+def queue_table(per_source: DataFrame, total: int, weights: dict | None = None) -> tuple[list, Schedule, DataFrame | None]:
+    """Names of the queues of one source, the schedule, and the lanes of the
+    other sources (queue, lanes, top), from (queue, n). At most ``QUEUES`` rows
+    can hold ``1/QUEUES`` of all tokens, so that many reach the driver. The
+    queues after the named ones are the small sources without a weight of their
+    own, by their tokens, and those with one."""
+    spark = per_source.sparkSession
     big = sorted((r["queue"], int(r["n"])) for r in per_source.filter(F.col("n") * QUEUES >= total).collect())
     names = [q for q, _ in big]
-    totals = [n for _, n in big] + [total - sum(n for _, n in big)]
-    share = [int(weights.get(q, 0)) for q in names] + [int(weights.get(None, 0))] if weights else None
-    return names, Schedule(totals, share)
+    totals, shares = [n for _, n in big], [int((weights or {}).get(q, 0)) for q in names]
+    if sum(totals) == total:
+        return names, Schedule(totals, shares if weights else None), None
+    small = per_source.filter(F.col("n") * QUEUES < total)
+    own = [(q, int(w)) for q, w in (weights or {}).items() if q is not None]
+    table = spark.createDataFrame(own, "queue string, w long")
+    lanes = None
+    for top, part in enumerate([small.join(table, "queue", "left_anti").withColumn("w", F.col("n")), small.join(table, "queue")], len(names)):
+        row = part.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+        totals.append(int(row["n"] or 0))
+        shares.append(int((weights or {}).get(None, 0)) if top == len(names) else int(row["w"] or 0))
+        if totals[-1]:
+            found = tail_lanes(part.select("queue", "n", "w"), total).withColumn("top", F.lit(top))
+            lanes = found if lanes is None else lanes.unionAll(found)
+    return names, Schedule(totals, shares if weights else None), lanes
 
 
 def pack(df: DataFrame, path: str | None = None, weights: dict | None = None, id_col: str = "doc_id",
          text_col: str = "text", source_col: str = "source", slot_tokens: int = SLOT_TOKENS) -> DataFrame:
-    """Every row's pieces. ``weights`` (source name -> integer; None for the
-    small sources) are the mixture; by default each source's own tokens."""
+    """Every row's pieces. ``weights`` (source name -> integer; None for the small
+    sources it does not name) are the mixture; by default each source's own tokens."""
     spark = df.sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/packing-{uuid.uuid4().hex}"
     name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
@@ -263,27 +353,27 @@ def pack(df: DataFrame, path: str | None = None, weights: dict | None = None, id
     tokens.write.parquet(base)
     tokens = spark.read.schema(tokens.schema).parquet(base)
     total = int(tokens.agg(F.sum("n_tokens")).first()[0] or 0)
-    names, plan = queue_table(tokens.groupBy("queue").agg(F.sum("n_tokens").alias("n")), total,
-                              {k if k is None else f"={k}": v for k, v in weights.items()} if weights else None)
+    names, plan, lanes = queue_table(tokens.groupBy("queue").agg(F.sum("n_tokens").alias("n")), total,
+                                     {k if k is None else f"={k}": v for k, v in weights.items()} if weights else None)
     slots = max(1, -(-total // slot_tokens))
-    number = F.coalesce(F.create_map(*[x for i, q in enumerate(names) for x in (F.lit(q), F.lit(i))])[F.col("queue")]
-                        if names else F.lit(None).cast("int"), F.lit(len(names)))
-    tokens = (tokens.withColumn("q", number)
-              .withColumn("slot", F.pmod(F.xxhash64("doc_id", "n_tokens", "ids_hash"), F.lit(slots))))
-    earlier = Window.partitionBy("q").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    begins = (tokens.groupBy("slot", "q").agg(F.sum("n_tokens").alias("n"))
-              .select("slot", "q", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("at")))
+    number = {q: i for i, q in enumerate(names)}
+    tokens = tokens.withColumn("slot", F.pmod(F.xxhash64("doc_id", "n_tokens", "ids_hash"), F.lit(slots)))
+    earlier = Window.partitionBy("queue").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    begins = (tokens.groupBy("slot", "queue").agg(F.sum("n_tokens").alias("n"))
+              .select("slot", "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("at")))
 
     def run(rows_of_slot: pa.Table) -> pa.Table:
         t = rows_of_slot.combine_chunks()
         at, docs = t.filter(pc.is_null(t["ids"])), t.filter(pc.is_valid(t["ids"]))
         ids, blobs = docs["doc_id"].to_pylist(), [x.as_py() for x in docs["ids"]]
-        queue = docs["q"].to_pylist()
-        place = dict(zip(at["q"].to_pylist(), at["at"].to_pylist()))
+        queue = docs["queue"].to_pylist()
+        place = dict(zip(at["queue"].to_pylist(), at["at"].to_pylist()))
+        path = {q: [*[Lane(*pickle.loads(x)) for x in few or []], plan.lane(number[q] if top is None else top)]
+                for q, few, top in zip(at["queue"].to_pylist(), at["lanes"].to_pylist(), at["top"].to_pylist())}
         rows: list[tuple] = []
         for d in sorted(range(len(ids)), key=lambda i: (zlib.crc32(blobs[i], 7), ids[i] is None, ids[i] or 0)):
             wide = np.frombuffer(blobs[d], "<u2").astype("<u4")
-            for a, m, w, o in plan.cut(queue[d], place[queue[d]], len(wide)):
+            for a, m, w, o in cut_path(path[queue[d]], place[queue[d]], len(wide)):
                 rows.append((d, a, m, zlib.crc32(wide[a:a + m].tobytes()), len(wide), w, o))
             place[queue[d]] += len(wide)
         cols = np.array(rows, np.int64).reshape(-1, 7).T
@@ -291,10 +381,12 @@ def pack(df: DataFrame, path: str | None = None, weights: dict | None = None, id
         return pa.table([docs["doc_id"].take(at), *[pa.array(c) for c in cols[1:]], docs["queue"].take(at)],
                         ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_queue"])
 
-    # a slot's queue places ride along as rows without ids
-    heads = begins.select("slot", "q", F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("string").alias("queue"),
-                          F.lit(None).cast("binary").alias("ids"), "at")
-    rows = tokens.select("slot", "q", "doc_id", "queue", "ids", F.lit(None).cast("long").alias("at")).unionAll(heads)
+    # a slot's queue places and lanes ride along as rows without ids
+    none = {"doc_id": id_type, "ids": "binary", "at": "long", "lanes": "array<binary>", "top": "int"}
+    names_of = ["slot", "queue", *none]
+    either = lambda df: df.select([F.col(c) if c in df.columns else F.lit(None).cast(none[c]).alias(c) for c in names_of])
+    heads = begins if lanes is None else begins.join(lanes, "queue", "left")
+    rows = either(tokens.select("slot", "queue", "doc_id", "ids")).unionAll(either(heads))
     return rows.groupBy("slot").applyInArrow(
         run, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
              "offset long, source_queue string")

@@ -253,6 +253,50 @@ def test_packing_schedule_fills_windows():
         assert all(len(v) == 64 or w == max(taken) for w, v in taken.items())
 
 
+def _many_sources(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("ab ") for _ in range(240)), f"s{i % 300:03d}") for i in range(3000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+
+
+def _shares(rows):
+    """Tokens by window and source; every window is full, every document whole."""
+    by_window, doc, taken = collections.defaultdict(collections.Counter), collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        by_window[r.sequence_id][r.source_queue] += r.length
+        doc[r.doc_id, r.doc_tokens] += r.length
+        taken[r.sequence_id].append((r.offset, r.length))
+    assert len(doc) == 3000 and all(n == size for (_, size), n in doc.items())
+    for k, parts in taken.items():
+        at = 0
+        for o, m in sorted(parts):
+            assert o == at
+            at += m
+        assert at == packing.WINDOW or k == max(taken)
+    return by_window
+
+
+def test_packing_many_sources_keep_their_shares(spark):
+    by_window = _shares(packing.pack(_many_sources(spark), slot_tokens=50000).collect())
+    totals = sum(by_window.values(), collections.Counter())
+    whole = sum(totals.values())
+    assert len(totals) == 300 and len(by_window) > 20
+    for k in list(sorted(by_window))[:-2]:
+        for q, n in totals.items():
+            assert abs(by_window[k][q] - packing.WINDOW * n / whole) <= 4
+
+
+def test_packing_small_sources_keep_their_weights(spark):
+    weights = {f"s{i:03d}": 4 if i < 100 else 1 for i in range(200)} | {None: 100}
+    by_window = _shares(packing.pack(_many_sources(spark), weights=weights, slot_tokens=50000).collect())
+    got = collections.Counter()
+    for k in range(8):
+        for q, n in by_window[k].items():
+            i = int(q[-3:])
+            got["four" if i < 100 else "one" if i < 200 else "none"] += n
+    assert abs(got["four"] / got["one"] - 4) < 0.4 and abs(got["none"] / got["one"] - 1) < 0.2
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, limit in ((0, 5), (1, 1), (50, 60), (2000, 10**9)):
