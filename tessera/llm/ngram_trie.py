@@ -252,7 +252,8 @@ def _answers(packets: DataFrame) -> DataFrame:
         hashes = [unsqueeze_sorted(x.as_py()) for x in t["hashes"]]
         counts = [unsqueeze(x.as_py(), np.uint32) for x in t["counts"]]
         every, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(counts), minlength=len(every)).astype(np.uint32)
+        total = np.zeros(len(every), np.uint64)
+        np.add.at(total, at, np.concatenate(counts).astype(np.uint64))  # whole numbers: no sum is rounded or cut
         ends = np.cumsum([0] + [len(h) for h in hashes])
         seen = [int((total > 0).sum())] + [0] * (len(hashes) - 1)
         return pa.table([t["block"], t["shard"], pa.array([squeeze(total[at[a:b]]) for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
@@ -290,7 +291,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 b = _Block(row)
                 b.pairs()
                 got = sorted(row["answers"], key=lambda x: (x["level"], x["shard"]))
-                counts = [np.concatenate([unsqueeze(x["totals"], np.uint32) for x in got if x["level"] == lv]).astype(np.int64) for lv in (1, 2)]
+                counts = [np.concatenate([unsqueeze(x["totals"], np.uint64) for x in got if x["level"] == lv]).astype(np.int64) for lv in (1, 2)]
                 trie = Trie(counts[0], begins, b.prev[b.first], b.tok[b.first], counts[1], total, distinct, mu)
                 each = trie.score(b.prev[b.first], b.tok[b.first])[b.back]
                 own = counts[0][b.tok]

@@ -389,6 +389,15 @@ def test_credentials_link_whole_scopes():
     assert kinds(f"{key} https://h.example/x") == [1]
 
 
+def test_lm_totals_beyond_32_bits(spark):
+    one = ngram_trie.squeeze_sorted(np.array([7], np.uint64))
+    many = ngram_trie.squeeze(np.array([3 << 30], np.uint32))
+    packets = spark.createDataFrame([(0, b, bytearray(one), bytearray(many)) for b in range(4)], "shard int, block long, hashes binary, counts binary")
+    got = ngram_trie._answers(packets).collect()
+    assert [ngram_trie.unsqueeze(bytes(r.totals), np.uint64).tolist() for r in got] == [[12 << 30]] * 4
+    assert sum(r.seen for r in got) == 1
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     sf = "/root/testdata/sf0.001"
