@@ -195,47 +195,63 @@ def fingerprints(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.mapInArrow(run, df.withColumn("fingerprint", F.lit("")).schema)
 
 
-ROWS_PER_RANGE = 8192
+RANGE_BYTES = 8 << 20
+ROW_BYTES = 1024  # what a row counts besides its text
 MAX_RANGES = 4096
+DRAWS = 64
+
+
+def _bounds(keyed: DataFrame) -> list[tuple[int, int, int]]:
+    """First keys of the ranges, in order, from sampled rows; the first is the
+    first key of all. Ranges are about equal in bytes."""
+    size = F.octet_length("text") + ROW_BYTES
+    total, first = keyed.agg(F.sum(size), F.min(F.struct("z", "a", "h"))).first()
+    ranges = min(MAX_RANGES, (total or 0) // RANGE_BYTES)
+    if ranges < 2:
+        return []
+    step = total / (ranges * DRAWS)  # a row larger than a step is surely drawn, and counts by its size
+    drawn = keyed.filter(F.rand(7) * F.lit(step) < size).select("z", "a", "h", F.greatest(size / F.lit(step), F.lit(1.0))).collect()
+    out, held = [tuple(first)], 0.0
+    for z, a, h, weight in sorted(map(tuple, drawn)):
+        if held >= DRAWS and (z, a, h) > out[-1]:
+            out.append((z, a, h))
+            held = 0.0
+        held += weight
+    return out[:MAX_RANGES]
 
 
 def edit_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every text beside its edited text and its next document, in descending
-    id order (null ids last, ties by text; after the last comes the first).
+    id order (null ids last, ties by the text's hash, then by text; after the
+    last comes the first).
 
     The edited text is the text with its last floor(n/3) code points replaced
     by the first as many (or all) of the next document's.
 
-    Rows are dealt once, by id ranges whose bounds are ids of the table; the
-    rows at a bound are also sent to the next lower range, so each range, read
-    in order, has every row's next one beside it and holds two texts at a time.
-    The bounds are at most ``MAX_RANGES`` numbers. Fingerprints of equal
+    Rows are dealt once, by ranges of (id, text hash) whose bounds are rows of
+    the table; the row at a bound is also sent to the range before, so each range,
+    read in order, has every row's next one beside it and holds two texts at a
+    time. The bounds are at most ``MAX_RANGES`` keys of whole numbers. Rows with
+    the same id and the same text share a range. Fingerprints of equal
     neighbours are computed once."""
     spark = df.sparkSession
-    src = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ids = src.select(F.col("doc_id").cast("long").alias("doc_id"))
-    n = ids.count()
-    ranges = max(1, min(MAX_RANGES, n // ROWS_PER_RANGE))
-    bounds: list[int] = []
-    if ranges > 1:
-        at = [(i + 1) / ranges for i in range(ranges)]
-        found = ids.approxQuantile("doc_id", at, 0.2 / ranges)
-        top = ids.agg(F.max("doc_id")).first()[0]
-        bounds = sorted({int(x) for x in found} | {top}) if found and top is not None and top < 2**53 else []
-    last = len(bounds) - 1
-    key = F.col("doc_id").cast("long")
-    if last > 0:
-        lit = F.lit(bounds)
-        own = F.when(key.isNull(), 0).otherwise(F.size(F.filter(lit, lambda b: b < key)))
-        # a row at a bound also follows the smallest row of the range above; the top follows the bottom
-        also = F.when(F.array_contains(lit, key), (own + 1) % len(bounds))
-        to = F.array_compact(F.array(own, also.cast("int")))
+    src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    keyed = src.select("doc_id", "text", F.col("doc_id").isNull().cast("int").alias("z"),
+                       F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")).alias("a"), F.xxhash64("text").alias("h"))
+    bounds = _bounds(keyed)
+    alone = len(bounds) < 2
+    if alone:
+        dealt = keyed.withColumn("copy", F.lit(0)).repartition(1)
     else:
-        to = F.array(F.lit(0))
-    dealt = src.select("doc_id", "text", F.posexplode(to).alias("copy", "range"))
-    dealt = (dealt.repartitionById(max(1, len(bounds)), F.col("range")) if last > 0 else dealt.repartition(1))
-    dealt = dealt.sortWithinPartitions("copy", F.desc_nulls_last("doc_id"), "text")
-    alone = last <= 0
+        key = F.struct("z", "a", "h")
+        lit = F.array(*[F.struct(F.lit(z).alias("z"), F.lit(a).cast("long").alias("a"), F.lit(h).cast("long").alias("h")) for z, a, h in bounds])
+        own = keyed.withColumn("range", F.size(F.filter(lit, lambda b: b <= key)) - 1).withColumn("copy", F.lit(0))
+        # the first row of a range also follows the last one of the range before; that of the first follows the very last
+        to = spark.createDataFrame([(*b, (i - 1) % len(bounds)) for i, b in enumerate(bounds)], "z int, a long, h long, range int")
+        heads = (keyed.join(F.broadcast(to), ["z", "a", "h"]).groupBy("z", "a", "h", "range").agg(F.min("text").alias("text"))
+                 .select(F.lit(None).cast("long").alias("doc_id"), "text", "z", "a", "h", "range", F.lit(1).alias("copy")))
+        dealt = own.unionByName(heads).repartitionById(len(bounds), F.col("range"))
+    dealt = dealt.sortWithinPartitions("copy", "z", "a", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None      # (id, text, fingerprint) still waiting for its next row
@@ -253,7 +269,9 @@ def edit_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for (_, t, _), (_, nxt, _) in zip(rows, rows[1:]):
                 k = len(t) // 3
                 edits.append(t[:len(t) - k] + nxt[:k])
-            for (i, t, fp), (_, _, nf), e, ef in zip(rows, rows[1:], edits, parse_all(edits)):
+            once = list(dict.fromkeys(edits))
+            known = dict(zip(once, parse_all(once)))
+            for (i, t, fp), (_, _, nf), e, ef in zip(rows, rows[1:], edits, (known[e] for e in edits)):
                 out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), as_string(fp), as_string(ef),
                             likeness(fp, ef), likeness(fp, nf)))
             return out
@@ -280,7 +298,7 @@ def edit_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if held and not closed and alone:
             yield emit(pairs([held, opening]))
 
-    return dealt.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "copy").mapInArrow(
+    return dealt.select("doc_id", "text", "copy").mapInArrow(
         run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
              "near_edited double, near_next double")
 

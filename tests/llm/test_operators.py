@@ -92,6 +92,23 @@ def test_phrases_edits_and_equal_texts(docs):
     assert rows[long].near_edited > 0.3 and rows[long].near_next < 0.1
 
 
+def test_phrases_ranges_of_hash_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "RANGE_BYTES", 1 << 14)
+    rng = random.Random(4)
+    text = lambda: " ".join(str(rng.randint(0, 999)) for _ in range(rng.randint(1, 80)))
+    for ids in ([None] * 300, [7] * 100 + [None] * 100 + [rng.randint(-2**63, 2**63 - 1) for _ in range(100)]):
+        df = spark.createDataFrame([(i, text()) for i in ids], "doc_id long, text string").repartition(3)
+        out = phrases.edit_pairs(df)
+        assert max(r["count"] for r in out.groupBy(phrases.F.spark_partition_id()).count().collect()) < 100
+        h = {(r.doc_id, r.text): r.h for r in df.select("*", phrases.F.xxhash64("text").alias("h")).collect()}
+        order = sorted(h, key=lambda x: (x[0] is None, -(x[0] or 0), h[x], x[1]))
+        want = collections.Counter()
+        for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+            k = len(t) // 3
+            want[i, hashlib.sha256((t[:len(t) - k] + nxt[:k]).encode()).hexdigest()] += 1
+        assert collections.Counter((r.doc_id, r.edited_sha256) for r in out.collect()) == want
+
+
 def test_phrases_interior_names_do_not_depend_on_offset():
     rng = np.random.default_rng(1)
     text = "".join(map(chr, rng.integers(97, 123, 3000)))
