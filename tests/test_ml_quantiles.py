@@ -109,3 +109,10 @@ def test_date_look_from_all_rows(spark):
         "IF(id < 5, concat('row-', id), '2024-01-02') AS mostly_days")
     target = {r.column: r.target_type for r in infer_plan(df).collect()}
     assert target == {"mostly_text": "string", "mostly_days": "timestamp"}
+
+
+def test_forest_grows_below_depth_five(spark):
+    df = spark.createDataFrame([(float(i % 32), float(i // 32 % 2), 100.0 * (i % 32) + i // 32 % 2) for i in range(512)], "x double, z double, y double")
+    got = select.forest_importance(df, ["x", "z"], "y", n_trees=5)
+    assert got == select.forest_importance(df, ["x", "z"], "y", n_trees=5, max_depth=30)
+    assert got != select.forest_importance(df, ["x", "z"], "y", n_trees=5, max_depth=5)
