@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import credentials, mixing, ngram_trie, packing, phrases, repetition, sharding, sigtree, suffix_levels, toxicity
+from tessera.llm import credentials, mixing, ngram_trie, packing, phrases, repetition, sharding, sigtree, suffix_levels, toxicity, turns
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,8 @@ def op9_sigtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_credentials")
 def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.secret_digest(documents(spark, sf_dir))
+
+
+@query("op13_turns")
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(table(spark, sf_dir, "conversations"), damaged=True)
