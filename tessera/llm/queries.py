@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import credentials, mixing, ngram_trie, packing, phrases, repetition, sharding, sigtree, suffix_levels, toxicity, turns
+from tessera.llm import credentials, mixing, ngram_trie, packing, phrases, repetition, sharding, sigtree, simhash, suffix_levels, toxicity, turns
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,8 @@ def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_turns")
 def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(table(spark, sf_dir, "conversations"), damaged=True)
+
+
+@query("op12_simhash")
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.similar_groups(documents(spark, sf_dir))
