@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import credentials, mixing, ngram_trie, packing, phrases, repetition, sharding, sigtree, simhash, suffix_levels, toxicity, turns
+from tessera.llm import (credentials, debruijn, mixing, ngram_trie, packing, phrases, repetition, sharding, sigtree, simhash, suffix_levels,
+                         toxicity, turns)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +106,26 @@ def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_simhash")
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.similar_groups(documents(spark, sf_dir))
+
+
+@query("op11_collocations", r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+spot AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f FROM spot GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS longer
+           FROM (SELECT lang, w, f, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * f),
+cuts AS (SELECT lang, phrase, f, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:], ' ') AS y
+         FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.f AS a, cut, p.f AS l, q.f AS r, ((2000000::HUGEINT * cuts.f) // (p.f::HUGEINT + q.f))::BIGINT AS score
+      FROM cuts JOIN f p ON p.lang = cuts.lang AND p.phrase = x JOIN f q ON q.lang = cuts.lang AND q.phrase = y),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS best FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE best = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) WHERE rank <= 2000
+""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.collocations(documents(spark, sf_dir))
