@@ -1,25 +1,36 @@
 """Model-based imputation (IMP-9 nearest neighbours, IMP-10 chained regression).
 
-kNN (k = 5, uniform mean, NaN-Euclidean over all numeric columns) is exact:
-every incomplete row is compared with every donor. Incomplete rows and donors
-are hashed into blocks of a bounded number of rows; a task gets one block of
-each, scores it in NumPy and sends on only the k best per row and column, and
-a rank filter keeps the k best overall. Nothing but two counts reaches the
-driver, no pair of rows leaves a task and no donor is dropped. The work is
-incomplete rows x donors, and every donor is shuffled once per block of
-incomplete rows.
-
-Chained regression: start from column means, then up to ``rounds`` passes;
-each pass fits, for every incomplete column, a ridge regression on the rows
-where it is observed from ONE Gram-matrix aggregate (all columns at once),
-and re-predicts the missing cells row-locally. Each round is checkpointed to
-the shared checkpoint folder to cut lineage.
+kNN (k = 5, uniform mean, NaN-Euclidean over all numeric columns) is exact, yet
+a row is compared with few donors. Equal donors become one with a number. Donors
+are dealt once to cells, the leaves of a k-d tree (its splits come from a bounded
+sample, so they touch speed only), parted by which columns are null where such
+patterns are few; a cell has the box of its values, the columns that all or some of
+its donors have, and its donors lie in packs of bounded size, so a full cell is many
+tasks. The distance to a box, over the columns that every donor of the cell shares
+with the row, bounds the distance to its donors from below. A row first visits the
+nearest cells that hold k donors of each column it lacks; the k-th distance found is
+an upper bound, and every other cell whose lower bound is under it is visited then.
+Rows and donors meet as pairs of packs in an equi-join on the cell; only the k best
+of a row and column leave a pair, and a rank filter keeps the k best of all. A row
+that shares no column with any donor gets the column's mean.
+
+Chained regression: start from column means, then up to ``rounds`` passes over the
+incomplete columns, the one with the fewest nulls first. Each column's ridge
+regression on all others uses the values the columns before it got in the same
+pass. Its normal equations come from Gram matrices summed over packs of rows in
+NumPy (one array a task, whatever the number of columns); complete rows never
+change, so theirs is summed once, and only incomplete rows are read again. New
+values are row-local, so the pass's coefficients replay them: a table is written
+once a pass, not once a column.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,141 +38,365 @@ from pyspark.sql.window import Window
 from tessera.columns import q
 from tessera.session import ensure_checkpoint_dir
 
-DONOR_BLOCK = 65_536
-ROW_BLOCK = 4_096
+CELL_ROWS = 2_048       # donors a cell is meant to hold
+MOST_CELLS = 1 << 16    # boxes are broadcast: at most 2 x 8 bytes x columns for each
+MOST_PATTERNS = 64
+SAMPLE_ROWS = 200_000
+PACK_ROWS = 1_024
 _ROW = "_row_id"
 
 
-def _nan_euclid(X: np.ndarray, D: np.ndarray) -> np.ndarray:
-    """NaN-Euclidean distances (rows of X vs rows of D): present-in-both
-    coordinates, scaled by n_features / n_present."""
-    mx, md = ~np.isnan(X), ~np.isnan(D)
-    X0, D0 = np.where(mx, X, 0.0), np.where(md, D, 0.0)
-    sq = (X0 ** 2) @ md.T.astype(float) + mx.astype(float) @ (D0 ** 2).T - 2 * X0 @ D0.T
-    present = mx.astype(float) @ md.T.astype(float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        d2 = np.where(present > 0, np.maximum(sq, 0.0) * X.shape[1] / present, np.nan)
-    return np.sqrt(d2)
-
-
-def _nearest(X: np.ndarray, rows: np.ndarray, donors: np.ndarray, tie: np.ndarray, cols: list[str], k: int,
-             cells: int = 1 << 22) -> list[tuple]:
-    """(row, column, distance, tie, value) of each missing cell's k nearest donors
-    of one block; of equal distances the smaller ``tie`` goes first."""
-    out = []
-    step = max(1, cells // max(len(donors), 1))
-    for s in range(0, len(X), step):
-        dist = _nan_euclid(X[s:s + step], donors)
-        for j, c in enumerate(cols):
-            need = np.flatnonzero(np.isnan(X[s:s + step, j]))
-            has = np.flatnonzero(~np.isnan(donors[:, j]))
-            if not len(need) or not len(has):
-                continue
-            dj, values = np.nan_to_num(dist[np.ix_(need, has)], nan=np.inf, posinf=np.inf), donors[has, j]
-            order = tie[has]
-            kth = np.partition(dj, min(k, len(has)) - 1, axis=1)[:, min(k, len(has)) - 1]
-            for r in range(len(need)):
-                near = np.flatnonzero((dj[r] <= kth[r]) & np.isfinite(dj[r]))
-                for t in near[np.lexsort((order[near], dj[r, near]))[:k]]:
-                    out.append((int(rows[s + need[r]]), c, float(dj[r, t]), int(order[t]), float(values[t])))
-    return out
-
-
-def knn_impute(df: DataFrame, cols: list[str], k: int = 5, donors_per_pass: int = DONOR_BLOCK,
-               rows_per_block: int = ROW_BLOCK) -> DataFrame:
+# ------------------------------------------------------------------ IMP-9
+def _tree(sample: np.ndarray, leaves: int) -> list[tuple]:
+    """k-d splits (column, value, left, right) over a sample; negative children are
+    leaves. Nulls go left."""
+    nodes: list[tuple] = []
+    count = 0
+
+    def build(rows: np.ndarray, want: int) -> int:
+        nonlocal count
+        part = sample[rows]
+        if want > 1 and len(rows) > 1:
+            with np.errstate(all="ignore"):
+                spread = np.nan_to_num(np.nanmax(np.where(np.isnan(part), -np.inf, part), 0) - np.nanmin(np.where(np.isnan(part), np.inf, part), 0),
+                                       nan=0.0, neginf=0.0)
+            f = int(np.argmax(spread))
+            if spread[f] > 0:
+                known = np.sort(part[~np.isnan(part[:, f]), f])
+                cut = known[(len(known) - 1) // 2]
+                if cut == known[-1]:
+                    cut = known[np.searchsorted(known, cut) - 1]
+                go = ~(part[:, f] > cut)
+                at = len(nodes)
+                nodes.append(())
+                nodes[at] = (f, float(cut), build(rows[go], want // 2), build(rows[~go], want - want // 2))
+                return at
+        count += 1
+        return -count
+
+    build(np.arange(len(sample)), leaves)
+    return nodes
+
+
+def _leaf(nodes: list[tuple], X: np.ndarray) -> np.ndarray:
+    if not nodes:
+        return np.ones(len(X), np.int64)
+    f, cut, left, right = (np.array(c) for c in zip(*nodes))
+    at = np.zeros(len(X), np.int64)
+    while (open_ := np.flatnonzero(at >= 0)).size:
+        n = at[open_]
+        at[open_] = np.where(X[open_, f[n]] > cut[n], right[n], left[n])
+    return -at
+
+
+def _matrix(rb: pa.RecordBatch, d: int, first: int = 0) -> np.ndarray:
+    return np.column_stack([rb.column(first + i).to_numpy(zero_copy_only=False).astype(float) for i in range(d)]) if rb.num_rows else np.zeros((0, d))
+
+
+class _Cells:
+    """Boxes of the cells, sorted by cell: least and greatest value, number of
+    donors by column, donors."""
+
+    def __init__(self, rows, d: int):
+        self.cell = np.array([r["cell"] for r in rows], np.int64)
+        grid = lambda name: np.array([[np.nan if v is None else v for v in r[name]] for r in rows], float).reshape(len(rows), d)
+        self.low, self.high, self.has = grid("low"), grid("high"), grid("has")
+        self.all = self.has == np.array([r["n"] for r in rows], float)[:, None]
+        self.d = d
+
+    def bounds(self, X: np.ndarray) -> np.ndarray:
+        """Lower bound of the squared distance from each row to each cell's donors;
+        inf where they share no column."""
+        known = ~np.isnan(X)
+        total = np.zeros((len(X), len(self.cell)))
+        for j in range(self.d):
+            if known[:, j].any() and self.all[:, j].any():
+                x = X[:, j:j + 1]
+                with np.errstate(invalid="ignore"):
+                    gap = np.maximum(np.maximum(self.low[:, j] - x, x - self.high[:, j]), 0.0)
+                total += np.where(known[:, j:j + 1] & self.all[:, j], gap * gap, 0.0)
+        most = known.astype(float) @ (self.has > 0).T.astype(float)
+        with np.errstate(divide="ignore"):
+            return np.where(most > 0, total * (self.d / np.maximum(most, 1)) * (1 - 1e-9), np.inf)
+
+    def first(self, X: np.ndarray, bound: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each row the nearest cells that hold k donors of each column it lacks."""
+        order, out = np.argsort(bound, axis=1, kind="stable"), []
+        for i in range(len(X)):
+            lacks = np.isnan(X[i])
+            near = order[i][np.isfinite(bound[i][order[i]])]
+            enough = (np.cumsum(self.has[near][:, lacks], axis=0) >= k).all(1)
+            out.append(near[:int(np.argmax(enough)) + 1] if enough.any() else near)
+        return out
+
+
+def _visits(rows: DataFrame, cells: "_Cells", d: int, k: int, bounded: bool) -> DataFrame:
+    """(cell, ids, values): packs of the rows that visit a cell - the first cells,
+    or with the k-th squared distances ``u`` known, the rest that may hold nearer donors."""
+    shared = rows.sparkSession.sparkContext.broadcast(cells)
+    step = max(16, (1 << 22) // max(len(cells.cell), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = shared.value
+        held: dict[int, list] = {}
+
+        def pack(cell: int) -> tuple:
+            got = held.pop(cell)
+            return cell, np.concatenate([g[0] for g in got]).tobytes(), np.concatenate([g[1] for g in got]).tobytes()
+
+        def batch(packs: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*packs)], ["cell", "ids", "x"])
+
+        waiting = 0
+        for rb in batches:
+            for lo in range(0, rb.num_rows, step):
+                part = rb.slice(lo, step)
+                ids, X = part.column(0).to_numpy(), _matrix(part, d, 1)
+                bound = cells.bounds(X)
+                near = cells.first(X, bound, k)
+                who = np.repeat(np.arange(len(X)), [len(n) for n in near])
+                first = np.zeros(bound.shape, bool)
+                first[who, np.concatenate(near) if near else who] = True
+                if bounded:
+                    u = np.array([[np.inf if v is None else v for v in r] for r in part.column(1 + d).to_pylist()])
+                    may = np.zeros(bound.shape, bool)
+                    for j in range(d):
+                        lacks = np.isnan(X[:, j])
+                        may[lacks] |= (bound[lacks] <= u[lacks, j][:, None]) & (cells.has[:, j] > 0)
+                    first = may & ~first & np.isfinite(bound)
+                at, c = np.nonzero(first)
+                order = np.argsort(c, kind="stable")
+                at, c = at[order], c[order]
+                cuts = np.flatnonzero(np.diff(c)) + 1
+                packs = []
+                for a, b in zip([0, *cuts], [*cuts, len(c)]) if len(c) else ():
+                    cell = int(cells.cell[c[a]])
+                    for s in range(a, b, PACK_ROWS):
+                        rows_ = at[s:min(s + PACK_ROWS, b)]
+                        held.setdefault(cell, []).append((ids[rows_], X[rows_]))
+                        waiting += len(rows_)
+                    if sum(len(g[0]) for g in held[cell]) >= PACK_ROWS:
+                        waiting -= sum(len(g[0]) for g in held[cell])
+                        packs.append(pack(cell))
+                if waiting > 1 << 18:
+                    packs += [pack(cell) for cell in list(held)]
+                    waiting = 0
+                if packs:
+                    yield batch(packs)
+        for lo in range(0, len(held), 64):
+            yield batch([pack(cell) for cell in list(held)[:64]])
+
+    return rows.mapInArrow(run, "cell long, ids binary, x binary")
+
+
+def _best(visits: DataFrame, donors: DataFrame, d: int, k: int) -> DataFrame:
+    """(row, j, dist, tie, value, n): the k nearest donors with column j of each
+    pair of packs; squared distances."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for ids, x, y, tie, many in zip(*[rb.column(i).to_pylist() for i in range(5)]):
+                ids, X, Y = np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, d), np.frombuffer(y).reshape(-1, d)
+                tie, many, out = np.frombuffer(tie, np.int64), np.frombuffer(many, np.int64), []
+                for lo in range(0, len(X), max(1, (1 << 20) // len(Y))):
+                    part = X[lo:lo + max(1, (1 << 20) // len(Y))]
+                    total, shared = np.zeros((len(part), len(Y))), np.zeros((len(part), len(Y)))
+                    for j in range(d):
+                        gap = part[:, j:j + 1] - Y[:, j]
+                        both = ~np.isnan(gap)
+                        total += np.where(both, gap * gap, 0.0)
+                        shared += both
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        dist = np.where(shared > 0, total * (d / shared), np.inf)
+                    for j in range(d):
+                        need, has = np.flatnonzero(np.isnan(part[:, j])), np.flatnonzero(~np.isnan(Y[:, j]))
+                        if not len(need) or not len(has):
+                            continue
+                        dj = dist[np.ix_(need, has)]
+                        kth = np.partition(dj, min(k, len(has)) - 1, axis=1)[:, min(k, len(has)) - 1]
+                        r, c = np.nonzero((dj <= kth[:, None]) & np.isfinite(dj))
+                        order = np.lexsort((tie[has[c]], dj[r, c], r))
+                        r, c = r[order], c[order]
+                        place = np.arange(len(r)) - np.searchsorted(r, r)
+                        r, c = r[place < k], c[place < k]
+                        out.append((ids[lo + need[r]], np.full(len(r), j, np.int32), dj[r, c], tie[has[c]], Y[has[c], j], many[has[c]]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["row", "j", "dist", "tie", "value", "n"])
+
+    return (visits.join(donors, "cell").select("ids", "x", "y", "tie", "many")
+            .mapInArrow(run, "row long, j int, dist double, tie long, value double, n long"))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each row and column, equal donors counted as often as they stand."""
+    w = Window.partitionBy("row", "j").orderBy("dist", "tie")
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return (found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+            .withColumn("take", F.least(F.col("n"), F.lit(k) - before)).filter("take > 0").drop("_r", "n"))
+
+
+def knn_impute(df: DataFrame, cols: list[str], k: int = 5, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Fill every numeric column's nulls with the mean of the k nearest
     donors that have the column (NaN-Euclidean over ``cols``)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = df.withColumn(_ROW, F.monotonically_increasing_id()).checkpoint(eager=True)  # stable ids
-    any_null = F.lit(False)
-    for c in cols:
-        any_null = any_null | q(c).isNull()
-    sizes = base.agg(F.count(F.lit(1)).alias("n"), F.count_if(any_null).alias("m")).first()
-    n_d = max(1, -(-sizes["n"] // donors_per_pass))
-    # blocks of at most about rows_per_block; of fewer rows where cores would idle
-    cores = spark.sparkContext.defaultParallelism
-    n_q = max(1, -(-sizes["m"] // rows_per_block), min(cores, sizes["m"] // 128))
-    numbers = base.select(_ROW, any_null.alias("_todo"), *[q(c).cast("double").alias(c) for c in cols])
-
-    def block(n: int, salt: int):
-        return F.pmod(F.xxhash64(F.col(_ROW), F.lit(salt)), F.lit(n))
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    queries = numbers.filter("_todo").drop("_todo").withColumn("_q", block(n_q, 1)).withColumn("_d", every(n_d))
+    spark, d = df.sparkSession, len(cols)
+    base_dir = f"{ensure_checkpoint_dir(spark)}/knn-{uuid.uuid4().hex}"
+
+    def stored(name: str, table: DataFrame) -> DataFrame:
+        table.write.parquet(f"{base_dir}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{base_dir}/{name}")
+
+    base = stored("base", df.withColumn(_ROW, F.monotonically_increasing_id()))  # stable ids
+    x = [F.nanvl(q(c).cast("double"), F.lit(None)).alias(f"x{i}") for i, c in enumerate(cols)]
+    names = [f"x{i}" for i in range(d)]
+    lacks = " or ".join(f"{n} is null" for n in names)
     # a donor's place among equally near ones is a hash of its values: the same in every layout
-    donors = (numbers.drop("_todo").withColumn("_tie", F.xxhash64(*[q(c) for c in cols]))
-              .withColumn("_d", block(n_d, 2)).withColumn("_q", every(n_q)))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = _nearest(left[cols].to_numpy(dtype=float), left[_ROW].to_numpy(),
-                         right[cols].to_numpy(dtype=float), right["_tie"].to_numpy(), cols, k) \
-            if len(left) and len(right) else []
-        return pd.DataFrame(found, columns=[_ROW, "column", "dist", "tie", "value"])
-
-    cands = queries.groupBy("_q", "_d").cogroup(donors.groupBy("_q", "_d")).applyInPandas(
-        score, f"{_ROW} long, column string, dist double, tie long, value double")
-    # keep the k nearest per (row, column) over all blocks
-    w = Window.partitionBy(_ROW, "column").orderBy("dist", "tie")
-    best = cands.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-    fills = best.groupBy(_ROW).pivot("column", cols).agg(F.avg("value"))
-    fills = fills.select(_ROW, *[F.col(c).alias(f"_fill_{c}") for c in cols])
-    out = base.join(fills, _ROW, "left")
-    return out.select(*[F.coalesce(q(c).cast("double"), F.col(f"_fill_{c}")).alias(c) if c in cols else q(c)
-                        for c in df.columns])
+    distinct = (base.select(F.xxhash64(*[q(c) for c in cols]).alias("tie"), *x).groupBy("tie", *names).agg(F.count(F.lit(1)).alias("many"))
+                .filter(F.coalesce(*names).isNotNull()))
+    distinct = stored("donors", distinct.withColumn("mask", sum((F.col(n).isNull().cast("long") * (1 << (i % 62)) for i, n in enumerate(names)), F.lit(0))))
+    about = distinct.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("mask").alias("masks")).first()
+    means = base.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]).first()
+    if not about["n"]:
+        return base.drop(_ROW)
+    leaves = max(1, min(MOST_CELLS // (MOST_PATTERNS if about["masks"] > 1 else 1), about["n"] // cell_rows))
+    share = min(1.0, min(SAMPLE_ROWS, 32 * leaves) / about["n"])
+    picked = distinct.filter(F.pmod("tie", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(*names).limit(2 * SAMPLE_ROWS).toArrow() if leaves > 1 else None
+    nodes = _tree(np.column_stack([picked[n].to_numpy().astype(float) for n in names]), leaves) if picked is not None and picked.num_rows else []
+    apart = about["masks"] <= MOST_PATTERNS
+
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            leaf = _leaf(nodes, _matrix(rb, d, 1))
+            mask = rb.column(d + 2).to_numpy()
+            yield pa.RecordBatch.from_arrays([*rb.columns[:d + 2], pa.array(leaf), pa.array(mask if apart else np.zeros_like(mask))],
+                                             ["tie", *names, "many", "leaf", "mask"])
+
+    schema = "tie long, " + ", ".join(f"{n} double" for n in names) + ", many long, leaf long, mask long"
+    placed = distinct.select("tie", *names, "many", "mask").mapInArrow(celled, schema).withColumn("cell", F.xxhash64("leaf", "mask"))
+    boxes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min(n) for n in names]).alias("low"),
+                                       F.array(*[F.max(n) for n in names]).alias("high"), F.array(*[F.count(n) for n in names]).alias("has"))
+    cells = _Cells(boxes.collect(), d)  # at most MOST_CELLS rows
+    packs = spark.createDataFrame([(r["cell"], r["n"] // (2 * PACK_ROWS) + 1) for r in boxes.select("cell", "n").collect()], "cell long, packs long")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> tuple:
+            return key[0], *(np.concatenate(c).tobytes() for c in zip(*held))
+
+        for rb in batches:
+            cell, part = rb.column(0).to_numpy(), rb.column(1).to_numpy()
+            X, tie, many = _matrix(rb, d, 2), rb.column(d + 2).to_numpy(), rb.column(d + 3).to_numpy()
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0)) + 1
+            out = []
+            for a, b in zip([0, *cuts], [*cuts, len(cell)]):
+                if key != (cell[a], part[a]):
+                    if held:
+                        out.append(done())
+                    key, held = (cell[a], part[a]), []
+                held.append((X[a:b], tie[a:b], many[a:b]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["cell", "y", "tie", "many"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in done()], ["cell", "y", "tie", "many"])
+
+    donors = stored("cells", placed.join(F.broadcast(packs), "cell").withColumn("part", F.pmod("tie", "packs"))
+                    .repartition("cell", "part").sortWithinPartitions("cell", "part").select("cell", "part", *names, "tie", F.least("many", F.lit(k)).alias("many"))
+                    .mapInArrow(packed, "cell long, y binary, tie binary, many binary"))
+
+    todo = base.select(_ROW, *x).filter(lacks)
+    if todo.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        todo = todo.repartition(spark.sparkContext.defaultParallelism, _ROW)
+    near = stored("near", _ranked(_best(_visits(todo, cells, d, k, False), donors, d, k), k))
+    kth = (near.groupBy("row", "j").agg(F.sum("take").alias("n"), F.max("dist").alias("u")).filter(F.col("n") >= k)
+           .groupBy("row").agg(*[F.max(F.when(F.col("j") == j, F.col("u"))).alias(f"u{j}") for j in range(d)]))
+    known = todo.join(kth, todo[_ROW] == kth["row"], "left").select(_ROW, *names, F.array(*[f"u{j}" for j in range(d)]).alias("u"))
+    far = _best(_visits(known, cells, d, k, True), donors, d, k)
+    best = _ranked(near.withColumnRenamed("take", "n").unionByName(far), k)
+    fills = best.groupBy("row").agg(*[(F.sum(F.when(F.col("j") == j, F.col("value") * F.col("take"))) / F.sum(F.when(F.col("j") == j, F.col("take")))).alias(f"_f{j}")
+                                      for j in range(d)])
+    out = base.join(fills, base[_ROW] == fills["row"], "left")
+    return out.select(*[F.coalesce(F.nanvl(q(c).cast("double"), F.lit(None)), F.col(f"_f{cols.index(c)}"), F.lit(means[f"m{cols.index(c)}"]).cast("double")).alias(c)
+                        if c in cols else q(c) for c in df.columns])
+
+
+# ----------------------------------------------------------------- IMP-10
+def _gram(rows: DataFrame, d: int, steps: list[tuple[int, np.ndarray]], of: int | None) -> np.ndarray:
+    """Sum over rows of [1, x]'[1, x], after the steps (column, coefficients) filled
+    in; only of rows that have column ``of``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        G = np.zeros((d + 1, d + 1))
+        for rb in batches:
+            X, gaps = _replayed(rb, d, steps)
+            if of is not None:
+                X = X[~gaps[:, of]]
+            A = np.column_stack([np.ones(len(X)), X])
+            G += A.T @ A
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange((d + 1) ** 2)), pa.array(G.ravel())], ["i", "g"])
+
+    parts = rows.mapInArrow(run, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
+    G = np.zeros((d + 1) ** 2)
+    for r in parts:
+        G[r["i"]] = r["g"]
+    return G.reshape(d + 1, d + 1)
+
+
+def _replayed(rb: pa.RecordBatch, d: int, steps: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, was null) of a batch of (values, null flags) after the steps."""
+    X = _matrix(rb, d)
+    gaps = np.column_stack([rb.column(d + i).to_numpy(zero_copy_only=False) for i in range(d)]) if rb.num_rows else np.zeros((0, d), bool)
+    for j, beta in steps:
+        at = gaps[:, j]
+        X[at, j] = np.column_stack([np.ones(int(at.sum())), np.delete(X[at], j, axis=1)]) @ beta
+    return X, gaps
 
 
 def chained_regression(df: DataFrame, cols: list[str], rounds: int = 10, ridge: float = 1e-6,
                        tol: float = 1e-3) -> DataFrame:
-    """Iterative ridge imputation of every incomplete numeric column,
-    starting from column means. Each round fits all columns from the same
-    starting values (one aggregate per round) and stops when the largest
-    change of an imputed cell is below tol x the largest observed |value|."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    d = len(cols)
-    stats = df.agg(*[F.avg(q(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
-                   *[F.count_if(q(c).isNull()).alias(f"z{i}") for i, c in enumerate(cols)],
-                   *[F.max(F.abs(q(c).cast("double"))).alias(f"x{i}") for i, c in enumerate(cols)]).first()
-    todo = sorted([i for i in range(d) if stats[f"z{i}"] > 0], key=lambda i: stats[f"z{i}"])
-    if not todo:
-        return df
-    scale = max((stats[f"x{i}"] or 0.0) for i in range(d)) or 1.0
-    cur = df.select(*[(F.coalesce(q(c).cast("double"), F.lit(stats[f"a{cols.index(c)}"])).alias(c)
-                       if c in cols else q(c)) for c in df.columns],
-                    *[q(c).isNull().alias(f"_m{i}") for i, c in enumerate(cols)]).checkpoint(eager=True)
-    for _ in range(rounds):
-        exprs = []
-        for j in todo:  # Gram of [1, X_-j] and [1, X_-j]'y over rows where column j is observed
-            obs = ~F.col(f"_m{j}")
-            feats = [F.lit(1.0)] + [F.col(cols[a]) for a in range(d) if a != j]
-            for a in range(d):
-                for b in range(a, d):
-                    exprs.append(F.sum(F.when(obs, feats[a] * feats[b])).alias(f"g{j}_{a}_{b}"))
-                exprs.append(F.sum(F.when(obs, feats[a] * F.col(cols[j]))).alias(f"y{j}_{a}"))
-        row = cur.agg(*exprs).first()
-        preds = []
+    """Iterative ridge imputation of every incomplete numeric column, starting
+    from column means, the columns one after the other. Stops when the largest
+    change of an imputed cell in a pass is below tol x the largest observed |value|."""
+    spark, d = df.sparkSession, len(cols)
+    base_dir = f"{ensure_checkpoint_dir(spark)}/chained-{uuid.uuid4().hex}"
+    x = [F.nanvl(q(c).cast("double"), F.lit(None)) for c in cols]
+    stats = df.agg(*[F.avg(v).alias(f"a{i}") for i, v in enumerate(x)], *[F.count_if(v.isNull()).alias(f"z{i}") for i, v in enumerate(x)],
+                   *[F.max(F.abs(v)).alias(f"x{i}") for i, v in enumerate(x)]).first()
+    # a column without any value has nothing to learn from and stays as it is
+    todo = sorted((i for i in range(d) if stats[f"z{i}"] and stats[f"a{i}"] is not None), key=lambda i: stats[f"z{i}"])
+    used = [i for i in range(d) if stats[f"a{i}"] is not None]
+    if not todo or len(used) < 2:
+        return df.select(*[F.coalesce(q(c), F.lit(stats[f"a{cols.index(c)}"])).alias(c) if c in cols and cols.index(c) in todo else q(c) for c in df.columns])
+    scale = max(stats[f"x{i}"] or 0.0 for i in used) or 1.0
+    names, flags = [f"x{i}" for i in used], [f"g{i}" for i in used]
+    d, todo = len(used), [used.index(i) for i in todo]
+    schema = f"{_ROW} long, " + ", ".join(f"{n} double" for n in names) + ", " + ", ".join(f"{g} boolean" for g in flags)
+    df.withColumn(_ROW, F.monotonically_increasing_id()).write.parquet(f"{base_dir}/rows")
+    rows = spark.read.parquet(f"{base_dir}/rows")
+    start = rows.select(_ROW, *[F.coalesce(x[i], F.lit(stats[f"a{i}"])).alias(n) for i, n in zip(used, names)], *[x[i].isNull().alias(g) for i, g in zip(used, flags)])
+    any_gap = F.greatest(*[F.col(g) for g in flags])
+    whole = _gram(start.filter(~any_gap).drop(_ROW), d, [], None)
+    cur = start.filter(any_gap)
+    for turn in range(rounds):
+        steps: list[tuple[int, np.ndarray]] = []
         for j in todo:
-            G, y = np.zeros((d, d)), np.zeros(d)
-            for a in range(d):
-                y[a] = row[f"y{j}_{a}"] or 0.0
-                for b in range(a, d):
-                    G[a, b] = G[b, a] = row[f"g{j}_{a}_{b}"] or 0.0
-            G += ridge * (np.trace(G) / d) * np.eye(d)
-            beta = np.linalg.solve(G, y)
-            others = [a for a in range(d) if a != j]
-            pred = F.lit(float(beta[0]))
-            for t, a in enumerate(others):
-                pred = pred + F.lit(float(beta[t + 1])) * F.col(cols[a])
-            preds.append(pred.alias(f"_p{j}"))
-        staged = cur.select("*", *preds).checkpoint(eager=True)
-        change = staged.agg(F.greatest(*[F.max(F.when(F.col(f"_m{j}"), F.abs(F.col(f"_p{j}") - F.col(cols[j]))))
-                                          for j in todo], F.lit(0.0)).alias("c")).first()["c"] or 0.0
-        cur = staged.select(*[(F.when(F.col(f"_m{cols.index(c)}"), F.col(f"_p{cols.index(c)}")).otherwise(F.col(c))
-                               .alias(c) if c in cols and cols.index(c) in todo else q(c)) for c in df.columns],
-                            *[F.col(f"_m{i}") for i in range(d)])
+            G = whole + _gram(cur.drop(_ROW), d, steps, j)
+            keep = [i for i in range(d + 1) if i != j + 1]
+            A, y = G[np.ix_(keep, keep)], G[keep, j + 1]
+            steps.append((j, np.linalg.solve(A + ridge * (np.trace(A) / len(keep)) * np.eye(len(keep)), y)))
+
+        def replay(batches: Iterator[pa.RecordBatch], steps=steps) -> Iterator[pa.RecordBatch]:
+            for rb in batches:
+                part = rb.select([*names, *flags])
+                X, _ = _replayed(part, d, steps)
+                moved = np.abs(X - _matrix(part, d)).max(1) if rb.num_rows else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([rb.column(0), *[pa.array(X[:, i]) for i in range(d)], *part.columns[d:], pa.array(moved)],
+                                                 [_ROW, *names, *flags, "moved"])
+
+        cur.select(_ROW, *names, *flags).mapInArrow(replay, schema + ", moved double").write.parquet(f"{base_dir}/pass-{turn}")
+        cur = spark.read.schema(schema + ", moved double").parquet(f"{base_dir}/pass-{turn}")
+        change = cur.agg(F.max("moved")).first()[0] or 0.0
+        cur = cur.drop("moved")
         if change <= tol * scale:
             break
-    return cur.select(*df.columns)
+    filled = cur.select(F.col(_ROW).alias("_r"), *[F.col(n).alias(f"_v{n}") for n in names])
+    out = rows.join(filled, rows[_ROW] == filled["_r"], "left")
+    place = {cols[i]: n for i, n in zip(used, names)}
+    return out.select(*[F.coalesce(F.nanvl(q(c).cast("double"), F.lit(None)), F.col(f"_v{place[c]}")).alias(c) if c in place else q(c) for c in df.columns])

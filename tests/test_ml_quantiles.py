@@ -82,15 +82,6 @@ def test_side_tables_and_kpi_adoption(spark):
     spark.sql("DROP TABLE IF EXISTS tessera_test_kpis")
 
 
-def test_knn_chunked_passes_equal_single_pass(spark):
-    rng = np.random.default_rng(5)
-    rows = [(i, float(rng.normal()), None if i % 4 == 0 else float(rng.normal())) for i in range(60)]
-    df = spark.createDataFrame(rows, "id long, a double, b double")
-    one = {r.id: r.b for r in impute_models.knn_impute(df, ["a", "b"], k=3).collect()}
-    many = {r.id: r.b for r in impute_models.knn_impute(df, ["a", "b"], k=3, donors_per_pass=7).collect()}
-    assert one == pytest.approx(many)
-
-
 def test_stratified_split_many_strata_and_nulls(spark):
     from tessera.operators.prep import stratified_split
     df = spark.range(2000).selectExpr("id", "IF(id % 50 = 0, NULL, id * id % 37) AS t")
