@@ -32,7 +32,9 @@ KEYWORDS = ("passw", "secret", "token", "api")
 
 # weak parts: an opaque value of 32 or more characters, a URL or host:port
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{32,}(?![A-Za-z0-9+/=_-])", re.A)
-ENDPOINT = re.compile(r"(?:https?|s3|jdbc:[a-z]+|postgres|mysql|redis|amqp)://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}\b", re.A)
+# (a host name is tried from its first character only and never given back, so a long run costs one scan)
+ENDPOINT = re.compile(r"(?:https?|s3|jdbc:[a-z]+|postgres|mysql|redis|amqp)://[^\s\"'<>]+"
+                      r"|(?<![\w-])(?<![a-z0-9-]\.)[a-z0-9-]++(?:\.[a-z0-9-]++)++:\d{2,5}\b", re.A)
 BLANK = re.compile(r"\n[ \t\r]*\n")
 
 

@@ -163,24 +163,25 @@ class Model:
         return np.where(x < -20, -x / np.log(10), -np.log10(np.maximum(p, 1e-300)))
 
     def segments(self, score: np.ndarray) -> list[tuple[int, int, float]]:
-        """All maximal-scoring segments (start, end, score) in one pass: each
-        candidate remembers the running sums before and after it, and merges
-        back with the nearest earlier one that began lower, if it ends higher."""
-        out: list[list] = []
-        positive = np.flatnonzero(score > 0)
+        """All maximal-scoring segments (start, end, score) in one pass, in linear
+        time: a candidate merges back with the nearest earlier one that began lower,
+        if it ends higher. Each candidate keeps the place of that one, so a search
+        steps over all that began higher at once."""
+        start, end, low, high, below = [], [], [], [], []
         sums = np.concatenate([[0.0], np.cumsum(score)])
-        for i in positive:
-            cur = [int(i), int(i) + 1, float(sums[i]), float(sums[i + 1])]
-            while True:
-                j = len(out) - 1
-                while j >= 0 and out[j][2] >= cur[2]:
-                    j -= 1
-                if j < 0 or out[j][3] >= cur[3]:
-                    out.append(cur)
-                    break
-                cur = [out[j][0], cur[1], out[j][2], cur[3]]
-                del out[j:]
-        return [(a, b, r - lo) for a, b, lo, r in out]
+        positive = np.flatnonzero(score > 0)
+        for i, left, right in zip(positive.tolist(), sums[positive].tolist(), sums[positive + 1].tolist()):
+            first, j = i, len(low) - 1
+            while j >= 0 and low[j] >= left:
+                j = below[j]
+            while j >= 0 and high[j] < right:
+                first, left = start[j], low[j]
+                up = below[j]
+                del start[j:], end[j:], low[j:], high[j:], below[j:]
+                j = up
+            for column, v in ((start, first), (end, i + 1), (low, left), (high, right), (below, j)):
+                column.append(v)
+        return [(a, b, r - lo) for a, b, lo, r in zip(start, end, low, high)]
 
     def document_evidence(self, data: np.ndarray, off: np.ndarray, significant: float = 1.0):
         """(tokens, best segment's score, evidence of the best, summed evidence
