@@ -1,8 +1,8 @@
 """Split, encode, scale (SPL-1 .. SPL-4, ENC-1 .. ENC-4, SCL-1 .. SCL-3).
 
-Splits give exact counts without a single-task window: rows are ordered by
-a seeded hash (or by time), and a global index comes from range partitions
-plus per-partition offsets (SURVEY 7.4). Encoders and scalers are fitted to
+Splits give exact counts without moving the rows: the cut points are values of
+a seeded hash (or of the time) found by rank over that narrow column, and each row
+is compared with them; only rows that tie at a cut are sorted. Encoders and scalers are fitted to
 small parameter frames (per-category statistics, per-column moments) and
 applied with ``select`` plus joins on the category (AQE decides broadcast
 from measured size).
@@ -10,6 +10,7 @@ from measured size).
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.columns import categorical_columns, is_numeric, q
-from tessera.functions.quantiles import exact_quantiles
+from tessera.functions.quantiles import exact_quantiles, select_ranks
 from tessera.plans.order import prefix_sums, with_row_index
 
 SEED = 42
@@ -35,19 +36,44 @@ def _hash_key(df: DataFrame, key_cols: list[str], seed: int) -> F.Column:
     return F.xxhash64(F.lit(seed), *[q(c) for c in key_cols])
 
 
+def _cut(df: DataFrame, order: F.Column, sizes, names: list[str], tie_cols: list[str]) -> DataFrame:
+    """Adds ``split``: rows in the order of ``order`` (a long) fall into ``names`` by
+    ``sizes(n)``, the last gets the rest. The cut points are found by rank over the
+    narrow order column, the rows are compared with them as literals and stay where
+    they are; only rows that tie at a cut are numbered, by ``tie_cols``."""
+    found, (n,) = select_ranks(df, [order], lambda _, n: list(itertools.accumulate(sizes(n))), "long")
+    ends = list(itertools.accumulate(sizes(n)))
+    label, ties = F.lit(names[-1]), {}
+    for name, end in reversed(list(zip(names, ends))):
+        if end < n:
+            value, below, _ = found[0, end]  # the first row that is not in it
+            label = F.when(order < value, name).otherwise(label)
+            if end > below:
+                ties.setdefault(value, below)
+        else:
+            label = F.lit(name)
+    out = df.withColumn("split", label)
+    for value, below in ties.items():
+        tied = with_row_index(out.filter(order == value), tie_cols, "_i")
+        place, again = F.col("_i") + below, F.lit(names[-1])
+        for name, end in reversed(list(zip(names, ends))):
+            again = F.when(place < end, name).otherwise(again)
+        out = out.filter(order != value).unionByName(tied.withColumn("split", again).drop("_i"))
+    return out
+
+
+def _random_sizes(n: int, test_size: float, val_size: float) -> tuple[int, int]:
+    n_test = math.ceil(test_size * n)
+    return n_test, math.ceil(val_size / (1 - test_size) * (n - n_test))
+
+
 # ---------------------------------------------------------------- SPL-1
 def random_split(df: DataFrame, key_cols: list[str], test_size: float = TEST_SIZE, val_size: float = VAL_SIZE,
                  seed: int = SEED) -> DataFrame:
     """Adds ``split`` in {train, validation, test}: test = ceil(test_size n)
     rows, validation = ceil(val/(1-test) x rest), by seeded-hash order of
     the key (repeatable, exact counts)."""
-    h = df.withColumn("_h", _hash_key(df, key_cols, seed))
-    idx = with_row_index(h, ["_h", *key_cols], "_i")
-    n = idx.count()
-    n_test = math.ceil(test_size * n)
-    n_val = math.ceil(val_size / (1 - test_size) * (n - n_test))
-    return idx.withColumn("split", F.when(F.col("_i") < n_test, "test")
-                          .when(F.col("_i") < n_test + n_val, "validation").otherwise("train")).drop("_h", "_i")
+    return _cut(df, _hash_key(df, key_cols, seed), lambda n: _random_sizes(n, test_size, val_size), ["test", "validation", "train"], key_cols)
 
 
 # ---------------------------------------------------------------- SPL-2
@@ -67,38 +93,72 @@ def _allocate(strata: DataFrame, size_col: str, total: int, name: str) -> DataFr
 
 def stratified_split(df: DataFrame, target: str, key_cols: list[str], test_size: float = TEST_SIZE,
                      val_size: float = VAL_SIZE, seed: int = SEED) -> DataFrame:
-    """Same cut inside each target value. The per-stratum rank comes from a
-    global (target, hash) index minus the stratum's start offset, so a
-    stratum holding a third of the rows is still spread over many tasks."""
-    h = df.withColumn("_h", _hash_key(df, key_cols, seed))
-    idx = with_row_index(h, [target, "_h", *key_cols], "_i")
-    n = idx.count()
-    n_test = math.ceil(test_size * n)
-    n_val = math.ceil(val_size / (1 - test_size) * (n - n_test))
-    strata = idx.groupBy(q(target).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    """Same cut inside each target value. Each stratum's two cut points come from
+    running counts over the narrow (target, hash), so a stratum holding a third
+    of the rows is spread over many tasks; the rows are compared with their
+    stratum's cut points. Rows that tie at one are numbered by key."""
+    h = _hash_key(df, key_cols, seed)
+    narrow = df.select(q(target).alias("_t"), h.alias("_h")).groupBy("_t", "_h").agg(F.count(F.lit(1)).alias("_c"))
+    strata = df.groupBy(q(target).alias("_t")).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    n = strata.agg(F.sum("_n")).first()[0] or 0
+    n_test, n_val = _random_sizes(n, test_size, val_size)
     alloc = _allocate(strata, "_n", n_test, "_nt").withColumn("_left", F.col("_n") - F.col("_nt"))
-    alloc = prefix_sums(_allocate(alloc, "_left", n_val, "_nv"), ["_t"], ["_n"])  # nulls first, as in the index
-    alloc = alloc.select("_t", (F.col("cum__n").cast("long") - F.col("_n")).alias("_start"), "_nt", "_nv")
-    if alloc.count() <= STRATA_BROADCAST_MAX:  # one row per stratum, size checked
-        alloc = F.broadcast(alloc)
-    j = idx.join(alloc, q(target).eqNullSafe(F.col("_t")))
-    r = F.col("_i") - F.col("_start")
-    return (j.withColumn("split", F.when(r < F.col("_nt"), "test").when(r < F.col("_nt") + F.col("_nv"), "validation")
-                         .otherwise("train"))
-             .drop("_h", "_i", "_t", "_start", "_nt", "_nv"))
+    alloc = prefix_sums(_allocate(alloc, "_left", n_val, "_nv"), ["_t"], ["_n"])  # nulls first, as in the running counts
+    alloc = alloc.select("_t", (F.col("cum__n").cast("long") - F.col("_n")).alias("_start"), "_nt", (F.col("_nt") + F.col("_nv")).alias("_nv"))
+    few = alloc.count() <= STRATA_BROADCAST_MAX  # one row per stratum, size checked
+    sized = F.broadcast(alloc) if few else alloc
+
+    def same(a: DataFrame, b: DataFrame):
+        return a["_t"].eqNullSafe(b["_s"])
+
+    # of each stratum the hash at which each cut falls, and the rows below it
+    run = prefix_sums(narrow, ["_t", "_h"], ["_c"])
+    run = run.join(sized.withColumnRenamed("_t", "_s"), run["_t"].eqNullSafe(F.col("_s")))
+    last, first = F.col("cum__c").cast("long") - F.col("_start"), F.col("cum__c").cast("long") - F.col("_start") - F.col("_c")
+
+    def at(cut: str):
+        return F.min(F.when((first <= F.col(cut)) & (F.col(cut) < last), F.struct(F.col("_h").alias("h"), first.alias("below"))))
+
+    cuts = run.groupBy("_t").agg(at("_nt").alias("_ct"), at("_nv").alias("_cv"), F.first("_nt").alias("_nt"), F.first("_nv").alias("_nv")) \
+              .withColumnRenamed("_t", "_s").checkpoint()
+    j = df.join(F.broadcast(cuts) if few else cuts, q(target).eqNullSafe(F.col("_s"))).withColumn("_h", h)
+    # no row at a cut: the cut lies at the stratum's end
+    split = (F.when(F.col("_ct").isNull() | (F.col("_h") < F.col("_ct.h")), "test")
+             .when(F.col("_cv").isNull() | (F.col("_h") < F.col("_cv.h")), "validation").otherwise("train"))
+    partly = cuts.filter("_ct.below < _nt or _cv.below < _nv")
+    out = j.withColumn("split", split)
+    if not partly.isEmpty():
+        tie = (F.col("_ct").isNotNull() & (F.col("_h") == F.col("_ct.h"))) | (F.col("_cv").isNotNull() & (F.col("_h") == F.col("_cv.h")))
+        tied = with_row_index(j.filter(tie), [target, "_h", *key_cols], "_i")
+        least = tied.groupBy(q(target).alias("_u"), F.col("_h").alias("_g")).agg(F.min("_i").alias("_from"))
+        tied = tied.join(least, q(target).eqNullSafe(F.col("_u")) & (F.col("_h") == F.col("_g")))
+        here = F.when(F.col("_ct.h") == F.col("_h"), F.col("_ct.below")).otherwise(F.col("_cv.below"))
+        place = F.col("_i") - F.col("_from") + here
+        tied = tied.withColumn("split", F.when(place < F.col("_nt"), "test").when(place < F.col("_nv"), "validation").otherwise("train"))
+        out = out.filter(~tie).unionByName(tied.drop("_i", "_u", "_g", "_from"))
+    return out.drop("_h", "_s", "_ct", "_cv", "_nt", "_nv")
 
 
 # ---------------------------------------------------------------- SPL-3
 def time_split(df: DataFrame, time_col: str, tie_cols: list[str], test_size: float = TEST_SIZE,
                val_size: float = VAL_SIZE) -> DataFrame:
-    """Sorted by time: train before int(n (1 - test - val)), validation
-    before int(n (1 - test)), test after."""
-    idx = with_row_index(df, [time_col, *tie_cols], "_i")
-    n = idx.count()
-    val_idx = int(n * (1 - test_size - val_size))
-    test_idx = int(n * (1 - test_size))
-    return idx.withColumn("split", F.when(F.col("_i") < val_idx, "train")
-                          .when(F.col("_i") < test_idx, "validation").otherwise("test")).drop("_i")
+    """Sorted by time (nulls first): train before int(n (1 - test - val)),
+    validation before int(n (1 - test)), test after. Rows of one time that a cut
+    parts are numbered by ``tie_cols``."""
+    kind = df.schema[time_col].dataType.typeName()
+
+    def sizes(n: int) -> tuple[int, int]:
+        first = int(n * (1 - test_size - val_size))
+        return first, int(n * (1 - test_size)) - first
+
+    names = ["train", "validation", "test"]
+    if kind in ("date", "timestamp", "timestamp_ntz", "byte", "short", "integer", "long"):
+        t = q(time_col).cast("long") if kind in ("byte", "short", "integer", "long") else F.unix_micros(q(time_col).cast("timestamp"))
+        return _cut(df, F.coalesce(t, F.lit(-(1 << 63))), sizes, names, [time_col, *tie_cols])
+    # times of another type have no order as numbers: their distinct values are ranked
+    codes = with_row_index(df.select(q(time_col).alias("_v")).distinct(), ["_v"], "_code")
+    coded = df.join(codes, q(time_col).eqNullSafe(F.col("_v")))
+    return _cut(coded, F.col("_code"), sizes, names, [time_col, *tie_cols]).drop("_v", "_code")
 
 
 # ---------------------------------------------------------------- SPL-4

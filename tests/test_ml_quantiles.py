@@ -11,7 +11,7 @@ def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     vals = rng.integers(0, 50, 997).astype(float)
     df = spark.createDataFrame([(float(v), "g" + str(i % 3)) for i, v in enumerate(vals)], "x double, g string")
-    got = exact_quantiles(df.repartition(7), ["x"], [0.0, 0.1, 0.5, 0.9, 1.0], num_partitions=5)["x"]
+    got = exact_quantiles(df.repartition(7), ["x"], [0.0, 0.1, 0.5, 0.9, 1.0])["x"]
     assert got == pytest.approx(list(np.quantile(vals, [0.0, 0.1, 0.5, 0.9, 1.0])))
     grp = {r.g: (r.med, r.p9) for r in grouped_exact_quantiles(df, ["g"], "x", [0.5, 0.9], ["med", "p9"]).collect()}
     for k in range(3):
@@ -19,6 +19,34 @@ def test_exact_quantiles_match_numpy(spark):
         assert grp[f"g{k}"] == pytest.approx((np.quantile(sub, 0.5), np.quantile(sub, 0.9)))
 
 
+@pytest.mark.parametrize("fetch,buckets,passes", [(200_000, 4096, 5), (0, 16, 20), (3, 8, 3), (0, 4, 1)])
+def test_ranks_by_histogram_refinement(spark, monkeypatch, fetch, buckets, passes):
+    from tessera.functions import quantiles
+    for name, v in (("FETCH", fetch), ("BUCKETS", buckets), ("PASSES", passes)):
+        monkeypatch.setattr(quantiles, name, v)
+    rng = np.random.default_rng(9)
+    a = np.concatenate([rng.normal(size=200), np.repeat(7.25, 150), [1e300, -1e300, 1e-300, 0.0, -0.0, np.inf, -np.inf, np.inf]])
+    b = np.concatenate([np.full(300, np.nan), rng.integers(-3, 3, 50).astype(float), np.full(8, 1e15)])
+    df = spark.createDataFrame([(float(x), None if np.isnan(y) else float(y), int(h)) for x, y, h in
+                                zip(a, b, rng.integers(-2**63, 2**63 - 1, len(a)))], "a double, b double, h long").repartition(3)
+    probs = [0.0, 0.03, 0.5, 0.97, 0.5001]
+    got = exact_quantiles(df, ["a", "b"], probs)
+    fine = np.sort(a)[2:-3]
+    inner = df.filter(F.col("a").between(float(fine[0]), float(fine[-1])))
+    assert exact_quantiles(inner, ["a"], probs)["a"] == pytest.approx(list(np.quantile(fine, probs)))
+    assert got["a"][0] == -np.inf and got["a"][2] == pytest.approx(np.quantile(np.clip(a, -1e300, 1e300), 0.5))
+    assert got["b"] == pytest.approx(list(np.nanquantile(b, probs)))
+    h = np.sort([r.h for r in df.collect()])
+    found, rows = quantiles.select_ranks(df, [F.col("h")], lambda i, n: [0, 5, n // 2, n - 1, n], "long")
+    assert rows == [len(h)] and found == {(0, r): (h[r], r, 1) for r in (0, 5, len(h) // 2, len(h) - 1)}
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(None, float("nan"))], "a double, b double")
+    assert exact_quantiles(df, ["a", "b"], [0.5]) == {"a": [None], "b": [None]}
+    assert exact_quantiles(df.limit(0), ["a"], [0.1, 0.9]) == {"a": [None, None]}
+
+
 def test_hot_group_quantile(spark):
     # one group holds most rows; result still exact
     rows = [("hot", float(i)) for i in range(3000)] + [("cold", 1.0), ("cold", 3.0)]
