@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from tessera.columns import is_datetime, is_numeric, numeric_columns, q
 from tessera.functions.quantiles import exact_quantiles, grouped_exact_quantiles
 from tessera.functions.util import safe_div, with_row
+from tessera.functions.two_sample import two_sample
 from tessera.plans.order import prefix_sums
 
 LOW_MISSING = 0.05
@@ -290,14 +291,8 @@ def validate(original: DataFrame, imputed: DataFrame, cols: list[str], min_n: in
     """PSI and KS per imputed numeric column with >= 10 values on both sides;
     pass when PSI <= 0.10 and KS <= 0.10."""
     spark = original.sparkSession
-    rows = []
-    counts = original.agg(*[F.count(q(c)).alias(c) for c in cols]).first() if cols else {}
-    for c in cols:
-        if counts[c] < min_n:
-            continue
-        p = psi(original, c, imputed, c).first()["psi"]
-        k = ks_statistic(original, c, imputed, c).first()["ks"]
-        rows.append((c, float(p), float(k), bool(p <= PSI_PASS and k <= KS_PASS)))
+    rows = [(c, float(t.psi), float(t.ks), bool(t.psi <= PSI_PASS and t.ks <= KS_PASS))
+            for c, t in two_sample(original, imputed, cols).items() if min(t.n_a, t.n_b) >= min_n]
     out = spark.createDataFrame(rows, "column string, psi double, ks_statistic double, passed boolean")
     return out.select("column", F.round("psi", 4).alias("psi"), F.round("ks_statistic", 4).alias("ks_statistic"),
                       "passed")

@@ -2,24 +2,18 @@
 
 Per numeric column: PSI with the baseline's decile bins and the two-sample
 KS statistic; status act / warn / ok by the monitoring thresholds. All
-columns share the passes: one distributed quantile job for every column's
-edges, one counting aggregate per side for the bins, and one running-count
-pass (keyed by column) for all KS statistics.
+columns share one sorted table of counts (``functions.two_sample``), so each side
+is read once.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.columns import numeric_columns, q
-from tessera.functions.quantiles import exact_quantiles
-from tessera.functions.util import safe_div
-from tessera.operators.impute import bin_index
+from tessera.columns import numeric_columns
+from tessera.functions.two_sample import two_sample
 from tessera.operators.signals import KS_ACT, KS_WARN, PSI_ACT, PSI_WARN
-from tessera.plans.order import prefix_sums
 
 
 def drift_status(p: F.Column, k: F.Column) -> F.Column:
@@ -27,77 +21,11 @@ def drift_status(p: F.Column, k: F.Column) -> F.Column:
              .otherwise("ok"))
 
 
-def _bin_counts(df: DataFrame, edges: dict[str, list[float]]) -> dict:
-    """{n<i>: non-null count, b<i>_<bin>: count} for every column, from one
-    (column, bin) groupBy: each row's bin is computed once per column."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("c"), F.coalesce(bin_index(q(c).cast("double"), e), F.lit(-1)).alias("b"))
-        for i, (c, e) in enumerate(edges.items())
-        ])).alias("s"), *[q(c).isNull().alias(f"_z{i}") for i, c in enumerate(edges)]).select("s.c", "s.b", *[
-        F.col(f"_z{i}") for i in range(len(edges))])
-    nulls = F.coalesce(*[F.when(F.col("c") == i, F.col(f"_z{i}")) for i in range(len(edges))])
-    rows = long.filter(~nulls).groupBy("c", "b").agg(F.count(F.lit(1)).alias("k")).collect()
-    out = {f"n{i}": 0 for i in range(len(edges))}
-    for i, (c, e) in enumerate(edges.items()):
-        for b in range(len(e) - 1):
-            out[f"b{i}_{b}"] = 0
-    for r in rows:
-        out[f"n{r['c']}"] += r["k"]
-        if r["b"] >= 0:
-            out[f"b{r['c']}_{r['b']}"] = r["k"]
-    return out
-
-
-def multi_ks(baseline: DataFrame, current: DataFrame, cols: list[str]) -> dict[str, float]:
-    """KS for every column from one running-count pass keyed by column."""
-    def long(df, c1, c2):
-        return df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), q(c).cast("double").alias("v"))
-                                               for i, c in enumerate(cols)])).alias("s")) \
-                 .select("s.c", "s.v").filter(F.col("v").isNotNull()) \
-                 .select("c", "v", F.lit(c1).alias("a"), F.lit(c2).alias("b"))
-    per = long(baseline, 1, 0).unionByName(long(current, 0, 1)).groupBy("c", "v").agg(
-        F.sum("a").alias("a"), F.sum("b").alias("b"))
-    cum, per_col = prefix_sums(per, ["c", "v"], ["a", "b"], group_totals="c")
-    tot = {c: (v[0], v[1]) for c, v in per_col.items()}
-    # running sums are global over (c, v): subtract each column's start
-    start_a, start_b, sa, sb = {}, {}, 0.0, 0.0
-    for i in range(len(cols)):
-        start_a[i], start_b[i] = sa, sb
-        na, nb = tot.get(i, (0, 0))
-        sa, sb = sa + na, sb + nb
-    spark = baseline.sparkSession
-    meta = spark.createDataFrame([(i, float(start_a[i]), float(start_b[i]), float(tot.get(i, (0, 0))[0]),
-                                   float(tot.get(i, (0, 0))[1])) for i in range(len(cols))],
-                                 "c int, sa double, sb double, na double, nb double")
-    ks = (cum.join(F.broadcast(meta), "c")  # one row per column
-             .groupBy("c").agg(F.max(F.abs(safe_div(F.col("cum_a") - F.col("sa"), F.col("na"))
-                                           - safe_div(F.col("cum_b") - F.col("sb"), F.col("nb")))).alias("ks"))
-             .collect())
-    return {cols[r["c"]]: r["ks"] for r in ks}
-
-
 def drift_check(baseline: DataFrame, current: DataFrame, cols: list[str] | None = None,
                 min_n: int = 10, bins: int = 10) -> DataFrame:
     spark = baseline.sparkSession
     cols = cols if cols is not None else [c for c in numeric_columns(baseline) if c in current.columns]
-    counts = baseline.agg(*[F.count(q(c)).alias(c) for c in cols]).first() if cols else {}
-    cols = [c for c in cols if counts[c] >= min_n]
-    if not cols:
-        return spark.createDataFrame([], "feature string, psi double, ks double, status string")
-    qs = exact_quantiles(baseline, cols, [i / bins for i in range(bins + 1)])
-    edges = {c: sorted(set(qs[c])) for c in cols}
-    ca, cb = _bin_counts(baseline, edges), _bin_counts(current, edges)
-    ks = multi_ks(baseline, current, cols)
-    rows = []
-    for i, c in enumerate(cols):
-        e = edges[c]
-        p = 0.0
-        if len(e) >= 2:
-            for b in range(len(e) - 1):
-                pa = ca[f"b{i}_{b}"] / ca[f"n{i}"] or 0.0001
-                pb = (cb[f"b{i}_{b}"] / cb[f"n{i}"] if cb[f"n{i}"] else 0.0) or 0.0001
-                p += (pb - pa) * math.log(pb / pa)
-        rows.append((c, float(p), float(ks.get(c) or 0.0)))
-    out = spark.createDataFrame(rows, "feature string, psi double, ks double")
+    found = {c: t for c, t in two_sample(baseline, current, cols, bins).items() if t.n_a >= min_n}
+    out = spark.createDataFrame([(c, float(t.psi), float(t.ks or 0.0)) for c, t in found.items()], "feature string, psi double, ks double")
     return out.select("feature", F.round("psi", 6).alias("psi"), F.round("ks", 6).alias("ks"),
                       drift_status(F.col("psi"), F.col("ks")).alias("status"))
