@@ -2,8 +2,8 @@
 PCA to 90 % variance, isolation-forest anomaly flags.
 
 * The scaled feature vector is one ``select`` (moments from one aggregate).
-* k-means / PCA use Spark ML (k-means||, distributed Gram matrix); the
-  feature frame is persisted around the k loop.
+* k-means advances all k and starts in shared scans (``operators.kmeans``); PCA
+  is Spark ML's distributed Gram matrix.
 * Isolation forest: a tree needs only min(256, n) rows by definition, so
   every tree draws its rows from the whole table by a seeded hash of its own;
   the trees are grown on the driver (256 rows x trees), broadcast, and every row
@@ -14,12 +14,9 @@ PCA to 90 % variance, isolation-forest anomaly flags.
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -29,6 +26,7 @@ from pyspark.sql.window import Window
 
 from tessera.columns import numeric_columns, q
 from tessera.functions.util import spread
+from tessera.operators import kmeans
 
 SEED = 42
 
@@ -65,42 +63,16 @@ def vector_matrix(df: DataFrame, array_col: str, keep: list[str] | None = None,
 def kmeans_best_k(features: DataFrame, k_max: int = 10, seed: int = SEED, max_iter: int = 300,
                   n_init: int = 10) -> tuple[DataFrame, DataFrame]:
     """k from 2 to min(11, n // 10) - 1; best silhouette (Spark's squared
-    Euclidean form). ``n_init`` k-means|| starts per k (seeds seed, seed+1,
-    ...), the lowest training cost kept. Returns (scores per k, cluster
-    sizes of the best k)."""
+    Euclidean form). ``n_init`` k-means|| starts per k, the lowest cost kept; all
+    starts of all k share their scans. Returns (scores per k, cluster sizes of
+    the best k)."""
     spark = features.sparkSession
-    n = features.count()
-    ks = list(range(2, min(k_max + 1, n // 10)))
-    if not ks:
-        return (spark.createDataFrame([], "k int, silhouette double"),
-                spark.createDataFrame([], "cluster int, size long"))
-    feats = features.select("features").persist()
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    scores, best = [], None
-    try:
-        feats.count()  # cached once, before the starts share it
-
-        def fit(start):
-            k, i = start
-            return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(feats)
-
-        # independent jobs, eight at a time
-        starts = [(k, i) for k in ks for i in range(max(1, n_init))]
-        with ThreadPoolExecutor(8) as pool:
-            models = list(zip(starts, pool.map(fit, starts)))
-        for k in ks:
-            model = min((m for (size, _), m in models if size == k), key=lambda m: m.summary.trainingCost)
-            pred = model.transform(feats)
-            s = ev.evaluate(pred)
-            scores.append((k, float(s)))
-            if best is None or s > best[1]:
-                best = (k, s, model)
-        sizes = (best[2].transform(feats).groupBy(F.col("prediction").cast("int").alias("cluster"))
-                 .agg(F.count(F.lit(1)).alias("size")))
-        sizes = spark.createDataFrame(sizes.collect(), "cluster int, size long")  # at most 10 rows
-    finally:
-        feats.unpersist()
-    return spark.createDataFrame(scores, "k int, silhouette double"), sizes
+    ks = list(range(2, min(k_max + 1, features.count() // 10)))
+    models = kmeans.fit_many(features, ks, n_init, seed, max_iter) if ks else []
+    best = max(models, key=lambda m: m.silhouette, default=None)
+    sizes = [(i, int(n)) for i, n in enumerate(best.sizes)] if best else []
+    return (spark.createDataFrame([(m.k, m.silhouette) for m in models], "k int, silhouette double"),
+            spark.createDataFrame(sizes, "cluster int, size long"))
 
 
 # ------------------------------------------------------------------ ML-3

@@ -111,46 +111,87 @@ def check_and_dedupe(df: DataFrame, table: str, key: str | None, step: int, issu
     return df
 
 
-def orphan_stats(main: DataFrame, other: DataFrame, key: str) -> tuple[int, int]:
-    """(rows after the left join, main rows without a match), from keys only."""
-    per_key = other.groupBy(q(key).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
-    j = main.select(q(key).alias("_k")).join(per_key, "_k", "left")
-    r = j.agg(F.sum(F.coalesce("_c", F.lit(1))).alias("rows"), F.count_if(F.col("_c").isNull()).alias("orph")).first()
-    return int(r["rows"] or 0), int(r["orph"] or 0)
+@dataclass
+class _Step:
+    """One right table of a merge: its key, prepared columns and whether keys repeat."""
+    number: int
+    name: str
+    key: str
+    right: DataFrame
+    repeats: bool
+
+
+def _plan(main: DataFrame, tables: list, issues: list) -> list[_Step]:
+    """Keys and renamed columns of every table that takes part; duplicates are
+    checked on the key columns alone."""
+    have, steps = list(main.columns), []
+    for number, (name, other, hint) in enumerate(tables, start=1):
+        key = choose_key(have, other.columns, hint)
+        if key is None or other.isEmpty():
+            continue
+        before = len(issues)
+        other = check_and_dedupe(other, name, key, number, issues)
+        found = issues[before:]
+        repeats = bool(found) and not (found[0][5] != "stopped" and timestamp_like(other.columns))
+        rename = {c: (f"{c}_{name}" if c in have else c) for c in other.columns if c != key}
+        steps.append(_Step(number, name, key, other.select(q(key).alias(key), *[q(c).alias(rename[c]) for c in other.columns if c != key]), repeats))
+        have += [rename[c] for c in other.columns if c != key]
+    return steps
+
+
+def match_vectors(main: DataFrame, steps: list[_Step]) -> list[tuple[tuple, list[float]]]:
+    """(which tables matched, rows after each step) for every combination of matches
+    that occurs, from one chain of joins over the key columns alone. Where a later
+    table repeats a key a row counts for its share of the rows that come of it."""
+    needed = {s.key for s in steps}
+    data = main.select(*[q(c) for c in main.columns if c in needed])
+    for i, s in enumerate(steps):
+        later = {t.key for t in steps[i + 1:]}
+        right = s.right.select(q(s.key).alias("_k"), *[q(c) for c in s.right.columns if c != s.key and c in later], F.lit(1).alias(f"_m{i}"))
+        if s.repeats:
+            per_key = s.right.groupBy(q(s.key).alias("_kk")).agg(F.count(F.lit(1)).alias(f"_c{i}"))
+            right = right.join(per_key, right["_k"] == per_key["_kk"]).drop("_kk")
+        data = data.join(right, data[s.key] == right["_k"], "left").drop("_k")
+    markers = [F.coalesce(F.col(f"_m{i}"), F.lit(0)).alias(f"_m{i}") for i in range(len(steps))]
+    sums = []
+    for i in range(len(steps)):
+        share = F.lit(1.0)
+        for j in range(i + 1, len(steps)):
+            if steps[j].repeats:
+                share = share / F.coalesce(F.col(f"_c{j}"), F.lit(1))
+        sums.append(F.sum(share).alias(f"_w{i}"))
+    rows = data.groupBy(*markers).agg(*sums).collect()  # at most 2 ** tables rows
+    return [(tuple(r[f"_m{i}"] for i in range(len(steps))), [r[f"_w{i}"] for i in range(len(steps))]) for r in rows]
 
 
 def merge_tables(main: DataFrame, tables: list[tuple[str, DataFrame, str | None]],
                  on_duplicates: str = "stop") -> MergeResult:
     """Left-merge each table in turn on its key; clashing right columns get
-    the suffix ``_<table>``. Returns data, issue table, status and orphans."""
+    the suffix ``_<table>``. Returns data, issue table, status and orphans. All
+    orphan decisions come from one narrow chain of joins, grouped by which tables
+    matched; the data's own joins are planned once."""
     spark = main.sparkSession
     issues: list[tuple] = []
     data = check_and_dedupe(main, "main", None, 0, issues)
+    steps = _plan(data, tables, issues)
+    vectors = match_vectors(data, steps) if steps else []
     orphans: dict[str, DataFrame] = {}
-    merged = ["main"]
-    for step, (name, other, key_hint) in enumerate(tables, start=1):
-        key = choose_key(data.columns, other.columns, key_hint)
-        if key is None or other.isEmpty():
-            continue
-        # the duplicate and orphan checks read the key column only (pruned
-        # scans), so re-reading beats materialising the whole right table
-        other = check_and_dedupe(other, name, key, step, issues)
-        rename = {c: (f"{c}_{name}" if c in data.columns else c) for c in other.columns if c != key}
-        right = other.select(q(key).alias(key), *[q(c).alias(rename[c]) for c in other.columns if c != key],
-                             F.lit(True).alias("_matched"))
-        rows, orph = orphan_stats(data, other, key)
-        joined = data.join(right, key, "left")
+    for i, s in enumerate(steps):
+        rows = round(sum(w[i] for _, w in vectors))
+        orph = round(sum(w[i] for m, w in vectors if not m[i]))
+        joined = data.join(s.right.withColumn("_matched", F.lit(True)), s.key, "left")
         pct = orph / rows if rows else 0.0
         if pct > 0:
             action = "stopped" if pct > ORPHAN_STOP else "quarantined" if pct > ORPHAN_QUARANTINE else "flagged"
-            issues.append(_issue(spark, step, name, "orphans", orph, pct, action))
+            issues.append(_issue(spark, s.number, s.name, "orphans", orph, pct, action))
             if action == "quarantined":
-                orphans[name] = joined.filter(F.col("_matched").isNull()).drop("_matched")
+                orphans[s.name] = joined.filter(F.col("_matched").isNull()).drop("_matched")
                 joined = joined.filter(F.col("_matched").isNotNull())
+                vectors = [v for v in vectors if v[0][i]]
         data = joined.drop("_matched")
-        merged.append(name)
+    issues.sort(key=lambda x: x[0])
     actions = {i[5] for i in issues}
     status = "STOP" if "stopped" in actions else "WARN" if actions & {"quarantined", "kept_latest"} else "PASS"
     if status == "STOP" and on_duplicates == "warn" and any(i[2] == "duplicates" for i in issues):
         status = "WARN"
-    return MergeResult(data, spark.createDataFrame(issues, ISSUE_SCHEMA), status, orphans, merged)
+    return MergeResult(data, spark.createDataFrame(issues, ISSUE_SCHEMA), status, orphans, ["main", *[s.name for s in steps]])
