@@ -10,14 +10,19 @@ sends what it found, sorted, to ranges of the hash, which add up all blocks: a p
 costs a range one entry per block, however hot it or its first words are.
 
 Phrases that occur ``min_count`` times or more are the candidates' graph. Their words
-come from a second scan: a bitmap of the frequent hashes (16 bits for each, at most
-``MOST_BITS``; when it is full more is sent and dropped by the join, never less) picks
-the phrases, each task sends one once. A node whose heaviest edge carries its whole
-flow is unary and is folded into that edge, so an unbranched path is left as its
-edges (``paths`` joins them into whole phrases); a node that keeps some flow is dropped
-if an edge has ``KEEP`` percent of it or more. A longer phrase than by one word need not
-be looked at: the one between has its count at least. Cuts are looked up by hash in the
-same counts, scores are integer divisions of decimals.
+come from a second scan. The range that adds a phrase up names one of the blocks that
+sent it; a bitmap of the hashes of (phrase, block) (16 bits for each, at most
+``MOST_BITS``; when it is full more is sent and dropped by the join, never less) lets
+each block send its own phrases, so a phrase is sent about once. Phrases that their
+block did not send, as an input without fixed order came otherwise, are looked up in
+all blocks.
+
+A node whose heaviest edge carries its whole flow is unary and is folded into that
+edge, so an unbranched path is left as its edges (``paths`` joins them into whole
+phrases); a node that keeps some flow is dropped if an edge has ``KEEP`` percent of it
+or more. A longer phrase than by one word need not be looked at: the one between has
+its count at least. Cuts are looked up by hash in the same counts, scores are integer
+divisions of decimals.
 
 Words are compared by 64-bit hashes mixed with their language. Nulls are empty texts,
 a null language is ``und``; repeated rows count as often as they stand there; extra
@@ -30,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,9 +49,10 @@ MIN_COUNT = 30
 KEEP = 80
 TOP = 2000
 SCALE = 2_000_000
-BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 MOST_BITS = 1 << 28     # 32 MB
+PROBES = 4
 _U = np.uint64
 _MARK = [(0x9FB21C651E98DF25 * (j + 3)) & (2**64 - 1) | 1 for j in range(ORDER + 1)]
 
@@ -114,48 +121,52 @@ def flows(grams: list[np.ndarray], left: np.ndarray) -> list[tuple[np.ndarray, n
     return out[::-1]
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]):
-    """(languages, bytes, start, end, document, words left, hashes) of each slice
-    of (lang, salt, text)."""
+def _parsed(batches: Iterator[pa.RecordBatch], block_bytes: int):
+    """(block, languages, bytes, start, end, document, words left, hashes) of each
+    slice of (lang, salt, text); a block is about ``block_bytes`` of a task's texts."""
+    block, size = TaskContext.get().partitionId() << 32, 0
     for rb in batches:
         salt = rb.column(1).to_numpy().view(_U)
         for a, b, data, off in sliced(rb.column(2)):
             data = LOWER[data]
             start, end, doc, left = tokens(data, off)
-            yield rb.column(0).slice(a, b - a), data, start, end, doc, left, hashes(word_hashes(data, start, end, salt[a:b][doc]))
+            yield block, rb.column(0).slice(a, b - a), data, start, end, doc, left, hashes(word_hashes(data, start, end, salt[a:b][doc]))
+            size += len(data)
+            if size >= block_bytes:
+                block, size = block + 1, 0
 
 
 def _counts(docs: DataFrame, shards: int, block_bytes: int) -> DataFrame:
     """Packets (shard, k, lang, n, hashes, counts) of blocks of texts; k = 0: words of a language."""
-    schema = "shard int, k int, lang string, n long, h binary, c binary"
+    schema = "shard int, k int, lang string, n long, block long, h binary, c binary"
     names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     cuts = np.array([(j << 64) // shards for j in range(1, shards)], _U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, left, size, words_of = [], [], 0, {}
+        grams, left, words_of, now = [], [], {}, None
 
         def packets() -> Iterator[pa.RecordBatch]:
             found = flows([np.concatenate(g) for g in zip(*grams)], np.concatenate(left))
             for k, (key, weight) in enumerate(found, 1):
                 edge = [0, *np.searchsorted(key, cuts).tolist(), len(key)]
-                rows = [(j, k, None, None, squeeze_sorted(key[a:b]), squeeze(weight[a:b].astype(np.uint32)))
+                rows = [(j, k, None, None, now, squeeze_sorted(key[a:b]), squeeze(weight[a:b].astype(np.uint32)))
                         for j, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-        for langs, data, _, _, doc, rest, h in _parsed(batches):
+        for block, langs, _, _, _, doc, rest, h in _parsed(batches, block_bytes):
+            if block != now and grams:
+                yield from packets()
+                grams, left = [], []
+            now = block
             for lang, n in zip(langs.to_pylist(), np.bincount(doc, minlength=len(langs)).tolist()):
                 words_of[lang] = words_of.get(lang, 0) + n
             grams.append(h)
             left.append(rest)
-            size += len(data)
-            if size >= block_bytes:
-                yield from packets()
-                grams, left, size = [], [], 0
         if grams:
             yield from packets()
-        rows = [(hash_shard(lang, shards), 0, lang, n, None, None) for lang, n in words_of.items()]
+        rows = [(hash_shard(lang, shards), 0, lang, n, None, None, None) for lang, n in words_of.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
@@ -166,24 +177,39 @@ def hash_shard(lang: str, shards: int) -> int:
     return sum(lang.encode()) % shards
 
 
+def _owned(key: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Hash of a phrase in a block."""
+    return mix(key ^ mix(block.astype(_U) + _U(1)))
+
+
 def _frequent(packets: DataFrame, shards: int, min_count: int) -> DataFrame:
-    """(k, h, c) of the phrases with ``min_count`` or more, and (0, lang, c), the
-    words of each language, by range of the hash."""
-    schema = "k int, h long, lang string, c long"
+    """(k, h, c, own) of the phrases with ``min_count`` or more, by range of the hash,
+    and (0, lang, c), the words of each language; ``own`` names one block, drawn by
+    hash, of those that sent the phrase."""
+    schema = "k int, h long, lang string, c long, own long"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, words_of = None, [], {}
 
         def done() -> pa.RecordBatch:
-            key, count, _ = sums(np.concatenate([unsqueeze_sorted(h) for h, _ in held]),
-                                 np.concatenate([unsqueeze(c, np.uint32).astype(np.int64) for _, c in held]))
+            every = [unsqueeze_sorted(h) for _, h, _ in held]
+            block = np.repeat(np.array([b for b, _, _ in held], np.int64), [len(x) for x in every])
+            key = np.concatenate(every)
+            order = np.argsort(key, kind="stable")
+            key, count = key[order], np.concatenate([unsqueeze(c, np.uint32).astype(np.int64) for _, _, c in held])[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            blocks = np.diff(np.append(first, len(key)))
+            count = np.add.reduceat(count, first)
             ok = count >= min_count
-            n = int(ok.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, now[1], np.int32)), pa.array(key[ok].view(np.int64)), pa.nulls(n, pa.string()),
-                                               pa.array(count[ok])], ["k", "h", "lang", "c"])
+            first, blocks, count = first[ok], blocks[ok], count[ok]
+            key, n = key[first], len(first)
+            own = _owned(key, block[order[first + (mix(key) % blocks.astype(_U)).astype(np.int64)]])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, now[1], np.int32)), pa.array(key.view(np.int64)), pa.nulls(n, pa.string()),
+                                               pa.array(count), pa.array(own.view(np.int64))], names)
 
         for rb in batches:
-            for shard, k, lang, n, h, c in zip(*[c.to_pylist() for c in rb.columns]):
+            for shard, k, lang, n, block, h, c in zip(*[c.to_pylist() for c in rb.columns]):
                 if k == 0:
                     words_of[lang] = words_of.get(lang, 0) + n
                     continue
@@ -191,53 +217,58 @@ def _frequent(packets: DataFrame, shards: int, min_count: int) -> DataFrame:
                     if held:
                         yield done()
                     now, held = (shard, k), []
-                held.append((h, c))
+                held.append((block, h, c))
         if held:
             yield done()
         if words_of:
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(words_of), pa.int32()), pa.nulls(len(words_of), pa.int64()),
-                                              pa.array(list(words_of), pa.string()), pa.array(list(words_of.values()), pa.int64())], ["k", "h", "lang", "c"])
+            n = len(words_of)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(list(words_of), pa.string()),
+                                              pa.array(list(words_of.values()), pa.int64()), pa.nulls(n, pa.int64())], names)
 
     return packets.repartition(shards, "shard").sortWithinPartitions("shard", "k").mapInArrow(run, schema)
 
 
-def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of the hashes of phrases of two words and more; at most ``bits / 64`` rows are collected."""
-    spot = F.pmod("h", F.lit(bits))
-    got = (frequent.filter("k > 1").select(F.floor(spot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) % 64 as int))").alias("b"))
+def _shifts(bits: int) -> list[int]:
+    """Each hash sets ``PROBES`` bits, at places read off from these bits of it on."""
+    return [i * (64 - bits.bit_length()) // (PROBES - 1) for i in range(PROBES)]
+
+
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of the hashes ``own``; at most ``bits / 64`` rows are collected."""
+    spots = F.array(*[F.pmod(F.shiftrightunsigned("own", s), F.lit(bits)) for s in _shifts(bits)])
+    got = (keys.select(F.explode(spots).alias("spot")).select(F.floor(F.col("spot") / 64).cast("int").alias("w"),
+                                                              F.expr("shiftleft(1L, cast(spot % 64 as int))").alias("b"))
            .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
     out = np.zeros(bits // 64, np.int64)
     out[got["w"].to_numpy()] = got["b"].to_numpy()
     return out
 
 
-def _phrases(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(h, lang, phrase) of what the bitmap passes, once by task."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    mask = _U(len(bitmap) * 64 - 1)
+def _phrases(docs: DataFrame, keys: DataFrame, block_bytes: int, by_block: bool) -> DataFrame:
+    """(h, lang, phrase) of the phrases ``keys`` (own), each from the block that owns
+    it; without ``by_block`` (own is the phrase's hash) from every slice that holds it."""
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(keys, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, _U)
-        for langs, data, start, end, doc, left, h in _parsed(batches):
+        for block, langs, data, start, end, doc, left, h in _parsed(batches, block_bytes):
             keep = ~GAP[data]
             keep[1:] |= keep[:-1]  # one space after each word
             at = np.concatenate([[0], np.cumsum(keep)])
             flat = np.where(GAP[data], 0x20, data)[keep].astype(np.uint8).tobytes()
             for k in range(2, ORDER + 1):
                 i = np.flatnonzero(left >= k)
-                spot = h[k - 1][i] & mask
-                i = i[(shared.value[(spot >> _U(6)).astype(np.int64)] >> (spot & _U(63)).astype(np.int64)) & 1 == 1]
+                own = _owned(h[k - 1][i], np.full(1, block)) if by_block else h[k - 1][i]
+                for s in _shifts(bits):
+                    spot = ((own >> _U(s)) & _U(bits - 1)).astype(np.int64)
+                    ok = (shared.value[spot >> 6] >> (spot & 63)) & 1 == 1
+                    i, own = i[ok], own[ok]
                 key, first = np.unique(h[k - 1][i], return_index=True)
-                new = ~np.isin(key, seen, assume_unique=True)
-                key, i = key[new], i[first[new]]
-                if not len(key):
-                    continue
-                if len(seen) > 1 << 22:
-                    seen = np.zeros(0, _U)  # some are sent again
-                seen = np.union1d(seen, key)
-                texts = [flat[a:b] for a, b in zip(at[start[i]].tolist(), at[end[i + k - 1]].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), langs.take(pa.array(doc[i])), pa.array(texts, pa.binary()).cast(pa.string())],
-                                                 ["h", "lang", "phrase"])
+                i = i[first]
+                if len(key):
+                    texts = [flat[a:b] for a, b in zip(at[start[i]].tolist(), at[end[i + k - 1]].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), langs.take(pa.array(doc[i])), pa.array(texts, pa.binary()).cast(pa.string())],
+                                                     ["h", "lang", "phrase"])
 
     return docs.mapInArrow(run, "h long, lang string, phrase string")
 
@@ -282,10 +313,18 @@ def graph(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_cou
     made = _frequent(_counts(docs, shards, block_bytes), shards, min_count)
     made.write.parquet(f"{base}/frequent")
     counts = spark.read.schema(made.schema).parquet(f"{base}/frequent")
-    many = counts.filter("k > 1").count()
-    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * many).bit_length()))
-    texts = _phrases(docs, _bitmap(counts, bits)).groupBy("h").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
-    known = counts.filter("k > 1").select("h", "k", F.col("c").alias("a")).join(texts, "h")
+    wanted = counts.filter("k > 1").select("h", "k", F.col("c").alias("a"), "own")
+
+    def named(keys: DataFrame, by_block: bool, name: str) -> DataFrame:
+        texts = _phrases(docs, keys.select("own"), block_bytes, by_block).groupBy("h").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+        got = keys.join(texts, "h").select("h", "k", "lang", "phrase", "a")
+        got.write.parquet(f"{base}/{name}")
+        return spark.read.schema(got.schema).parquet(f"{base}/{name}")
+
+    known = named(wanted, True, "phrases")
+    missing = wanted.join(known.select("h"), "h", "left_anti").withColumn("own", F.col("h"))
+    if not missing.isEmpty():  # the input came in other blocks than before
+        known = known.unionAll(named(missing, False, "late"))
     parts = _parts(known.select("h", "k", "lang", "phrase", "a"))
     parts.write.parquet(f"{base}/graph")
     return spark.read.schema(parts.schema).parquet(f"{base}/graph"), counts

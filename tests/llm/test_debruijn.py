@@ -114,3 +114,14 @@ def test_long_texts_nulls_and_empty_table(spark):
     assert sorted(map(tuple, debruijn.collocations(df).collect())) == plain_collocations(rows, 30)
     assert debruijn.collocations(df.limit(0)).count() == 0
     assert debruijn.collocations(df.limit(0).unionAll(df.filter("text is null"))).count() == 0
+
+
+def test_phrases_whose_block_has_changed_are_found(spark):
+    """The look-up in all blocks names the same phrases as the one by owning block."""
+    rows = list(corpus(random.Random(12), 200))
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    nodes, _ = debruijn.graph(df, min_count=4, block_bytes=2000)
+    want = {(r.h, r.lang, r.phrase) for r in nodes.collect()}
+    docs = df.selectExpr("coalesce(lang, 'und') lang", "xxhash64(coalesce(lang, 'und')) salt", "text")
+    got = {tuple(r) for r in debruijn._phrases(docs, nodes.selectExpr("h own"), 2000, False).collect()}
+    assert len(want) > 100 and want <= got
