@@ -1,35 +1,70 @@
-"""Staged runs with gates (PIPE-1).
-
-A stage maps a DataFrame to (DataFrame, report DataFrame, status). Stages
-run in order and the run goes on only while the status is PASS / OK / WARN;
-each stage's output is checkpointed once, and gates, reports and later stages
-read that.
+"""Staged runs with gates that can be taken up again (PIPE-1).
+
+A stage maps a DataFrame to (DataFrame, report DataFrame, status). Stages run in
+order and the run goes on only while the status is PASS / OK / WARN. A finished
+stage's output and report are written once under the run's folder, with a manifest
+row: position, name, fingerprint of its input, paths, status and rows. A later run
+with the same folder reads the manifest and takes over every leading stage whose
+name and input fingerprint agree; the first that differs, or is missing because the
+run was ended, starts anew from the output before it. A fingerprint does not depend
+on row order or file layout.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
 GO = {"PASS", "OK", "WARN"}
 
 
+MANIFEST = "position int, stage string, input string, output string, output_path string, report_path string, status string, rows long, finished timestamp"
+
+
 @dataclass
 class StageResult:
     name: str
     data: DataFrame
     report: DataFrame
     status: str
+    rows: int = 0
+    resumed: bool = False
 
 
 Stage = Callable[[DataFrame], tuple[DataFrame, DataFrame, str]]
 
 
+def domain_stage(domain: str | None = None) -> Stage:
+    """Match of the table's filled columns with the domain's expected ones (the best
+    suggestion when none is given); STOP below the lower threshold."""
+    def run(df):
+        from tessera.operators import domain as dom
+        catalog = dom.column_catalog({"main": df})
+        chosen = domain or dom.suggest(catalog).filter("rank = 1").first()["domain"]
+        report = dom.compatibility(catalog).filter(F.col("domain") == chosen)
+        return df, report, report.first()["status"]
+    return run
+
+
+def ingest_stage(folder: str) -> Stage:
+    """The table landed as zstd Parquet under ``folder``, with its inventory; an
+    empty table stops the run."""
+    def run(df):
+        from tessera.sources import landing
+        path = landing.land_parquet(df, f"{folder.rstrip('/')}/landed-{uuid.uuid4().hex}")
+        landed = df.sparkSession.read.schema(df.schema).parquet(path)
+        report = landing.landing_inventory(df.sparkSession, {"main": path})
+        return landed, report, "STOP" if landed.isEmpty() else "OK"
+    return run
+
+
 def quality_stage(keys: list[str], order_cols: list[str], as_of: dt.datetime) -> Stage:
     def run(df):
         from tessera.operators import quality as qc
@@ -63,17 +98,50 @@ def feature_stage(domain: str) -> Stage:
     return run
 
 
-def run_stages(df: DataFrame, stages: list[tuple[str, Stage]]) -> list[StageResult]:
-    """Run the stages in order until one does not pass. A stage's output is
-    checkpointed into the shared folder, so later stages, reports and counts
-    read it and never repeat the stages before."""
-    ensure_checkpoint_dir(df.sparkSession)
-    results = []
-    cur = df
-    for name, stage in stages:
-        data, report, status = stage(cur)
-        data = data.checkpoint(eager=True)
-        results.append(StageResult(name, data, report, status))
+def _manifest(spark: SparkSession, path: str) -> dict[int, dict]:
+    """Latest row by position; none where no run has been."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return {}
+    # one row per finished stage
+    return {r["position"]: r.asDict() for r in spark.read.schema(MANIFEST).parquet(path).orderBy("position", "finished").collect()}
+
+
+def _fingerprint(df: DataFrame) -> tuple[str, int]:
+    from tessera.sources.landing import fingerprint
+    r = fingerprint(df).first()
+    types = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
+    return f"{r['rows']}:{r['fingerprint']}:{uuid.uuid5(uuid.NAMESPACE_OID, types).hex}", r["rows"]
+
+
+def run_stages(df: DataFrame, stages: list[tuple[str, Stage]], folder: str | None = None) -> list[StageResult]:
+    """Run the stages in order until one does not pass. Each stage's output is
+    written once, so later stages, reports and counts read it and never repeat the
+    stages before; with ``folder`` an earlier run's finished stages are taken over."""
+    spark = df.sparkSession
+    folder = (folder or f"{ensure_checkpoint_dir(spark)}/run-{uuid.uuid4().hex}").rstrip("/")
+    path = f"{folder}/manifest"
+    done, going = _manifest(spark, path), True
+    results: list[StageResult] = []
+    cur, (print_, _) = df, _fingerprint(df)
+    for i, (name, stage) in enumerate(stages):
+        old = done.get(i)
+        going = going and old is not None and old["stage"] == name and old["input"] == print_
+        if going:
+            data, report = spark.read.parquet(old["output_path"]), spark.read.parquet(old["report_path"])
+            results.append(StageResult(name, data, report, old["status"], old["rows"], True))
+            status, print_ = old["status"], old["output"]
+        else:
+            data, report, status = stage(cur)
+            where = f"{folder}/{i}-{name}-{uuid.uuid4().hex}"
+            data.write.parquet(f"{where}/data")
+            report.write.parquet(f"{where}/report")
+            data, report = spark.read.parquet(f"{where}/data"), spark.read.parquet(f"{where}/report")
+            before = print_
+            print_, rows = _fingerprint(data)
+            spark.createDataFrame([(i, name, before, print_, f"{where}/data", f"{where}/report", status, rows, dt.datetime.now())], MANIFEST).coalesce(1) \
+                 .write.mode("append").parquet(path)
+            results.append(StageResult(name, data, report, status, rows))
         if status not in GO:
             break
         cur = data

@@ -69,11 +69,11 @@ def landing_inventory(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 def fingerprint(df: DataFrame, name: str = "table") -> DataFrame:
     """SRC-10 (re-aimed): row count and an order-insensitive content hash
-    (bit_xor of per-row xxhash64) - equal tables give equal fingerprints
-    whatever their partitioning or file layout."""
+    (sum and exclusive or of the rows' xxhash64, so repeated rows count) - equal
+    tables give equal fingerprints whatever their partitioning or file layout."""
     h = F.xxhash64(*[q(c) for c in df.columns])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("content_hash")).select(
-        F.lit(name).alias("table"), "rows", F.lower(F.lpad(F.hex("content_hash"), 16, "0")).alias("fingerprint"))
+    sums = df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("s"))
+    return sums.select(F.lit(name).alias("table"), "rows", F.lower(F.lpad(F.hex(F.xxhash64("x", "s")), 16, "0")).alias("fingerprint"))
 
 
 def register_side_table(df: DataFrame, table: str, key_column: str) -> None:
