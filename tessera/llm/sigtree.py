@@ -58,6 +58,7 @@ NUM, DEN = 75, 100
 LEAF, FAN = 32, 8
 BLOCK_SETS, BLOCK_TOKENS = 40_000, 6_000_000
 SAMPLE = 20_000
+SENT = 1 << 16
 COMMON = 3
 COMMON_MOST = 1 << 18
 EXTRA = 16   # leading shingles beyond the quarter: n // EXTRA, and so many must be shared
@@ -89,15 +90,15 @@ def set_hashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, s): size and set hash of every document."""
+    """(id, t, n, s): text hash, size and set hash of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for a, b, data, off in sliced(rb.column(1)):
                 h, n = shingle_sets(data, off, k)
-                yield pa.RecordBatch.from_arrays([rb.column(0).slice(a, b - a), pa.array(n.astype(np.int64)),
-                                                  pa.array(set_hashes(h, n).view(np.int64))], ["id", "n", "s"])
+                yield pa.RecordBatch.from_arrays([rb.column(0).slice(a, b - a), rb.column(2).slice(a, b - a), pa.array(n.astype(np.int64)),
+                                                  pa.array(set_hashes(h, n).view(np.int64))], ["id", "t", "n", "s"])
 
-    return docs.mapInArrow(run, "id long, n long, s long")
+    return docs.select("id", "text", "t").mapInArrow(run, "id long, t long, n long, s long")
 
 
 def _leading(docs: DataFrame, common: np.ndarray, k: int) -> DataFrame:
@@ -125,7 +126,7 @@ def _leading(docs: DataFrame, common: np.ndarray, k: int) -> DataFrame:
 
 def _common(docs: DataFrame, rows: int, k: int) -> np.ndarray:
     """Sorted hashes of shingles in ``COMMON`` or more documents of a sample."""
-    part = docs if rows <= SAMPLE else docs.filter(F.pmod(F.xxhash64("id"), F.lit(-(-rows // SAMPLE))) == 0)
+    part = docs if rows <= SAMPLE else docs.filter(F.pmod(F.xxhash64("id", "t"), F.lit(-(-rows // SAMPLE))) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -376,10 +377,17 @@ class Block:
         return [(self.order[i], self.order[j]) for i, j in self.links]
 
 
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, t): a document is named by id and text hash, so null ids, or one
+    id on many texts, do not meet one another."""
+    text = F.col(text_col).cast("string")
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"))
+
+
 def _bitmap(keys: DataFrame, bits: int = BITMAP) -> np.ndarray:
     """Bitmap of fixed size (so at most ``bits / 64`` rows are collected) of the
-    key hashes; it passes every key, and others at the rate it is filled."""
-    spot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    hashes of (id, t); it passes every key, and others at the rate it is filled."""
+    spot = F.pmod(F.xxhash64("id", "t"), F.lit(bits))
     one = F.expr("shiftleft(1L, cast(spot % 64 as int))")
     got = (keys.select(spot.alias("spot")).select(F.floor(F.col("spot") / 64).cast("int").alias("w"), one.alias("b"))
            .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
@@ -389,14 +397,22 @@ def _bitmap(keys: DataFrame, bits: int = BITMAP) -> np.ndarray:
 
 
 def _in_bitmap(df: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The documents (id, text, t) that the bitmap passes. Of a document that stands
+    often a task passes about one copy: what it passed last is remembered by ``SENT`` places."""
     shared = df.sparkSession.sparkContext.broadcast(bitmap)  # BITMAP bits, 1 MB
     bits, names = len(bitmap) * 64, df.columns
-    spotted = df.withColumn("_spot", F.pmod(F.xxhash64("id"), F.lit(bits)))
+    spotted = df.withColumn("_spot", F.xxhash64("id", "t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.zeros(SENT, np.int64)
         for rb in batches:
-            spot = rb.column(rb.num_columns - 1).to_numpy()
-            yield rb.filter(pa.array((shared.value[spot >> 6] >> (spot & 63)) & 1 == 1)).select(names)
+            whole = rb.column(rb.num_columns - 1).to_numpy()
+            spot = whole % bits
+            at = np.flatnonzero((shared.value[spot >> 6] >> (spot & 63)) & 1 == 1)
+            at = at[sent[whole[at] % SENT] != whole[at]]
+            at = np.sort(at[np.unique(whole[at], return_index=True)[1]])
+            sent[whole[at] % SENT] = whole[at]
+            yield rb.take(pa.array(at)).select(names)
 
     return spotted.mapInArrow(run, df.schema)
 
@@ -436,11 +452,11 @@ def _block_links(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("block", "p", "q", "s", "text").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_class), one row per input row."""
+def _groups(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(id, t, n, s, root, component_id), one row per input row."""
     spark = df.sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/sigtree-{uuid.uuid4().hex}"
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = keyed(df, id_col, text_col)
     common = _common(docs, docs.count(), k)
     made = _profiles(docs, k)
     made.write.parquet(f"{base}/profiles")
@@ -450,16 +466,16 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     meet.write.parquet(f"{base}/meetings")
     blocks = components(_candidates(spark.read.schema(meet.schema).parquet(f"{base}/meetings")))
     known = F.nullif(F.col("id"), F.lit(NO_ID))
-    classes = (profiles.filter("n > 0").groupBy("s").agg(F.max("n").alias("n"), F.min(known).alias("least"), F.max("id").alias("any"))
-               .withColumn("id", F.coalesce("least", "any")))
-    wanted = blocks.join(classes, blocks["node"] == classes["s"]).select(F.col("root").alias("block"), "s", "n", "least", "id").checkpoint()
+    classes = (profiles.filter("n > 0").groupBy("s").agg(F.max("n").alias("n"), F.min(known).alias("least"), F.min(F.struct("id", "t")).alias("one"))
+               .select("s", "n", "least", "one.id", "one.t"))
+    wanted = blocks.join(classes, blocks["node"] == classes["s"]).select(F.col("root").alias("block"), "s", "n", "least", "id", "t").checkpoint()
     per = wanted.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
     pages = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS))
     # pairs of pages hold two pages, so a page is half a block
     big = per.withColumn("pages", F.when(pages > 1, pages * 2).otherwise(1).cast("long")).filter("pages > 1").select("block", "pages")
 
-    texts = _in_bitmap(docs, _bitmap(wanted.select("id")))
-    found = (texts.join(wanted.select("id", "block", "s"), "id").select("block", "s", "text"))
+    texts = _in_bitmap(docs, _bitmap(wanted.select("id", "t")))
+    found = texts.join(wanted.select("id", "t", "block", "s"), ["id", "t"]).select("block", "s", "text")
     rows = found.join(big, "block", "left")
     page = F.pmod(F.xxhash64("s"), F.coalesce("pages", F.lit(1)))
     others = F.when(F.col("pages").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
@@ -472,17 +488,38 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # smallest id of each component of classes, then of each class, then per document
     joined = classes.join(links, classes["s"] == links["node"], "left").select("s", "least", F.coalesce("root", "s").alias("root"))
     lows = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(lows, "root").select("s", "component_id")
-    full = profiles.filter("n > 0").select("id", "n", "s").join(named, "s")
-    empty = profiles.filter("n = 0").select("s", "id", "n", known.alias("component_id"))
-    return full.unionByName(empty).select(known.alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",
-                                          F.col("s").alias("set_class"))
+    named = joined.join(lows, "root").select("s", "root", "component_id")
+    full = profiles.filter("n > 0").select("id", "t", "n", "s").join(named, "s").select("id", "t", "n", "s", "root", "component_id")
+    empty = profiles.filter("n = 0").select("id", "t", "n", "s", F.lit(None).cast("long").alias("root"), known.alias("component_id"))
+    return full.unionByName(empty)
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
+    """(doc_id, n_shingles, component_id, set_class), one row per input row."""
+    return _groups(df, id_col, text_col, k).select(F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"),
+                                                   "component_id", F.col("s").alias("set_class"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input without the documents of a group but its smallest id; same
-    columns. Documents without words and those without id stay; rows that
-    repeat an id are one document and stay or go together."""
-    groups = similar_groups(df, id_col, text_col)
-    gone = groups.filter("component_id is not null and doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    """The input with one row of each group, that of the smallest id (null last, then
+    by text hash); same columns. Rows without words stay. Where one id stands on
+    several texts each is a document of its own; of equal rows one stays."""
+    groups = _groups(df, id_col, text_col, K).checkpoint()
+    late = F.when(F.col("id") == NO_ID, 1).otherwise(0)
+    first = groups.filter("root is not null").groupBy("root").agg(F.min(F.struct(late.alias("late"), "id", "t")).alias("m")).select("root", "m.id", "m.t")
+    rows = groups.filter("root is not null").groupBy("id", "t", "root").agg(F.count(F.lit(1)).alias("rows"))
+    stays = rows.join(first, ["root", "id", "t"], "left_semi")
+    gone = rows.join(first, ["root", "id", "t"], "left_anti").select(F.col("id").alias("__gone_id"), F.col("t").alias("__gone_t"))
+    again = stays.filter("rows > 1").select(F.col("id").alias("__gone_id"), F.col("t").alias("__gone_t")).checkpoint()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marked = df.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("__t", F.xxhash64(text))
+
+    def on(keys: DataFrame):
+        return (marked["__id"] == keys["__gone_id"]) & (marked["__t"] == keys["__gone_t"])
+
+    out = marked.join(gone, on(gone), "left_anti")
+    if not again.isEmpty():
+        # repeated rows: one of each, combined before the shuffle
+        single = marked.join(again, on(again), "left_anti").join(gone, on(gone), "left_anti")
+        out = single.unionByName(marked.join(again, on(again), "left_semi").dropDuplicates(["__id", "__t"]))
+    return out.select(*df.columns)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.sigtree import NO_ID, _bitmap, _in_bitmap
+from tessera.llm.sigtree import NO_ID, _bitmap, _in_bitmap, keyed
 from tessera.llm.textbytes import mix, prefix, sliced, spans
 from tessera.session import ensure_checkpoint_dir
 
@@ -90,7 +90,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 sha = [hashlib.sha256(raw[off[i]:off[i + 1]]).hexdigest() for i in range(b - a)]
                 cols = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (pos - off[doc], key.view(np.int64), ctx.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(
-                    [rb.column(0).slice(a, b - a), pa.array(spans(sums, off[:-1], off[1:]).view(np.int64)), pa.array(np.diff(off)),
+                    [rb.column(0).slice(a, b - a), rb.column(2).slice(a, b - a), pa.array(np.diff(off)),
                      pa.array(sha), *cols], ["id", "t", "n_bytes", "sha", "pos", "key", "ctx"])
 
     return docs.mapInArrow(run, "id long, t long, n_bytes long, sha string, pos array<long>, key array<long>, ctx array<long>")
@@ -142,11 +142,8 @@ def _contexts(texts: DataFrame) -> DataFrame:
         for rb in batches:
             ids, ts, wanted = (rb.column(i).to_pylist() for i in range(3))
             for a, b, data, off in sliced(rb.column(3)):
-                own = spans(prefix(data), off[:-1], off[1:]).view(np.int64)
                 raw, rows = data.tobytes(), []
                 for i in range(a, b):
-                    if own[i - a] != ts[i]:
-                        continue
                     lo, hi = off[i - a], off[i - a + 1]
                     for w in wanted[i]:
                         begin = max(0, w["pos"] - SPAN + 1)
@@ -241,11 +238,8 @@ def _cut(texts: DataFrame) -> DataFrame:
         for rb in batches:
             ids, ts, found = (rb.column(i).to_pylist() for i in range(3))
             for a, b, data, off in sliced(rb.column(3)):
-                own = spans(prefix(data), off[:-1], off[1:]).view(np.int64)
                 rows = []
                 for i in range(a, b):
-                    if own[i - a] != ts[i]:
-                        continue
                     text = data[off[i - a]:off[i - a + 1]]
                     step = np.zeros(len(text) + 1, np.int64)
                     for x in found[i]:
@@ -267,7 +261,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per input row."""
     spark = df.sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/suffixes-{uuid.uuid4().hex}"
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = keyed(df, id_col, text_col)
     made = suffixes(docs)
     made.write.parquet(f"{base}/documents")
     made = spark.read.schema(made.schema).parquet(f"{base}/documents")
@@ -287,7 +281,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .select("key", "whole", "m.id", "m.t", "m.pos").checkpoint())
     crowd = reps.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > group).select("key")
     wanted = reps.groupBy("id", "t").agg(F.collect_list(F.struct("pos", "key", "whole")).alias("w"))
-    fetched = _in_bitmap(docs, _bitmap(reps.select("id"))).join(wanted, "id").select("id", "t", "w", "text")
+    fetched = _in_bitmap(docs, _bitmap(reps.select("id", "t"))).join(wanted, ["id", "t"]).select("id", "t", "w", "text")
     contexts = _contexts(fetched)
     if crowd.isEmpty():
         partial = _compare(contexts)
@@ -297,7 +291,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         cols = contexts.columns
         partial = _compare(marked.filter("large is null").select(*cols)).unionAll(_compare_large(marked.filter("large").select(*cols)))
     spans_of = (whole.unionAll(partial).distinct().groupBy("id", "t").agg(F.collect_list(F.struct("a", "b")).alias("found")).checkpoint())
-    texts = _in_bitmap(docs, _bitmap(spans_of.select("id"))).join(spans_of, "id").select("id", "t", "found", "text")
+    texts = _in_bitmap(docs, _bitmap(spans_of.select("id", "t"))).join(spans_of, ["id", "t"]).select("id", "t", "found", "text")
     cut = _cut(texts).dropDuplicates(["id", "t"])
     out = made.select("id", "t", "n_bytes", "sha").join(cut, ["id", "t"], "left")
     return out.select(F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"), "n_bytes",
