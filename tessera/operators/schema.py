@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.columns import is_datetime, is_numeric, is_text, q
+from tessera.functions.distinct import distinct_counts
 
 ID_FRAGMENTS = ("id", "code")
 DATE_NAME_FRAGMENTS = ("date", "time", "timestamp", "ts", "dt")
@@ -71,12 +72,12 @@ def infer_plan(df: DataFrame, date_min_share: float = DATE_MIN_SHARE) -> DataFra
     exprs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(texts):
         exprs += [F.count_if(_to_double(q(c)).isNotNull()).alias(f"num{i}"),
-                  F.count_distinct(q(c)).alias(f"d{i}"),
                   F.count_if(q(c).isNotNull() & _to_ts(q(c)).isNull()).alias(f"tsfail{i}"),
                   F.count_if(_looks_like_date(q(c))).alias(f"look{i}"),
                   F.count_if(q(c).isNull()).alias(f"z{i}")]
     stats = df.agg(*exprs).first()  # one row, bounded by the schema
     n = stats["_n"] or 0
+    distinct = distinct_counts(df, [q(c) for c in texts])
     rows = []
     for pos, f in enumerate(fields):
         c, dt_ = f.name, f.dataType
@@ -95,7 +96,7 @@ def infer_plan(df: DataFrame, date_min_share: float = DATE_MIN_SHARE) -> DataFra
             if n and stats[f"num{i}"] / n >= NUMERIC_MIN_SHARE:
                 rows.append((pos, c, src, "double", "numeric", int(n - stats[f"num{i}"] - stats[f"z{i}"]), None))
                 continue
-            d = stats[f"d{i}"]
+            d = distinct[i]
             if n and d < CATEGORY_MAX_DISTINCT and d / n <= CATEGORY_MAX_RATIO:
                 rows.append((pos, c, src, "category", "categorical", 0, None))
             else:

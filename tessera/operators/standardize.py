@@ -47,7 +47,8 @@ VALUE_MAPS = {
     },
 }
 
-RARE_BROADCAST_LIMIT = 10000
+KEPT_LIMIT = 10_000     # values of a column that are written as literals
+HOT_SHARE = 1_000       # a value with more than 1 / HOT_SHARE of the rows is not shuffled
 
 
 @F.pandas_udf(T.StringType())
@@ -109,32 +110,47 @@ def apply_domain_maps(df: DataFrame, domain: str) -> DataFrame:
 
 
 def collapse_rare(df: DataFrame, cols: list[str] | None = None, threshold: float = 0.01,
-                  broadcast_limit: int = RARE_BROADCAST_LIMIT) -> tuple[DataFrame, DataFrame]:
+                  most_kept: int = KEPT_LIMIT) -> tuple[DataFrame, DataFrame]:
     """Values whose share (null counts as a value) is <= the threshold become
     'Other' (null stays null). With <= 1000 rows the threshold is at least
-    0.03. Returns (table, report of values collapsed per column)."""
+    0.03. Returns (table, report of values collapsed per column).
+
+    All columns are counted in one (column, value) aggregate. The values that stay
+    are fewer than 1 / threshold, so they are literals and no row is joined or
+    moved, however hot a value is; for a threshold below 1 / ``most_kept`` the rare
+    values are joined instead, hot ones left out of the shuffle."""
     spark = df.sparkSession
     cols = cols if cols is not None else categorical_columns(df)
     if not cols:
         return df, spark.createDataFrame([], "column string, n_collapsed long, threshold double")
     n = df.count()
     eff = 0.03 if (n <= 1000 and threshold < 0.03) else threshold
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), q(c).cast("string").alias("v")) for i, c in enumerate(cols)])
+    counts = df.select(F.explode(cells).alias("s")).groupBy("s.i", "s.v").agg(F.count(F.lit(1)).alias("n"))
+    rare = F.col("n") / F.lit(max(n, 1)) <= eff
+    literal = eff * most_kept >= 1
+    if not literal:
+        counts = counts.checkpoint()
+    per = {r["i"]: r for r in counts.groupBy("i").agg(F.count_if(rare).alias("rare"), *([F.collect_list(F.when(~rare, F.col("v"))).alias("kept")] if literal else []))
+           .collect()}
     out = df
-    reports = []
-    for c in cols:
-        counts = df.groupBy(q(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        rare = counts.filter(F.col("_n") / F.lit(n) <= eff)
-        n_rare = rare.count()
-        reports.append((c, n_rare, float(eff)))
-        if n_rare == 0:
+    for i, c in enumerate(cols):
+        if i not in per or not per[i]["rare"]:
             continue
-        rare_vals = rare.filter(F.col("_v").isNotNull()).select(F.col("_v").alias("_rv"), F.lit(True).alias("_rare"))
-        if n_rare <= broadcast_limit:
-            rare_vals = F.broadcast(rare_vals)  # size checked just above
-        out = (out.join(rare_vals, q(c) == F.col("_rv"), "left")
-                  .withColumn(c, F.when(F.col("_rare"), F.lit("Other")).otherwise(q(c)))
-                  .drop("_rv", "_rare"))
-    return out, spark.createDataFrame(reports, "column string, n_collapsed long, threshold double")
+        x, text = q(c), q(c).cast("string")
+        if literal:
+            kept = per[i]["kept"]
+            out = out.withColumn(c, F.when(x.isNull() | text.isin(kept), x).otherwise(F.lit("Other")) if kept else F.when(x.isNotNull(), F.lit("Other")))
+        else:
+            values = counts.filter((F.col("i") == i) & F.col("v").isNotNull()).select("v", rare.alias("_rare"))
+            hot = [r["v"] for r in values.filter(~F.col("_rare")).join(counts.filter(F.col("n") > n / HOT_SHARE).filter(F.col("i") == i).select("v"), "v", "left_semi").select("v").collect()]
+            gone = values.filter("_rare").select(F.col("v").alias("_rv"), "_rare")
+            some = out.filter(text.isNotNull() & ~text.isin(hot)) if hot else out.filter(text.isNotNull())
+            rest = out.filter(text.isNull() | text.isin(hot)) if hot else out.filter(text.isNull())
+            done = some.join(gone, text == F.col("_rv"), "left").withColumn(c, F.when(F.col("_rare"), F.lit("Other")).otherwise(x)).drop("_rv", "_rare")
+            out = rest.unionByName(done)
+    report = [(c, int(per[i]["rare"]) if i in per else 0, float(eff)) for i, c in enumerate(cols)]
+    return out, spark.createDataFrame(report, "column string, n_collapsed long, threshold double")
 
 
 def standardize(df: DataFrame, domain: str = "logistics", rare_threshold: float = 0.01,

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.columns import q, text_columns
+from tessera.functions.distinct import distinct_counts
 from tessera.functions.util import spread, with_row
 from tessera.operators.standardize import nfkc, strip_marks
 
@@ -73,12 +74,15 @@ def detect_metrics(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         spaces = F.regexp_count(x, F.lit(r"\s"))
         structs.append(F.struct(
             F.lit(i).alias("position"), F.lit(c).alias("column"),
-            F.count_distinct(x).alias("unique_values"), F.avg(ln).alias("avg_length"),
+            F.avg(ln).alias("avg_length"),
             F.avg(F.when(x.isNotNull(), alpha)).alias("alpha_ratio"),
             F.avg(F.when(x.isNotNull(), toks)).alias("unique_tokens"),
             F.avg(F.when(x.isNotNull(), spaces)).alias("space_ratio")).alias(f"s{i}"))
     long = spread(df).agg(*structs).select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(cols))])).alias("r")) \
              .select("r.*")
+    counts = distinct_counts(df, [q(c).cast("string") for c in cols])
+    number = F.create_map(*[F.lit(x) for i, n in enumerate(counts) for x in (i, n)])
+    long = long.withColumn("unique_values", number[F.col("position")].cast("long"))
     L, A, T, S = F.col("avg_length"), F.col("alpha_ratio"), F.col("unique_tokens"), F.col("space_ratio")
     skip = (F.col("unique_values") == 1) & (L < 20)
     rule = (((L >= 15) & (A >= 0.3)) | ((L >= 8) & (A >= 0.5) & (T >= 3)) | ((L >= 12) & (S >= 0.2) & (A >= 0.25)))
@@ -212,7 +216,7 @@ def top_tokens(df: DataFrame, cleaned: Column, language: str, k: int = 10) -> Da
     stop = F.array(*[F.lit(w) for w in stopwords(language)])
     toks = spread(df).select(F.explode(tokenize(cleaned)).alias("token"))
     kept = toks.filter(~F.array_contains(stop, F.col("token")) & (F.length("token") > 1))
-    counts = kept.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    counts = kept.groupBy("token").agg(F.count(F.lit(1)).alias("count")).checkpoint()  # the texts are read once for both
     total = counts.agg(F.sum("count").alias("total_tokens"))
     top = counts.orderBy(F.desc("count"), "token").limit(k)  # per-task top-k, then merge
     return with_row(top, total)

@@ -66,7 +66,7 @@ rn AS (SELECT p_name AS v FROM part GROUP BY 1 HAVING count(*) / (SELECT n FROM
 def _collapse(spark, sf):
     pt = load(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_name")
     # limit 1000: the p_name rare set exceeds it and takes the shuffle-join path
-    return std.collapse_rare(pt, ["p_brand", "p_type", "p_name"], threshold=0.04, broadcast_limit=1000)
+    return std.collapse_rare(pt, ["p_brand", "p_type", "p_name"], threshold=0.04)
 
 
 @query("collapse_rare", f"""
