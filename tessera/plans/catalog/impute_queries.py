@@ -182,7 +182,31 @@ def impute_completeness(spark, sf):
     return imp.run_imputation(events_nulls(spark, sf), group_col="event_type").completeness()
 
 
-@query("impute_validation")
+def _validation_sql(column: str) -> str:
+    """PSI over the original's distinct deciles and KS of one imputed column."""
+    return f"""SELECT '{column}' AS "column", (SELECT sum((y - x) * ln(y / x)) FROM (SELECT CASE WHEN pa = 0 THEN 0.0001 ELSE pa END AS x, CASE WHEN pb = 0 THEN 0.0001 ELSE pb END AS y FROM
+  (SELECT k, (SELECT count(*) FROM ev WHERE {column} >= q[k] AND ({column} < q[k + 1] OR (k = len(q) - 1 AND {column} <= q[k + 1]))) / (SELECT count({column}) FROM ev) AS pa,
+          (SELECT count(*) FROM h WHERE {column} >= q[k] AND ({column} < q[k + 1] OR (k = len(q) - 1 AND {column} <= q[k + 1]))) / (SELECT count({column}) FROM h) AS pb
+   FROM (SELECT q, unnest(range(1, len(q))) AS k FROM
+     (SELECT list_sort(list_distinct(quantile_cont({column}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS q FROM ev))))) AS psi,
+  (SELECT max(abs(a / (SELECT count({column}) FROM ev) - b / (SELECT count({column}) FROM h))) FROM (SELECT sum(a) OVER (ORDER BY v) AS a, sum(b) OVER (ORDER BY v) AS b FROM
+     (SELECT v, sum(a) AS a, sum(b) AS b FROM (SELECT {column} AS v, 1 AS a, 0 AS b FROM ev UNION ALL SELECT {column}, 0, 1 FROM h) WHERE v IS NOT NULL GROUP BY v))) AS ks"""
+
+
+@query("impute_validation", f"""
+WITH {EVENTS_NULLS_SQL},
+g AS (SELECT event_type, median(user_id) AS gu FROM ev WHERE event_type IS NOT NULL GROUP BY 1),
+e AS (SELECT event_id, ts, props, value, coalesce(CAST(user_id AS DOUBLE), gu) AS u, coalesce(event_type, {_MODE}) AS t FROM ev LEFT JOIN g USING (event_type)),
+-- columns are filled in order, so values are grouped by the filled event type
+f AS (SELECT e.*, coalesce(value, median(value) OVER (PARTITION BY t)) AS v FROM e),
+h AS (SELECT event_id, ts, props, t, coalesce(v, (SELECT median(v) FROM f)) AS value, coalesce(u, (SELECT median(u) FROM f)) AS user_id FROM f),
+r AS ({_validation_sql('user_id')} UNION ALL {_validation_sql('value')}),
+p AS (SELECT "column", round(psi, 4) AS psi, round(ks, 4) AS ks_statistic, psi <= 0.1 AND ks <= 0.1 AS passed FROM r),
+s AS (SELECT CASE WHEN 1 - (6 * count(*) - count(event_id) - count(ts) - count(props) - count(t) - count(value) - count(user_id)) / (count(*) * 6) < 0.8
+                    OR (SELECT count(*) FILTER (WHERE NOT passed) > 0.3 * count(*) FROM p) THEN 'STOP'
+                  WHEN (SELECT count(*) FILTER (WHERE NOT passed) FROM p) > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM h)
+SELECT p.*, status FROM p, s
+""")
 def impute_validation(spark, sf):
     res = imp.run_imputation(events_nulls(spark, sf), group_col="event_type")
     return res.validation().withColumn("status", F.lit(res.status()))

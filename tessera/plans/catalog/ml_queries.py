@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.constants import DOMAIN_PACKS
 from tessera.functions.util import round_doubles, with_row
 from tessera.operators import explore, impute_models, select
-from tessera.plans.catalog.fixtures import EVENTS_NULLS_SQL, SHIP_SQL, events_nulls
+from tessera.plans.catalog.fixtures import SHIP_SQL, events_nulls
 from tessera.plans.registry import load, query
 
 LI_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -88,9 +88,28 @@ def feature_selection(spark, sf):
     return round_doubles(table.withColumn("vif_check_passed", F.lit(passed)), 6)
 
 
-@query("vif")
+def _vif_sql(cols, table):
+    """G_jj times the j-th diagonal of the inverse Gram matrix, by determinants."""
+    def det(rows):
+        if len(rows) == 1:
+            return f"g{rows[0][0][0]}_{rows[0][0][1]}"
+        return " ".join(f"{'-' if j % 2 else '+'} {'g%d_%d' % rows[0][j]} * ({det([r[:j] + r[j + 1:] for r in rows[1:]])})" for j in range(len(rows)))
+
+    n = range(len(cols))
+    cell = lambda i, j: (min(i, j), max(i, j))
+    sums = ", ".join(f"sum({cols[i]} * {cols[j]}) AS g{i}_{j}" for i in n for j in n if i <= j)
+    whole = det([[cell(i, j) for j in n] for i in n])
+    rows = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS feature, round(g{k}_{k} * ({det([[cell(i, j) for j in n if j != k] for i in n if i != k])}) / ({whole}), 6) AS vif FROM g" for k, c in enumerate(cols))
+    return f"WITH g AS (SELECT {sums} FROM {table}) SELECT feature, vif, vif < 5 AS passed FROM ({rows})"
+
+
+VIF_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("vif", _vif_sql(VIF_COLS, "lineitem"))
 def vif(spark, sf):
-    return round_doubles(select.vif(load(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), 6)
+    return round_doubles(select.vif(load(spark, sf, "lineitem"), VIF_COLS), 6)
 
 
 @query("impute_knn")
