@@ -12,6 +12,11 @@ the array: equal beginnings are neighbours), the hash of its context (the
 ``SPAN - 1`` bytes before it and ``MATCH`` from it on, cut at the document's
 ends - all that any string with this anchor can cover) and how often both occur.
 
+Hash order stands for suffix order: ordering anchors by their bytes would ship 128 and
+more bytes for each, where the join needs only to bring equal beginnings together, and
+the longest common prefix counts only up to whether it reaches ``GRAM`` bytes (equal
+keys) and a whole string (equal contexts, or strings compared by hash below).
+
 The family. Documents arrive in batches. A batch's suffixes are sorted into an
 array of their own; it is merge-scanned against the arrays of all levels, and
 the entries whose key occurs twice or more are the scan's matches; before
@@ -50,6 +55,8 @@ GRAM = 128
 SPAN = MATCH - GRAM + 1
 BATCHES = 4
 GROUP = 4096
+HOT = 10_000        # places of a context beyond which it is not a shuffle key
+MOST_HOT = 100_000
 _U = np.uint64
 
 
@@ -97,16 +104,28 @@ def suffixes(docs: DataFrame) -> DataFrame:
 
 
 class Family:
-    """Suffix arrays by level, as written tables under ``base``."""
+    """Suffix arrays by level, as written tables under ``base``. A table of the
+    levels after each batch is kept beside them, so a family can be opened again,
+    in another session too, and take later batches."""
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base, self.levels, self.files = spark, base, [], 0
+    LEVELS = "turn int, place int, level int, path string"
 
-    def _store(self, df: DataFrame) -> DataFrame:
-        self.files += 1
-        path = f"{self.base}/array-{self.files}"
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base, self.turn = spark, base, 0
+        self.levels: list[tuple[int, str, DataFrame]] = []
+
+    @classmethod
+    def open(cls, spark: SparkSession, base: str) -> "Family":
+        family = cls(spark, base)
+        rows = spark.read.schema(cls.LEVELS).parquet(f"{base}/levels").orderBy("turn", "place").collect()  # about log2(turns) rows a turn
+        family.turn = rows[-1]["turn"] if rows else 0
+        family.levels = [(r["level"], r["path"], spark.read.parquet(r["path"])) for r in rows if r["turn"] == family.turn]
+        return family
+
+    def _store(self, df: DataFrame, kind: str) -> tuple[str, DataFrame]:
+        path = f"{self.base}/{kind}-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return path, self.spark.read.schema(df.schema).parquet(path)
 
     @staticmethod
     def _array(entries: DataFrame) -> DataFrame:
@@ -116,24 +135,27 @@ class Family:
     def _merge(self) -> None:
         """Arrays of equal level become one of the next."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (lv, x), (_, y) = self.levels.pop(), self.levels.pop()
-            self.levels.append((lv + 1, self._store(self._array(x.unionAll(y)))))
+            (lv, _, x), (_, _, y) = self.levels.pop(), self.levels.pop()
+            self.levels.append((lv + 1, *self._store(self._array(x.unionAll(y)), "array")))
 
     def add(self, suffix: DataFrame) -> DataFrame:
         """Index one batch of (key, ctx) and return the merge scan's matches:
-        (key, ctx, whole - the context repeats -, mixed - the key has others)."""
+        (key, ctx, whole - the context repeats -, mixed - the key has others, n - its places)."""
         self._merge()
-        new = self._store(self._array(suffix.withColumn("n", F.lit(1).cast("long"))))
+        path, new = self._store(self._array(suffix.withColumn("n", F.lit(1).cast("long"))), "array")
         seen = new
         if self.levels:
             keys = new.select("key").distinct()
-            for _, level in self.levels:
+            for _, _, level in self.levels:
                 seen = seen.unionAll(level.join(keys, "key", "left_semi"))
         entry = seen.groupBy("key", "ctx").agg(F.sum("n").alias("n"))
         twice = entry.groupBy("key").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("ctxs")).filter(F.col("all") >= 2)
-        hits = entry.join(twice, "key").select("key", "ctx", (F.col("n") >= 2).alias("whole"), (F.col("ctxs") >= 2).alias("mixed"))
-        self.levels.append((0, new))
-        return self._store(hits)
+        hits = entry.join(twice, "key").select("key", "ctx", (F.col("n") >= 2).alias("whole"), (F.col("ctxs") >= 2).alias("mixed"), "n")
+        self.levels.append((0, path, new))
+        self.turn += 1
+        self.spark.createDataFrame([(self.turn, i, lv, p) for i, (lv, p, _) in enumerate(self.levels)], self.LEVELS).coalesce(1) \
+            .write.mode("append").parquet(f"{self.base}/levels")
+        return self._store(hits, "hits")[1]
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
@@ -257,7 +279,7 @@ def _cut(texts: DataFrame) -> DataFrame:
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES,
-                   group: int = GROUP) -> DataFrame:
+                   group: int = GROUP, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per input row."""
     spark = df.sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/suffixes-{uuid.uuid4().hex}"
@@ -270,10 +292,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         part = made.filter(F.pmod(F.xxhash64("id", "t"), F.lit(batches)) == i)
         found = family.add(part.select(F.explode(F.arrays_zip("key", "ctx")).alias("z")).select("z.key", "z.ctx"))
         hits = found if hits is None else hits.unionAll(found)
-    hits = hits.groupBy("key", "ctx").agg(F.max("whole").alias("whole"), F.max("mixed").alias("mixed"))
-
-    members = (made.select("id", "t", "n_bytes", F.explode(F.arrays_zip("pos", "key", "ctx")).alias("z"))
-               .select("id", "t", "n_bytes", "z.pos", "z.key", "z.ctx").join(hits, ["key", "ctx"]).checkpoint())
+    hits = hits.groupBy("key", "ctx").agg(F.max("whole").alias("whole"), F.max("mixed").alias("mixed"), F.max("n").alias("n")).checkpoint()
+
+    every = (made.select("id", "t", "n_bytes", F.explode(F.arrays_zip("pos", "key", "ctx")).alias("z"))
+             .select("id", "t", "n_bytes", "z.pos", "z.key", "z.ctx"))
+    # a frequent context's members are found where they lie: at most MOST_HOT contexts are broadcast
+    often = F.col("n") > max(hot, (made.agg(F.sum(F.size("key"))).first()[0] or 0) // MOST_HOT)
+    crowded, rest = F.broadcast(hits.filter(often).drop("n")), hits.filter(~often).drop("n")
+    members = (every.join(crowded, ["key", "ctx"], "left_anti").join(rest, ["key", "ctx"])
+               .unionByName(every.join(crowded, ["key", "ctx"])).checkpoint())
     whole = members.filter("whole").select("id", "t", F.greatest(F.lit(0), F.col("pos") - (SPAN - 1)).alias("a"),
                                            (F.least("pos", F.col("n_bytes") - MATCH) + MATCH).alias("b"))
     # one place of each context under a key with several

@@ -172,8 +172,8 @@ def test_mixing_targets_and_copies(spark):
     assert mixing.mix(df).count() == sum(r["__mix_copies"] for r in m) and mixing.mix(df).columns == df.columns
 
 
-@pytest.mark.parametrize("group", [4096, 1])
-def test_repeated_bytes_against_brute_force(docs, group):
+@pytest.mark.parametrize("group,hot", [(4096, 10_000), (1, 1)])
+def test_repeated_bytes_against_brute_force(docs, group, hot):
     raw = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     seen = collections.defaultdict(list)
     for i, b in raw.items():
@@ -184,7 +184,7 @@ def test_repeated_bytes_against_brute_force(docs, group):
         if len(v) > 1:
             for i, a in v:
                 gone[i][a:a + 400] = True
-    for r in suffix_levels.remove_repeats(docs, batches=3, group=group).collect():
+    for r in suffix_levels.remove_repeats(docs, batches=3, group=group, hot=hot).collect():
         b, g = raw[r.doc_id], gone[r.doc_id]
         runs = int((np.diff(np.concatenate([[0], g.astype(int)])) == 1).sum())
         assert (r.n_bytes, r.n_removed, r.n_spans) == (len(b), int(g.sum()), runs)
