@@ -91,10 +91,10 @@ def aggregate(df: DataFrame, metric: str, agg: str | list[str] = "mean",
     aggs = [agg] if isinstance(agg, str) else list(agg)
     m = resolve_column(df.columns, metric)
     if m is None:
-        raise ValueError(f"metric {metric} not found")
+        raise ValueError(f"no column answers to the metric {metric!r}")
     d = resolve_column(df.columns, dimension) if dimension else None
     if dimension and d is None:
-        raise ValueError(f"dimension {dimension} not found")
+        raise ValueError(f"no column answers to the dimension {dimension!r}")
     out = apply_filters(df, filters)
     keys = [d] if d else []
     out = out.select(*[q(k) for k in keys], q(m).alias("_m"))
@@ -105,7 +105,7 @@ def aggregate(df: DataFrame, metric: str, agg: str | list[str] = "mean",
 
     if not is_numeric(df.schema[m].dataType):
         if aggs != ["count"]:
-            raise ValueError(f"metric {metric} is non-numeric; only count is allowed")
+            raise ValueError(f"{metric!r} holds no numbers, so it can only be counted")
         return out.groupBy(*keys).agg(F.count("_m").alias(f"count_{m}"))
 
     out = out.dropna()  # null metric and null dimension rows are dropped
@@ -144,7 +144,7 @@ def compare(df: DataFrame, metric: str, dimension: str, filters: dict | None = N
     m = resolve_column(df.columns, metric)
     d = resolve_column(df.columns, dimension)
     if m is None or d is None:
-        raise ValueError(f"metric {metric} or dimension {dimension} not found")
+        raise ValueError(f"no columns answer to {metric!r} by {dimension!r}")
     data = apply_filters(df, filters).select(q(d), q(m).alias("_m")).dropna()
     return _grouped_stats(data, [d], "_m", ["mean", "median", "count", "std"], None, exact)
 
@@ -154,7 +154,7 @@ def compare_dummies(df: DataFrame, prefix: str, filters: dict | None = None) ->
     """Count of true per dummy column ``<prefix>_*`` (one row per level)."""
     cols = [c for c in df.columns if c.startswith(prefix + "_")]
     if not cols:
-        raise ValueError(f"no dummy columns for {prefix}")
+        raise ValueError(f"no columns start with {prefix}_")
     sums = apply_filters(df, filters).agg(
         *[F.sum(q(c).cast("int")).cast("long").alias(c) for c in cols])
     stack = ", ".join(f"'{c[len(prefix) + 1:]}', `{c}`" for c in cols)
@@ -167,7 +167,7 @@ def trend(df: DataFrame, metric: str, freq: str = "D", filters: dict | None = No
     """Mean of the metric per period of the first datetime column."""
     m = resolve_column(df.columns, metric)
     if m is None:
-        raise ValueError(f"metric {metric} not found")
+        raise ValueError(f"no column answers to the metric {metric!r}")
     dts = datetime_columns(df)
     t = time_col or (dts[0] if dts else None)
     if t is None:

@@ -11,6 +11,7 @@ bounded literals (decile edges) and distributed prefix sums.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,53 +55,61 @@ def _correlated_peers(df: DataFrame, cols: list[str], threshold: float = PEER_CO
     return peers
 
 
-def decide_methods(df: DataFrame, group_col: str | None = None) -> DataFrame:
-    """IMP-1: one decision row per column with nulls, first rule that hits."""
-    spark = df.sparkSession
+@dataclass
+class _Facts:
+    """What the rules may ask about a column with nulls."""
+    kind: str           # time, number or other
+    share: float        # of nulls
+    rows: int
+    grouped: bool       # the group column exists
+    group_named: bool   # a group column was asked for
+    peers: Callable[[], int]
+
+
+# IMP-1 as a table: (kind, condition, method, reason); the first row that holds decides
+RULES: list[tuple[str, Callable[[_Facts], bool], Callable[[_Facts], str], Callable[[_Facts], str]]] = [
+    ("time", lambda f: True, lambda f: "flag_only", lambda f: "dates are never imputed"),
+    ("number", lambda f: f.share <= LOW_MISSING, lambda f: "median", lambda f: "low missing share"),
+    ("number", lambda f: f.grouped and f.share <= GROUP_MAX_MISSING, lambda f: "group_median", lambda f: "group structure present"),
+    ("number", lambda f: f.rows >= MICE_MIN_ROWS and f.peers() >= MICE_MIN_PEERS, lambda f: "mice", lambda f: f"{f.peers()} correlated peers, large table"),
+    ("number", lambda f: f.rows < SMALL_ROWS, lambda f: "group_median" if f.grouped else "median", lambda f: "small table"),
+    ("number", lambda f: f.rows < MID_ROWS, lambda f: "group_median" if f.group_named else "median", lambda f: "mid-size table"),
+    ("number", lambda f: True, lambda f: "knn", lambda f: "dense locality"),
+    ("other", lambda f: f.share <= LOW_MISSING, lambda f: "mode", lambda f: "low missing share"),
+    ("other", lambda f: f.grouped, lambda f: "group_mode", lambda f: "group structure present"),
+    ("other", lambda f: True, lambda f: "unknown", lambda f: "high missing share"),
+]
+
+
+def decide_methods(df: DataFrame, group_col: str | None = None, knn_max_rows: int | None = None) -> DataFrame:
+    """IMP-1: one decision row per column with nulls, first rule that hits. With
+    ``knn_max_rows`` a larger table takes the median where the rules say kNN (off by
+    default: kNN visits few cells a row and runs on any size)."""
     cols = df.columns
     st = df.agg(F.count(F.lit(1)).alias("_n"),
                 *[F.count_if(q(c).isNull()).alias(f"z{i}") for i, c in enumerate(cols)]).first()
-    n = st["_n"] or 0
-    has_group = bool(group_col) and group_col in cols
-    nums = numeric_columns(df)
-    peers = None
+    n, known = st["_n"] or 0, {}
+
+    def peers(column: str) -> Callable[[], int]:
+        def ask() -> int:
+            if not known:
+                known.update(_correlated_peers(df, numeric_columns(df)))
+            return known.get(column, 0)
+        return ask
+
     rows = []
     for i, c in enumerate(cols):
         z = st[f"z{i}"]
         if not z:
             continue
-        pct = z / n
         dt_ = df.schema[c].dataType
-        if is_datetime(dt_):
-            m, why = "flag_only", "dates are never imputed"
-        elif is_numeric(dt_):
-            if pct <= LOW_MISSING:
-                m, why = "median", "low missing share"
-            elif has_group and pct <= GROUP_MAX_MISSING:
-                m, why = "group_median", "group structure present"
-            else:
-                m = None
-                if n >= MICE_MIN_ROWS:
-                    if peers is None:
-                        peers = _correlated_peers(df, nums)
-                    if peers.get(c, 0) >= MICE_MIN_PEERS:
-                        m, why = "mice", f"{peers[c]} correlated peers, large table"
-                if m is None:
-                    if n < SMALL_ROWS:
-                        m, why = ("group_median", "small table") if has_group else ("median", "small table")
-                    elif n < MID_ROWS:
-                        m, why = ("group_median" if group_col else "median"), "mid-size table"
-                    else:
-                        m, why = "knn", "dense locality"
-        else:
-            if pct <= LOW_MISSING:
-                m, why = "mode", "low missing share"
-            elif has_group:
-                m, why = "group_mode", "group structure present"
-            else:
-                m, why = "unknown", "high missing share"
-        rows.append((i, c, m, why, int(z), float(pct)))
-    return spark.createDataFrame(rows, DECISION_SCHEMA)
+        facts = _Facts("time" if is_datetime(dt_) else "number" if is_numeric(dt_) else "other", z / n, n,
+                       bool(group_col) and group_col in cols, bool(group_col), peers(c))
+        method, why = next((m(facts), r(facts)) for kind, holds, m, r in RULES if kind == facts.kind and holds(facts))
+        if method == "knn" and knn_max_rows is not None and n > knn_max_rows:
+            method, why = "median", f"more than {knn_max_rows} rows"
+        rows.append((i, c, method, why, int(z), float(z / n)))
+    return df.sparkSession.createDataFrame(rows, DECISION_SCHEMA)
 
 
 # ------------------------------------------------------------- IMP-3 .. 8

@@ -236,6 +236,7 @@ def short_profile(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 # -------------------------------------------------------------- PRF-8 / PRF-9
+# Words in a name that rule a target out.
 TARGET_BANNED = ["missing", "id", "phone", "address", "name", "ref"]
 
 # Domain keywords that raise a binary column to a "high" target.

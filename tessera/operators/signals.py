@@ -224,6 +224,7 @@ def quality_score(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ MON-1
+# Thresholds of the drift status.
 PSI_WARN, PSI_ACT, KS_WARN, KS_ACT = 0.10, 0.25, 0.10, 0.20
 
 

@@ -15,13 +15,25 @@ from pyspark.sql.window import Window
 
 from tessera.session import ensure_checkpoint_dir
 
+RANGE_BYTES = 1 << 30   # of input for each range: what is sorted are a few of its columns, or counts of them
+MOST_RANGES = 20_000
 _POS_BITS = 33  # monotonically_increasing_id packs (partition << 33) | position
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables a frame reads, from the plan's leaves (no job); leaves
+    of unknown size do not count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
 def _n_parts(df: DataFrame, n: int | None) -> int:
+    """Ranges for a frame: the session's shuffle partitions, more for large inputs."""
     if n:
         return n
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    least = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return max(least, min(MOST_RANGES, _input_bytes(df) // RANGE_BYTES))
 
 
 def range_sorted(df: DataFrame, order_cols: list[str], num_partitions: int | None = None) -> DataFrame:

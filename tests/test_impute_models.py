@@ -111,3 +111,16 @@ def test_chained_regression_wide_and_bare(spark):
     assert np.allclose(got, plain_chain(X, 1), atol=1e-8)
     df, cols = frame(spark, np.array([[1.0, np.nan], [2.0, np.nan], [np.nan, np.nan]]))
     assert filled(impute_models.chained_regression(df, cols), cols)[2, 0] == 1.5
+
+
+def test_decisions_of_every_rule(spark):
+    from tessera.operators import impute as imp
+    df = spark.range(60000).selectExpr("id", "IF(id % 4 = 0, NULL, id * 1.0) a", "IF(id % 100 = 0, NULL, id * 2.0) b", "id * 3.0 + id % 7 c", "id * 0.5 d",
+                                       "IF(id % 3 = 0, NULL, 'x') s", "IF(id % 50 = 0, NULL, 'y') m", "IF(id % 9 = 0, NULL, date'2020-01-01') t", "cast(id % 5 as string) g",
+                                       "IF(id % 6 = 0, NULL, hash(id)) r")
+    pick = lambda d: {r.column: r.method for r in d.collect()}
+    assert pick(imp.decide_methods(df)) == {"a": "mice", "b": "median", "s": "unknown", "m": "mode", "t": "flag_only", "r": "knn"}
+    assert pick(imp.decide_methods(df, knn_max_rows=50000))["r"] == "median"
+    assert pick(imp.decide_methods(df, "g")) == {"a": "group_median", "b": "median", "s": "group_mode", "m": "mode", "t": "flag_only", "r": "group_median"}
+    assert pick(imp.decide_methods(df.limit(1500)))["a"] == "median" and pick(imp.decide_methods(df.limit(5000), "none"))["a"] == "group_median"
+    assert pick(imp.decide_methods(df.limit(12000)))["a"] == "knn"
