@@ -169,3 +169,133 @@ def impute_psi_shifted(spark, sf):
     from tessera.operators import impute as imp
     ev = load(spark, sf, "events")
     return round_doubles(imp.psi(ev, "value", ev.withColumn("value", F.col("value") * 1.5 + 3), "value"), 6)
+
+
+# ------------------------------------------------------------------ IMP-9, IMP-10
+# two columns without equal distances: roots of ids, values told apart by id
+_PAIR_SQL = """p AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN sqrt(event_id) END AS x, CASE WHEN event_id % 7 <> 0 THEN value + event_id / 1e7 END AS y FROM events)"""
+
+
+def _pair(spark, sf):
+    k = F.col("event_id")
+    return load(spark, sf, "events").select("event_id", F.when(k % 5 != 0, F.sqrt(k)).alias("x"), F.when(k % 7 != 0, F.col("value") + k / F.lit(1e7)).alias("y"))
+
+
+def _near(lacks: str, has: str) -> str:
+    """Five nearest donors by the column that a row has; rows with neither get the mean."""
+    return f"""SELECT event_id, avg(v) AS v FROM (SELECT a.event_id, b.{lacks} AS v, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.{has} - b.{has})) AS i
+  FROM (SELECT event_id, {has} FROM p WHERE {lacks} IS NULL AND {has} IS NOT NULL) a, (SELECT {has}, {lacks} FROM p WHERE {lacks} IS NOT NULL AND {has} IS NOT NULL) b) WHERE i <= 5 GROUP BY 1"""
+
+
+@query("impute_knn_pairs", f"""
+WITH {_PAIR_SQL}, fx AS ({_near('x', 'y')}), fy AS ({_near('y', 'x')})
+SELECT p.event_id, round(coalesce(x, fx.v, (SELECT avg(x) FROM p)), 3) AS x, round(coalesce(y, fy.v, (SELECT avg(y) FROM p)), 3) AS y
+FROM p LEFT JOIN fx USING (event_id) LEFT JOIN fy USING (event_id)
+""")
+def impute_knn_pairs(spark, sf):
+    from tessera.operators import impute_models
+    return round_doubles(impute_models.knn_impute(_pair(spark, sf), ["x", "y"]), 3)
+
+
+@query("impute_mice_round", """
+WITH p AS (SELECT event_id, sqrt(event_id) AS x, CASE WHEN event_id % 7 <> 0 THEN value END AS y FROM events),
+s AS (SELECT count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy FROM p WHERE y IS NOT NULL),
+r AS (SELECT *, 1e-6 * (n + sxx) / 2 AS e FROM s),
+b AS (SELECT ((sxx + e) * sy - sx * sxy) / ((n + e) * (sxx + e) - sx * sx) AS b0, ((n + e) * sxy - sx * sy) / ((n + e) * (sxx + e) - sx * sx) AS b1 FROM r)
+SELECT event_id, round(x, 4) AS x, round(coalesce(y, b0 + b1 * x), 4) AS y FROM p, b
+""")
+def impute_mice_round(spark, sf):
+    from tessera.operators import impute_models
+    k = F.col("event_id")
+    ev = load(spark, sf, "events").select("event_id", F.sqrt(k).alias("x"), F.when(k % 7 != 0, F.col("value")).alias("y"))
+    return round_doubles(impute_models.chained_regression(ev, ["x", "y"], rounds=1), 4)
+
+
+# ------------------------------------------------------------------ SRC-6
+@query("landing_report_shape", """
+SELECT count(*) AS rows, 6 AS columns, true AS smaller_than_text FROM events
+""")
+def landing_report_shape(spark, sf):
+    from tessera.sources import landing
+    text, landed = landing.scratch_path(spark, "text"), landing.scratch_path(spark, "landed")
+    ev = load(spark, sf, "events")
+    ev.select(*[F.col(c).cast("string") for c in ev.columns]).write.csv(text)
+    landing.land_parquet(ev, landed)
+    return landing.landing_report(spark, text, landed).select("rows", "columns", ((F.col("source_bytes") > F.col("target_bytes"))
+                                                                                   & (F.col("compression_ratio") > 1)).alias("smaller_than_text"))
+
+
+# ------------------------------------------------------------------ KPI-2
+@query("kpi_search_healthcare", """
+WITH t AS (SELECT date_diff('day', o_orderdate, l_shipdate) AS los, l_returnflag = 'R' AS back FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT 0 AS position, 'total_records' AS kpi, count(*)::DOUBLE AS value, NULL AS source_column, NULL AS reason FROM t
+UNION ALL SELECT 1, 'total_columns', 3.0, NULL, NULL
+UNION ALL SELECT 2, 'total_admissions', count(*)::DOUBLE, NULL, NULL FROM t
+UNION ALL SELECT 3, 'avg_los_days', round(avg(los), 4), 'los_days', NULL FROM t
+UNION ALL SELECT 4, 'readmission_30d_pct', round(count(*) FILTER (WHERE back) * 100.0 / count(*), 4), 'readmission', NULL FROM t
+""")
+def kpi_search_healthcare(spark, sf):
+    from tessera.operators import kpi
+    li, od = load(spark, sf, "lineitem"), load(spark, sf, "orders")
+    stays = li.join(od, li.l_orderkey == od.o_orderkey).select(F.col("l_partkey").alias("patient_id"), F.datediff("l_shipdate", "o_orderdate").alias("los_days"),
+                                                               F.when(F.col("l_returnflag") == "R", "Yes").otherwise("No").alias("readmission"))
+    return round_doubles(kpi.search_kpis(stays, "healthcare"), 4)
+
+
+@query("kpi_search_retail", """
+SELECT 0 AS position, 'total_records' AS kpi, count(*)::DOUBLE AS value, NULL AS source_column, NULL AS reason FROM lineitem
+UNION ALL SELECT 1, 'total_columns', 3.0, NULL, NULL
+UNION ALL SELECT 2, 'total_orders', count(*)::DOUBLE, NULL, NULL FROM lineitem
+UNION ALL SELECT 3, 'gmv', round(sum(l_extendedprice), 4), 'sales_amount', NULL FROM lineitem
+UNION ALL SELECT 4, 'aov', round(avg(l_extendedprice), 4), 'sales_amount', NULL FROM lineitem
+UNION ALL SELECT 5, 'return_pct', round(count(*) FILTER (WHERE l_returnflag = 'R') * 100.0 / count(*), 4), 'return_state', NULL FROM lineitem
+""")
+def kpi_search_retail(spark, sf):
+    from tessera.operators import kpi
+    li = load(spark, sf, "lineitem")
+    sold = li.select(F.col("l_partkey").alias("sku_code"), F.col("l_extendedprice").alias("sales_amount"),
+                     F.when(F.col("l_returnflag") == "R", "Refund due").otherwise("kept").alias("return_state"))
+    return round_doubles(kpi.search_kpis(sold, "retail"), 4)
+
+
+@query("kpi_search_generic", """
+WITH t AS (SELECT CASE WHEN l_linenumber > 2 THEN l_linestatus END AS a, l_quantity AS b FROM lineitem), s AS (SELECT count(*) AS n, count(a) AS f, count(DISTINCT a) + count(DISTINCT b) AS d FROM t)
+SELECT 0 AS position, 'total_records' AS kpi, n::DOUBLE AS value, NULL AS source_column, NULL AS reason FROM s
+UNION ALL SELECT 1, 'total_columns', 2.0, NULL, NULL
+UNION ALL SELECT 2, 'data_quality_score', round(100 - (n - f) * 100.0 / (2 * n), 4), NULL, NULL FROM s
+UNION ALL SELECT 3, 'completeness_rate', round(100 - (n - f) * 100.0 / (2 * n), 4), NULL, NULL FROM s
+UNION ALL SELECT 4, 'unique_values_ratio', round(d * 100.0 / (2 * n), 4), NULL, NULL FROM s
+""")
+def kpi_search_generic(spark, sf):
+    from tessera.operators import kpi
+    li = load(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") > 2, F.col("l_linestatus")).alias("aa"), F.col("l_quantity").alias("bb"))
+    return round_doubles(kpi.search_kpis(li, "none"), 4)
+
+
+# ------------------------------------------------------------------ REC-1
+@query("recommendations_other_domains", """
+WITH t AS (SELECT (l_returnflag = 'R')::INT AS back, date_diff('day', o_orderdate, l_shipdate) AS los, l_extendedprice AS paid, l_tax * 10 AS roas, l_discount / 10 AS ctr,
+                  l_discount * 20 AS liquid FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+k AS (SELECT avg(back) * 100 AS back, avg(los) AS los, avg(paid) AS aov, sum(paid) AS gmv, count(*) AS n, avg(roas) AS roas, avg(ctr) * 100 AS ctr, avg(liquid) AS liquid FROM t)
+SELECT 'emarketing' AS domain, 3 AS rule, 'Reallocate spend' AS title, 'high' AS severity FROM k WHERE roas < 1
+UNION ALL SELECT 'emarketing', 4, 'Creative refresh needed', 'medium' FROM k WHERE ctr < 1
+UNION ALL SELECT 'retail', 5, 'Quality/size review', 'medium' FROM k WHERE back > 8
+UNION ALL SELECT 'retail', 6, 'Basket size optimization', 'low' FROM k WHERE aov < gmv / n * 0.8
+UNION ALL SELECT 'healthcare', 7, 'Discharge protocol review', 'high' FROM k WHERE back > 15
+UNION ALL SELECT 'healthcare', 8, 'Length of stay optimization', 'medium' FROM k WHERE los > 7
+UNION ALL SELECT 'finance', 9, 'Tighten underwriting', 'high' FROM k WHERE back > 6
+UNION ALL SELECT 'finance', 10, 'Liquidity monitoring', 'high' FROM k WHERE liquid < 1.2
+""")
+def recommendations_other_domains(spark, sf):
+    from tessera.operators import signals
+    li, od = load(spark, sf, "lineitem"), load(spark, sf, "orders")
+    back = (F.col("l_returnflag") == "R").cast("int")
+    t = li.join(od, li.l_orderkey == od.o_orderkey).select(
+        back.alias("return_flag"), back.alias("readmission_flag"), back.alias("default_flag"), F.datediff("l_shipdate", "o_orderdate").alias("los_days"),
+        F.col("l_extendedprice").alias("order_value"), (F.col("l_tax") * 10).alias("roas"), (F.col("l_discount") / 10).alias("ctr"),
+        (F.col("l_discount") * 20).alias("liquidity_ratio"))
+    out = None
+    for d in ("emarketing", "retail", "healthcare", "finance"):
+        part = signals.recommend(t, d).withColumn("domain", F.lit(d))
+        out = part if out is None else out.unionByName(part)
+    return out.select("domain", "rule", "title", "severity")
