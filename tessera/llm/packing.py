@@ -47,6 +47,7 @@ from tessera.session import ensure_checkpoint_dir
 
 WINDOW = 2048
 END_ID = 1
+MOST_REPEATED = 100_000  # groups of equal rows that are dealt to several slots
 SLOT_TOKENS = 1 << 20
 QUEUES = 128
 TOKENIZER = "word_bpe_49k.json"
@@ -340,6 +341,24 @@ def queue_table(per_source: DataFrame, total: int, weights: dict | None = None)
     return names, Schedule(totals, shares if weights else None), lanes
 
 
+def _slotted(tokens: DataFrame, slots: int, slot_tokens: int, total: int) -> DataFrame:
+    """Hash slot of every row of the stored token table. Equal rows that fill a good
+    part of a slot are dealt to several, by their place in the stored files; they are
+    interchangeable, so it does not matter which copy lies where. Such groups are at
+    most ``MOST_REPEATED``, which bounds their broadcast."""
+    key = F.xxhash64("doc_id", "n_tokens", "ids_hash")
+    limit = max(slot_tokens // 4, -(-total // MOST_REPEATED), 1)
+    repeated = (tokens.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_copies"), F.max("n_tokens").alias("_n"))
+                .filter(F.col("_copies") > 1).filter(F.col("_copies") * F.col("_n") > limit)
+                .select("_key", F.ceil(F.col("_copies") * F.col("_n") / limit).alias("_parts")))
+    place = F.xxhash64(F.substring(F.col("_metadata.file_name"), 1, 10), F.col("_metadata.row_index"))
+    part = F.xxhash64("_key", F.pmod(F.col("_place"), F.col("_parts")))
+    slot = F.when(F.col("_parts").isNull(), F.pmod(F.col("_key"), F.lit(slots))).otherwise(F.pmod(part, F.lit(slots)))
+    columns = tokens.columns
+    return (tokens.withColumn("_place", place).withColumn("_key", key).join(F.broadcast(repeated), "_key", "left")
+            .select(*columns, slot.alias("slot")))
+
+
 def pack(df: DataFrame, path: str | None = None, weights: dict | None = None, id_col: str = "doc_id",
          text_col: str = "text", source_col: str = "source", slot_tokens: int = SLOT_TOKENS) -> DataFrame:
     """Every row's pieces. ``weights`` (source name -> integer; None for the small
@@ -357,7 +376,7 @@ def pack(df: DataFrame, path: str | None = None, weights: dict | None = None, id
                                      {k if k is None else f"={k}": v for k, v in weights.items()} if weights else None)
     slots = max(1, -(-total // slot_tokens))
     number = {q: i for i, q in enumerate(names)}
-    tokens = tokens.withColumn("slot", F.pmod(F.xxhash64("doc_id", "n_tokens", "ids_hash"), F.lit(slots)))
+    tokens = _slotted(tokens, slots, slot_tokens, total)
     earlier = Window.partitionBy("queue").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     begins = (tokens.groupBy("slot", "queue").agg(F.sum("n_tokens").alias("n"))
               .select("slot", "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("at")))
