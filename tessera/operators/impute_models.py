@@ -273,8 +273,9 @@ def knn_impute(df: DataFrame, cols: list[str], k: int = 5, cell_rows: int = CELL
     placed = distinct.select("tie", *names, "many", "mask").mapInArrow(celled, schema).withColumn("cell", F.xxhash64("leaf", "mask"))
     boxes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min(n) for n in names]).alias("low"),
                                        F.array(*[F.max(n) for n in names]).alias("high"), F.array(*[F.count(n) for n in names]).alias("has"))
-    cells = _Cells(boxes.collect(), d)  # at most MOST_CELLS rows
-    packs = spark.createDataFrame([(r["cell"], r["n"] // (2 * PACK_ROWS) + 1) for r in boxes.select("cell", "n").collect()], "cell long, packs long")
+    found = boxes.collect()  # at most MOST_CELLS rows
+    cells = _Cells(found, d)
+    packs = spark.createDataFrame([(r["cell"], r["n"] // (2 * PACK_ROWS) + 1) for r in found], "cell long, packs long")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []

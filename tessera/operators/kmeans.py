@@ -88,27 +88,27 @@ def _draw(ids: np.ndarray, seed: int, start: int, turn: int) -> np.ndarray:
 def _starts(packs: DataFrame, n: int, d: int, ks: list[int], seed: int) -> list[np.ndarray]:
     """k-means|| for every start: centres (k, d); fewer where rows repeat."""
     def sampled(share: Callable) -> list[list[np.ndarray]]:
-        """Rows drawn for each start: (start, row) by ``share(ids, X, start)``."""
+        """Rows drawn for each start by ``share(ids, X)``: (start, places, draws), the lowest draw first."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rb in batches:
                 for base, m, x in zip(*[c.to_pylist() for c in rb.columns]):
                     ids, X = np.arange(base, base + m), np.frombuffer(x).reshape(m, -1)
-                    for s, at in share(ids, X):
+                    for s, at, u in share(ids, X):
                         if len(at):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s)), pa.array(ids[at]), pa.array([X[i].tobytes() for i in at])],
-                                                             ["s", "id", "x"])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s)), pa.array(u[at]), pa.array([X[i].tobytes() for i in at])],
+                                                             ["s", "u", "x"])
 
-        rows = packs.mapInArrow(run, "s long, id long, x binary").orderBy("s", "id").collect()  # about 2 k rows a start
+        rows = packs.mapInArrow(run, "s long, u double, x binary").orderBy("s", "u").collect()  # about 2 k rows a start
         out: list[list[np.ndarray]] = [[] for _ in ks]
         for r in rows:
             out[r["s"]].append(np.frombuffer(r["x"]))
         return out
 
-    # one row a start: of about 16 drawn for it the one drawn lowest
+    # one row a start: of about 16 drawn for it the lowest
     def first(ids, X):
         for s in range(len(ks)):
             u = _draw(ids, seed, s, 0)
-            yield s, np.flatnonzero(u < 16.0 / n)
+            yield s, np.flatnonzero(u < 16.0 / n), u
 
     got = sampled(first)
     spare = [np.frombuffer(r["x"]) for r in packs.select(F.substring("x", 1, 8 * d).alias("x")).limit(1).collect()]
@@ -126,7 +126,8 @@ def _starts(packs: DataFrame, n: int, d: int, ks: list[int], seed: int) -> list[
             near = np.minimum.reduceat(_distances(X, C), edge[:-1], axis=1)
             for s, k in enumerate(ks):
                 if total[s] > 0:
-                    yield s, np.flatnonzero(_draw(ids, seed, s, turn) < 2.0 * k * near[:, s] / total[s])
+                    u = _draw(ids, seed, s, turn)
+                    yield s, np.flatnonzero(u < 2.0 * k * near[:, s] / total[s]), u
 
         cands = [a + b for a, b in zip(cands, sampled(more))]
     edge = np.cumsum([0, *map(len, cands)])
