@@ -3,8 +3,9 @@
 The model is a bigram model with Dirichlet smoothing over a smoothed unigram
 model: p(w|v) = (c(vw) + MU p(w)) / (c(v) + MU), p(w) = (c(w) + 1/2) / (N + (V+1)/2),
 all counts from the training documents. Seen pairs store log10 p(w|v), words
-their log10 p(w) and the back-off log10 MU / (c(v) + MU), each as one byte into a
-codebook of 256 values.
+their log10 p(w) and the back-off log10 MU / (c(v) + MU), each as two bytes on one
+scale of ``STEPS`` steps that N and V fix, so equal texts score alike in any block and
+any file layout.
 
 Counts are global, but no task needs all of them. Documents are read into blocks
 of about ``BLOCK_BYTES``; a block sends its distinct words, and then its distinct
@@ -42,6 +43,7 @@ BLOCK_BYTES = 8 << 20
 SHARDS = 64
 MOST_SHARDS = 4096
 MU = 2000.0
+STEPS = 1 << 16
 _U = np.uint64
 END = _U(0x1D8E4E27C47D124F)    # the end token's hash
 BEGIN = _U(0xEB44ACCAB455D165)  # the context of a document's first token
@@ -115,20 +117,15 @@ class EliasFano:
 
 
 class Quantised:
-    """Values as one byte each into a codebook of 256 equal steps."""
-
-    def __init__(self, values: np.ndarray):
-        u = np.unique(values)
-        if len(u) > 256:  # a step stands for the mean of its values
-            edge = np.linspace(u[0], u[-1], 257)
-            code = np.clip(np.searchsorted(edge, values, "right") - 1, 0, 255)
-            n = np.maximum(np.bincount(code, minlength=256), 1)
-            self.book, self.code = np.bincount(code, weights=values, minlength=256) / n, code.astype(np.uint8)
-        else:
-            self.book, self.code = u, np.searchsorted(u, values).astype(np.uint8)
+    """Log probabilities as two bytes each, the nearest of ``STEPS`` equal steps from
+    ``least`` to 0. The scale is the same for all blocks, so a value's code is, too."""
+
+    def __init__(self, values: np.ndarray, least: float):
+        self.least, self.step = least, -least / (STEPS - 1)
+        self.code = np.clip(np.rint((values - least) / self.step), 0, STEPS - 1).astype(np.uint16)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        return self.book[self.code[i]]
+        return self.least + self.code[i] * self.step
 
 
 class Trie:
@@ -140,14 +137,15 @@ class Trie:
         self.m = m
         unigram = np.log10((word_count + 0.5) / (total + 0.5 * (distinct + 1)))
         context = np.append(word_count, begin_count)
-        self.unigram, self.backoff = Quantised(unigram), Quantised(np.log10(mu / (context + mu)))
+        least = float(np.log10(0.5 / (total + 0.5 * (distinct + 1) + mu)))  # no probability is lower
+        self.unigram, self.backoff = Quantised(unigram, least), Quantised(np.log10(mu / (context + mu)), least)
         seen = pair_count > 0
         key = first[seen] * m + second[seen]
         order = np.argsort(key)
         f, s, c = first[seen][order], second[seen][order], pair_count[seen][order]
         self.pairs = EliasFano(key[order], (m + 1) * m)
         self.pointer = EliasFano(np.searchsorted(f, np.arange(m + 2)), len(f) + 1)
-        self.pair = Quantised(np.log10((c + mu * 10 ** unigram[s]) / (context[f] + mu)))
+        self.pair = Quantised(np.log10((c + mu * 10 ** unigram[s]) / (context[f] + mu)), least)
 
     def score(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """log10 p(second | first)."""
