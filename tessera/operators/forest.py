@@ -95,6 +95,12 @@ def _drawn(path: np.ndarray, usable: np.ndarray, take: int) -> np.ndarray:
     return usable & (rank < take)
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative integers, by one sort of (key, place) words."""
+    bits = len(key).bit_length()
+    return np.sort((key << bits) | np.arange(len(key))) & ((1 << bits) - 1)
+
+
 def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, path, take: int, classes: int, depth: int | None) -> tuple[np.ndarray, int, int]:
     """(gain by feature, splits, levels) of the subtree over rows of one node;
     ``bins`` is (feature, row), ``w`` the rows' weights."""
@@ -120,7 +126,7 @@ def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, path, take: int, classe
             if not on.any():
                 continue
             key = node[on] * BINS + bins[f][rows[on]]
-            order = np.argsort(key, kind="stable")
+            order = _order(key)
             key, run = key[order], np.cumsum(stats[rows[on][order]], axis=0)
             of = key // BINS
             cut = np.flatnonzero((key[1:] != key[:-1]) & (of[1:] == of[:-1]))
@@ -139,7 +145,7 @@ def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, path, take: int, classe
         splits += len(size)
         level += 1
         side = (bins[best_f[node], rows] > best_bin[node]).astype(np.int64)
-        order = np.argsort(node * 2 + side, kind="stable")
+        order = _order(node * 2 + side)
         rows, part = rows[order], (node * 2 + side)[order]
         start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         side = part[start] & 1
@@ -241,24 +247,32 @@ def _histograms(packs: DataFrame, top: Top, nodes: np.ndarray, d: int, classes:
         place = np.full(len(top.path), -1)
         place[nodes] = np.arange(len(nodes))
         hist = np.zeros((len(nodes), d, BINS, width))
-        flat = hist.reshape(-1, width)
         for rb in batches:
             for ids, bins, y in _each(rb, d):
                 for t in np.unique(top.tree[nodes]):
                     w = _weights(ids, top.path[t])
                     at = place[top.leaves(bins, t)]
                     on = np.flatnonzero((w > 0) & (at >= 0))
-                    s = _stats(y[on], w[on], classes)
-                    cell = at[on] * (d * BINS)
+                    if not len(on):
+                        continue
+                    at, w, y_ = at[on], w[on], y[on]
+                    lo, span = at.min(), at.max() - at.min() + 1   # a tree's nodes of a level are neighbours
                     for f in range(d):
-                        key, first = np.unique(cell + f * BINS + bins[f][on], return_inverse=True)
-                        flat[key] += np.stack([np.bincount(first, s[:, k], len(key)) for k in range(width)], axis=1)
+                        key = (at - lo) * BINS + bins[f][on]
+                        if classes:
+                            sums = np.bincount(key * classes + y_.astype(np.int64), w, span * BINS * classes)
+                        else:
+                            sums = np.stack([np.bincount(key, v, span * BINS) for v in (w, w * y_, w * y_ * y_)], axis=1)
+                        hist[lo:lo + span, f] += sums.reshape(span, BINS, width)
         found = np.argwhere(hist.any((2, 3)))
         for lo in range(0, len(found), 1024):
             part = found[lo:lo + 1024]
             yield pa.RecordBatch.from_arrays([pa.array(nodes[part[:, 0]]), pa.array(part[:, 1]), pa.array([hist[i, f].tobytes() for i, f in part])],
                                              ["node", "feature", "hist"])
 
+    found = pa.schema([("node", pa.int64()), ("feature", pa.int64()), ("bin", pa.int64()), ("gain", pa.float64()), ("impure", pa.bool_()),
+                       ("sizes", pa.list_(pa.float64()))])
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
 
@@ -271,7 +285,7 @@ def _histograms(packs: DataFrame, top: Top, nodes: np.ndarray, d: int, classes:
             at = int(np.argmax(gain))
             values = [now[0], now[1], at, float(gain[at]) if np.isfinite(gain[at]) else None, bool(_impure(s, loss, classes)),
                       [float(x.sum() if classes else x[0]) for x in (run_[at], s - run_[at])]]
-            return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["node", "feature", "bin", "gain", "impure", "sizes"])
+            return pa.RecordBatch.from_pylist([dict(zip(found.names, values))], schema=found)  # a gain may be null: types are given
 
         for rb in batches:
             for node, feature, hist in zip(*[c.to_pylist() for c in rb.columns]):

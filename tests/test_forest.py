@@ -72,3 +72,13 @@ def test_importance_of_classes_numbers_nulls_and_empty(spark):
     assert select.forest_importance(df, ["a", "b"], "r", n_trees=5)["a"] > 0.9
     assert select.forest_importance(df.filter("a is null"), ["a", "b"], "t", n_trees=3) == {"a": 0.0, "b": 0.0}
     assert select.forest_importance(df.filter("t = 'x'"), ["a", "b"], "t", n_trees=3) == {"a": 0.0, "b": 0.0}
+
+
+def test_constant_feature_in_large_nodes(spark):
+    """A feature without a split gives a null gain beside others' numbers in one task."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 40, 1500)
+    df = spark.createDataFrame([(1.0, float(a), 2.0, str(int((a > 20) ^ (rng.random() < 0.1)))) for a in x], "a double, b double, c double, y string").coalesce(1)
+    whole = forest.tree_importances(df, ["a", "b", "c"], "y", ["0", "1"], n_trees=3)
+    assert np.allclose(whole, forest.tree_importances(df, ["a", "b", "c"], "y", ["0", "1"], n_trees=3, local_rows=200))
+    assert (whole[:, [0, 2]] == 0).all() and (whole[:, 1] > 0).all()
