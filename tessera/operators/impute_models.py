@@ -1,10 +1,11 @@
 """Model-based imputation (IMP-9 nearest neighbours, IMP-10 chained regression).
 
 kNN (k = 5, uniform mean, NaN-Euclidean over all numeric columns) is exact, yet
-a row is compared with few donors. Equal donors become one with a number. Donors
-are dealt once to cells, the leaves of a k-d tree (its splits come from a bounded
-sample, so they touch speed only), parted by which columns are null where such
-patterns are few; a cell has the box of its values, the columns that all or some of
+a row is compared with few donors. Equal donors become one with a number. Each of the
+commonest null patterns of rows has a k-d tree over the columns that its rows know, the
+others share one over all columns (splits come from a bounded sample, so they touch
+speed only). A tree's donors have a column that its rows lack; they are dealt to cells,
+its leaves parted by which columns are null where such patterns are few; a cell has the box of its values, the columns that all or some of
 its donors have, and its donors lie in packs of bounded size, so a full cell is many
 tasks. The distance to a box, over the columns that every donor of the cell shares
 with the row, bounds the distance to its donors from below. A row first visits the
@@ -41,6 +42,7 @@ from tessera.session import ensure_checkpoint_dir
 CELL_ROWS = 2_048       # donors a cell is meant to hold
 MOST_CELLS = 1 << 16    # boxes are broadcast: at most 2 x 8 bytes x columns for each
 MOST_PATTERNS = 64
+MOST_TREES = 8          # null patterns of rows that have a tree of their own
 SAMPLE_ROWS = 200_000
 PACK_ROWS = 1_024
 _ROW = "_row_id"
@@ -130,14 +132,26 @@ class _Cells:
         return out
 
 
-def _visits(rows: DataFrame, cells: "_Cells", d: int, k: int, bounded: bool) -> DataFrame:
+def _tree_of(X: np.ndarray, trees: list[int | None]) -> np.ndarray:
+    """Tree of each row: that of its null pattern, else the shared one; -1 where a row
+    knows nothing."""
+    gaps = np.isnan(X)
+    out = np.full(len(X), trees.index(None) if None in trees else -1)
+    if X.shape[1] <= 62:
+        mask = gaps @ (1 << np.arange(X.shape[1]))
+        for t, pattern in enumerate(trees):
+            if pattern is not None:
+                out[mask == pattern] = t
+    return np.where(gaps.all(1), -1, out)
+
+
+def _visits(rows: DataFrame, cells_of: list["_Cells"], trees: list[int | None], d: int, k: int, bounded: bool) -> DataFrame:
     """(cell, ids, values): packs of the rows that visit a cell - the first cells,
     or with the k-th squared distances ``u`` known, the rest that may hold nearer donors."""
-    shared = rows.sparkSession.sparkContext.broadcast(cells)
-    step = max(16, (1 << 22) // max(len(cells.cell), 1))
+    shared = rows.sparkSession.sparkContext.broadcast(cells_of)
+    step = max(16, (1 << 22) // max(1, *[len(c.cell) for c in cells_of]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value
         held: dict[int, list] = {}
 
         def pack(cell: int) -> tuple:
@@ -147,10 +161,16 @@ def _visits(rows: DataFrame, cells: "_Cells", d: int, k: int, bounded: bool) ->
         def batch(packs: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*packs)], ["cell", "ids", "x"])
 
+        def parts(rb: pa.RecordBatch):
+            tree = _tree_of(_matrix(rb, d, 1), trees)
+            for t, cells in enumerate(shared.value):
+                mine = rb.take(pa.array(np.flatnonzero(tree == t)))
+                for lo in range(0, mine.num_rows, step):
+                    yield cells, mine.slice(lo, step)
+
         waiting = 0
         for rb in batches:
-            for lo in range(0, rb.num_rows, step):
-                part = rb.slice(lo, step)
+            for cells, part in parts(rb):
                 ids, X = part.column(0).to_numpy(), _matrix(part, d, 1)
                 bound = cells.bounds(X)
                 near = cells.first(X, bound, k)
@@ -256,25 +276,35 @@ def knn_impute(df: DataFrame, cols: list[str], k: int = 5, cell_rows: int = CELL
     means = base.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]).first()
     if not about["n"]:
         return base.drop(_ROW)
-    leaves = max(1, min(MOST_CELLS // (MOST_PATTERNS if about["masks"] > 1 else 1), about["n"] // cell_rows))
+    apart = about["masks"] <= MOST_PATTERNS
+    todo = base.select(_ROW, *x).filter(lacks)
+    nulls = sum((F.col(n).isNull().cast("long") * (1 << (i % 62)) for i, n in enumerate(names)), F.lit(0))
+    common = (todo.filter(F.coalesce(*names).isNotNull()).groupBy(nulls.alias("mask")).agg(F.count(F.lit(1)).alias("n"))
+              .orderBy(F.desc("n"), "mask").limit(MOST_TREES + 1).collect()) if d <= 62 else []
+    trees: list[int | None] = [r["mask"] for r in common] if 0 < len(common) <= MOST_TREES else [*[r["mask"] for r in common[:MOST_TREES - 1]], None]
+    leaves = max(1, min(MOST_CELLS // (len(trees) * (about["masks"] if apart else 1)), about["n"] // cell_rows))
     share = min(1.0, min(SAMPLE_ROWS, 32 * leaves) / about["n"])
     picked = distinct.filter(F.pmod("tie", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(*names).limit(2 * SAMPLE_ROWS).toArrow() if leaves > 1 else None
-    nodes = _tree(np.column_stack([picked[n].to_numpy().astype(float) for n in names]), leaves) if picked is not None and picked.num_rows else []
-    apart = about["masks"] <= MOST_PATTERNS
+    sample = np.column_stack([picked[n].to_numpy().astype(float) for n in names]) if picked is not None and picked.num_rows else None
+    unknown = [np.array([pattern is not None and bool(pattern >> i & 1) for i in range(d)]) for pattern in trees]
+    nodes = [_tree(np.where(u, np.nan, sample), leaves) if sample is not None else [] for u in unknown]
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            leaf = _leaf(nodes, _matrix(rb, d, 1))
-            mask = rb.column(d + 2).to_numpy()
-            yield pa.RecordBatch.from_arrays([*rb.columns[:d + 2], pa.array(leaf), pa.array(mask if apart else np.zeros_like(mask))],
-                                             ["tie", *names, "many", "leaf", "mask"])
-
-    schema = "tie long, " + ", ".join(f"{n} double" for n in names) + ", many long, leaf long, mask long"
-    placed = distinct.select("tie", *names, "many", "mask").mapInArrow(celled, schema).withColumn("cell", F.xxhash64("leaf", "mask"))
-    boxes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min(n) for n in names]).alias("low"),
-                                       F.array(*[F.max(n) for n in names]).alias("high"), F.array(*[F.count(n) for n in names]).alias("has"))
+            X = _matrix(rb, d, 1)
+            for t, u in enumerate(unknown):
+                at = np.flatnonzero(~np.isnan(X[:, u]).all(1)) if u.any() else np.arange(len(X))
+                mine = rb.take(pa.array(at))
+                mask = mine.column(d + 2).to_numpy()
+                yield pa.RecordBatch.from_arrays([*mine.columns[:d + 2], pa.array(np.full(len(at), t)), pa.array(_leaf(nodes[t], X[at])),
+                                                  pa.array(mask if apart else np.zeros_like(mask))], ["tie", *names, "many", "tree", "leaf", "mask"])
+
+    schema = "tie long, " + ", ".join(f"{n} double" for n in names) + ", many long, tree long, leaf long, mask long"
+    placed = distinct.select("tie", *names, "many", "mask").mapInArrow(celled, schema).withColumn("cell", F.xxhash64("tree", "leaf", "mask"))
+    boxes = placed.groupBy("cell", "tree").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min(n) for n in names]).alias("low"),
+                                               F.array(*[F.max(n) for n in names]).alias("high"), F.array(*[F.count(n) for n in names]).alias("has"))
     found = boxes.collect()  # at most MOST_CELLS rows
-    cells = _Cells(found, d)
+    cells = [_Cells([r for r in found if r["tree"] == t], d) for t in range(len(trees))]
     packs = spark.createDataFrame([(r["cell"], r["n"] // (2 * PACK_ROWS) + 1) for r in found], "cell long, packs long")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,14 +333,13 @@ def knn_impute(df: DataFrame, cols: list[str], k: int = 5, cell_rows: int = CELL
                     .repartition("cell", "part").sortWithinPartitions("cell", "part").select("cell", "part", *names, "tie", F.least("many", F.lit(k)).alias("many"))
                     .mapInArrow(packed, "cell long, y binary, tie binary, many binary"))
 
-    todo = base.select(_ROW, *x).filter(lacks)
     if todo.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
         todo = todo.repartition(spark.sparkContext.defaultParallelism, _ROW)
-    near = stored("near", _ranked(_best(_visits(todo, cells, d, k, False), donors, d, k), k))
+    near = stored("near", _ranked(_best(_visits(todo, cells, trees, d, k, False), donors, d, k), k))
     kth = (near.groupBy("row", "j").agg(F.sum("take").alias("n"), F.max("dist").alias("u")).filter(F.col("n") >= k)
            .groupBy("row").agg(*[F.max(F.when(F.col("j") == j, F.col("u"))).alias(f"u{j}") for j in range(d)]))
     known = todo.join(kth, todo[_ROW] == kth["row"], "left").select(_ROW, *names, F.array(*[f"u{j}" for j in range(d)]).alias("u"))
-    far = _best(_visits(known, cells, d, k, True), donors, d, k)
+    far = _best(_visits(known, cells, trees, d, k, True), donors, d, k)
     best = _ranked(near.withColumnRenamed("take", "n").unionByName(far), k)
     fills = best.groupBy("row").agg(*[(F.sum(F.when(F.col("j") == j, F.col("value") * F.col("take"))) / F.sum(F.when(F.col("j") == j, F.col("take")))).alias(f"_f{j}")
                                       for j in range(d)])
