@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tessera.columns import numeric_columns, q, text_columns
@@ -74,7 +75,7 @@ def chi_square_pairs(df: DataFrame, cols: list[str] | None = None, min_n: int =
     cols = cols if cols is not None else text_columns(df)
     pairs = pair_list(cols)
     if not pairs:
-        return spark.createDataFrame([], "pair_idx int, feature1 string, feature2 string, chi2 double, dof int, "
+        return spark.createDataFrame([], "pair_idx int, feature1 string, feature2 string, chi2 double, dof long, "
                                          "n long, n_rows int, n_cols int, cramers_v double")
     names = spark.createDataFrame(pairs, "pair_idx int, feature1 string, feature2 string")
     cells = contingency_cells(df, pairs)
@@ -100,7 +101,7 @@ def chi_square_pairs(df: DataFrame, cols: list[str] | None = None, min_n: int =
     chi2 = F.when((F.col("n_rows") == 2) & (F.col("n_cols") == 2), yates).otherwise(F.col("part") + unseen)
     out = (stat.withColumn("chi2", chi2).join(F.broadcast(names), "pair_idx")  # one row per column pair
                .select("pair_idx", "feature1", "feature2", "chi2",
-                       ((F.col("n_rows") - 1) * (F.col("n_cols") - 1)).cast("int").alias("dof"), n.cast("long").alias("n"),
+                       ((F.col("n_rows") - 1) * (F.col("n_cols") - 1)).alias("dof"), n.cast("long").alias("n"),
                        F.col("n_rows").cast("int").alias("n_rows"), F.col("n_cols").cast("int").alias("n_cols"),
                        F.sqrt(F.col("chi2") / (n * (F.least("n_rows", "n_cols") - 1))).alias("cramers_v")))
     if with_p:
@@ -142,8 +143,10 @@ def correlation_report(df: DataFrame, num_cols: list[str] | None = None, cat_col
     cat = chi_square_pairs(df, cat_cols).select(
         "feature1", "feature2", F.round("cramers_v", 4).alias("correlation"), F.round("p_value", 4).alias("p_value"),
         F.lit("cramers_v").alias("method"), "n")
-    tests = num.unionByName(cat).withColumn("test_idx", F.monotonically_increasing_id())
-    n_tests = tests.count()
+    both = num.unionByName(cat)
+    rows = both.collect()  # one row per column pair; the ranking reads these and not the table again
+    n_tests = len(rows)
+    tests = df.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rows)], StructType([*both.schema.fields, StructField("test_idx", LongType())]))
     if n_tests > FDR_MIN_TESTS:
         tests = fdr_bh(tests).withColumn("p_value", F.round("p_adjusted", 4)).drop("p_adjusted")
     return tests.drop("test_idx").withColumn("fdr_applied", F.lit(n_tests > FDR_MIN_TESTS))
