@@ -70,6 +70,12 @@ def shape(df: DataFrame, cols: list[str] | None = None, min_n: int = 10) -> Data
     return _long(wide.select(*sel), items).filter(F.col("value").isNotNull())
 
 
+def _held(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns as doubles, kept for the passes of the exact quantiles, so that
+    what makes the table (its joins) runs once."""
+    return df.select(*[q(c).cast("double").alias(c) for c in cols]).persist()
+
+
 # ------------------------------------------------------------------ SIG-4
 def outlier_pct_iqr(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, min_n: int = 10) -> DataFrame:
     """Share (x 100) of non-null values beyond Q1 - k IQR / Q3 + k IQR.
@@ -78,6 +84,14 @@ def outlier_pct_iqr(df: DataFrame, cols: list[str] | None = None, k: float = 1.5
     cols = cols if cols is not None else numeric_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], LONG_SCHEMA)
+    held = _held(df, cols)
+    try:
+        return _outlier_pct(held, cols, k, min_n)
+    finally:
+        held.unpersist()
+
+
+def _outlier_pct(df: DataFrame, cols: list[str], k: float, min_n: int) -> DataFrame:
     qs = exact_quantiles(df, cols, [0.25, 0.75])
     exprs = []
     for i, c in enumerate(cols):
@@ -89,18 +103,24 @@ def outlier_pct_iqr(df: DataFrame, cols: list[str] | None = None, k: float = 1.5
             continue
         lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
         exprs.append(F.when(n >= min_n, F.count_if((x < lo) | (x > hi)) / n * 100).alias(f"o{i}"))
-    wide = df.agg(*exprs)
-    return _long(wide, [("outliers", c, "outliers_pct_iqr", f"o{i}") for i, c in enumerate(cols)]) \
-        .filter(F.col("value").isNotNull())
+    row = df.agg(*exprs).first()
+    rows = [("outliers", c, "outliers_pct_iqr", row[f"o{i}"]) for i, c in enumerate(cols) if row[f"o{i}"] is not None]
+    return df.sparkSession.createDataFrame(rows, LONG_SCHEMA)
 
 
 # ------------------------------------------------------------------ SIG-5
 def tail_quantiles(df: DataFrame, cols: list[str] | None = None, probs=(0.9, 0.95), min_n: int = 10) -> DataFrame:
     """p90 / p95 of columns with at least 10 values (distributed exact)."""
     cols = cols if cols is not None else numeric_columns(df)
-    counts = df.agg(*[F.count(q(c)).alias(c) for c in cols]).first() if cols else {}
-    ok = [c for c in cols if counts[c] >= min_n]
-    qs = exact_quantiles(df, ok, list(probs))
+    if not cols:
+        return df.sparkSession.createDataFrame([], LONG_SCHEMA)
+    held = _held(df, cols)
+    try:
+        counts = held.agg(*[F.count(q(c)).alias(c) for c in cols]).first()
+        ok = [c for c in cols if counts[c] >= min_n]
+        qs = exact_quantiles(held, ok, list(probs))
+    finally:
+        held.unpersist()
     rows = [("quantiles", c, f"p{int(round(p * 100))}", float(qs[c][j]))
             for c in ok for j, p in enumerate(probs) if qs[c][j] is not None]
     return df.sparkSession.createDataFrame(rows, LONG_SCHEMA)
