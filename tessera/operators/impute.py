@@ -255,9 +255,12 @@ class ImputeResult:
     data: DataFrame
     decisions: DataFrame
     numeric_imputed: list
+    _validated: DataFrame | None = None
 
     def validation(self) -> DataFrame:
-        return validate(self.original, self.data, self.numeric_imputed)
+        if self._validated is None:  # one row per column: asked for again by the status
+            self._validated = validate(self.original, self.data, self.numeric_imputed)
+        return self._validated
 
     def completeness(self) -> DataFrame:
         return completeness(self.data)
@@ -300,8 +303,13 @@ def validate(original: DataFrame, imputed: DataFrame, cols: list[str], min_n: in
     """PSI and KS per imputed numeric column with >= 10 values on both sides;
     pass when PSI <= 0.10 and KS <= 0.10."""
     spark = original.sparkSession
-    rows = [(c, float(t.psi), float(t.ks), bool(t.psi <= PSI_PASS and t.ks <= KS_PASS))
-            for c, t in two_sample(original, imputed, cols).items() if min(t.n_a, t.n_b) >= min_n]
+    held = imputed.select(*[q(c) for c in cols]).persist() if cols else imputed  # read by every pass, imputed once
+    try:
+        rows = [(c, float(t.psi), float(t.ks), bool(t.psi <= PSI_PASS and t.ks <= KS_PASS))
+                for c, t in two_sample(original, held, cols).items() if min(t.n_a, t.n_b) >= min_n]
+    finally:
+        if cols:
+            held.unpersist()
     out = spark.createDataFrame(rows, "column string, psi double, ks_statistic double, passed boolean")
     return out.select("column", F.round("psi", 4).alias("psi"), F.round("ks_statistic", 4).alias("ks_statistic"),
                       "passed")
