@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.operators.forest import scramble
 from tessera.session import ensure_checkpoint_dir
 
-PACK_ROWS = 16_384
+PACK_ROWS = 2_048       # a pack's distances to all centres stay near the processor; small packs spread evenly
 ROUNDS = 2              # oversampling rounds of k-means||
 TOL = 1e-4
 _U = np.uint64
@@ -57,7 +57,7 @@ def _packs(features: DataFrame, col: str, folder: str) -> DataFrame:
     made.write.parquet(folder)
     packs = features.sparkSession.read.schema(made.schema).parquet(folder)
     cores = features.sparkSession.sparkContext.defaultParallelism
-    return (packs.repartition(cores, "base") if packs.rdd.getNumPartitions() < cores else packs).persist()
+    return packs.repartition(max(cores, packs.rdd.getNumPartitions())).persist()  # dealt in turn: every scan waits for its fullest task
 
 
 def _summed(packs: DataFrame, size: int, work: Callable) -> np.ndarray:
@@ -80,6 +80,19 @@ def _distances(X: np.ndarray, C: np.ndarray) -> np.ndarray:
     return np.maximum((X * X).sum(1)[:, None] + (C * C).sum(1) - 2 * X @ C.T, 0.0)
 
 
+def _nearest(X: np.ndarray, C: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """(starts, rows): the place in C of each start's nearest centre, the first of equal ones.
+    A row's own square is left out; a centre's distances lie in one line."""
+    D = (C * C).sum(1)[:, None] - 2 * (C @ X.T)
+    at = np.repeat(edge[:-1, None], len(X), axis=1)
+    for row, a, b in zip(at, edge, edge[1:]):
+        low = D[a].copy()
+        for j in range(a + 1, b):
+            np.copyto(row, j, where=D[j] < low)
+            np.minimum(low, D[j], out=low)
+    return at
+
+
 def _draw(ids: np.ndarray, seed: int, start: int, turn: int) -> np.ndarray:
     salt = scramble(np.array([((seed * 1009 + start) * 31 + turn + 1) & (2**64 - 1)], _U))[0]
     return (scramble(ids.astype(_U) * _U(0x9E3779B97F4A7C15) + salt) >> _U(11)) * 2.0 ** -53
@@ -173,12 +186,9 @@ def _lloyd(packs: DataFrame, d: int, starts: list[np.ndarray], max_iter: int) ->
         C = np.concatenate([centres[s] for s in open_])
 
         def sums(ids, X, C=C, edge=edge):
-            dist, out = _distances(X, C), np.zeros((len(C), d + 1))
-            for a, b in zip(edge, edge[1:]):
-                hot = np.zeros((len(X), b - a))
-                hot[np.arange(len(X)), dist[:, a:b].argmin(1)] = 1.0
-                out[a:b, 0], out[a:b, 1:] = hot.sum(0), hot.T @ X
-            return out.ravel()
+            hot = np.zeros((len(C), len(X)))
+            hot[_nearest(X, C, edge), np.arange(len(X))] = 1.0
+            return np.column_stack([hot.sum(1), hot @ X]).ravel()
 
         got = _summed(packs, len(C) * (d + 1), sums).reshape(len(C), d + 1)
         new = np.where(got[:, :1] > 0, got[:, 1:] / np.maximum(got[:, :1], 1), C)

@@ -48,3 +48,22 @@ def test_repeated_rows_and_fewer_points_than_k(spark):
     assert models[0].cost == pytest.approx(0) and models[0].silhouette == pytest.approx(1) and models[1].sizes.sum() == 60
     one = kmeans.fit_many(frame(spark, np.ones((20, 2))), [2], 2, 1, 10)[0]
     assert one.cost == pytest.approx(0) and one.silhouette == 0
+
+
+def test_packs_are_small_and_dealt_evenly(spark):
+    df = spark.range(0, 40_000, 1, 2).select(array_to_vector(F.array(F.col("id").cast("double"), F.lit(1.0))).alias("features"))
+    packs = kmeans._packs(df, "features", f"{kmeans.ensure_checkpoint_dir(spark)}/t-even")
+    rows = [r["n"] for r in packs.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).collect()]
+    assert sum(rows) == 40_000 and len(rows) == 4 and max(rows) < 1.3 * 10_000, rows
+    ids = [i for r in packs.select("base", "n").collect() for i in range(r["base"], r["base"] + r["n"])]
+    assert len(set(ids)) == 40_000
+    packs.unpersist()
+
+
+def test_nearest_takes_the_first_of_equal_centres():
+    rng = np.random.default_rng(4)
+    X, C, edge = rng.normal(size=(200, 3)), rng.normal(size=(9, 3)), np.array([0, 2, 5, 9])
+    C[8] = C[6]
+    got = kmeans._nearest(X, C, edge)
+    for s, (a, b) in enumerate(zip(edge, edge[1:])):
+        assert (got[s] == a + ((X[:, None] - C[a:b]) ** 2).sum(2).argmin(1)).all() and 8 not in got[s]
