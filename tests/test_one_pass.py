@@ -4,7 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.operators import assoc, impute, impute_models, signals, standardize
+from pyspark.sql import functions as F
+
+from tessera.operators import assoc, impute, impute_models, signals, standardize, text
 
 
 def counted(spark, n, schema, row):
@@ -90,3 +92,22 @@ def test_nearest_by_null_pattern(spark, monkeypatch, most):
         has = np.flatnonzero(~np.isnan(X[:, j]) & np.isfinite(dist[i]))
         want[i, j] = X[has[np.argsort(dist[i, has], kind="stable")[:5]], j].mean() if len(has) else np.nanmean(X[:, j])
     assert np.allclose(got, want)
+
+
+def test_text_report_cleans_and_cuts_a_text_once(spark):
+    lines = ["The quick brown fox, no. 1!", "a b  c\tقال 12 ٣", "", "\u00a0x\n\ny🂡𝒜"]
+    df, made = counted(spark, 200, "t string", lambda i: {"t": lines[i % 4] * (i + 1)})
+    text.detect_text_columns(df)
+    detect, made.value = made.value, 0
+    rep = text.text_report(df)
+    rep["features:t"].collect()
+    # beside detection: language, volume, tokens, row measures
+    assert made.value <= detect + 4 * 200, (made.value, detect)
+
+
+def test_counts_by_runs_equal_counts_by_character(spark):
+    df = spark.createDataFrame([("The Fox_1, ٣ قالَ؟",), ("",), (None,), ("\u00a0 \t\n𝒜🂡é e\u0301²½\u2028x",)], "t string")
+    for left, one in ((text.NOT_LETTER_RE, r"\p{L}"), (text.NOT_LATIN_RE, "[A-Za-z]"), (text.NOT_ARABIC_RE, text.ARABIC_RE), (text.NOT_DIGIT_RE, r"\p{Nd}"),
+                      (text.NOT_SPECIAL_RE, r"[^\p{L}\p{N}\s]"), (r"\S+", r"\s")):
+        rows = df.select(text.left_without(df.t, left).alias("a"), F.regexp_count("t", F.lit(one)).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows], one
