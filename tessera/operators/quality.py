@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tessera.columns import datetime_columns, is_datetime, ntz_literal, q
 from tessera.functions.util import safe_div, with_row
+from tessera.sources.landing import land_parquet, scratch_path
 
 MISSING_WARN = 0.20
 INVERSION_WARN = 0.005
@@ -249,9 +250,14 @@ def overall_status(*reports: DataFrame) -> DataFrame:
 
 
 def run_quality_control(df: DataFrame, keys: list[str] | None = None, order_cols: list[str] | None = None,
-                        as_of: dt.datetime | None = None) -> dict[str, DataFrame]:
-    """Fixes, then scans; returns the cleaned table and every report."""
+                        as_of: dt.datetime | None = None, path: str | None = None) -> dict[str, DataFrame]:
+    """Fixes, then scans; returns the cleaned table and every report. The cleaned
+    table is written once (to ``path``, else to a scratch folder): every scan reads
+    it, and no scan shuffles the rows for duplicates again."""
     clean, fixes = auto_fix(df)
+    if clean.columns:
+        path = land_parquet(clean, path or scratch_path(df.sparkSession, "clean"))
+        clean = df.sparkSession.read.schema(clean.schema).parquet(path)
     out = {"data": clean, "fixes": fixes, "missing": missing_scan(clean)}
     out["future"] = future_dates(clean, as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
     if order_cols:

@@ -1,6 +1,7 @@
 """Staged runs with gates that can be taken up again (PIPE-1).
 
-A stage maps a DataFrame to (DataFrame, report DataFrame, status). Stages run in
+A stage maps a DataFrame to (DataFrame, report DataFrame, status), and to the folder
+of the DataFrame where it has written it itself. Stages run in
 order and the run goes on only while the status is PASS / OK / WARN. A finished
 stage's output and report are written once under the run's folder, with a manifest
 row: position, name, fingerprint of its input, paths, status and rows. A later run
@@ -38,7 +39,7 @@ class StageResult:
     resumed: bool = False
 
 
-Stage = Callable[[DataFrame], tuple[DataFrame, DataFrame, str]]
+Stage = Callable[[DataFrame], tuple]  # (data, report, status) or (data, report, status, folder that holds the data)
 
 
 def domain_stage(domain: str | None = None) -> Stage:
@@ -61,15 +62,17 @@ def ingest_stage(folder: str) -> Stage:
         path = landing.land_parquet(df, f"{folder.rstrip('/')}/landed-{uuid.uuid4().hex}")
         landed = df.sparkSession.read.schema(df.schema).parquet(path)
         report = landing.landing_inventory(df.sparkSession, {"main": path})
-        return landed, report, "STOP" if landed.isEmpty() else "OK"
+        return landed, report, "STOP" if landed.isEmpty() else "OK", path
     return run
 
 
 def quality_stage(keys: list[str], order_cols: list[str], as_of: dt.datetime) -> Stage:
     def run(df):
         from tessera.operators import quality as qc
-        out = qc.run_quality_control(df, keys, order_cols, as_of)
-        return out["data"], out["missing"], out["status"].first()["status"]
+        from tessera.sources import landing
+        path = landing.scratch_path(df.sparkSession, "clean")
+        out = qc.run_quality_control(df, keys, order_cols, as_of, path)
+        return out["data"], out["missing"], out["status"].first()["status"], *([path] if out["data"].columns else [])
     return run
 
 
@@ -115,31 +118,39 @@ def _fingerprint(df: DataFrame) -> tuple[str, int]:
 
 
 def run_stages(df: DataFrame, stages: list[tuple[str, Stage]], folder: str | None = None) -> list[StageResult]:
-    """Run the stages in order until one does not pass. Each stage's output is
-    written once, so later stages, reports and counts read it and never repeat the
-    stages before; with ``folder`` an earlier run's finished stages are taken over."""
+    """Run the stages in order until one does not pass. The input and each stage's
+    output are written once, so later stages, reports and counts read them and never
+    repeat the stages (or the joins of the input) before; a table that a stage passes
+    on as it is, or has written itself, is not written again. With ``folder`` an
+    earlier run's finished stages are taken over."""
     spark = df.sparkSession
     folder = (folder or f"{ensure_checkpoint_dir(spark)}/run-{uuid.uuid4().hex}").rstrip("/")
     path = f"{folder}/manifest"
     done, going = _manifest(spark, path), True
     results: list[StageResult] = []
-    cur, (print_, _) = df, _fingerprint(df)
+    at = f"{folder}/input-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    cur = spark.read.schema(df.schema).parquet(at)
+    print_, rows = _fingerprint(cur)
     for i, (name, stage) in enumerate(stages):
         old = done.get(i)
         going = going and old is not None and old["stage"] == name and old["input"] == print_
         if going:
             data, report = spark.read.parquet(old["output_path"]), spark.read.parquet(old["report_path"])
             results.append(StageResult(name, data, report, old["status"], old["rows"], True))
-            status, print_ = old["status"], old["output"]
+            status, print_, at, rows = old["status"], old["output"], old["output_path"], old["rows"]
         else:
-            data, report, status = stage(cur)
-            where = f"{folder}/{i}-{name}-{uuid.uuid4().hex}"
-            data.write.parquet(f"{where}/data")
+            data, report, status, *kept = stage(cur)
+            where, before = f"{folder}/{i}-{name}-{uuid.uuid4().hex}", print_
             report.write.parquet(f"{where}/report")
-            data, report = spark.read.parquet(f"{where}/data"), spark.read.parquet(f"{where}/report")
-            before = print_
-            print_, rows = _fingerprint(data)
-            spark.createDataFrame([(i, name, before, print_, f"{where}/data", f"{where}/report", status, rows, dt.datetime.now())], MANIFEST).coalesce(1) \
+            report = spark.read.parquet(f"{where}/report")
+            if data is not cur:
+                at = kept[0] if kept else f"{where}/data"
+                if not kept:
+                    data.write.option("compression", "zstd").parquet(at)
+                data = spark.read.parquet(at)
+                print_, rows = _fingerprint(data)
+            spark.createDataFrame([(i, name, before, print_, at, f"{where}/report", status, rows, dt.datetime.now())], MANIFEST).coalesce(1) \
                  .write.mode("append").parquet(path)
             results.append(StageResult(name, data, report, status, rows))
         if status not in GO:
