@@ -82,3 +82,40 @@ def test_constant_feature_in_large_nodes(spark):
     whole = forest.tree_importances(df, ["a", "b", "c"], "y", ["0", "1"], n_trees=3)
     assert np.allclose(whole, forest.tree_importances(df, ["a", "b", "c"], "y", ["0", "1"], n_trees=3, local_rows=200))
     assert (whole[:, [0, 2]] == 0).all() and (whole[:, 1] > 0).all()
+
+
+@pytest.mark.parametrize("classes,take,depth", [(2, 3, None), (2, 10, 4), (5, 2, None)])
+def test_histograms_blocks_and_levels_give_one_tree(monkeypatch, classes, take, depth):
+    """Ten features (two words a row), some constant in many nodes; every way of summing gives the plain tree."""
+    rng = np.random.default_rng(classes + take)
+    bins = rng.integers(0, [[2], [3], [200], [1], [2], [256], [4], [2], [2], [60]], (10, 700)).astype(np.uint8)
+    y, w = rng.integers(0, classes, 700).astype(float), rng.integers(1, 19, 700).astype(float)
+    want = plain(bins, y, w, np.uint64(7), take, classes, depth)
+    for block, dense in ((1 << 19, 1 << 10), (100, 1 << 10), (1 << 19, 4), (1, 4)):
+        monkeypatch.setattr(forest, "BLOCK_ROWS", block)
+        monkeypatch.setattr(forest, "DENSE_ROWS", dense)
+        got, splits, levels = forest.grow(bins, y, w, np.uint64(7), take, classes, depth)
+        assert np.allclose(got, want) and splits > 0 and (depth is None or levels <= depth)
+
+
+def test_large_nodes_sum_only_drawn_features(spark, monkeypatch):
+    """A large node's histograms are those of the features it draws, and of further ones where these are constant."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 40, (1500, 5)).astype(float)
+    x[:, 3] = 1.0
+    df = spark.createDataFrame([(*map(float, r), str(int(r[0] > 20) ^ int(t))) for r, t in zip(x, rng.random(1500) < 0.1)],
+                               "a double, b double, c double, d double, e double, y string").coalesce(1)
+    asked, plain_histograms = [], forest._histograms
+    monkeypatch.setattr(forest, "_histograms", lambda packs, top, pairs, d, classes: asked.extend(pairs) or plain_histograms(packs, top, pairs, d, classes))
+    cut = forest.tree_importances(df, list("abcde"), "y", ["0", "1"], n_trees=3, max_features=2, local_rows=400)
+    assert np.allclose(cut, forest.tree_importances(df, list("abcde"), "y", ["0", "1"], n_trees=3, max_features=2))
+    features = {}
+    for node, f in asked:
+        features.setdefault(node, []).append(f)
+    assert len(asked) == len(set(asked)) and all(len(f) == 2 or 3 in f for f in features.values())
+
+
+def test_draws_equal_the_searched_ones():
+    rows, root = np.arange(200_000, dtype=np.int64) + (3 << 40), forest._root(42, 5)
+    u = forest.scramble(rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + root) >> np.uint64(11)
+    assert (forest._weights(rows, root) == np.searchsorted(forest._DRAWS, u * 2.0 ** -53, "right")).all()
