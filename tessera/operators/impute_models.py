@@ -8,9 +8,11 @@ speed only). A tree's donors have a column that its rows lack; they are dealt to
 its leaves parted by which columns are null where such patterns are few; a cell has the box of its values, the columns that all or some of
 its donors have, and its donors lie in packs of bounded size, so a full cell is many
 tasks. The distance to a box, over the columns that every donor of the cell shares
-with the row, bounds the distance to its donors from below. A row first visits the
-nearest cells that hold k donors of each column it lacks; the k-th distance found is
-an upper bound, and every other cell whose lower bound is under it is visited then.
+with the row, bounds the distance to its donors from below. Boxes of neighbouring cells
+are joined by ``FAN`` into boxes of boxes, so a row looks at few of them, not at all cells.
+A row first visits near cells that hold k donors of each column it lacks; the k-th
+distance found is an upper bound, and every other cell whose lower bound is under it is
+visited then.
 Rows and donors meet as pairs of packs in an equi-join on the cell; only the k best
 of a row and column leave a pair, and a rank filter keeps the k best of all. A row
 that shares no column with any donor gets the column's mean.
@@ -40,11 +42,14 @@ from tessera.columns import q
 from tessera.session import ensure_checkpoint_dir
 
 CELL_ROWS = 2_048       # donors a cell is meant to hold
-MOST_CELLS = 1 << 16    # boxes are broadcast: at most 2 x 8 bytes x columns for each
+MOST_CELLS = 1 << 18    # boxes are broadcast: at most 2 x 8 bytes x columns for each
 MOST_PATTERNS = 64
 MOST_TREES = 8          # null patterns of rows that have a tree of their own
 SAMPLE_ROWS = 200_000
 PACK_ROWS = 1_024
+FAN = 8                 # boxes joined into one of the next level
+TOP_BOXES = 64          # boxes of the last level
+_STEP = 4_096           # rows whose boxes are searched at once
 _ROW = "_row_id"
 
 
@@ -104,7 +109,78 @@ class _Cells:
         grid = lambda name: np.array([[np.nan if v is None else v for v in r[name]] for r in rows], float).reshape(len(rows), d)
         self.low, self.high, self.has = grid("low"), grid("high"), grid("has")
         self.all = self.has == np.array([r["n"] for r in rows], float)[:, None]
-        self.d = d
+        self.d, self.fan = d, FAN
+        self.levels = [(self.low, self.high, self.has, self.all)]
+        while len(self.levels[-1][0]) > TOP_BOXES:
+            low, high, has, every = self.levels[-1]
+            at = np.arange(0, len(low), self.fan)
+            self.levels.append((np.fmin.reduceat(low, at), np.fmax.reduceat(high, at), np.add.reduceat(has, at), np.logical_and.reduceat(every, at)))
+
+    def _bound(self, level: int, x: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        """``bounds`` of pairs: the rows' values by column against boxes of a level."""
+        low, high, has, every = self.levels[level]
+        total, most = np.zeros(at.shape), np.zeros(at.shape)
+        for j in range(self.d):
+            known = ~np.isnan(x[j])
+            if not known.any():
+                continue
+            with np.errstate(invalid="ignore"):
+                gap = np.maximum(np.maximum(low[at, j] - x[j], x[j] - high[at, j]), 0.0)
+            total += np.where(known & every[at, j], gap * gap, 0.0)
+            most += known & (has[at, j] > 0)
+        return np.where(most > 0, total * (self.d / np.maximum(most, 1)) * (1 - 1e-9), np.inf)
+
+    def nearest(self, X: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) pairs: near cells that hold k donors of each column a row lacks, found
+        from the last level down among the boxes nearest at each level."""
+        if len(self.levels) == 1:
+            near = self.first(X, self.bounds(X), k)
+            return np.repeat(np.arange(len(X)), [len(n) for n in near]), np.concatenate([np.zeros(0, np.int64), *near])
+        keep, pairs = max(4, k), [np.zeros(0, np.int64)]
+        for j in range(self.d):
+            rows = np.flatnonzero(np.isnan(X[:, j]))
+            if not len(rows):
+                continue
+            x = [X[rows, i][:, None] for i in range(self.d)]
+            at = np.tile(np.arange(len(self.levels[-1][0])), (len(rows), 1))
+            for level in range(len(self.levels) - 1, -1, -1):
+                has = self.levels[level][2]
+                out = at >= len(has)
+                at[out] = 0
+                bound = self._bound(level, x, at)
+                bound[out | (has[at, j] == 0)] = np.inf
+                if level:
+                    near = np.argpartition(bound, keep - 1, axis=1)[:, :keep] if bound.shape[1] > keep else np.tile(np.arange(bound.shape[1]), (len(rows), 1))
+                    at = np.where(np.isfinite(np.take_along_axis(bound, near, 1)), np.take_along_axis(at, near, 1), len(has))
+                    at = (at[:, :, None] * self.fan + np.arange(self.fan)).reshape(len(rows), -1)
+            order = np.argsort(bound, axis=1, kind="stable")
+            bound, at = np.take_along_axis(bound, order, 1), np.take_along_axis(at, order, 1)
+            some = np.where(np.isfinite(bound), self.has[at, j], 0.0)
+            who, place = np.nonzero((some > 0) & (np.cumsum(some, axis=1) - some < k))
+            pairs.append(rows[who] * len(self.cell) + at[who, place])
+        return np.divmod(np.unique(np.concatenate(pairs)), len(self.cell))
+
+    def within(self, X: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) pairs: every cell that holds donors of a column the row lacks and
+        whose bound is not over the row's ``u`` of that column."""
+        top, lacks = len(self.levels[-1][0]), np.isnan(X)
+        who, at = np.repeat(np.arange(len(X)), top), np.tile(np.arange(top), len(X))
+        for level in range(len(self.levels) - 1, -1, -1):
+            bound, has = self._bound(level, [X[who, j] for j in range(self.d)], at), self.levels[level][2]
+            may = np.zeros(len(at), bool)
+            for j in range(self.d):
+                may |= lacks[who, j] & (bound <= u[who, j]) & (has[at, j] > 0)
+            on = np.flatnonzero(may & np.isfinite(bound))
+            who, at = who[on], at[on]
+            if level:
+                if len(at) > 1 << 18 and len(X) > 1:   # far rows see many boxes: fewer at once
+                    half = len(X) // 2
+                    (a, b), (c, e) = self.within(X[:half], u[:half]), self.within(X[half:], u[half:])
+                    return np.concatenate([a, c + half]), np.concatenate([b, e])
+                who, at = np.repeat(who, self.fan), (at[:, None] * self.fan + np.arange(self.fan)).ravel()
+                on = np.flatnonzero(at < len(self.levels[level - 1][0]))
+                who, at = who[on], at[on]
+        return who, at
 
     def bounds(self, X: np.ndarray) -> np.ndarray:
         """Lower bound of the squared distance from each row to each cell's donors;
@@ -149,8 +225,6 @@ def _visits(rows: DataFrame, cells_of: list["_Cells"], trees: list[int | None],
     """(cell, ids, values): packs of the rows that visit a cell - the first cells,
     or with the k-th squared distances ``u`` known, the rest that may hold nearer donors."""
     shared = rows.sparkSession.sparkContext.broadcast(cells_of)
-    step = max(16, (1 << 22) // max(1, *[len(c.cell) for c in cells_of]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
@@ -165,26 +239,20 @@ def _visits(rows: DataFrame, cells_of: list["_Cells"], trees: list[int | None],
             tree = _tree_of(_matrix(rb, d, 1), trees)
             for t, cells in enumerate(shared.value):
                 mine = rb.take(pa.array(np.flatnonzero(tree == t)))
-                for lo in range(0, mine.num_rows, step):
-                    yield cells, mine.slice(lo, step)
+                for lo in range(0, mine.num_rows, _STEP):
+                    yield cells, mine.slice(lo, _STEP)
 
         waiting = 0
         for rb in batches:
             for cells, part in parts(rb):
                 ids, X = part.column(0).to_numpy(), _matrix(part, d, 1)
-                bound = cells.bounds(X)
-                near = cells.first(X, bound, k)
-                who = np.repeat(np.arange(len(X)), [len(n) for n in near])
-                first = np.zeros(bound.shape, bool)
-                first[who, np.concatenate(near) if near else who] = True
+                at, c = cells.nearest(X, k)
                 if bounded:
-                    u = np.array([[np.inf if v is None else v for v in r] for r in part.column(1 + d).to_pylist()])
-                    may = np.zeros(bound.shape, bool)
-                    for j in range(d):
-                        lacks = np.isnan(X[:, j])
-                        may[lacks] |= (bound[lacks] <= u[lacks, j][:, None]) & (cells.has[:, j] > 0)
-                    first = may & ~first & np.isfinite(bound)
-                at, c = np.nonzero(first)
+                    u = part.column(1 + d).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                    near = at * len(cells.cell) + c
+                    at, c = cells.within(X, np.where(np.isnan(u), np.inf, u))
+                    on = np.flatnonzero(~np.isin(at * len(cells.cell) + c, near))
+                    at, c = at[on], c[on]
                 order = np.argsort(c, kind="stable")
                 at, c = at[order], c[order]
                 cuts = np.flatnonzero(np.diff(c)) + 1
@@ -301,9 +369,9 @@ def knn_impute(df: DataFrame, cols: list[str], k: int = 5, cell_rows: int = CELL
 
     schema = "tie long, " + ", ".join(f"{n} double" for n in names) + ", many long, tree long, leaf long, mask long"
     placed = distinct.select("tie", *names, "many", "mask").mapInArrow(celled, schema).withColumn("cell", F.xxhash64("tree", "leaf", "mask"))
-    boxes = placed.groupBy("cell", "tree").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min(n) for n in names]).alias("low"),
+    boxes = placed.groupBy("cell", "tree").agg(F.min("mask").alias("mask"), F.min("leaf").alias("leaf"), F.count(F.lit(1)).alias("n"), F.array(*[F.min(n) for n in names]).alias("low"),
                                                F.array(*[F.max(n) for n in names]).alias("high"), F.array(*[F.count(n) for n in names]).alias("has"))
-    found = boxes.collect()  # at most MOST_CELLS rows
+    found = sorted(boxes.collect(), key=lambda r: (r["mask"], r["leaf"], r["cell"]))  # at most MOST_CELLS rows; leaves are numbered from side to side
     cells = [_Cells([r for r in found if r["tree"] == t], d) for t in range(len(trees))]
     packs = spark.createDataFrame([(r["cell"], r["n"] // (2 * PACK_ROWS) + 1) for r in found], "cell long, packs long")
 

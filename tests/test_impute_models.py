@@ -67,6 +67,49 @@ def test_knn_visits_few_cells(spark):
     assert (bound <= kth[:, None]).sum(1).mean() < 32
 
 
+def _many_cells(n=20_000):
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(n, 3)) * [1, 10, 1]
+    X[rng.random(X.shape) < [0, 0.3, 0.999]] = np.nan
+    leaf, mask, rows = impute_models._leaf(impute_models._tree(X, 700), X), np.isnan(X) @ [1, 2, 4], []
+    for m in np.unique(mask):
+        for at in np.unique(leaf[mask == m]):
+            P = X[(mask == m) & (leaf == at)]
+            side = lambda least: [None if np.isnan(c).all() else least(c) for c in P.T]  # noqa: E731, B023
+            rows.append(dict(cell=len(rows), n=len(P), low=side(np.nanmin), high=side(np.nanmax), has=(~np.isnan(P)).sum(0).tolist()))
+    Q = X[:500][np.isnan(X[:500]).any(1)]
+    return impute_models._Cells(rows, 3), Q, rng.random(Q.shape) * 3
+
+
+def test_knn_searches_boxes_of_boxes(monkeypatch):
+    """Boxes under a bound are those that a look at all cells finds, yet few are looked at."""
+    cells, Q, u = _many_cells()
+    assert [len(level[0]) for level in cells.levels][1:] == [90, 12]
+    bound, seen, plain = cells.bounds(Q), [], impute_models._Cells._bound
+    monkeypatch.setattr(impute_models._Cells, "_bound", lambda self, level, x, at: seen.append(at.size) or plain(self, level, x, at))
+    who, at = cells.nearest(Q, 5)
+    assert len(set(zip(who, at))) == len(who)
+    for i in range(len(Q)):
+        assert (cells.has[at[who == i]].sum(0)[np.isnan(Q[i])] >= 5).all()   # the third column has one donor in 1,000
+    assert sum(seen) < len(Q) * len(cells.cell) / 2
+    may = (np.isnan(Q)[:, None] & (bound[:, :, None] <= u[:, None]) & (cells.has > 0)).any(2) & np.isfinite(bound)
+    who, at = cells.within(Q, u)
+    assert sorted(zip(who.tolist(), at.tolist())) == [tuple(x) for x in np.argwhere(may).tolist()]
+    seen.clear()
+    cells.within(Q, u / 1000)
+    assert sum(seen) < len(Q) * len(cells.cell) / 2
+
+
+def test_knn_through_levels_equals_all_distances(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(300, 3)) * [1, 5, 1]
+    X[rng.random(X.shape) < [0.1, 0.2, 0.6]] = np.nan
+    monkeypatch.setattr(impute_models, "TOP_BOXES", 4)
+    monkeypatch.setattr(impute_models, "FAN", 2)
+    df, cols = frame(spark, X)
+    assert np.allclose(filled(impute_models.knn_impute(df, cols, cell_rows=8), cols), plain_knn(X, 5))
+
+
 def test_knn_without_donors_or_gaps(spark):
     df, cols = frame(spark, np.array([[np.nan, np.nan], [np.nan, np.nan]]))
     assert np.isnan(filled(impute_models.knn_impute(df, cols), cols)).all()
